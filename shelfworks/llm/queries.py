@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfworks.llm import url_filter
+from shelfworks.llm import token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator, over its whole table."""
-    return {"op3_url_filter": url_filter.op3_url_filter}
+    return {
+        "op1_token_counts": token_counts.op1_token_counts,
+        "op3_url_filter": url_filter.op3_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

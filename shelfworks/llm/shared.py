@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,8 +64,25 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package's code once a context: they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="shelfworks-code-"), "shelfworks_code.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for file in sorted(root.rglob("*.py")):
+                z.write(file, file.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
+
+
 def in_batches(frame: DataFrame, max_mb: int = 32) -> DataFrame:
-    """Bound the Arrow batches that Python workers get, so that long texts do not pile up in one."""
+    """Ship the code, and bound the Arrow batches that Python workers get, so that long texts do not pile up in one."""
+    ship(frame.sparkSession)
     conf = frame.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_mb << 20))
