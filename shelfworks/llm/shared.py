@@ -10,6 +10,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfworks.functions.numbering import shared_dir, written
+
+__all__ = ["LOWER", "UPPER", "ascii_lower", "dropped", "in_batches", "new_path", "shared_dir", "ship", "small", "table", "written"]
+
 #: The ASCII capitals and their small forms; contracts lower-case only these.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -22,30 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = spark.conf.get("shelfworks.shared.dir", None)
-    if base is None:
-        base = "file://" + tempfile.mkdtemp(prefix="shelfworks-")
-        spark.conf.set("shelfworks.shared.dir", base)
-    return base
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nobody has used."""
     return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: the lineage is cut and a lost executor costs nothing."""
-    path = new_path(df.sparkSession, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table made by written() that no later step reads."""
     for file in df.inputFiles()[:1]:
