@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfworks.llm import mixing, token_counts, url_filter
+from shelfworks.llm import mixing, quality, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": token_counts.op1_token_counts,
         "op3_url_filter": url_filter.op3_url_filter,
         "op7_mix_sources": mixing.op7_mix_sources,
+        "op9_quality": quality.op9_quality,
     }
 
 
