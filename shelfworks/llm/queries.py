@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfworks.llm import mixing, quality, token_counts, url_filter
+from shelfworks.llm import mixing, quality, token_counts, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filter": url_filter.op3_url_filter,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op9_quality": quality.op9_quality,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
