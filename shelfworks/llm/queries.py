@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfworks.llm import mixing, quality, token_counts, toxicity, url_filter
+from shelfworks.llm import mixing, near_dups, quality, token_counts, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator, over its whole table."""
     return {
         "op1_token_counts": token_counts.op1_token_counts,
+        "op2_near_dups": near_dups.op2_near_dups,
         "op3_url_filter": url_filter.op3_url_filter,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op9_quality": quality.op9_quality,

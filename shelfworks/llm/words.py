@@ -54,3 +54,51 @@ def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
         for k in range(n):
             out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : len(hashes) - n + 1 + k])
     return out
+
+
+_BLOCK = 1 << 18
+_BASE = 0x9E3779B97F4A7C15 | 1
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_tables: list[np.ndarray] = []
+
+
+def _powers() -> list[np.ndarray]:
+    """A random number per byte; powers of an odd base and of its inverse modulo 2**64. Made once a worker."""
+    if not _tables:
+        with np.errstate(over="ignore"):
+            letters = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+            up = np.cumprod(np.append(np.uint64(1), np.full(_BLOCK, _BASE, np.uint64)), dtype=np.uint64)
+            down = np.cumprod(np.append(np.uint64(1), np.full(_BLOCK, pow(_BASE, -1, 1 << 64), np.uint64)), dtype=np.uint64)
+        letters[_SPACE] = 0
+        _tables.extend((letters, up, down))
+    return _tables
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, in order, block by block; equal words have equal hashes wherever they are."""
+    letters, up, down = _powers()
+    parts, open_sum, open_len = [], 0, 0
+    data = np.frombuffer(raw, np.uint8)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(data), _BLOCK):
+            block = data[at : at + _BLOCK]
+            inside = np.concatenate(([False], ~_SPACE[block], [False]))
+            edges = np.flatnonzero(inside[1:] != inside[:-1])
+            starts, ends = edges[::2], edges[1::2]
+            sums = np.append(np.uint64(0), np.cumsum(letters[block] * up[: len(block)], dtype=np.uint64))
+            found, length = (sums[ends] - sums[starts]) * down[starts], (ends - starts).astype(np.uint64)
+            if open_len:  # a word that began in the block before
+                if len(starts) and starts[0] == 0:
+                    found[0] = np.uint64(open_sum) + found[0] * np.uint64(pow(_BASE, open_len, 1 << 64))
+                    length[0] += np.uint64(open_len)
+                else:
+                    parts.append(np.array([[open_sum], [open_len]], np.uint64))
+                open_len = 0
+            if len(ends) and ends[-1] == len(block) and at + _BLOCK < len(data):
+                open_sum, open_len = int(found[-1]), int(length[-1])
+                found, length = found[:-1], length[:-1]
+            parts.append(np.vstack([found, length]))
+        if not parts:
+            return np.zeros(0, np.uint64)
+        both = np.hstack(parts)
+        return mix64(both[0] + both[1] * np.uint64(0xA24BAED4963EE407))
