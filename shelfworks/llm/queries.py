@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfworks.llm import mixing, near_dups, quality, suffix_dedup, token_counts, toxicity, url_filter
+from shelfworks.llm import license_scan, mixing, near_dups, quality, suffix_dedup, token_counts, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_near_dups": near_dups.op2_near_dups,
         "op3_url_filter": url_filter.op3_url_filter,
+        "op5_license_scan": license_scan.op5_license_scan,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_quality": quality.op9_quality,
@@ -24,4 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can say the same."""
-    return {"op3_url_filter": url_filter.ORACLE_SQL}
+    return {
+        "op3_url_filter": url_filter.ORACLE_SQL,
+        "op5_license_scan": license_scan.ORACLE_SQL,
+    }
