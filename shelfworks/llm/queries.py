@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfworks.llm import license_scan, mixing, near_dups, quality, suffix_dedup, token_counts, toxicity, url_filter
+from shelfworks.llm import decontaminate, license_scan, mixing, near_dups, quality, suffix_dedup, token_counts, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_near_dups": near_dups.op2_near_dups,
         "op3_url_filter": url_filter.op3_url_filter,
         "op5_license_scan": license_scan.op5_license_scan,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_quality": quality.op9_quality,
