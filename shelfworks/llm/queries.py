@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfworks.llm import decontaminate, license_scan, mixing, near_dups, quality, suffix_dedup, token_counts, toxicity, url_filter
+from shelfworks.llm import decontaminate, license_scan, mixing, near_dups, quality, suffix_dedup, token_counts, topk_search, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_near_dups": near_dups.op2_near_dups,
         "op3_url_filter": url_filter.op3_url_filter,
+        "op4_topk_search": topk_search.op4_topk_search,
         "op5_license_scan": license_scan.op5_license_scan,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_mix_sources": mixing.op7_mix_sources,
@@ -28,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can say the same."""
     return {
         "op3_url_filter": url_filter.ORACLE_SQL,
+        "op4_topk_search": topk_search.ORACLE_SQL,
         "op5_license_scan": license_scan.ORACLE_SQL,
     }
