@@ -69,10 +69,10 @@ def search_many(queries: DataFrame, cat: DataFrame, k: int = HITS) -> DataFrame:
     The test sees only names, so distinct texts meet distinct names; of each name only its k lowest ids go on.
     """
     names = cat.select("brand", "model").distinct()
-    matched = _matching_names(queries.select("text").dropna().distinct(), names)
+    matched = _matching_names(queries.select("text").dropna().distinct(), names).withColumnsRenamed({"brand": "_b", "model": "_m"})
     order = Window.partitionBy("brand", "model").orderBy("id_phone")
     lowest = cat.select("id_phone", "brand", "model").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
-    same = matched["brand"].eqNullSafe(lowest["brand"]) & matched["model"].eqNullSafe(lowest["model"])
-    hits = matched.join(lowest, same).select("text", "id_phone", lowest["brand"], lowest["model"])
+    same = F.col("_b").eqNullSafe(F.col("brand")) & F.col("_m").eqNullSafe(F.col("model"))
+    hits = matched.join(lowest, same).select("text", "id_phone", "brand", "model")
     best = top_k(hits, k, "text")
     return queries.join(best, "text").select("query_id", "rn", "id_phone", "brand", "model")

@@ -1,4 +1,611 @@
-"""Every query of the catalogue library by name, with the SQL that it equals."""
+"""Every query of the catalogue library by name, over the given tables, with the SQL that it equals."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfworks.functions import labels
+from shelfworks.functions.numbering import shared_dir
+from shelfworks.operators import browse, catalogue, ingest, search, specs
+from shelfworks.plans import views as v
+from shelfworks.sources import tables
+from shelfworks.streaming import search_events
 
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+#: Views that the SQL below shares.
+_CAT = (
+    "cat AS (SELECT c_custkey AS id_phone, n_name AS model, r_name AS brand FROM customer JOIN nation ON c_nationkey = n_nationkey "
+    "JOIN region ON n_regionkey = r_regionkey)"
+)
+_PARTS = "parts AS (SELECT p_partkey AS id_phone, p_brand AS brand, p_name AS model, p_type AS os, CAST(p_size AS VARCHAR) AS dimensions FROM part)"
+_COLORS = "pc AS (SELECT DISTINCT l_partkey AS id_phone, l_suppkey AS id_color FROM lineitem)"
+_BOXES = f"{_COLORS}, pb AS (SELECT DISTINCT id_phone, s_nationkey AS id_content FROM pc JOIN supplier ON s_suppkey = id_color)"
+_IMAGES = (
+    f"{_COLORS}, img AS (SELECT id_phone, id_color AS pos, 'https://img.example/' || id_phone || '_' || replace(s_name, '#', '_') || '.png' AS image "
+    "FROM pc JOIN supplier ON s_suppkey = id_color), "
+    "pics AS (SELECT id_phone, list(image ORDER BY pos) AS images FROM img GROUP BY id_phone)"
+)
+_QUERIES = (
+    "q AS (SELECT p_partkey AS query_id, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN string_split(p_name, ' ')[-1] "
+    "WHEN 2 THEN p_name || ' ' || lower(p_brand) ELSE substr(p_name, 1, 2) END AS text FROM part)"
+)
+_SUBS = (
+    "subs AS (SELECT o_orderkey AS seq, o_custkey AS id_phone, o_orderpriority AS os, o_orderstatus AS processor, o_custkey % 30 AS id_model, "
+    "CASE WHEN o_orderkey % 11 <> 0 THEN [o_orderkey % 97, o_orderkey % 103] END AS colors, "
+    "CASE WHEN o_orderkey % 13 <> 0 THEN [o_orderkey % 26] END AS boxes FROM orders), "
+    "judged AS (SELECT *, CASE WHEN colors IS NULL THEN 'Invalid payload' "
+    "WHEN NOT list_has_all((SELECT list(s_suppkey) FROM supplier), colors) THEN 'Color not found' WHEN boxes IS NULL THEN 'Invalid payload' "
+    "WHEN NOT list_has_all((SELECT list(CAST(n_nationkey AS BIGINT)) FROM nation), boxes) THEN 'Box content not found' "
+    "WHEN id_model NOT IN (SELECT n_nationkey FROM nation) THEN 'Model not found' END AS reason FROM subs)"
+)
+_NEW_BRANDS = (
+    "nb AS (SELECT c_custkey AS seq, CASE c_custkey % 7 WHEN 0 THEN r_name WHEN 1 THEN lower(r_name) WHEN 2 THEN '' WHEN 3 THEN NULL "
+    "ELSE c_mktsegment || (c_custkey % 7) END AS brand_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), "
+    "jb AS (SELECT seq, brand_name, CASE WHEN brand_name IN (SELECT r_name FROM region) THEN 'Brand already exists' "
+    "WHEN brand_name IS NULL OR brand_name = '' THEN 'Brand name cannot be null or empty' "
+    "WHEN row_number() OVER (PARTITION BY brand_name ORDER BY seq) > 1 THEN 'Brand already exists' END AS reason FROM nb)"
+)
+_NEW_MODELS = (
+    "nm AS (SELECT p_partkey AS seq, CASE p_partkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN 'nation_' || (p_partkey % 40) WHEN 2 THEN NULL ELSE p_name END AS model, "
+    "p_partkey % 6 AS brand FROM part), "
+    "km AS (SELECT *, lower(model) IN (SELECT lower(n_name) FROM nation) AS known, brand IN (SELECT r_regionkey FROM region) AS there FROM nm), "
+    "fm AS (SELECT lower(model) AS k, min(seq) AS least FROM km WHERE model IS NOT NULL AND NOT known AND there GROUP BY 1), "
+    "jm AS (SELECT seq, model, brand, CASE WHEN coalesce(known, false) OR seq > least THEN 'Model already exists' WHEN NOT there THEN 'Brand not found' END AS reason "
+    "FROM km LEFT JOIN fm ON lower(model) = k)"
+)
+_SHEET = (("colors", True), ("box_contents", True), ("os", False), ("dimensions", False))
+
+
+def _fits(text: str, brand: str = "brand", model: str = "model") -> str:
+    return f"len(list_filter(regexp_split_to_array(lower({text}), '\\s+'), lambda t: NOT (contains(lower({model}), t) OR contains(lower({brand}), t)))) = 0"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _cat(spark: SparkSession, d: str) -> DataFrame:
+    return catalogue.catalogue(v.phone(spark, d), v.model(spark, d), v.brand(spark, d))
+
+
+def _full(spark: SparkSession, d: str) -> DataFrame:
+    """Parts with their lists of colours, box contents and images."""
+    colored = catalogue.with_colors(v.parts(spark, d), v.phone_colors(spark, d), v.color(spark, d))
+    boxed = catalogue.with_box_contents(colored, v.phone_box_contents(spark, d), v.box_content(spark, d))
+    return boxed.join(catalogue.nest(v.images(spark, d), "id_phone", name="images"), "id_phone", "left")
+
+
+@query("SELECT p_partkey AS id_phone, p_brand AS brand, p_name AS model FROM part")
+def s1_read_tables(spark, d):
+    """Read the catalogue's columns; others are not scanned."""
+    return v.parts(spark, d).select("id_phone", "brand", "model")
+
+
+@query(
+    f"WITH {_SUBS} SELECT seq, id_phone, id_model, array_to_string(colors, ',') AS colors, array_to_string(boxes, ',') AS boxes, os, false AS corrupt FROM subs"
+)
+def s2_read_submissions(spark, d):
+    """Submissions written as JSON lines and read again with their schema."""
+    path = f"{shared_dir(spark)}/submissions-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    subs = v.submissions(spark, d).withColumnsRenamed({"id_phone": "idPhone", "id_model": "idModel", "box_contents": "boxContents"})
+    subs.write.mode("overwrite").json(path)
+    back = tables.read_submissions(spark, path)
+    rows = tables.submission_rows(back)
+    return rows.join(back.select("seq", F.col("_corrupt").isNotNull().alias("corrupt")), "seq").select(
+        "seq", "id_phone", "id_model", F.array_join("colors", ",").alias("colors"), F.array_join("box_contents", ",").alias("boxes"), "os", "corrupt"
+    )
+
+
+@query(f"WITH {_SUBS} SELECT id_phone, seq, unnest(colors) AS id_color, CAST(unnest(range(len(colors))) AS INTEGER) AS pos FROM subs")
+def s3_normalise(spark, d):
+    """Colour lists of submissions as rows with their place."""
+    subs = v.submissions(spark, d).withColumn("images", F.array().cast("array<string>"))
+    return subs.select("id_phone", "seq", F.posexplode("colors").alias("pos", "id_color"))
+
+
+@query(
+    f"WITH {_CAT} SELECT id_phone, CAST(to_json({{'id_phone': id_phone, 'brand': brand, 'model': model}}) AS VARCHAR) AS document FROM cat"
+)
+def s4_catalogue_documents(spark, d):
+    """The catalogue as JSON documents."""
+    cat = _cat(spark, d).select("id_phone", "brand", "model")
+    return cat.select("id_phone", F.to_json(F.struct("id_phone", "brand", "model")).alias("document"))
+
+
+@query(f"WITH {_SUBS} SELECT seq, 500 AS status, 'Internal Server Error' AS error, reason AS message FROM judged WHERE reason IS NOT NULL")
+def s5_quarantine(spark, d):
+    """Rejected submissions with their error record, but for its time."""
+    return tables.quarantine(j4_resolve_refs(spark, d)).select("seq", "status", "error", "message")
+
+
+@query("SELECT CAST(r_regionkey AS BIGINT) AS id_brand, r_name AS brand_name FROM region")
+def p1_brand_list(spark, d):
+    """Ids and names of brands."""
+    return browse.brand_list(v.brand(spark, d))
+
+
+@query(f"WITH {_CAT} SELECT id_phone, brand, model, CAST(NULL AS VARCHAR) AS image_search FROM cat")
+def p2_search_hits(spark, d):
+    """The hit's columns."""
+    return search.search_hits(_cat(spark, d))
+
+
+@query(f"WITH {_IMAGES} SELECT id_phone, array_to_string(images[1:len(images) - 1], '|') AS images FROM pics")
+def p3_card_images(spark, d):
+    """All images but the last."""
+    pics = catalogue.nest(v.images(spark, d), "id_phone", name="images")
+    return pics.select("id_phone", F.array_join(specs.card_images(F.col("images")), "|").alias("images"))
+
+
+@query(f"WITH {_IMAGES} SELECT id_phone, images[1] AS cover FROM pics")
+def p4_cover_image(spark, d):
+    """The first image."""
+    return catalogue.nest(v.images(spark, d), "id_phone", name="images").select("id_phone", specs.cover_image(F.col("images")).alias("cover"))
+
+
+@query(f"WITH {_PARTS} SELECT id_phone, upper(brand) AS brand FROM parts")
+def p5_upper_brand(spark, d):
+    """Brands in capitals."""
+    return search.upper_brand(v.parts(spark, d)).select("id_phone", "brand")
+
+
+@query(f"WITH {_CAT} SELECT id_phone, concat_ws(' ', brand, model) AS title FROM cat")
+def p6_title(spark, d):
+    """Brand and model."""
+    return _cat(spark, d).select("id_phone", labels.title(F.col("brand"), F.col("model")).alias("title"))
+
+
+@query(f"WITH {_CAT} SELECT id_phone, lower(regexp_replace(brand || '_ ' || model, '[_ ]+', '', 'g')) AS label FROM cat")
+def p7_norm_label(spark, d):
+    """Labels in normal form."""
+    return _cat(spark, d).select("id_phone", labels.norm_label(F.concat("brand", F.lit("_ "), "model")).alias("label"))
+
+
+@query(
+    f"WITH {_IMAGES}, names AS (SELECT id_phone, list(s_name ORDER BY id_color) AS colors FROM pc JOIN supplier ON s_suppkey = id_color GROUP BY 1), "
+    "n AS (SELECT id_phone, list_transform(colors, lambda c: split_part(c, '#', 2)) AS colors FROM names), "
+    "o AS (SELECT id_phone, unnest(images) AS image, CAST(unnest(range(len(images))) AS INTEGER) AS pos FROM pics) "
+    "SELECT id_phone, pos, image, coalesce(list_filter(colors, lambda c: lower(regexp_replace(c, '[_ ]+', '', 'g')) = "
+    "lower(regexp_replace(string_split(string_split(string_split(image, '/')[-1], '.')[1], '_')[-1], '[_ ]+', '', 'g')))[1], '') AS color FROM o JOIN n USING (id_phone)"
+)
+def p8_color_for_image(spark, d):
+    """The colour that each image's file name tells."""
+    named = catalogue.nest(v.phone_colors(spark, d).join(v.color(spark, d), "id_color"), "id_phone", "name", "pos", "colors")
+    short = named.withColumn("colors", F.transform("colors", lambda c: F.element_at(F.split(c, "#"), 2)))
+    return specs.color_for_image(short.join(catalogue.nest(v.images(spark, d), "id_phone", name="images"), "id_phone"))
+
+
+@query(f"WITH {_PARTS} SELECT id_phone, 'https://wa.example/100?text=' || url_encode('Hello, I am interested in the ' || brand || ' ' || model) AS link FROM parts")
+def p9_contact_link(spark, d):
+    """A contact link with the encoded message."""
+    text = labels.percent_encoded(labels.interest_message(F.col("brand"), F.col("model")))
+    return v.parts(spark, d).select("id_phone", F.concat(F.lit("https://wa.example/100?text="), text).alias("link"))
+
+
+@query(
+    "SELECT conv_id, turn, CAST(to_json({'messaging_product': 'whatsapp', 'to': CAST(conv_id AS VARCHAR), 'text': {'body': text}}) AS VARCHAR) AS payload FROM conversations"
+)
+def p10_message_payload(spark, d):
+    """Message bodies of all conversations."""
+    c = v.read(spark, d, "conversations")
+    return c.select("conv_id", "turn", labels.message_payload(F.col("conv_id").cast("string"), F.col("text")).alias("payload"))
+
+
+@query(
+    f"WITH {_PARTS}, {_BOXES}, c AS (SELECT id_phone, list(s_name ORDER BY s_suppkey) AS l FROM pc JOIN supplier ON s_suppkey = id_color GROUP BY 1), "
+    "b AS (SELECT id_phone, list(n_name ORDER BY n_nationkey) AS l FROM pb JOIN nation ON n_nationkey = id_content GROUP BY 1), "
+    "s AS (SELECT id_phone, 1 AS attr_no, 'colors' AS attr, l FROM c UNION ALL SELECT id_phone, 2, 'box_contents', l FROM b "
+    "UNION ALL SELECT id_phone, 3, 'os', [os] FROM parts UNION ALL SELECT id_phone, 4, 'dimensions', [dimensions] FROM parts) "
+    "SELECT id_phone, attr_no, attr, CAST(unnest(range(len(l))) AS INTEGER) AS item_no, unnest(l) AS value FROM s"
+)
+def p11_spec_sheet(spark, d):
+    """The sheet of every part, for the attributes that parts have."""
+    return specs.spec_sheet(_full(spark, d), _SHEET)
+
+
+@query(f"WITH {_COLORS} SELECT id_phone, string_agg(s_name, ',' ORDER BY s_suppkey) AS battery FROM pc JOIN supplier ON s_suppkey = id_color GROUP BY 1")
+def p12_battery_text(spark, d):
+    """A list as one text."""
+    named = catalogue.nest(v.phone_colors(spark, d).join(v.color(spark, d), "id_color"), "id_phone", "name", "pos", "battery")
+    return named.select("id_phone", specs.battery_text(F.col("battery")).alias("battery"))
+
+
+@query(f"WITH {_CAT} SELECT id_phone, replace(model, '_', ' ') AS label FROM cat")
+def p13_enum_label(spark, d):
+    """Labels of codes."""
+    return _cat(spark, d).select("id_phone", labels.enum_label(F.col("model")).alias("label"))
+
+
+@query(f"WITH {_CAT} SELECT id_phone, model FROM cat WHERE brand = 'ASIA'")
+def f1_by_brand(spark, d):
+    """Phones of one brand."""
+    return browse.by_brand(_cat(spark, d), "ASIA").select("id_phone", "model")
+
+
+@query(
+    f"WITH {_CAT}, r AS (SELECT CAST(r_regionkey AS BIGINT) AS request_id, r_name AS brand FROM region UNION ALL SELECT 99, 'todos') "
+    "SELECT request_id, id_phone FROM r JOIN cat ON r.brand = 'todos' OR r.brand = cat.brand"
+)
+def f2_browse(spark, d):
+    """Every brand, and all."""
+    requests = v.brand(spark, d).select(F.col("id_brand").alias("request_id"), F.col("brand_name").alias("brand"))
+    return browse.browse_many(requests.union(spark.sql(f"SELECT 99L, '{browse.ALL}'")), _cat(spark, d))
+
+
+@query(f"WITH {_PARTS} SELECT id_phone, brand, model FROM parts WHERE {_fits(chr(39) + ' Brand#1  anvil' + chr(39))} ORDER BY id_phone LIMIT 5")
+def f3_search(spark, d):
+    """The first five parts for a text of several words."""
+    return search.search(v.parts(spark, d), " Brand#1  anvil").select("id_phone", "brand", "model")
+
+
+@query(f"WITH {_PARTS} SELECT id_phone, brand, model FROM parts WHERE contains(lower(brand), 'd#1') OR contains(lower(model), 'd#1')")
+def f4_phrase(spark, d):
+    """Parts with a phrase in brand or model."""
+    return browse.phrase_filter(v.parts(spark, d), "D#1").select("id_phone", "brand", "model")
+
+
+@query(f"WITH {_PARTS} SELECT id_phone, brand, model FROM parts WHERE {_fits(chr(39) + 'anvil brand#2' + chr(39))} ORDER BY id_phone LIMIT 6 OFFSET 4")
+def f5_filter_slice(spark, d):
+    """A slice of the matches of a trimmed text."""
+    return search.filter_slice(v.parts(spark, d), "  anvil brand#2 ", 4).select("id_phone", "brand", "model")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE trim(text) <> ''")
+def f6_nonblank(spark, d):
+    """Messages that are not blank."""
+    return browse.nonblank(v.read(spark, d, "conversations")).select("conv_id", "turn")
+
+
+@query(
+    "WITH ids AS (SELECT DISTINCT o_custkey * 2 AS id_phone FROM orders) SELECT id_phone, c_mktsegment AS os, "
+    "CASE WHEN c_custkey IS NULL THEN 404 ELSE 200 END AS status FROM ids LEFT JOIN customer ON c_custkey = id_phone"
+)
+def f7_lookup(spark, d):
+    """Found or not, for many ids."""
+    ids = v.read(spark, d, "orders").select((F.col("o_custkey") * 2).alias("id_phone")).distinct()
+    return browse.lookup(ids, v.phone(spark, d).select("id_phone", "os"), "id_phone")
+
+
+@query(
+    f"WITH {_PARTS}, r AS (SELECT DISTINCT brand FROM parts UNION SELECT DISTINCT os FROM parts), n AS (SELECT brand, count(*) AS n FROM parts GROUP BY 1) "
+    "SELECT r.brand, coalesce(n.n, 0) AS n, CASE WHEN n.n IS NULL THEN 404 ELSE 200 END AS status FROM r LEFT JOIN n USING (brand)"
+)
+def f8_brand_status(spark, d):
+    """Brands asked for, of which some do not exist."""
+    cat = v.parts(spark, d)
+    return browse.brand_status(cat.select("brand").union(cat.select("os")).distinct(), cat)
+
+
+@query(f"WITH {_CAT} SELECT id_phone, brand FROM cat WHERE model = 'NATION_7'")
+def f9_by_model(spark, d):
+    """Phones of a model."""
+    return browse.by_model(_cat(spark, d), "NATION_7").select("id_phone", "brand")
+
+
+@query(f"WITH {_PARTS} SELECT id_phone FROM parts WHERE model = 'red widget' AND brand = 'Brand#17'")
+def f9_by_brand_and_model(spark, d):
+    """Parts of a brand and model."""
+    return browse.by_brand_and_model(v.parts(spark, d), "Brand#17", "red widget").select("id_phone")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id_model, n_name AS model_name FROM nation WHERE n_name = 'NATION_3'")
+def f10_model_by_name(spark, d):
+    """A model by name."""
+    return browse.model_by_name(v.model(spark, d), "NATION_3").select("id_model", "model_name")
+
+
+@query(f"WITH {_CAT} SELECT id_phone, model, brand FROM cat")
+def j1_catalogue(spark, d):
+    """The flat catalogue."""
+    return _cat(spark, d).select("id_phone", "model", "brand")
+
+
+@query(
+    f"WITH {_PARTS}, {_COLORS}, n AS (SELECT id_phone, string_agg(s_name, '|' ORDER BY s_suppkey) AS colors FROM pc JOIN supplier ON s_suppkey = id_color GROUP BY 1) "
+    "SELECT id_phone, coalesce(colors, '') AS colors FROM parts LEFT JOIN n USING (id_phone)"
+)
+def j2_with_colors(spark, d):
+    """Parts with their colours."""
+    full = catalogue.with_colors(v.parts(spark, d), v.phone_colors(spark, d), v.color(spark, d))
+    return full.select("id_phone", F.array_join("colors", "|").alias("colors"))
+
+
+@query(
+    f"WITH {_PARTS}, {_BOXES}, n AS (SELECT id_phone, string_agg(n_name, '|' ORDER BY n_nationkey) AS box_contents FROM pb JOIN nation ON n_nationkey = id_content GROUP BY 1) "
+    "SELECT id_phone, coalesce(box_contents, '') AS box_contents FROM parts LEFT JOIN n USING (id_phone)"
+)
+def j3_with_box_contents(spark, d):
+    """Parts with their box contents."""
+    full = catalogue.with_box_contents(v.parts(spark, d), v.phone_box_contents(spark, d), v.box_content(spark, d))
+    return full.select("id_phone", F.array_join("box_contents", "|").alias("box_contents"))
+
+
+@query(f"WITH {_SUBS} SELECT seq, reason FROM judged")
+def j4_resolve_refs(spark, d):
+    """Every submission with the reason to reject it."""
+    return ingest.resolve_refs(v.submissions(spark, d), v.color(spark, d), v.box_content(spark, d), v.model(spark, d)).select("seq", "reason")
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    o = v.read(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("pair_id"), F.col("o_custkey").alias("id1"), (F.col("o_custkey") * 3 + 1).alias("id2"))
+
+
+@query(
+    f"WITH {_PARTS} SELECT o_orderkey AS pair_id, a.model AS model1, b.model AS model2 FROM orders JOIN parts a ON a.id_phone = o_custkey JOIN parts b ON b.id_phone = o_custkey * 3 + 1"
+)
+def j5_versus_pairs(spark, d):
+    """Pairs of parts that both exist."""
+    return specs.versus_pairs(_pairs(spark, d), v.parts(spark, d)).select("pair_id", F.col("a.model").alias("model1"), F.col("b.model").alias("model2"))
+
+
+@query(
+    f"WITH {_PARTS}, p AS (SELECT o_orderkey AS pair_id, a.os AS os1, b.os AS os2, a.dimensions AS d1, b.dimensions AS d2 FROM orders "
+    "JOIN parts a ON a.id_phone = o_custkey JOIN parts b ON b.id_phone = o_custkey * 3 + 1) "
+    'SELECT pair_id, 1 AS attr_no, \'os\' AS attr, os1 AS "left", os2 AS "right" FROM p UNION ALL SELECT pair_id, 2, \'dimensions\', d1, d2 FROM p'
+)
+def j6_versus_table(spark, d):
+    """Attributes side by side."""
+    rows = specs.versus_table(_pairs(spark, d), v.parts(spark, d), _SHEET[2:])
+    return rows.select("pair_id", "attr_no", "attr", F.array_join("left", "|").alias("left"), F.array_join("right", "|").alias("right"))
+
+
+@query(
+    f"WITH {_PARTS}, {_QUERIES}, t AS (SELECT DISTINCT text FROM q), n AS (SELECT DISTINCT brand, model FROM parts), m AS (SELECT text, brand, model FROM t JOIN n ON {_fits('text')}), "
+    "h AS (SELECT text, id_phone, brand, model, row_number() OVER (PARTITION BY text ORDER BY id_phone) AS rn FROM m JOIN parts USING (brand, model)) "
+    "SELECT query_id, CAST(rn AS INTEGER) AS rn, id_phone, brand, model FROM q JOIN h USING (text) WHERE rn <= 5"
+)
+def j7_search_many(spark, d):
+    """The first five parts for each of many texts."""
+    return search.search_many(v.queries(spark, d), v.parts(spark, d))
+
+
+@query(f"WITH {_NEW_BRANDS} SELECT seq, brand_name FROM nb WHERE brand_name IN (SELECT r_name FROM region)")
+def j8_existing_brands(spark, d):
+    """New brands that exist."""
+    return ingest.existing_brands(v.new_brands(spark, d), v.brand(spark, d))
+
+
+@query(f"WITH {_NEW_MODELS} SELECT seq, model FROM nm WHERE lower(model) IN (SELECT lower(n_name) FROM nation)")
+def j9_existing_models(spark, d):
+    """New models that exist in any case."""
+    return ingest.existing_models(v.new_models(spark, d), v.model(spark, d)).select("seq", "model")
+
+
+@query("SELECT o_orderkey AS seq FROM orders WHERE o_custkey % 30 NOT IN (SELECT n_nationkey FROM nation)")
+def j10_orphans(spark, d):
+    """Submissions without a model."""
+    return catalogue.orphans(v.submissions(spark, d), v.model(spark, d), "id_model").select("seq")
+
+
+@query(f"WITH {_CAT} SELECT brand, CAST(ceil(count(*) / 6) AS BIGINT) AS pages FROM cat GROUP BY brand")
+def a1_page_count(spark, d):
+    """Pages of each brand."""
+    return browse.page_count(_cat(spark, d))
+
+
+@query(f"WITH {_COLORS} SELECT id_phone, string_agg(CAST(id_color AS VARCHAR), ',' ORDER BY id_color) AS items FROM pc GROUP BY 1")
+def a2_nest(spark, d):
+    """Child rows as lists."""
+    return catalogue.nest(v.phone_colors(spark, d), "id_phone", "id_color").select("id_phone", F.array_join("items", ",").alias("items"))
+
+
+@query(
+    "WITH m AS (SELECT n_regionkey, n_nationkey, n_name, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS phones FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL) "
+    "SELECT CAST(r_regionkey AS BIGINT) AS id_brand, r_name AS brand_name, string_agg(n_name || ':' || coalesce(phones, ''), ';' ORDER BY n_nationkey) AS models FROM region LEFT JOIN m ON n_regionkey = r_regionkey GROUP BY ALL"
+)
+def a3_brand_documents(spark, d):
+    """Brands with models with phones."""
+    docs = catalogue.brand_documents(v.brand(spark, d), v.model(spark, d), v.phone(spark, d))
+    one = F.transform("models", lambda m: F.concat(m["model_name"], F.lit(":"), F.array_join(m["phones"], ",")))
+    return docs.select("id_brand", "brand_name", F.array_join(one, ";").alias("models"))
+
+
+@query(
+    "SELECT CAST(n_nationkey AS BIGINT) AS id_model, n_name AS model_name, coalesce(string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey), '') AS phones "
+    "FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL"
+)
+def a4_model_documents(spark, d):
+    """Models with phones."""
+    docs = catalogue.model_documents(v.model(spark, d), v.phone(spark, d))
+    return docs.select("id_model", "model_name", F.array_join("phones", ",").alias("phones"))
+
+
+@query("SELECT p_name AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
+def a5_duplicate_names(spark, d):
+    """Names that several parts bear."""
+    return catalogue.duplicate_names(v.parts(spark, d).select(F.col("model").alias("name")), "name")
+
+
+@query(f"WITH {_CAT}, n AS (SELECT id_phone, brand, row_number() OVER (PARTITION BY brand ORDER BY id_phone) AS rn FROM cat) SELECT id_phone, brand, rn, (rn - 1) // 6 + 1 AS page FROM n")
+def w1_paginate(spark, d):
+    """The page of every phone within its brand."""
+    return browse.paginate(_cat(spark, d).select("id_phone", "brand"))
+
+
+@query(f"WITH {_CAT}, n AS (SELECT id_phone, row_number() OVER (ORDER BY id_phone) AS rn FROM cat) SELECT id_phone, rn, (rn - 1) // 6 + 1 AS page FROM n")
+def w1_paginate_all(spark, d):
+    """The page of every phone in the whole list."""
+    return browse.paginate(_cat(spark, d).select("id_phone"), by=None)
+
+
+@query(f"WITH {_CAT}, n AS (SELECT id_phone, model, row_number() OVER (PARTITION BY model ORDER BY id_phone) AS rn FROM cat) SELECT id_phone, model, CAST(rn AS INTEGER) AS rn FROM n WHERE rn <= 5")
+def w2_top_k(spark, d):
+    """The first five phones of each model."""
+    return search.top_k(_cat(spark, d).select("id_phone", "model"), by="model")
+
+
+@query("SELECT o_orderkey AS seq, o_custkey AS id_phone, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 AS first FROM orders")
+def w3_first_wins(spark, d):
+    """The first submission of each phone."""
+    return ingest.first_wins(v.submissions(spark, d).select("seq", "id_phone"), F.col("id_phone"))
+
+
+@query(f"WITH {_CAT} SELECT id_phone, brand, model FROM cat ORDER BY id_phone LIMIT 6 OFFSET 12")
+def l1_page(spark, d):
+    """The third page."""
+    return browse.page(_cat(spark, d).select("id_phone", "brand", "model"), 3)
+
+
+@query(
+    f"WITH {_NEW_BRANDS} SELECT CAST(r_regionkey AS BIGINT) AS id_brand, r_name AS brand_name FROM region UNION ALL "
+    "SELECT (SELECT max(r_regionkey) FROM region) + row_number() OVER (ORDER BY seq), brand_name FROM jb WHERE reason IS NULL"
+)
+def d1_add_brands(spark, d):
+    """Brands after taking in new ones."""
+    return ingest.add_brands(v.brand(spark, d), v.new_brands(spark, d))[0]
+
+
+@query(f"WITH {_NEW_BRANDS} SELECT seq, brand_name, reason FROM jb WHERE reason IS NOT NULL")
+def d1_rejected_brands(spark, d):
+    """New brands that are rejected."""
+    return ingest.add_brands(v.brand(spark, d), v.new_brands(spark, d))[1]
+
+
+@query(
+    f"WITH {_NEW_MODELS} SELECT CAST(n_nationkey AS BIGINT) AS id_model, n_name AS model_name, CAST(n_regionkey AS BIGINT) AS id_brand FROM nation UNION ALL "
+    "SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY seq), model, brand FROM jm WHERE reason IS NULL"
+)
+def d2_add_models(spark, d):
+    """Models after taking in new ones."""
+    return ingest.add_models(v.model(spark, d), v.brand(spark, d), v.new_models(spark, d))[0]
+
+
+@query(f"WITH {_NEW_MODELS} SELECT seq, model, brand, reason FROM jm WHERE reason IS NOT NULL")
+def d2_rejected_models(spark, d):
+    """New models that are rejected."""
+    return ingest.add_models(v.model(spark, d), v.brand(spark, d), v.new_models(spark, d))[1]
+
+
+@query(
+    f"WITH {_SUBS}, l AS (SELECT *, row_number() OVER (PARTITION BY id_phone ORDER BY seq DESC) AS k FROM judged WHERE reason IS NULL), "
+    "n AS (SELECT id_phone, CAST(NULL AS VARCHAR) AS oficial_web, os, processor, id_model FROM l WHERE k = 1) "
+    "SELECT * FROM n UNION ALL SELECT c_custkey, 'web', c_mktsegment, c_name, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT id_phone FROM n)"
+)
+def d3_save_phones(spark, d):
+    """Phones after saving all valid submissions."""
+    phone = v.phone(spark, d).select("id_phone", F.lit("web").alias("oficial_web"), "os", "processor", "id_model")
+    judged = ingest.resolve_refs(v.submissions(spark, d), v.color(spark, d), v.box_content(spark, d), v.model(spark, d))
+    return ingest.save_phones(phone, judged.filter("reason IS NULL").drop("reason", "colors", "box_contents"))
+
+
+_UPDATES = "u AS (SELECT s_suppkey AS id_model, s_name AS model_name, s_suppkey % 5 AS id_brand FROM supplier)"
+
+
+def _model_updates(spark: SparkSession, d: str) -> DataFrame:
+    s = v.read(spark, d, "supplier")
+    return s.select(F.col("s_suppkey").alias("id_model"), F.col("s_name").alias("model_name"), (F.col("s_suppkey") % 5).alias("id_brand"))
+
+
+@query(
+    f"WITH {_UPDATES} SELECT CAST(n_nationkey AS BIGINT) AS id_model, coalesce(model_name, n_name) AS model_name, coalesce(id_brand, n_regionkey) AS id_brand FROM nation LEFT JOIN u ON id_model = n_nationkey"
+)
+def d4_update_models(spark, d):
+    """Models after updates of which most are unknown."""
+    return ingest.update_models(v.model(spark, d), _model_updates(spark, d))[0]
+
+
+@query(f"WITH {_UPDATES} SELECT id_model, 'Model not found' AS reason FROM u WHERE id_model NOT IN (SELECT n_nationkey FROM nation)")
+def d4_rejected_updates(spark, d):
+    """Updates of unknown models."""
+    return ingest.update_models(v.model(spark, d), _model_updates(spark, d))[1].select("id_model", "reason")
+
+
+@query(
+    f"WITH {_CAT} SELECT 'brand' AS kind, CAST(r_regionkey AS BIGINT) AS id FROM region WHERE r_name NOT IN ('ASIA', 'EUROPE') "
+    "UNION ALL SELECT 'model', n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name NOT IN ('ASIA', 'EUROPE') "
+    "UNION ALL SELECT 'phone', id_phone FROM cat WHERE brand NOT IN ('ASIA', 'EUROPE')"
+)
+def d5_delete_brands(spark, d):
+    """What is left when two brands go, and an unknown one."""
+    all_ = {"brand": v.brand(spark, d), "model": v.model(spark, d), "phone": v.phone(spark, d)}
+    ids = all_["brand"].filter(F.col("brand_name").isin("ASIA", "EUROPE")).select("id_brand").union(spark.sql("SELECT 77L"))
+    left = ingest.delete_brands(all_, ids)
+    parts = [left[n].select(F.lit(n).alias("kind"), F.col(f"id_{n}").alias("id")) for n in all_]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("SELECT c_custkey AS id_phone FROM customer WHERE c_custkey NOT IN (SELECT o_custkey * 2 FROM orders)")
+def d5_delete_phones(spark, d):
+    """Phones that are left when those of many ids go."""
+    ids = v.read(spark, d, "orders").select((F.col("o_custkey") * 2).alias("id_phone")).distinct()
+    return ingest.delete_phones({"phone": v.phone(spark, d)}, ids)["phone"].select("id_phone")
+
+
+@query("SELECT c_custkey AS id_phone FROM customer WHERE c_nationkey % 2 = 1")
+def d5_delete_models(spark, d):
+    """Phones that are left when every other model goes."""
+    all_ = {"model": v.model(spark, d), "phone": v.phone(spark, d)}
+    return ingest.delete_models(all_, all_["model"].filter("id_model % 2 = 0"))["phone"].select("id_phone")
+
+
+@query(
+    "WITH u AS (SELECT o_custkey AS id_phone, min(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END) AS os, min(CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus END) AS processor FROM orders GROUP BY 1) "
+    "SELECT c_custkey AS id_phone, coalesce(u.os, c_mktsegment) AS os, coalesce(u.processor, c_name) AS processor FROM customer LEFT JOIN u ON u.id_phone = c_custkey"
+)
+def d6_patch(spark, d):
+    """Phones after patches with some null fields."""
+    o = v.read(spark, d, "orders").groupBy(F.col("o_custkey").alias("id_phone")).agg(
+        F.min(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority"))).alias("os"), F.min(F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderstatus"))).alias("processor")
+    )
+    return ingest.patch(v.phone(spark, d).select("id_phone", "os", "processor"), o, "id_phone")
+
+
+@query("SELECT s_suppkey AS id_brand, s_name AS brand_name FROM supplier UNION ALL SELECT r_regionkey, r_name FROM region WHERE r_regionkey NOT IN (SELECT s_suppkey FROM supplier)")
+def d7_save_brands(spark, d):
+    """Brands after a save by id."""
+    s = v.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id_brand"), F.col("s_name").alias("brand_name"))
+    return ingest.save_brands(v.brand(spark, d), s)
+
+
+@query(
+    "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), "
+    "s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY ts DESC, event_id DESC) AS last FROM s) SELECT user_id, event_id, event_type AS text FROM r WHERE last = 1"
+)
+def t1_debounce(spark, d):
+    """The last event of each user before a pause of six hours."""
+    return search_events.debounce(v.events(spark, d), "6 hours").select("user_id", "event_id", "text")
+
+
+@query(
+    "WITH b AS (SELECT *, lag(event_type) OVER w AS before, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) "
+    "SELECT event_id, user_id, event_type AS text FROM b WHERE n = 1 OR event_type IS DISTINCT FROM before"
+)
+def t2_distinct_until_changed(spark, d):
+    """Events that differ from the user's event before."""
+    return search_events.distinct_until_changed(v.events(spark, d)).select("event_id", "user_id", "text")
+
+
+@query(
+    "WITH n AS (SELECT *, epoch_us(ts) AS t, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) "
+    "SELECT event_id, user_id FROM n WHERE next IS NULL OR t + CAST(round(value * 100 * 1000000) AS BIGINT) < next"
+)
+def t3_switch_latest(spark, d):
+    """Requests answered before the next one, were answers a hundred times slower."""
+    slow = v.events(spark, d).withColumn("latency_s", F.col("latency_s") * 100)
+    return search_events.switch_latest(slow).select("event_id", "user_id")
+
+
+@query(
+    f"WITH {_PARTS}, e AS (SELECT event_id, p_name AS text FROM events JOIN part ON p_partkey = event_id % 50), t AS (SELECT DISTINCT text FROM e), "
+    f"h AS (SELECT text, id_phone, brand, model, row_number() OVER (PARTITION BY text ORDER BY id_phone) AS rn FROM t JOIN parts ON {_fits('text')}) "
+    "SELECT event_id, CAST(rn AS INTEGER) AS rn, id_phone, upper(brand) AS brand, model FROM e LEFT JOIN h ON e.text = h.text AND rn <= 5"
+)
+def t4_search_events(spark, d):
+    """The first hits of every search event."""
+    parts = v.parts(spark, d)
+    texts = parts.select(F.col("id_phone").alias("k"), F.col("model").alias("text"))
+    asked = v.events(spark, d).select("event_id", (F.col("event_id") % 50).alias("k")).join(texts, "k").select("event_id", "text")
+    return search_events.search_events(asked, parts).select(F.col("query_id").alias("event_id"), "rn", "id_phone", "brand", "model")
