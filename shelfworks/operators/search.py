@@ -49,7 +49,7 @@ def top_k(hits: DataFrame, k: int = HITS, by: str = "query_id") -> DataFrame:
 
 
 def _matching_names(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """(text, brand, model) that match: by 3-letter pieces where a text has a word that long, by a nested loop for the rest.
+    """(text, _b, _m) of texts and the brands and models that they match: by 3-letter pieces where a text has a word that long, by a nested loop for the rest.
 
     A word of three letters or more is in a name only if its first three letters are a piece of the name.
     """
@@ -60,7 +60,8 @@ def _matching_names(texts: DataFrame, names: DataFrame) -> DataFrame:
     fits = all_terms_in(terms_of(F.col("text")), F.col("brand"), F.col("model"))
     by_piece = asked.filter("piece IS NOT NULL").join(cut.drop("_n"), "piece").filter(fits)
     short = asked.filter("piece IS NULL").drop("piece").join(names, fits)
-    return by_piece.select("text", "brand", "model").union(short.select("text", "brand", "model"))
+    named = ["text", F.col("brand").alias("_b"), F.col("model").alias("_m")]
+    return by_piece.select(*named).union(short.select(*named))
 
 
 def search_many(queries: DataFrame, cat: DataFrame, k: int = HITS) -> DataFrame:
@@ -69,7 +70,7 @@ def search_many(queries: DataFrame, cat: DataFrame, k: int = HITS) -> DataFrame:
     The test sees only names, so distinct texts meet distinct names; of each name only its k lowest ids go on.
     """
     names = cat.select("brand", "model").distinct()
-    matched = _matching_names(queries.select("text").dropna().distinct(), names).withColumnsRenamed({"brand": "_b", "model": "_m"})
+    matched = _matching_names(queries.select("text").dropna().distinct(), names)
     order = Window.partitionBy("brand", "model").orderBy("id_phone")
     lowest = cat.select("id_phone", "brand", "model").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
     same = F.col("_b").eqNullSafe(F.col("brand")) & F.col("_m").eqNullSafe(F.col("model"))
