@@ -39,23 +39,27 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["u", "v"])
 
 
+def _flat(edges: DataFrame) -> bool:
+    """Whether every node has one root, and no root has a root of its own."""
+    ends = edges.select(F.col("u").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select(F.col("v").alias("k"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    seen = ends.groupBy("k").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up = 1 AND down = 1)")
+    return seen.isEmpty()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root`` of every node that is not its own root; the root is the smallest node of the component."""
     edges = in_batches(links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")).mapInArrow(_forest, "u bigint, v bigint")
     edges = written(edges.distinct(), "links")  # u > v
-    while True:
+    while not _flat(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = edges.withColumnsRenamed({"u": "w", "v": "u"}).select("u", "w").join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
-        large = large.union(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
+        large = edges.withColumnsRenamed({"u": "w", "v": "u"}).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
+        large = large.union(least.select("u", F.col("m").alias("v"))).filter("u > v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        step = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        n, heads = step.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
-        inner = 0
-        if n == heads:
-            inner = step.join(step.select(F.col("u").alias("v")).distinct(), "v", "left_semi").count()
+        step = written(in_batches(small.union(low.select("u", F.col("m").alias("v"))).withColumnsRenamed({"u": "a", "v": "b"})).mapInArrow(_forest, "u bigint, v bigint").distinct(), "links")
         dropped(step.sparkSession, edges)
         edges = step
-        if n == heads and not inner:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

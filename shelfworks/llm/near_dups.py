@@ -5,11 +5,14 @@ signature's places and a rank-plus-fraction value for each; ranks are dealt in r
 every place is taken by a lower rank. Bands of the signature propose links, which are confirmed on the full sets.
 
 1. Rows with equal sets collapse to one node each, so groups of copies cost one row per task that holds some.
-2. In each of a few rounds, every band's bucket names one leader, and members of other components are compared with it:
-   buckets are never expanded into pairs while this joins most of them.
-3. Then the pairs of a bucket that are still in different components are compared, all of them, so no link between
-   components is lost.
-4. Signatures far below the threshold are dropped first (by six standard deviations); the rest meet as whole texts.
+2. For every node that shares a bucket its shingles are counted that no other such node has. With n shingles of which u
+   are its own, nodes x and y are no closer than min(nx - ux, ny - uy) / max(nx + uy, ny + ux): most pairs of a large
+   group of altered copies are ruled out by this without being looked at.
+3. Every band's bucket names the member with the smallest share of own shingles as its leader, and the others are
+   compared with it, so that a bucket is not expanded into pairs while this joins most of it.
+4. Then the pairs of a bucket that are still in different components, and that the bound of step 2 and the signature
+   allow, are compared, all of them: no link between components is lost.
+5. Pairs whose signatures agree far too little (by six standard deviations) are dropped; the rest meet as whole texts.
 
 With 32 bands of 4 a pair at similarity 0.8 shares no band with a chance of 5e-8.
 
@@ -26,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfworks.functions.numbering import in_order
+from shelfworks.llm.blobs import deltas, planes, runs_of, undeltas, unplaned
 from shelfworks.llm.components import components
 from shelfworks.llm.shared import in_batches, new_path, small, table, written
 from shelfworks.llm.words import mix64, shingle_hashes, word_hashes
@@ -37,9 +41,10 @@ from shelfworks.llm.words import mix64, shingle_hashes, word_hashes
 PLACES, ROWS = 128, 4
 BANDS = PLACES // ROWS
 SHINGLE, PERCENT = 5, 80
-LEADER_ROUNDS = 2
 #: Members that meet one copy of their leader's text.
 MEMBERS = 100
+#: Shingles in one range of the count of own shingles.
+RANGE_SHINGLES = 3_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _RANK = np.uint64(56)
 
@@ -189,60 +194,109 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, n: int, percent: int) -> Data
     return in_batches(met).mapInArrow(checked, "a bigint, b bigint")
 
 
-def _roots(shared: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Bucket rows with the component of their node."""
-    if comps is None:
-        return shared.withColumn("comp", F.col("nid"))
-    return shared.join(comps.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("root", "nid")).drop("root")
+def own_shingles(bodies: DataFrame, n: int, total: int) -> DataFrame:
+    """``nid, own``: how many shingles of a node no other node of ``bodies`` has (48-bit hashes: never too many)."""
+    ranges = max(8, total // RANGE_SHINGLES)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nids = b.column("nid").to_numpy()
+            sets = [shingle_set(t.as_py(), n) >> np.uint64(16) for t in b.column("text")]
+            who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            if not len(who):
+                continue
+            fp, first, count = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
+            holder = np.where(count == 1, nids[who[first]] + 1, 0)  # 0: more than one node here has it
+            where = (fp % np.uint64(ranges)).astype(np.int64)
+            order = np.argsort(where, kind="stable")
+            for r, part in runs_of(where[order]):
+                rows = order[part]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r]), pa.array([deltas(fp[rows])], pa.binary()), pa.array([planes(holder[rows])], pa.binary())], names=["range", "fp", "holder"]
+                )
+
+    def count(rows: pa.Table) -> pa.Table:
+        fp = np.concatenate([undeltas(x) for x in rows.column("fp").to_pylist()])
+        holder = np.concatenate([unplaned(x) for x in rows.column("holder").to_pylist()])
+        _, first, times = np.unique(fp, return_index=True, return_counts=True)
+        alone = holder[first[times == 1]]
+        nid, own = np.unique(alone[alone > 0], return_counts=True)
+        return pa.table({"nid": pa.array(nid.astype(np.int64) - 1), "own": pa.array(own.astype(np.int64))})
+
+    dealt = in_batches(bodies).mapInArrow(deal, "range bigint, fp binary, holder binary")
+    return dealt.groupBy("range").applyInArrow(count, "nid bigint, own bigint").groupBy("nid").agg(F.sum("own").alias("own"))
 
 
 def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, digest, component_id`` of every row: its component bears the smallest id that it reaches."""
+    """``doc_id, tie, n_shingles, component_id, head`` of every row: its component bears the smallest id that it reaches.
+
+    ``tie`` is the text's hash; ``head`` marks the rows of the one text that stands for the component.
+    """
     rows = written(set_rows(docs, n, text), "sets")
     found = rows.filter("digest IS NOT NULL")
     nodes = found.groupBy("digest").agg(
-        F.min(F.struct("doc_id", "tie")).alias("r"), *[F.first(c).alias(c) for c in ("sketch", "s0", "s1", "bands")]
+        F.min(F.struct("doc_id", "tie")).alias("r"), *[F.first(c).alias(c) for c in ("n_shingles", "sketch", "s0", "s1", "bands")]
     )
-    nodes = nodes.select(F.col("r.doc_id").alias("id0"), F.col("r.tie").alias("tie0"), "digest", "sketch", "s0", "s1", "bands")
+    nodes = nodes.select(F.col("r.doc_id").alias("id0"), F.col("r.tie").alias("tie0"), "digest", "n_shingles", "sketch", "s0", "s1", "bands")
     nodes = in_order(nodes, [F.col("id0"), F.col("digest")]).withColumn("nid", F.shiftleft("_pid", 33) + F.col("_pos")).drop("_pid", "_pos")
-    buckets = nodes.select("nid", "s0", "s1", F.explode("bands").alias("key"))
+    buckets = nodes.select("nid", F.explode("bands").alias("key"))
     full = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key").hint("merge")
-    shared = written(buckets.join(full, "key").select("key", "nid", "s0", "s1"), "buckets")
+    shared = written(buckets.join(full, "key"), "buckets")
     sketches = nodes.select("nid", "sketch")
-
     bodies = Bodies(docs, nodes, shared, text)
-    links, comps = None, None
-    for turn in range(LEADER_ROUNDS + 1):
-        placed = _roots(shared, comps)
-        if turn < LEADER_ROUNDS:
-            lead = placed.groupBy("key").agg(
-                F.min_by(F.struct("nid", "comp", "s0", "s1"), F.xxhash64("nid", F.lit(turn))).alias("l"), F.min("comp").alias("c0"), F.max("comp").alias("c1")
-            ).filter("c0 <> c1").select("key", F.col("l.nid").alias("a"), F.col("l.comp").alias("ca"), F.col("l.s0").alias("a0"), F.col("l.s1").alias("a1"))
-            near = placed.join(lead, "key").filter(F.col("comp") != F.col("ca"))
-        else:
-            mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key")
-            left = written(placed.join(mixed, "key"), "mixed")
-            other = left.select("key", F.col("nid").alias("a"), F.col("comp").alias("ca"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
-            near = left.join(other, (left["key"] == other["key"]) & (F.col("comp") < F.col("ca")) & _near_bits(percent)).drop(other["key"])
-        pairs = near.filter(_near_bits(percent)).select("a", F.col("nid").alias("b")).distinct()
-        pairs = written(_alike(pairs, sketches, percent), "pairs")
-        new = written(confirmed(pairs, bodies.rows, n, percent), "links")
-        links = new if links is None else links.union(new)
-        comps = components(links)
+    total = nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    facts = nodes.join(shared.select("nid").distinct().hint("merge"), "nid", "left_semi").select("nid", "n_shingles", "s0", "s1")
+    facts = written(facts.join(own_shingles(bodies.rows, n, total).hint("merge"), "nid", "left").withColumn("own", F.coalesce("own", F.lit(0))), "facts")
+    placed = shared.join(facts.hint("merge"), "nid").withColumnRenamed("n_shingles", "n")
+
+    lead = placed.groupBy("key").agg(F.min_by(F.struct("nid", "n", "own", "s0", "s1"), F.struct(F.col("own") / F.col("n"), "nid")).alias("a"))
+    pairs = placed.join(lead, "key").filter((F.col("nid") != F.col("a.nid")) & _may_link(percent)).select(F.col("a.nid").alias("a"), F.col("nid").alias("b"))
+    pairs = written(_alike(pairs.distinct(), sketches, percent), "pairs")
+    first = written(confirmed(pairs, bodies.rows, n, percent), "confirmed")
+    comps = components(first)
+
+    known = placed.join(comps.withColumnRenamed("node", "nid").hint("merge"), "nid", "left").withColumn("comp", F.coalesce("root", "nid")).drop("root")
+    known = written(known, "placed")
+    mixed = known.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key")
+    left = known.join(mixed.hint("merge"), "key")
+    other = left.select("key", F.struct("nid", "n", "own", "s0", "s1").alias("a"), F.col("comp").alias("ca"))
+    near = left.join(other, (left["key"] == other["key"]) & (F.col("comp") < F.col("ca")) & _may_link(percent)).select(F.col("a.nid").alias("a"), F.col("nid").alias("b"))
+    pairs = written(_alike(near.distinct(), sketches, percent), "pairs")
+    second = written(confirmed(pairs, bodies.rows, n, percent), "confirmed")
     bodies.drop()
-    ids = nodes.select("nid", "id0", "digest").join(comps.withColumnRenamed("node", "nid"), "nid", "left")
+    comps = components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
+
+    ids = nodes.select("nid", "id0", "tie0", "digest").join(comps.withColumnRenamed("node", "nid"), "nid", "left")
     heads = nodes.select(F.col("nid").alias("root"), F.col("id0").alias("root_id"))
-    named = ids.join(heads, "root", "left").select("digest", F.coalesce("root_id", "id0").alias("component_id"))
-    return rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").withColumn(
-        "component_id", F.coalesce("component_id", "doc_id")
+    named = ids.join(heads, "root", "left").select(
+        "digest", F.coalesce("root_id", "id0").alias("component_id"), F.when(F.col("root").isNull(), F.struct("id0", "tie0")).alias("first")
     )
+    joined = rows.select("doc_id", "tie", "n_shingles", "digest").join(named, "digest", "left")
+    head = F.col("digest").isNull() | (F.col("first").isNotNull() & F.struct("doc_id", "tie").eqNullSafe(F.col("first")))
+    return joined.select("doc_id", "tie", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), head.alias("head"))
+
+
+def one_each(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one of each near-duplicate group."""
+    heads = written(near_groups(docs, n, percent, text).filter("head").groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("k")), "heads")
+    repeated = heads.agg(F.max("k")).first()[0] or 0
+    keyed = docs.withColumn("_tie", F.xxhash64(text))
+    ids = heads.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_t"))
+    kept = keyed.join(small(ids), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t")), "left_semi")
+    return (kept.dropDuplicates(["doc_id", "_tie"]) if repeated > 1 else kept).drop("_tie")
 
 
-def _near_bits(percent: int):
-    """The native test: of the 128 bits as many agree as at the threshold less six standard deviations."""
+def _may_link(percent: int) -> Column:
+    """Whether the node of a row and the node ``a`` can be linked: by their own shingles, and by the bits of their signatures.
+
+    Of the 128 bits as many agree as at the threshold less six standard deviations.
+    """
+    n, own, an, aown = F.col("n"), F.col("own"), F.col("a.n"), F.col("a.own")
+    most = F.least(n - own, an - aown)
+    least = F.greatest(n + aown, an + own)
     p = (1 + percent / 100) / 2
-    most = PLACES * (1 - p) + 6 * (PLACES * p * (1 - p)) ** 0.5
-    return F.bit_count(F.col("s0").bitwiseXOR(F.col("a0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("a1"))) <= int(most)
+    apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("a.s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("a.s1")))
+    return (100 * most >= percent * least) & (apart <= int(PLACES * (1 - p) + 6 * (PLACES * p * (1 - p)) ** 0.5))
 
 
 def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
