@@ -24,7 +24,7 @@ nothing; repeated rows stay; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
-import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,34 +33,35 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfworks.llm.blobs import deltas, planes, runs_of, squeezed, undeltas, unplaned, unsqueezed
 from shelfworks.llm.shared import in_batches, table, written
 from shelfworks.llm.words import mix64
 
 LENGTH, GRAM = 50, 32
 WINDOW = LENGTH - GRAM + 1
 LEFT = LENGTH - GRAM
-CHUNK_BYTES = 6 << 20
-#: Bytes of text for each hash range.
-RANGE_BYTES = 24 << 20
+CHUNK_BYTES, GROUP_BYTES = 6 << 20, 1 << 16
+#: Bytes of text for each range of anchor hashes, and of suffixes; over MANY ranges they hold more each.
+HASH_BYTES, SUFFIX_BYTES, MANY = 16 << 20, 4 << 20, 4_000
 #: An anchor in more documents than this goes through the aggregation.
-HOT_DOCS = 20_000
+HOT_DOCS = 100_000
 FP_BITS = 48
 _BASE = 0x9E3779B97F4A7C15 | 1
 _tables: dict[str, np.ndarray] = {}
 
 
 def _grams(data: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hashes of all k-byte strings, from prefix sums of byte numbers times powers of an odd base."""
+    """64-bit hashes of all k-byte strings, from prefix sums of random byte numbers times powers of an odd base."""
     n = len(data)
     if len(_tables.get("up", ())) < n + 1:
-        size = max(n + 1, CHUNK_BYTES + (1 << 16))
+        size = max(n + 1, 2 * GROUP_BYTES)
         with np.errstate(over="ignore"):
             for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
                 _tables[name] = np.cumprod(np.append(np.uint64(1), np.full(size, base, np.uint64)), dtype=np.uint64)
             _tables["letters"] = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
     with np.errstate(over="ignore"):
         sums = np.append(np.uint64(0), np.cumsum(_tables["letters"][data] * _tables["up"][:n], dtype=np.uint64))
-        return mix64((sums[k:] - sums[:-k]) * _tables["down"][: n - k + 1])
+        return (sums[k:] - sums[:-k]) * _tables["down"][: n - k + 1]
 
 
 def _slide(x: np.ndarray, w: int, least: np.ufunc) -> np.ndarray:
@@ -71,37 +72,18 @@ def _slide(x: np.ndarray, w: int, least: np.ufunc) -> np.ndarray:
     return least(x[:n], x[w - span : w - span + n])
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a text's anchors, and the hashes of the 32 bytes there."""
+def anchors(data: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the anchors of texts on end, and the hashes of the 32 bytes there; ``doc`` has each byte's text, -1 for none."""
     if len(data) < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     hashes = _grams(data, GRAM)
     lows = _slide(hashes, WINDOW, np.minimum)
+    lows[(doc[: len(lows)] != doc[LENGTH - 1 :]) | (doc[: len(lows)] < 0)] = 0  # no window crosses texts
     edge = np.zeros(WINDOW - 1, np.uint64)
     at = np.flatnonzero(_slide(np.concatenate([edge, lows, edge]), WINDOW, np.maximum) == hashes)
     return at, hashes[at]
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """An array of whole numbers with equal byte places side by side, compressed."""
-    raw = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-    return struct.pack("<I", len(x)) + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _unplaned(blob: bytes) -> np.ndarray:
-    n = struct.unpack_from("<I", blob)[0]
-    raw = pa.decompress(blob[4:], decompressed_size=8 * n, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view("<u8").ravel()
-
-
-def _delta(sorted_: np.ndarray) -> bytes:
-    return _planes(np.diff(sorted_, prepend=np.uint64(0)))
-
-
-def _undelta(blob: bytes) -> np.ndarray:
-    return np.cumsum(_unplaned(blob), dtype=np.uint64)
-
-
 class Chunk:
     """Some documents' bytes on end: ids, whether an id is there, and where each text begins."""
 
@@ -114,21 +96,38 @@ class Chunk:
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places in the chunk, hashes and document numbers of all anchors."""
         at, hashes, doc = [], [], []
-        for i in np.flatnonzero(self.known & (np.diff(self.starts) >= LENGTH)):
-            a, h = anchors(self.data[self.starts[i] : self.starts[i + 1]])
+        i, n = 0, len(self.ids)
+        while i < n:  # groups of texts that stay in the processor's cache
+            j = max(i + 1, int(np.searchsorted(self.starts, self.starts[i] + GROUP_BYTES)) - 1)
+            sizes = self.starts[i + 1 : j + 1] - self.starts[i:j]
+            of = np.repeat(np.where(self.known[i:j], np.arange(i, j), -1), sizes)
+            a, h = anchors(self.data[self.starts[i] : self.starts[j]], of)
             at.append(a + self.starts[i])
             hashes.append(h)
-            doc.append(np.full(len(a), i))
+            doc.append(of[a])
+            i = j
         if not at:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         return np.concatenate(at), np.concatenate(hashes) >> np.uint64(64 - FP_BITS), np.concatenate(doc)
 
 
-def make_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``chunk, ids, known, lengths, texts, n_bytes`` rows of about CHUNK_BYTES of text each, compressed."""
+def _table_bytes(rows: list[pa.RecordBatch]) -> bytes | None:
+    if not rows:
+        return None
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(pa.Table.from_batches(rows).combine_chunks())
+    return out.getvalue().to_pybytes()
+
+
+def make_chunks(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``chunk, ids, known, lengths, texts, n_bytes, rest`` rows of about CHUNK_BYTES of text each, compressed.
+
+    ``rest`` has the columns ``keep`` of the same rows.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, k, ids, texts, size, rest = TaskContext.get().partitionId(), 0, [], [], 0, []
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist(
@@ -139,37 +138,32 @@ def make_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
                     "lengths": np.array([len(t) for t in texts], np.int64).tobytes(),
                     "texts": pa.compress(b"".join(texts), codec="zstd", asbytes=True),
                     "n_bytes": size,
+                    "rest": _table_bytes(rest),
                 }],
-                schema=pa.schema([("chunk", pa.int64()), *((c, pa.binary()) for c in ("ids", "known", "lengths", "texts")), ("n_bytes", pa.int64())]),
+                schema=pa.schema([("chunk", pa.int64()), *((c, pa.binary()) for c in ("ids", "known", "lengths", "texts")), ("n_bytes", pa.int64()), ("rest", pa.binary())]),
             )
 
         for b in batches:
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
+            for at, (i, t) in enumerate(zip(b.column("_doc").to_pylist(), b.column("_body"))):
                 raw = (t.as_py() or "").encode()
                 if texts and size + len(raw) > CHUNK_BYTES:
                     yield row()
-                    k, ids, texts, size = k + 1, [], [], 0
+                    k, ids, texts, size, rest = k + 1, [], [], 0, []
                 ids.append(i)
                 texts.append(raw)
                 size += len(raw)
+                if keep:
+                    rest.append(b.select(list(keep)).slice(at, 1))
         if texts:
             yield row()
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    schema = "chunk bigint, ids binary, known binary, lengths binary, texts binary, n_bytes bigint"
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), F.col(text).alias("_body"), *keep)
+    schema = "chunk bigint, ids binary, known binary, lengths binary, texts binary, n_bytes bigint, rest binary"
     return written(in_batches(rows).mapInArrow(pack, schema), "chunks")
 
 
 def _range_of(fingerprints: np.ndarray, ranges: int) -> np.ndarray:
-    return (fingerprints * np.uint64(ranges) >> np.uint64(FP_BITS)).astype(np.int64) if ranges < 1 << 16 else (fingerprints % np.uint64(ranges)).astype(np.int64)
-
-
-def _dealt(ranges: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """Runs of equal numbers of a sorted array."""
-    if len(ranges):
-        cuts = np.flatnonzero(np.diff(ranges)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(ranges)]):
-            yield int(ranges[a]), slice(a, b)
+    return (fingerprints % np.uint64(ranges)).astype(np.int64)
 
 
 def repeated_anchors(chunks: DataFrame, ranges: int, hot: int) -> DataFrame:
@@ -180,22 +174,25 @@ def repeated_anchors(chunks: DataFrame, ranges: int, hot: int) -> DataFrame:
             for row in b.to_pylist():
                 c = Chunk(row)
                 _, fp, doc = c.anchors()
-                pairs = np.unique(np.stack([fp, c.ids[doc].astype(np.uint64)]), axis=1) if len(fp) else np.zeros((2, 0), np.uint64)
-                unique, n = np.unique(pairs[0], return_counts=True)
-                first = pairs[1][np.concatenate([[0], np.cumsum(n)[:-1]])] if len(n) else pairs[1]
+                order = np.argsort(fp, kind="stable")  # documents stay in order
+                fp, doc = fp[order], doc[order]
+                new = np.flatnonzero(np.append(True, (fp[1:] != fp[:-1]) | (doc[1:] != doc[:-1]))[: len(fp)])
+                fp, id_ = fp[new], c.ids[doc[new]].astype(np.uint64)
+                heads = np.flatnonzero(np.append(True, fp[1:] != fp[:-1])[: len(fp)])
+                unique, first, n = fp[heads], id_[heads], np.diff(np.append(heads, len(fp)))
                 where = _range_of(unique, ranges)
                 order = np.argsort(where, kind="stable")
                 unique, n, first, where = unique[order], n[order], first[order], where[order]
-                for r, part in _dealt(where):
+                for r, part in runs_of(where):
                     yield pa.RecordBatch.from_pylist(
-                        [{"range": r, "chunk": row["chunk"], "fp": _delta(unique[part]), "n": _planes(n[part]), "id": _planes(first[part])}],
+                        [{"range": r, "chunk": row["chunk"], "fp": deltas(unique[part]), "n": planes(n[part]), "id": planes(first[part])}],
                         schema=pa.schema([("range", pa.int64()), ("chunk", pa.int64()), ("fp", pa.binary()), ("n", pa.binary()), ("id", pa.binary())]),
                     )
 
     def meet(rows: pa.Table) -> pa.Table:
-        lists = [_undelta(x) for x in rows.column("fp").to_pylist()]
-        counts = np.concatenate([_unplaned(x) for x in rows.column("n").to_pylist()])
-        ids = np.concatenate([_unplaned(x) for x in rows.column("id").to_pylist()])
+        lists = [undeltas(x) for x in rows.column("fp").to_pylist()]
+        counts = np.concatenate([unplaned(x) for x in rows.column("n").to_pylist()])
+        ids = np.concatenate([unplaned(x) for x in rows.column("id").to_pylist()])
         unique, place = np.unique(np.concatenate(lists), return_inverse=True)
         total = np.bincount(place, weights=counts).astype(np.int64)
         low, high = np.full(len(unique), np.iinfo(np.uint64).max, np.uint64), np.zeros(len(unique), np.uint64)
@@ -207,24 +204,35 @@ def repeated_anchors(chunks: DataFrame, ranges: int, hot: int) -> DataFrame:
         for chunk, own in zip(rows.column("chunk").to_pylist(), lists):
             mine = own[np.isin(own, shared, assume_unique=True)]
             if len(mine):
-                out.append({"chunk": chunk, "found": _delta(mine), "hot": None})
+                out.append({"chunk": chunk, "found": deltas(mine), "hot": None})
         over = unique[total > hot]
         if len(over):
-            out.append({"chunk": None, "found": None, "hot": _delta(over)})
+            out.append({"chunk": None, "found": None, "hot": deltas(over)})
         return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.int64()), ("found", pa.binary()), ("hot", pa.binary())]))
 
-    dealt = in_batches(chunks).mapInArrow(deal, "range bigint, chunk bigint, fp binary, n binary, id binary")
+    dealt = in_batches(chunks.drop("rest")).mapInArrow(deal, "range bigint, chunk bigint, fp binary, n binary, id binary")
     return written(dealt.groupBy("range").applyInArrow(meet, "chunk bigint, found binary, hot binary"), "repeated")
 
 
+def _number(s: bytes) -> int:
+    """A suffix as one number, so that the first difference of two is where the highest bit of their xor is."""
+    return int.from_bytes(s.ljust(LENGTH, b"\0"), "big")
+
+
+def common_prefix(s: bytes, x: int, t: bytes, y: int) -> int:
+    """Length of the common prefix of two suffixes and their numbers."""
+    return min(LENGTH - ((x ^ y).bit_length() + 7) // 8, len(s), len(t))
+
+
 def front_coded(suffixes: list[bytes]) -> tuple[bytes, bytes]:
     """Shared prefix lengths and remaining bytes of a sorted run, each suffix with its length before its rest."""
-    shared, rests, last = bytearray(), [], b""
+    shared, rests, last, y = bytearray(), [], b"", 0
     for s in suffixes:
-        n = common_prefix(last, s, 0)
+        x = _number(s)
+        n = common_prefix(s, x, last, y)
         shared.append(n)
         rests.append(bytes((len(s) - n,)) + s[n:])
-        last = s
+        last, y = s, x
     return bytes(shared), b"".join(rests)
 
 
@@ -239,67 +247,56 @@ def decoded(shared: bytes, rests: bytes) -> list[bytes]:
     return out
 
 
-def common_prefix(x: bytes, y: bytes, known: int) -> int:
-    """Length of the common prefix of two byte strings that share the first ``known`` bytes."""
-    n = min(len(x), len(y))
-    if x[known:n] == y[known:n]:
-        return n
-    a, b = x[known:n], y[known:n]
-    return known + (n - known) - ((int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_length() + 7) // 8
-
+def merge_runs(runs: list[tuple[bytes, list[bytes]]]) -> tuple[array, array]:
+    """Merge sorted runs with a loser tree on common prefixes: the runs' numbers in the merged order, and each suffix's prefix shared with the one before.
 
-def merge_runs(runs: list[tuple[bytes, list[bytes]]]) -> tuple[list[tuple[int, int]], list[int]]:
-    """Merge sorted runs with a loser tree on common prefixes: the order as (run, place), and each one's prefix shared with the one before.
-
-    A run's entry carries the length it shares with the last winner. Of two entries the one that shares more is the
-    smaller; only where both share as much are bytes compared, from there on.
+    A run's entry carries the length that it shares with the last winner; -1 where the run is at its end. Of two entries
+    the one that shares more is the smaller; only where both share as much are the suffixes compared.
     """
     k = 1
     while k < len(runs):
         k *= 2
-    texts = [r[1] for r in runs] + [[] for _ in range(k - len(runs))]
-    known = [r[0] for r in runs] + [b""] * (k - len(runs))
-    at, sizes = [0] * k, [len(t) for t in texts]
-    losers, lost = [0] * k, [0] * k  # the run that lost at a node, and what it shares with the winner there
-
-    def play(x: int, hx: int, y: int, hy: int) -> tuple[int, int, int, int]:
-        """Winner and what it shares with the last output, loser and what it shares with the winner."""
-        if at[x] >= sizes[x]:
-            return y, hy, x, 0
-        if at[y] >= sizes[y]:
-            return x, hx, y, 0
-        if hx > hy:
-            return x, hx, y, hy
-        if hy > hx:
-            return y, hy, x, hx
-        s, t = texts[x][at[x]], texts[y][at[y]]
-        h = common_prefix(s, t, hx)
-        if s[h:] <= t[h:]:
-            return x, hx, y, h
-        return y, hy, x, h
+    known, texts = [r[0] for r in runs], [r[1] for r in runs]
+    sizes, at = [len(t) for t in texts] + [0] * (k - len(runs)), [0] * k
+    text = [t[0] if t else b"" for t in texts] + [b""] * (k - len(runs))
+    number = [_number(s) for s in text]
+    losers, lost = [0] * k, [-1] * k  # the run that lost at a node, and what it shares with the winner there
 
     def build(node: int) -> tuple[int, int]:
         if node >= k:
-            return node - k, 0
-        (x, hx), (y, hy) = build(2 * node), build(2 * node + 1)
-        w, hw, losers[node], lost[node] = play(x, hx, y, hy)
-        return w, hw
-
-    order, shared = [], []
+            return node - k, 0 if sizes[node - k] else -1
+        (w, h), (x, hx) = build(2 * node), build(2 * node + 1)
+        if h < hx or (h == hx >= 0 and (number[x], len(text[x])) < (number[w], len(text[w]))):
+            w, h, x, hx = x, hx, w, h
+        losers[node], lost[node] = x, common_prefix(text[w], number[w], text[x], number[x]) if hx >= 0 else -1
+        return w, h
+
+    order, shared = array("i"), array("b")
     w, h = build(1) if k > 1 else (0, 0)
     for _ in range(sum(sizes)):
-        order.append((w, at[w]))
+        order.append(w)
         shared.append(h)
-        at[w] += 1
-        h = known[w][at[w]] if at[w] < sizes[w] else 0
-        node = (w + k) // 2
+        i = at[w] = at[w] + 1
+        if i < sizes[w]:
+            h = known[w][i]
+            s = text[w] = texts[w][i]
+            number[w] = _number(s)
+        else:
+            h = -1
+        node = (w + k) >> 1
         while node:
-            x, hx = losers[node], lost[node]
-            if at[w] < sizes[w] and (at[x] >= sizes[x] or h > hx):
-                pass
-            else:
-                w, h, losers[node], lost[node] = play(w, h, x, hx)
-            node //= 2
+            hx = lost[node]
+            if h < hx:
+                losers[node], w = w, losers[node]
+                lost[node], h = h, hx
+            elif h == hx >= 0:
+                x = losers[node]
+                a, b = number[w], number[x]
+                if a > b or (a == b and len(text[w]) > len(text[x])):
+                    losers[node], w, x = w, x, w
+                n = LENGTH - ((a ^ b).bit_length() + 7) // 8
+                lost[node] = n if n <= len(text[w]) and n <= len(text[x]) else min(len(text[w]), len(text[x]))
+            node >>= 1
     return order, shared
 
 
@@ -318,10 +315,12 @@ def covered_windows(shared: np.ndarray, lengths: np.ndarray, left: np.ndarray, l
             fits = np.flatnonzero((lengths >= LENGTH - o) & (left_len >= o))
             group = np.cumsum(shared < LENGTH - o).astype(np.uint64)
             key = mix64(group * np.uint64(_BASE) ^ before)[fits]
-            order = np.lexsort((ids[fits], key))
+            if not len(key):
+                continue
+            order = np.argsort(key)
             ks, rows = key[order], fits[order]
-            heads = np.flatnonzero(np.concatenate([[True], ks[1:] != ks[:-1]])) if len(ks) else np.zeros(0, np.int64)
-            least = np.repeat(ids[rows[heads]], np.diff(np.append(heads, len(ks)))) if len(ks) else ids[:0]
+            heads = np.flatnonzero(np.concatenate([[True], ks[1:] != ks[:-1]]))
+            least = np.repeat(np.minimum.reduceat(ids[rows], heads), np.diff(np.append(heads, len(ks))))
             hit = rows[ids[rows] > least]
             high[hit] = np.where(high[hit] < 0, LENGTH - o, high[hit])  # the least o reaches farthest right
             low[hit] = o
@@ -351,7 +350,7 @@ def suffix_runs(chunks: DataFrame, found: DataFrame, hot, ranges: int, take_hot:
             for row in b.to_pylist():
                 c = Chunk(row)
                 at, fp, doc = c.anchors()
-                keep = np.isin(fp, np.concatenate([_undelta(x) for x in row["found"]]))
+                keep = np.isin(fp, np.concatenate([undeltas(x) for x in row["found"]]))
                 is_hot = np.isin(fp, heavy)
                 keep &= is_hot if take_hot else ~is_hot
                 at, fp, doc = at[keep], fp[keep], doc[keep]
@@ -363,7 +362,7 @@ def suffix_runs(chunks: DataFrame, found: DataFrame, hot, ranges: int, take_hot:
                 ends, begins = c.starts[doc + 1], c.starts[doc]
                 where = _range_of(fp, ranges)
                 order = np.argsort(where, kind="stable")
-                for r, part in _dealt(where[order]):
+                for r, part in runs_of(where[order]):
                     rows = order[part]
                     suffixes = [raw[a:b] for a, b in zip(at[rows].tolist(), np.minimum(at[rows] + LENGTH, ends[rows]).tolist())]
                     ranked = sorted(range(len(rows)), key=suffixes.__getitem__)
@@ -373,47 +372,40 @@ def suffix_runs(chunks: DataFrame, found: DataFrame, hot, ranges: int, take_hot:
                     body = b"".join(bytes((len(x),)) + x.ljust(LEFT, b"\0") for x in lefts)
                     yield pa.RecordBatch.from_pylist(
                         [{
-                            "range": r, "chunk": row["chunk"], "shared": _packed(shared), "rests": _packed(rests), "lefts": _packed(body),
-                            "ids": _planes(c.ids[doc[rows]]), "places": _planes(at[rows]),
+                            "range": r, "chunk": row["chunk"], "shared": squeezed(shared), "rests": squeezed(rests), "lefts": squeezed(body),
+                            "ids": planes(c.ids[doc[rows]]), "places": planes(at[rows]),
                         }],
                         schema=pa.schema([("range", pa.int64()), ("chunk", pa.int64()), *((x, pa.binary()) for x in ("shared", "rests", "lefts", "ids", "places"))]),
                     )
 
-    joined = chunks.join(own.hint("merge"), "chunk")
+    joined = chunks.join(own.hint("merge"), "chunk")  # all columns, as in the last step: one exchange serves both
     return in_batches(joined).mapInArrow(run, "w bigint, id bigint, chunk bigint, at bigint" if take_hot else RUN)
 
 
-def _packed(raw: bytes) -> bytes:
-    return struct.pack("<I", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _unpacked(blob: bytes) -> bytes:
-    return pa.decompress(blob[4:], decompressed_size=struct.unpack_from("<I", blob)[0], codec="zstd", asbytes=True)
-
-
 def _merged(rows: pa.Table) -> pa.Table:
     """One range: merge its runs, and give each chunk the spans to remove."""
     rows = rows.sort_by("chunk")
     runs, lefts, ids, places, of = [], [], [], [], []
     for k, r in enumerate(rows.to_pylist()):
-        shared = _unpacked(r["shared"])
-        runs.append((shared, decoded(shared, _unpacked(r["rests"]))))
-        lefts.append(np.frombuffer(_unpacked(r["lefts"]), np.uint8).reshape(-1, LEFT + 1))
-        ids.append(_unplaned(r["ids"]).view(np.int64))
-        places.append(_unplaned(r["places"]).view(np.int64))
+        shared = unsqueezed(r["shared"])
+        runs.append((shared, decoded(shared, unsqueezed(r["rests"]))))
+        lefts.append(np.frombuffer(unsqueezed(r["lefts"]), np.uint8).reshape(-1, LEFT + 1))
+        ids.append(unplaned(r["ids"]).view(np.int64))
+        places.append(unplaned(r["places"]).view(np.int64))
         of.append(np.full(len(shared), k))
     order, shared = merge_runs(runs)
-    base = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-    where = np.array([base[r] + i for r, i in order], np.int64)
+    by_run = np.frombuffer(order, np.int32) if len(order) else np.zeros(0, np.int32)
+    where = np.empty(len(order), np.int64)
+    where[np.argsort(by_run, kind="stable")] = np.arange(len(order))  # a run's suffixes come out in its own order
     lengths = np.array([len(s) for _, texts in runs for s in texts], np.int64)[where]
     left, ids, places, of = (np.concatenate(x)[where] for x in (lefts, ids, places, of))
-    low, high = covered_windows(np.array(shared), lengths, left[:, 1:], left[:, 0].astype(np.int64), ids)
+    low, high = covered_windows(np.frombuffer(shared, np.int8).astype(np.int64), lengths, left[:, 1:], left[:, 0].astype(np.int64), ids)
     out = []
     for k, chunk in enumerate(rows.column("chunk").to_pylist()):
         mine = np.flatnonzero((of == k) & (low >= 0))
         if len(mine):
             mine = mine[np.argsort(places[mine])]
-            out.append({"chunk": chunk, "starts": _planes(places[mine] - low[mine]), "sizes": _planes(low[mine] + high[mine])})
+            out.append({"chunk": chunk, "starts": planes(places[mine] - low[mine]), "sizes": planes(low[mine] + high[mine])})
     return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.int64()), ("starts", pa.binary()), ("sizes", pa.binary())]))
 
 
@@ -421,16 +413,16 @@ def spans_of(chunks: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
     """``chunk, starts, sizes``: blobs of the byte spans to remove, in places of the chunk."""
     spark = chunks.sparkSession
     total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    ranges = max(8, min(65_000, total // RANGE_BYTES))
+    ranges, parts = (int(max(8, min(total // size, max(MANY, total // (8 * size))))) for size in (HASH_BYTES, SUFFIX_BYTES))
     most = max(hot_docs, total // 1_000_000)  # so at most total / 10 / most fingerprints are hot: a bounded broadcast
     repeated = repeated_anchors(chunks, ranges, most)
     found = repeated.filter("found IS NOT NULL").select("chunk", "found")
-    over = [_undelta(r.hot) for r in repeated.filter("hot IS NOT NULL").select("hot").collect()]
+    over = [undeltas(r.hot) for r in repeated.filter("hot IS NOT NULL").select("hot").collect()]
     hot = spark.sparkContext.broadcast(np.concatenate(over) if over else np.zeros(0, np.uint64))
-    runs = suffix_runs(chunks, found, hot, ranges, False)
+    runs = suffix_runs(chunks, found, hot, parts, False)
     spans = runs.groupBy("range").applyInArrow(_merged, "chunk bigint, starts binary, sizes binary")
     if over:
-        rows = suffix_runs(chunks, found, hot, ranges, True)
+        rows = written(suffix_runs(chunks, found, hot, parts, True), "windows")
         least = rows.groupBy("w").agg(F.min("id").alias("least"))
         hit = rows.join(least.hint("merge"), "w").filter("id > least").groupBy("chunk").agg(F.sort_array(F.collect_set("at")).alias("at"))
 
@@ -438,7 +430,7 @@ def spans_of(chunks: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
             for b in batches:
                 at = [np.array(x, np.int64) for x in b.column("at").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("chunk"), pa.array([_planes(x) for x in at], pa.binary()), pa.array([_planes(np.full(len(x), LENGTH)) for x in at], pa.binary())],
+                    [b.column("chunk"), pa.array([planes(x) for x in at], pa.binary()), pa.array([planes(np.full(len(x), LENGTH)) for x in at], pa.binary())],
                     names=["chunk", "starts", "sizes"],
                 )
 
@@ -448,34 +440,59 @@ def spans_of(chunks: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
 
 def without_repeats(docs: DataFrame, text: str = "text", hot_docs: int = HOT_DOCS) -> DataFrame:
     """``doc_id, n_bytes, removed, kept`` of every row: the removed spans (start, end) in bytes, and the bytes that stay."""
-    chunks = make_chunks(docs, text)
+
+    def cut(c: Chunk, keep: np.ndarray, rest: bytes | None) -> Iterator[pa.RecordBatch]:
+        sizes, removed, kept = np.diff(c.starts), [], []
+        for a, e in zip(c.starts[:-1], c.starts[1:]):
+            edges = np.flatnonzero(np.diff(np.concatenate([[True], keep[a:e], [True]]).astype(np.int8)))
+            removed.append([{"start": int(x), "end": int(y)} for x, y in zip(edges[::2], edges[1::2])])
+            kept.append(c.data[a:e][keep[a:e]].tobytes())
+        ids = pa.array(c.ids, pa.int64(), mask=~c.known)
+        for k in range(0, len(ids), 500):
+            p = slice(k, k + 500)
+            yield pa.RecordBatch.from_arrays(
+                [ids[p], pa.array(sizes[p]), pa.array(removed[p], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept[p], pa.binary())],
+                names=["doc_id", "n_bytes", "removed", "kept"],
+            )
+
+    return _cut_chunks(make_chunks(docs, text), hot_docs, cut, "doc_id bigint, n_bytes bigint, removed array<struct<start: bigint, end: bigint>>, kept binary")
+
+
+def shortened(docs: DataFrame, text: str = "text", hot_docs: int = HOT_DOCS) -> DataFrame:
+    """All rows and columns of ``docs`` with what stays of each text; a character that is cut in two goes, a null text stays null."""
+    names = docs.columns
+    keep_columns = tuple(c for c in names if c != text)
+
+    def cut(c: Chunk, keep: np.ndarray, rest: bytes | None) -> Iterator[pa.RecordBatch]:
+        kept = [c.data[a:e][keep[a:e]].tobytes().decode("utf-8", "ignore") for a, e in zip(c.starts[:-1], c.starts[1:])]
+        columns = pa.ipc.open_stream(rest).read_all()
+        for k in range(0, len(kept), 500):
+            part = columns.slice(k, 500).combine_chunks()
+            texts = pa.array(kept[k : k + 500], pa.string(), mask=np.array(part.column("_no_text").to_pylist(), bool))
+            yield pa.RecordBatch.from_arrays(
+                [texts if name == text else part.column(name).chunk(0) for name in names], names=names
+            )
+
+    marked = docs.withColumn("_no_text", F.col(text).isNull())
+    return _cut_chunks(make_chunks(marked, text, (*keep_columns, "_no_text")), hot_docs, cut, docs.schema)
+
+
+def _cut_chunks(chunks: DataFrame, hot_docs: int, cut, schema) -> DataFrame:
+    """What ``cut`` makes of each chunk, the bytes of it that stay, and its other columns."""
     spans = spans_of(chunks, hot_docs).groupBy("chunk").agg(F.collect_list("starts").alias("starts"), F.collect_list("sizes").alias("sizes"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 c = Chunk(row)
                 gone = np.zeros(len(c.data) + 1, np.int32)
                 for s, n in zip(row["starts"] or [], row["sizes"] or []):
-                    s, n = _unplaned(s).view(np.int64), _unplaned(n).view(np.int64)
+                    s, n = unplaned(s).view(np.int64), unplaned(n).view(np.int64)
                     np.add.at(gone, s, 1)
                     np.add.at(gone, s + n, -1)
-                keep = np.cumsum(gone[:-1]) == 0
-                sizes, removed, kept = np.diff(c.starts), [], []
-                for a, e in zip(c.starts[:-1], c.starts[1:]):
-                    edges = np.flatnonzero(np.diff(np.concatenate([[True], keep[a:e], [True]]).astype(np.int8)))
-                    removed.append([{"start": int(x), "end": int(y)} for x, y in zip(edges[::2], edges[1::2])])
-                    kept.append(c.data[a:e][keep[a:e]].tobytes())
-                ids = pa.array(c.ids, pa.int64(), mask=~c.known)
-                for k in range(0, len(ids), 500):
-                    p = slice(k, k + 500)
-                    yield pa.RecordBatch.from_arrays(
-                        [ids[p], pa.array(sizes[p]), pa.array(removed[p], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept[p], pa.binary())],
-                        names=["doc_id", "n_bytes", "removed", "kept"],
-                    )
+                yield from cut(c, np.cumsum(gone[:-1]) == 0, row["rest"])
 
-    joined = chunks.join(spans.hint("merge"), "chunk", "left")
-    return in_batches(joined).mapInArrow(cut, "doc_id bigint, n_bytes bigint, removed array<struct<start: bigint, end: bigint>>, kept binary")
+    return in_batches(chunks.join(spans.hint("merge"), "chunk", "left")).mapInArrow(run, schema)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
