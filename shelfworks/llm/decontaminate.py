@@ -23,16 +23,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfworks.llm.shared import in_batches, table, written
-from shelfworks.llm.words import mix64, shingle_hashes, word_hashes
+from shelfworks.llm.words import hashes_at, mix64, shingle_hashes, word_hashes
 
 WINDOW, LITERALS, NEEDED = 8, 4, 6
-PIECE = 1 << 18
+PIECE, GROUP_BYTES = 1 << 18, 1 << 16
 MOST_BITS = 1 << 27
 LITERAL, NUMBER, NAME, UNIT = range(4)
 #: Words that are numbers, and units.
@@ -56,10 +55,10 @@ def _lists() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _hashed["x"]
 
 
-def tokens(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every token: the hash of its letters, its kind, and the hash that stands for it in a template."""
+def tokens(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every token: the hash of its letters, its kind, the hash that stands for it in a template, and its place."""
     number_words, units, marks = _lists()
-    hashes, kinds, at, ended = [], [], 0, True
+    hashes, kinds, places, at, ended = [], [], [], 0, True
     while at < len(raw):
         end = min(len(raw), at + PIECE)
         if end < len(raw):
@@ -69,7 +68,7 @@ def tokens(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inside = np.concatenate(([False], _LETTER[piece], [False]))
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         starts, ends = edges[::2], edges[1::2]
-        h = word_hashes(raw[at:end].translate(_PLAIN))
+        h = hashes_at(np.frombuffer(raw[at:end].translate(_PLAIN), np.uint8), starts, ends)
         digits = np.append(0, np.cumsum(_DIGIT[piece]))
         stops = np.append(0, np.cumsum(_SENTENCE[piece]))
         before = np.append(0, ends[:-1]) if len(ends) else ends
@@ -78,27 +77,33 @@ def tokens(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             first[0] |= ended
         kind = np.zeros(len(starts), np.uint8)
         kind[(piece[starts] >= 65) & (piece[starts] <= 90) & ~first] = NAME
-        kind[np.isin(h, units)] = UNIT
-        kind[(digits[ends] - digits[starts] == ends - starts) | np.isin(h, number_words)] = NUMBER
+        kind[_among(h, units)] = UNIT
+        kind[(digits[ends] - digits[starts] == ends - starts) | _among(h, number_words)] = NUMBER
         ended = bool(stops[-1] > stops[ends[-1]]) if len(ends) else ended or bool(stops[-1])
         hashes.append(h)
         kinds.append(kind)
+        places.append(starts + at)
         at = end
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h, kind = np.concatenate(hashes), np.concatenate(kinds)
-    return h, kind, np.where(kind == LITERAL, h, marks[kind])
+    return h, kind, np.where(kind == LITERAL, h, marks[kind]), np.concatenate(places)
 
 
-def windows(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of a text's template windows of ``size`` tokens, with its token hashes and kinds; none where it is shorter."""
-    h, kind, template = tokens(raw)
+def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
+
+
+def windows(h: np.ndarray, kind: np.ndarray, template: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the template windows of ``size`` tokens; none where there are fewer tokens."""
     if len(h) < size:
-        return np.zeros(0, np.uint64), h, kind
+        return np.zeros(0, np.uint64)
     literal = np.append(0, np.cumsum(kind == LITERAL))
     plain = literal[size:] - literal[:-size] < min(LITERALS, size)
     out = shingle_hashes(template, size)
-    return np.where(plain, shingle_hashes(h, size) ^ np.uint64(1), out).astype(np.uint64), h, kind
+    if plain.any():
+        out[plain] = shingle_hashes(h, size)[plain] ^ np.uint64(1)
+    return out
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
@@ -108,9 +113,10 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
         for b in batches:
             for item, text in zip(b.column("item_id").to_pylist(), b.column("text")):
                 raw = (text.as_py() or "").encode()
-                size = min(WINDOW, len(tokens(raw)[0]))
+                h, kind, template, _ = tokens(raw)
+                size = min(WINDOW, len(h))
                 if size:
-                    w, h, kind = windows(raw, size)
+                    w = windows(h, kind, template, size)
                     n = len(w)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(w.view(np.int64)), pa.array(np.full(n, size)), pa.array([item] * n, pa.int64()), pa.array(np.arange(n)), pa.array(np.full(n, n))]
@@ -126,7 +132,7 @@ def _bitmap(items: DataFrame) -> tuple[np.ndarray, list[int]]:
     """One bit for each window hash, in a map of at most MOST_BITS; and the window sizes."""
     n, sizes = items.agg(F.count(F.lit(1)), F.sort_array(F.collect_set("size"))).first()
     bits = 1 << 10
-    while bits < min(64 * n, MOST_BITS):
+    while bits < min(1024 * n, MOST_BITS):
         bits *= 2
     word = F.pmod("w", F.lit(bits))
     rows = items.groupBy(F.shiftright(word, 3).alias("k")).agg(F.bit_or(F.expr("shiftleft(1, cast(pmod(w, 8) AS INT))")).alias("b")).collect()
@@ -145,18 +151,29 @@ def meetings(docs: DataFrame, items: DataFrame) -> DataFrame:
         mask = np.uint64(len(bits) * 8 - 1)
         for b in batches:
             ids, ties, ws, ats, hs = [], [], [], [], []
-            for k, text in enumerate(b.column("text")):
-                raw = (text.as_py() or "").encode()
+            raws = [(text.as_py() or "").encode() for text in b.column("text")]
+            i = 0
+            while i < len(raws):  # short texts together, a line's end between them
+                j, begins, total = i, [], 0
+                while j == i or (j < len(raws) and total + len(raws[j]) < GROUP_BYTES):
+                    begins.append(total)
+                    total += len(raws[j]) + 1
+                    j += 1
+                h, kind, template, places = tokens(b"\n".join(raws[i:j]))
+                doc = np.searchsorted(begins, places, "right") - 1
+                first = np.searchsorted(doc, np.arange(j - i))
                 for size in sizes:
-                    w, h, _ = windows(raw, size)
+                    w = windows(h, kind, template, size)
                     place = w & mask
                     hit = np.flatnonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                    hit = hit[doc[hit] == doc[hit + size - 1]]
                     if len(hit):
-                        ids += [b.column("doc_id")[k].as_py()] * len(hit)
-                        ties += [b.column("tie")[k].as_py()] * len(hit)
+                        ids += [b.column("doc_id")[i + k].as_py() for k in doc[hit].tolist()]
+                        ties += [b.column("tie")[i + k].as_py() for k in doc[hit].tolist()]
                         ws.append(w[hit].view(np.int64))
-                        ats.append(hit)
-                        hs += [h[i : i + size].tobytes() for i in hit]
+                        ats.append(hit - first[doc[hit]])
+                        hs += [h[k : k + size].tobytes() for k in hit]
+                i = j
             if ids:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(np.concatenate(ws)), pa.array(np.concatenate(ats)), pa.array(hs, pa.binary())],
@@ -200,15 +217,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = item_windows(benchmark)
     met = meetings(docs, items)
 
-    def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        best: set[int] = set()
-        for _, chain in rows.assign(line=rows["place"] - rows["at"]).groupby("line"):
-            best |= consistent(list(zip(chain["at"], chain["own"], chain["h"], chain["kinds"])))
-        n = int(rows["n"].iloc[0])
+    def judge(key: tuple, rows: pa.Table) -> pa.Table:
+        lines: dict[int, list] = {}
+        for r in zip(*(rows.column(c).to_pylist() for c in ("place", "at", "own", "h", "kinds"))):
+            lines.setdefault(r[0] - r[1], []).append(r[1:])
+        best = set().union(*map(consistent, lines.values()))
+        n = rows.column("n")[0].as_py()
+        out = [[key[0].as_py()], [key[1].as_py()], [key[2].as_py()], [len(best)], [n]]
         ok = len(best) >= min(NEEDED, n)
-        return pd.DataFrame({"doc_id": [key[0]], "tie": [key[1]], "item_id": [key[2]], "n_matched": [len(best)], "n_windows": [n]})[: int(ok)]
+        return pa.table([pa.array(x if ok else [], pa.int64()) for x in out], names=["doc_id", "tie", "item_id", "n_matched", "n_windows"])
 
-    return met.groupBy("doc_id", "tie", "item_id").applyInPandas(
+    return met.groupBy("doc_id", "tie", "item_id").applyInArrow(
         judge, "doc_id bigint, tie bigint, item_id bigint, n_matched bigint, n_windows bigint"
     )
 
