@@ -149,7 +149,8 @@ def slots(targets: DataFrame, block: int = BLOCK_WORDS, shard_blocks: int = SHAR
             key = _mix64(sid_key.to_numpy().astype(np.uint64) + (k // n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         return pd.Series(permuted(k % n, n, key))
 
-    per_shard = sized.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(F.col("sid"), F.col("shard"))
+    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number, which is not merged into one task
+    per_shard = sized.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(tasks, "sid", "shard")
     per_shard = per_shard.withColumn("d", dealt("source", "n", "shard")).filter("d.n > 0")
     each = per_shard.withColumn("slot", F.explode(F.sequence(F.col("d.first"), F.col("d.first") + F.col("d.n") - 1)))
     key = F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.lit(seed))
@@ -174,11 +175,17 @@ def mixed_words(docs: DataFrame, mixed: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of ``documents``, with the words that the mix takes of each."""
-    m = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+def takes(docs: DataFrame, weights=WEIGHTS, most: float = MOST, block: int = BLOCK_WORDS) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` of every document: the words that the mix takes of it."""
+    m = mix(docs, weights, most, block)
     times = m["slots"].groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = m["parts"].join(times, ["sid", "block"]).groupBy("rid").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    return m["documents"].join(taken, "rid", "left").select(
+    # the planner takes exploded tables for as small as what they are exploded from: no broadcast here
+    taken = m["parts"].join(times.hint("merge"), ["sid", "block"]).groupBy("rid").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    return m["documents"].join(taken.hint("merge"), "rid", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
     )
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``, with the words that the mix takes of each."""
+    return takes(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
