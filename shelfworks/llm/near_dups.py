@@ -10,9 +10,10 @@ every place is taken by a lower rank. Bands of the signature propose links, whic
    group of altered copies are ruled out by this without being looked at.
 3. Every band's bucket names the member with the smallest share of own shingles as its leader, and the others are
    compared with it, so that a bucket is not expanded into pairs while this joins most of it.
-4. Then the pairs of a bucket that are still in different components, and that the bound of step 2 and the signature
-   allow, are compared, all of them: no link between components is lost.
-5. Pairs whose signatures agree far too little (by six standard deviations) are dropped; the rest meet as whole texts.
+4. Pairs with a leader whose signatures agree far too little (by six standard deviations) are dropped; the rest meet as
+   whole texts.
+5. Then the members of a bucket that is not yet one component are compared in blocks, all with all, on their whole sets;
+   only links that join components come out, so no pairs are emitted and no link between components is lost.
 
 With 32 bands of 4 a pair at similarity 0.8 shares no band with a chance of 5e-8.
 
@@ -45,6 +46,8 @@ SHINGLE, PERCENT = 5, 80
 MEMBERS = 100
 #: Shingles in one range of the count of own shingles.
 RANGE_SHINGLES = 3_000_000
+#: Shingles in one block of a bucket, and columns of one matrix of a product of blocks.
+BLOCK_SHINGLES, FEATURES = 60_000, 2_048
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _RANK = np.uint64(56)
 
@@ -227,6 +230,73 @@ def own_shingles(bodies: DataFrame, n: int, total: int) -> DataFrame:
     return dealt.groupBy("range").applyInArrow(count, "nid bigint, own bigint").groupBy("nid").agg(F.sum("own").alias("own"))
 
 
+def linked_in_blocks(rows: DataFrame, bodies: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links ``a, b`` between components within each bucket, from whole sets; ``rows`` has ``key, nid, n, comp``.
+
+    A bucket is cut into blocks by the number of its shingles, and every two blocks meet in a task of their own, where
+    the sizes of all intersections are one product of matrices. Only links that join components come out.
+    """
+    ids = rows.select("nid").distinct().hint("merge")
+
+    def as_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), n).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("nid"), pa.array(sets, pa.binary())], names=["nid", "elements"])
+
+    sets = in_batches(bodies.join(ids, "nid", "left_semi").select("nid", "text")).mapInArrow(as_set, "nid bigint, elements binary")
+    blocks = rows.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    cut = rows.join(blocks.hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("nid", "key"), "blocks"))
+    meet = cut.join(sets.hint("merge"), "nid").withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    meet = meet.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "nid", "comp", "elements")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        nid, comp = table.column("nid").to_numpy(), table.column("comp").to_numpy()
+        out = _joining_links(nid, comp, table.column("own").to_numpy() == key[1].as_py(), key[1].as_py() == key[2].as_py(), table.column("elements").to_pylist(), percent)
+        return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    return meet.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
+def _joining_links(nid, comp, first, same, elements: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Links between the rows of the first and the second block (or within one) that join different components."""
+    one = np.flatnonzero(first)
+    two = one if same else np.flatnonzero(~first)
+    if not len(one) or not len(two) or len(np.unique(comp)) < 2:
+        return []
+    sets = [np.frombuffer(e, np.uint64) for e in elements]
+    size = np.array([len(s) for s in sets])
+    who = np.repeat(np.arange(len(sets)), size)
+    _, feature, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[feature] > 1
+    who, feature = who[shared], (np.cumsum(count > 1) - 1)[feature[shared]]
+    order = np.argsort(feature, kind="stable")
+    who, feature = who[order], feature[order]
+    common = np.zeros((len(one), len(two)), np.float32)
+    for lo in range(0, int(feature[-1]) + 1 if len(feature) else 0, FEATURES):
+        part = slice(*np.searchsorted(feature, [lo, lo + FEATURES]))
+        grid = np.zeros((len(sets), FEATURES), np.float32)
+        grid[who[part], feature[part] - lo] = 1
+        common += grid[one] @ grid[two].T
+    fits = 100 * common >= percent * (size[one][:, None] + size[two][None, :] - common)
+    fits &= comp[one][:, None] != comp[two][None, :]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for x, y in zip(*(k.tolist() for k in np.nonzero(fits))):
+        x, y = one[x], two[y]
+        r, q = find(int(comp[x])), find(int(comp[y]))
+        if r != q:
+            root[max(r, q)] = min(r, q)
+            out.append((int(nid[x]), int(nid[y])))
+    return out
+
+
 def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """``doc_id, tie, n_shingles, component_id, head`` of every row: its component bears the smallest id that it reaches.
 
@@ -258,11 +328,8 @@ def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text:
     known = placed.join(comps.withColumnRenamed("node", "nid").hint("merge"), "nid", "left").withColumn("comp", F.coalesce("root", "nid")).drop("root")
     known = written(known, "placed")
     mixed = known.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key")
-    left = known.join(mixed.hint("merge"), "key")
-    other = left.select("key", F.struct("nid", "n", "own", "s0", "s1").alias("a"), F.col("comp").alias("ca"))
-    near = left.join(other, (left["key"] == other["key"]) & (F.col("comp") < F.col("ca")) & _may_link(percent)).select(F.col("a.nid").alias("a"), F.col("nid").alias("b"))
-    pairs = written(_alike(near.distinct(), sketches, percent), "pairs")
-    second = written(confirmed(pairs, bodies.rows, n, percent), "confirmed")
+    left = written(known.join(mixed.hint("merge"), "key").select("key", "nid", "n", "comp"), "mixed")
+    second = written(linked_in_blocks(left, bodies.rows, n, percent), "confirmed")
     bodies.drop()
     comps = components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
 

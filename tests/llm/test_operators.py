@@ -78,6 +78,22 @@ def test_near_dups(spark, sf_dir, n):
     assert got == brute.groups(pairs_of(all_), n, 80)
 
 
+def test_near_dups_of_a_large_family(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "BLOCK_SHINGLES", 2_000)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(80)]
+    docs = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 12)):
+            w[rng.randrange(80)] = rng.choice(["the", "of", f"x{rng.randrange(40)}"])
+        docs.append((i, " ".join(w)))
+    got = near_dups.near_groups(spark.createDataFrame(docs, "doc_id bigint, text string"), n=2).collect()
+    want = brute.groups(docs, 2, 80)
+    assert len({c for _, c in want.values()}) > 5
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_near_dups_of_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (2, "other words are in this one"), (3, None), (None, "x y z")]
     docs = spark.createDataFrame([(*r, "s") for r in rows], ODD)
