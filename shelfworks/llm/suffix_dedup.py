@@ -492,7 +492,8 @@ def _cut_chunks(chunks: DataFrame, hot_docs: int, cut, schema) -> DataFrame:
                     np.add.at(gone, s + n, -1)
                 yield from cut(c, np.cumsum(gone[:-1]) == 0, row["rest"])
 
-    return in_batches(chunks.join(spans.hint("merge"), "chunk", "left")).mapInArrow(run, schema)
+    # with the filter that the other join implies, both joins read one exchange of the chunks
+    return in_batches(chunks.filter("chunk IS NOT NULL").join(spans.hint("merge"), "chunk", "left")).mapInArrow(run, schema)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
