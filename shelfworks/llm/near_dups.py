@@ -45,9 +45,9 @@ SHINGLE, PERCENT = 5, 80
 #: Members that meet one copy of their leader's text.
 MEMBERS = 100
 #: Shingles in one range of the count of own shingles.
-RANGE_SHINGLES = 3_000_000
-#: Shingles in one block of a bucket, and columns of one matrix of a product of blocks.
-BLOCK_SHINGLES, FEATURES = 60_000, 2_048
+RANGE_SHINGLES = 1_000_000
+#: Shingles in one block of a bucket, what a row counts as at least, and columns of one matrix of a product of blocks.
+BLOCK_SHINGLES, LEAST_WEIGHT, FEATURES = 60_000, 100, 2_048
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _RANK = np.uint64(56)
 
@@ -244,7 +244,8 @@ def linked_in_blocks(rows: DataFrame, bodies: DataFrame, n: int, percent: int) -
             yield pa.RecordBatch.from_arrays([b.column("nid"), pa.array(sets, pa.binary())], names=["nid", "elements"])
 
     sets = in_batches(bodies.join(ids, "nid", "left_semi").select("nid", "text")).mapInArrow(as_set, "nid bigint, elements binary")
-    blocks = rows.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    weight = F.greatest("n", F.lit(LEAST_WEIGHT))  # so that a block of tiny sets has few rows as well
+    blocks = rows.groupBy("key").agg(F.ceil(F.sum(weight) / BLOCK_SHINGLES).alias("blocks"))
     cut = rows.join(blocks.hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("nid", "key"), "blocks"))
     meet = cut.join(sets.hint("merge"), "nid").withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     meet = meet.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "nid", "comp", "elements")
