@@ -8,7 +8,9 @@ merely has the same shape is not.
 
 A window with fewer than four literal tokens says too little and keeps its literal tokens instead of placeholders. Items
 under eight tokens are one window of their own length. A document holds an item where six different windows of it (all,
-where it has fewer) meet in consistent chains.
+where it has fewer) meet in one consistent chain: in one passage, whose slots agree from its first window to its last.
+Windows that contradict the chain are left out of it; ``n_matched`` counts the windows of the longest chain. Windows of
+a passage may be shifted against each other by as many tokens as the item has, and by up to twice as many in places.
 
 A text's windows are first looked up in a bitmap of the benchmark's windows, of bounded size whatever the benchmark's;
 only windows that may meet are moved. Numbers and slots of a meeting go to the group of its document and item.
@@ -33,6 +35,8 @@ from shelfworks.llm.words import hashes_at, mix64, shingle_hashes, word_hashes
 WINDOW, LITERALS, NEEDED = 8, 4, 6
 PIECE, GROUP_BYTES = 1 << 18, 1 << 16
 MOST_BITS = 1 << 27
+#: Rows of meetings looked at before a search for the longest chain of a block takes the first way only.
+SEARCH_ROWS = 100_000
 LITERAL, NUMBER, NAME, UNIT = range(4)
 #: Words that are numbers, and units.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
@@ -185,31 +189,66 @@ def meetings(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found.join(items, "w").filter(F.length("own") == F.length("h"))
 
 
-def consistent(pairs: list[tuple[int, bytes, bytes, bytes]]) -> set[int]:
-    """Places of an item's windows that meet in chains whose slots agree; ``pairs`` has (place, own, item's, kinds)."""
-    met, there, back = set(), {}, {}
-    for at, own, theirs, kinds in sorted(pairs):
-        new = []
-        for k, kind in enumerate(kinds):
-            if kind != LITERAL:
-                x, y = theirs[8 * k : 8 * k + 8], own[8 * k : 8 * k + 8]
-                new.append(((kind, x), (kind, y)))
-        trial_there, trial_back, agree = dict(there), dict(back), True
-        for x, y in new:
-            agree &= trial_there.setdefault(x, y) == y and (x[0] == NUMBER or trial_back.setdefault(y, x) == x)
-        if not agree and not _alone(new):
-            continue
-        if not agree:  # a chain of its own begins here
-            trial_there, trial_back = dict(new), {y: x for x, y in new}
-        there, back = trial_there, trial_back
-        met.add(at)
-    return met
+def _slots(own: bytes, theirs: bytes, kinds: bytes) -> set[tuple]:
+    """What a meeting says of the slots: ``(side, kind, value), value`` from the item to the text, and back but for numbers."""
+    out = set()
+    for k, kind in enumerate(kinds):
+        if kind != LITERAL:
+            x, y = theirs[8 * k : 8 * k + 8], own[8 * k : 8 * k + 8]
+            out.add(((0, kind, x), y))
+            if kind != NUMBER:
+                out.add(((1, kind, y), x))
+    return out
+
 
+def consistent(pairs: list[tuple[int, bytes, bytes, bytes]], over: int = 0) -> set[int]:
+    """Places of an item's windows in the longest chain whose slots all agree, where it has more than ``over``.
 
-def _alone(slots: list) -> bool:
-    """Whether the slots of one window agree among themselves."""
-    there, back = {}, {}
-    return all(there.setdefault(x, y) == y and (x[0] == NUMBER or back.setdefault(y, x) == x) for x, y in slots)
+    ``pairs`` has (place, own, item's, kinds). A value that stands for several is settled one way after the other, the
+    way that keeps most windows first; ways that cannot beat the best chain are left. After SEARCH_ROWS rows only the
+    first way is taken, so what comes out is always one consistent chain.
+    """
+    rows = [(at, s) for at, s in ((p[0], _slots(*p[1:])) for p in set(pairs)) if len({k for k, _ in s}) == len(s)]
+    best, ways, seen = set(), [sorted(rows, key=lambda r: (r[0], sorted(r[1])))], 0
+    while ways:
+        rows = ways.pop()
+        met = {at for at, _ in rows}
+        if len(met) <= max(over, len(best)):
+            continue
+        seen += len(rows)
+        values: dict[tuple, dict[bytes, set[int]]] = {}
+        for at, slots in rows:
+            for key, value in slots:
+                values.setdefault(key, {}).setdefault(value, set()).add(at)
+        open_ = [(sum(map(len, v.values())), key) for key, v in values.items() if len(v) > 1]
+        if not open_:
+            best = met
+            continue
+        key = max(open_)[1]
+        of = [(dict(slots).get(key), at, slots) for at, slots in rows]
+        split = [[(at, slots) for v, at, slots in of if v is None or v == value] for value in sorted(values[key])]
+        split.sort(key=lambda w: len({at for at, _ in w}))
+        ways += split if seen <= SEARCH_ROWS else split[-1:]
+    return best
+
+
+def longest_chain(meets: list[tuple[int, int, bytes, bytes, bytes]], n: int, reach: int) -> set[int]:
+    """Places of the item's ``n`` windows in the longest consistent chain; ``meets`` has (place, at, own, item's, kinds).
+
+    A chain's windows lie near each other: diagonals (place - at) are judged in blocks of two ``reach`` that overlap by
+    half, so a chain whose diagonals differ by up to ``reach`` is in one block.
+    """
+    blocks: dict[int, list] = {}
+    for place, *pair in meets:
+        k = (place - pair[0]) // reach
+        for block in (k - 1, k):
+            blocks.setdefault(block, []).append(tuple(pair))
+    best: set[int] = set()
+    for _, pairs in sorted(blocks.items()):
+        best = consistent(pairs, max(len(best), min(NEEDED, n) - 1)) or best
+        if len(best) == n:
+            break
+    return best
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -218,11 +257,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = meetings(docs, items)
 
     def judge(key: tuple, rows: pa.Table) -> pa.Table:
-        lines: dict[int, list] = {}
-        for r in zip(*(rows.column(c).to_pylist() for c in ("place", "at", "own", "h", "kinds"))):
-            lines.setdefault(r[0] - r[1], []).append(r[1:])
-        best = set().union(*map(consistent, lines.values()))
         n = rows.column("n")[0].as_py()
+        meets = list(zip(*(rows.column(c).to_pylist() for c in ("place", "at", "own", "h", "kinds"))))
+        best = longest_chain(meets, n, n + len(meets[0][4]) - 1)
         out = [[key[0].as_py()], [key[1].as_py()], [key[2].as_py()], [len(best)], [n]]
         ok = len(best) >= min(NEEDED, n)
         return pa.table([pa.array(x if ok else [], pa.int64()) for x in out], names=["doc_id", "tie", "item_id", "n_matched", "n_windows"])

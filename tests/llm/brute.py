@@ -2,6 +2,7 @@
 
 import hashlib
 from collections import defaultdict
+from itertools import combinations
 
 
 def words(text):
@@ -54,3 +55,13 @@ def without_repeats(docs, length=50):
         left = bytes(c for c, k in zip(b, keep) if k)
         out.append((i, len(b), len(b) - len(left), spans, hashlib.sha256(left).hexdigest()))
     return sorted(out)
+
+
+def longest_chain(pairs, number):
+    """Most different places of (place, own, item's, kinds) whose slots all agree, over all subsets."""
+
+    def agree(some):
+        said = {(kind, theirs[8 * k : 8 * k + 8], own[8 * k : 8 * k + 8]) for _, own, theirs, kinds in some for k, kind in enumerate(kinds)}
+        return all(a[:2] != b[:2] and (a[0] == number or a[::2] != b[::2]) for a, b in combinations(said, 2))
+
+    return max(len({p[0] for p in some}) for n in range(len(pairs) + 1) for some in combinations(pairs, n) if agree(some))

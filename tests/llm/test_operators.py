@@ -197,6 +197,30 @@ def test_slots_must_agree():
     assert decontaminate.consistent([(0, b + c, a + b, k)]) == {0}
 
 
+def test_chains_are_as_long_as_by_brute_force():
+    rng = random.Random(6)
+    kinds = bytes([decontaminate.NAME, decontaminate.NUMBER, decontaminate.UNIT])
+    for _ in range(200):
+        some = lambda: b"".join(rng.choice([b"a", b"b", b"c"]) * 8 for _ in kinds)
+        pairs = [(rng.randrange(6), some(), some(), kinds) for _ in range(rng.randint(0, 9))]
+        assert len(decontaminate.consistent(pairs)) == brute.longest_chain(pairs, decontaminate.NUMBER)
+
+
+def test_slots_must_agree_across_windows(spark):
+    item = "When the morning was over Tom went down to buy some fresh bread and then old Tom came back up to eat it with us"
+    other = "When the morning was over Jim went down to buy some fresh bread and then old Bob came back up to eat it with us"
+    w = item.split()
+    scattered = [" ".join(w[k : k + 8]) + " and so on" + " filler" * 200 for k in (0, 2, 5, 8, 11, 13, 15)]
+    texts = [item.replace("Tom", "Jim"), other, " ".join(scattered), item[:60] + "quite suddenly " + item[60:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.n_matched for r in decontaminate.leaks(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()}
+    n = len(w) - 7
+    first, second = w.index("Tom"), len(w) - 1 - w[::-1].index("Tom")
+    over = lambda t: {k for k in range(n) if k <= t < k + 8}
+    assert got.get(0) == n and 2 not in got and got[3] < n
+    assert got.get(1, 0) == n - min(len(over(first) - over(second)), len(over(second) - over(first)))
+
+
 def test_permutation_is_one():
     for n in (1, 2, 3, 7, 64, 65, 1000):
         assert sorted(mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 99, np.uint64))) == list(range(n))
