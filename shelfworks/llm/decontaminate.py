@@ -6,6 +6,12 @@ meeting counts only while its slots agree along the passage: one value of the it
 text, and different names or units stay different. So a question with other numbers and names is found, and a text that
 merely has the same shape is not.
 
+Case and punctuation do not decide whether windows meet: both sides are read in three ways, with every capitalised word
+as a name, with those inside a sentence only, and with none, and windows meet where any two readings are equal. So a copy
+is found in capitals, in small letters, without stops or in the middle of a sentence, with other numbers and units too;
+other names are seen where the text has capitals that tell names from words (not in a text all in capitals, all in small
+letters, or with a capital on every word).
+
 A window with fewer than four literal tokens says too little and keeps its literal tokens instead of placeholders. Items
 under eight tokens are one window of their own length. A document holds an item where six different windows of it (all,
 where it has fewer) meet in one consistent chain: in one passage, whose slots agree from its first window to its last.
@@ -38,6 +44,8 @@ MOST_BITS = 1 << 27
 #: Rows of meetings looked at before a search for the longest chain of a block takes the first way only.
 SEARCH_ROWS = 100_000
 LITERAL, NUMBER, NAME, UNIT = range(4)
+#: Of a capitalised word: a name wherever it is; a name but for a sentence's first; never a name.
+READINGS = 3
 #: Words that are numbers, and units.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
 UNITS = (
@@ -59,9 +67,9 @@ def _lists() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _hashed["x"]
 
 
-def tokens(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every token: the hash of its letters, its kind, the hash that stands for it in a template, and its place."""
-    number_words, units, marks = _lists()
+def tokens(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every token: the hash of its letters, its kinds in the readings READINGS (a row each), and its place."""
+    number_words, units, _ = _lists()
     hashes, kinds, places, at, ended = [], [], [], 0, True
     while at < len(raw):
         end = min(len(raw), at + PIECE)
@@ -79,52 +87,62 @@ def tokens(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         first = stops[starts] > stops[before]
         if len(first):
             first[0] |= ended
-        kind = np.zeros(len(starts), np.uint8)
-        kind[(piece[starts] >= 65) & (piece[starts] <= 90) & ~first] = NAME
-        kind[_among(h, units)] = UNIT
-        kind[(digits[ends] - digits[starts] == ends - starts) | _among(h, number_words)] = NUMBER
+        capital = (piece[starts] >= 65) & (piece[starts] <= 90)
+        kind = np.zeros((READINGS, len(starts)), np.uint8)
+        kind[0, capital] = NAME
+        kind[1, capital & ~first] = NAME
+        kind[:, _among(h, units)] = UNIT
+        kind[:, (digits[ends] - digits[starts] == ends - starts) | _among(h, number_words)] = NUMBER
         ended = bool(stops[-1] > stops[ends[-1]]) if len(ends) else ended or bool(stops[-1])
         hashes.append(h)
         kinds.append(kind)
         places.append(starts + at)
         at = end
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h, kind = np.concatenate(hashes), np.concatenate(kinds)
-    return h, kind, np.where(kind == LITERAL, h, marks[kind]), np.concatenate(places)
+        return np.zeros(0, np.uint64), np.zeros((READINGS, 0), np.uint8), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(kinds, axis=1), np.concatenate(places)
 
 
 def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
 
 
-def windows(h: np.ndarray, kind: np.ndarray, template: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of the template windows of ``size`` tokens; none where there are fewer tokens."""
+def windows(h: np.ndarray, kinds: np.ndarray, size: int) -> list[np.ndarray]:
+    """Hashes of the template windows of ``size`` tokens in each reading; none where there are fewer tokens."""
     if len(h) < size:
-        return np.zeros(0, np.uint64)
-    literal = np.append(0, np.cumsum(kind == LITERAL))
-    plain = literal[size:] - literal[:-size] < min(LITERALS, size)
-    out = shingle_hashes(template, size)
-    if plain.any():
-        out[plain] = shingle_hashes(h, size)[plain] ^ np.uint64(1)
+        return [np.zeros(0, np.uint64)] * READINGS
+    marks, bare, out = _lists()[2], None, []
+    for kind in kinds:
+        w = shingle_hashes(np.where(kind == LITERAL, h, marks[kind]), size)
+        literal = np.append(0, np.cumsum(kind == LITERAL))
+        plain = literal[size:] - literal[:-size] < min(LITERALS, size)
+        if plain.any():
+            bare = shingle_hashes(h, size) ^ np.uint64(1) if bare is None else bare
+            w[plain] = bare[plain]
+        out.append(w)
     return out
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """``w, size, item_id, at, n, h, kinds``: every window of every item, with the hashes and kinds of its tokens."""
+    """``w, size, item_id, at, n, h, kinds``: every window of every item in each reading, with its tokens' hashes and kinds.
+
+    The kinds are those of the first reading, which has the most slots: a token that another reading takes literally
+    stands for itself there.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for item, text in zip(b.column("item_id").to_pylist(), b.column("text")):
                 raw = (text.as_py() or "").encode()
-                h, kind, template, _ = tokens(raw)
+                h, kinds, _ = tokens(raw)
                 size = min(WINDOW, len(h))
                 if size:
-                    w = windows(h, kind, template, size)
-                    n = len(w)
+                    of = sorted({(k, x) for w in windows(h, kinds, size) for k, x in enumerate(w.view(np.int64).tolist())})
+                    n = len(h) - size + 1
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(w.view(np.int64)), pa.array(np.full(n, size)), pa.array([item] * n, pa.int64()), pa.array(np.arange(n)), pa.array(np.full(n, n))]
-                        + [pa.array([x[k : k + size].tobytes() for k in range(n)], pa.binary()) for x in (h, kind)],
+                        [pa.array([x for _, x in of], pa.int64()), pa.array(np.full(len(of), size)), pa.array([item] * len(of), pa.int64())]
+                        + [pa.array([k for k, _ in of], pa.int64()), pa.array(np.full(len(of), n))]
+                        + [pa.array([x[k : k + size].tobytes() for k, _ in of], pa.binary()) for x in (h, kinds[0])],
                         names=["w", "size", "item_id", "at", "n", "h", "kinds"],
                     )
 
@@ -163,15 +181,20 @@ def meetings(docs: DataFrame, items: DataFrame) -> DataFrame:
                     begins.append(total)
                     total += len(raws[j]) + 1
                     j += 1
-                h, kind, template, places = tokens(b"\n".join(raws[i:j]))
+                h, kinds, places = tokens(b"\n".join(raws[i:j]))
                 doc = np.searchsorted(begins, places, "right") - 1
                 first = np.searchsorted(doc, np.arange(j - i))
                 for size in sizes:
-                    w = windows(h, kind, template, size)
-                    place = w & mask
-                    hit = np.flatnonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
-                    hit = hit[doc[hit] == doc[hit + size - 1]]
-                    if len(hit):
+                    before = []
+                    for w in windows(h, kinds, size):
+                        place = w & mask
+                        hit = np.flatnonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                        hit = hit[doc[hit] == doc[hit + size - 1]]
+                        for x in before:  # readings that say the same
+                            hit = hit[w[hit] != x[hit]]
+                        before.append(w)
+                        if not len(hit):
+                            continue
                         ids += [b.column("doc_id")[i + k].as_py() for k in doc[hit].tolist()]
                         ties += [b.column("tie")[i + k].as_py() for k in doc[hit].tolist()]
                         ws.append(w[hit].view(np.int64))
@@ -258,7 +281,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def judge(key: tuple, rows: pa.Table) -> pa.Table:
         n = rows.column("n")[0].as_py()
-        meets = list(zip(*(rows.column(c).to_pylist() for c in ("place", "at", "own", "h", "kinds"))))
+        meets = list(set(zip(*(rows.column(c).to_pylist() for c in ("place", "at", "own", "h", "kinds")))))  # once for all readings
         best = longest_chain(meets, n, n + len(meets[0][4]) - 1)
         out = [[key[0].as_py()], [key[1].as_py()], [key[2].as_py()], [len(best)], [n]]
         ok = len(best) >= min(NEEDED, n)

@@ -221,6 +221,24 @@ def test_slots_must_agree_across_windows(spark):
     assert got.get(1, 0) == n - min(len(over(first) - over(second)), len(over(second) - over(first)))
 
 
+def test_leaks_in_other_case_and_punctuation(spark):
+    item = "In the morning Tom buys 3 apples and 4 pears at the market. Then he gives Anna 3 of the apples. The rest goes home with Tom."
+    short = "Where did Tom and his old friend Anna go then?"
+    renamed = item.replace("Tom", "Jim").replace("Anna", "Lisa").replace("3", "5").replace("4", "7")
+    bare = lambda t: t.replace(".", "").replace("?", "")
+    forms = [str.upper, str.lower, str.title, bare, lambda t: bare(t).upper(), lambda t: f"We asked, {t}", lambda t: f"We asked, {t[0].lower()}{t[1:]}"]
+    texts = [f(t) for t in (item, short) for f in forms]
+    texts += [bare(renamed), f"We read, {renamed}", item.replace("3", "5").replace("4", "7").upper(), renamed.replace("gives Lisa", "gives Jim").replace("with Jim", "with Bob")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, item), (2, short), (3, "Tom and Anna went to see the old market town of Rome")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.n_matched for r in decontaminate.leaks(docs, bench).collect()}
+    n, windows = len(forms), len(item.split()) - 7
+    assert {k: v for k, v in got.items() if k[0] != 2 * n + 3} == {
+        (k, 1 if k < n or k >= 2 * n else 2): windows if k < n or k >= 2 * n else 3 for k in range(2 * n + 3)
+    }
+    assert got.get((2 * n + 3, 1), 0) < windows
+
+
 def test_permutation_is_one():
     for n in (1, 2, 3, 7, 64, 65, 1000):
         assert sorted(mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 99, np.uint64))) == list(range(n))
