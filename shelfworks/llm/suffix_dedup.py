@@ -14,8 +14,9 @@ front-coded runs and prefix doubling, as in the published literature):
   characters are compared only beyond what is known to be equal.
 * In the merged order the common-prefix array gives, for every window around an anchor, the rows with the same window
   and their least document id.
-* An anchor in very many documents would fill one range; its windows go through a plain aggregation of window hashes
-  instead, which is combined before the shuffle. Both ways are exact.
+* An anchor that occurs very often, in many documents or within a few, would fill one range; its windows go through a
+  plain aggregation of window hashes instead, one row for each window and document of a chunk with all its places, which
+  is combined before the shuffle. Both ways are exact.
 
 Strings are judged on the input and matches never cross documents. Defined cases: a null text counts as the empty one;
 texts under 50 bytes stay whole; rows with one id never cover each other; a row with a null id is left whole and covers
@@ -43,7 +44,7 @@ LEFT = LENGTH - GRAM
 CHUNK_BYTES, GROUP_BYTES = 6 << 20, 1 << 16
 #: Bytes of text for each range of anchor hashes, and of suffixes; over MANY ranges they hold more each.
 HASH_BYTES, SUFFIX_BYTES, MANY = 16 << 20, 4 << 20, 4_000
-#: An anchor in more documents than this goes through the aggregation.
+#: An anchor that occurs more often than this goes through the aggregation.
 HOT_DOCS = 100_000
 FP_BITS = 48
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -167,7 +168,7 @@ def _range_of(fingerprints: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def repeated_anchors(chunks: DataFrame, ranges: int, hot: int) -> DataFrame:
-    """``chunk, found, hot``: for each chunk and range the fingerprints that two documents share, and those in over ``hot``."""
+    """``chunk, found, hot``: for each chunk and range the fingerprints that two documents share, and those that occur over ``hot`` times."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,10 +177,10 @@ def repeated_anchors(chunks: DataFrame, ranges: int, hot: int) -> DataFrame:
                 _, fp, doc = c.anchors()
                 order = np.argsort(fp, kind="stable")  # documents stay in order
                 fp, doc = fp[order], doc[order]
-                new = np.flatnonzero(np.append(True, (fp[1:] != fp[:-1]) | (doc[1:] != doc[:-1]))[: len(fp)])
-                fp, id_ = fp[new], c.ids[doc[new]].astype(np.uint64)
                 heads = np.flatnonzero(np.append(True, fp[1:] != fp[:-1])[: len(fp)])
-                unique, first, n = fp[heads], id_[heads], np.diff(np.append(heads, len(fp)))
+                ends = np.append(heads[1:], len(fp)) - 1 if len(fp) else heads
+                unique, first = fp[heads], c.ids[doc[heads]].astype(np.uint64)
+                n = (ends - heads + 1) << 1 | (doc[heads] != doc[ends])  # occurrences, and whether two documents have it
                 where = _range_of(unique, ranges)
                 order = np.argsort(where, kind="stable")
                 unique, n, first, where = unique[order], n[order], first[order], where[order]
@@ -194,11 +195,11 @@ def repeated_anchors(chunks: DataFrame, ranges: int, hot: int) -> DataFrame:
         counts = np.concatenate([unplaned(x) for x in rows.column("n").to_pylist()])
         ids = np.concatenate([unplaned(x) for x in rows.column("id").to_pylist()])
         unique, place = np.unique(np.concatenate(lists), return_inverse=True)
-        total = np.bincount(place, weights=counts).astype(np.int64)
+        total = np.bincount(place, weights=counts >> np.uint64(1)).astype(np.int64)
         low, high = np.full(len(unique), np.iinfo(np.uint64).max, np.uint64), np.zeros(len(unique), np.uint64)
         np.minimum.at(low, place, ids)
         np.maximum.at(high, place, ids)
-        many = np.bincount(place, weights=counts > 1) > 0
+        many = np.bincount(place, weights=counts & np.uint64(1)) > 0
         shared = unique[many | (low != high)]
         out = []
         for chunk, own in zip(rows.column("chunk").to_pylist(), lists):
@@ -331,18 +332,24 @@ RUN = "range bigint, chunk bigint, shared binary, rests binary, lefts binary, id
 
 
 def suffix_runs(chunks: DataFrame, found: DataFrame, hot, ranges: int, take_hot: bool) -> DataFrame:
-    """The front-coded runs of every chunk's remaining suffixes by range; or the windows of hot anchors, ``w, id, chunk, at, o``."""
+    """The front-coded runs of every chunk's remaining suffixes by range; or the windows of hot anchors, ``w, id, chunk, at``.
+
+    ``at`` has all places of a window in a document.
+    """
     own = found.groupBy("chunk").agg(F.collect_list("found").alias("found"))
 
-    def windows(c: Chunk, at: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in np.unique(doc):
+    def windows(c: Chunk, at: np.ndarray, doc: np.ndarray) -> Iterator[tuple[list, int, list]]:
+        for i, part in runs_of(doc):
             a, b = c.starts[i], c.starts[i + 1]
-            hashes = _grams(c.data[a:b], LENGTH)
-            place = at[doc == i] - a
-            for o in range(LEFT + 1):
-                s = place - o
-                s = s[(s >= 0) & (s < len(hashes))]
-                yield hashes[s].view(np.int64), np.full(len(s), c.ids[i]), s + a
+            hashes, reach = _grams(c.data[a:b], LENGTH), np.zeros(b - a + 1, np.int32)
+            np.add.at(reach, np.maximum(at[part] - a - LEFT, 0), 1)
+            np.add.at(reach, at[part] - a + 1, -1)
+            s = np.flatnonzero(np.cumsum(reach[:-1])[: len(hashes)] > 0)
+            order = np.argsort(hashes[s], kind="stable")
+            w, s = hashes[s][order].view(np.int64), s[order] + a
+            of = list(runs_of(w))
+            for k in range(0, len(of), 10_000):
+                yield [x for x, _ in of[k : k + 10_000]], int(c.ids[i]), [deltas(s[p].astype(np.uint64)) for _, p in of[k : k + 10_000]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = hot.value
@@ -356,7 +363,10 @@ def suffix_runs(chunks: DataFrame, found: DataFrame, hot, ranges: int, take_hot:
                 at, fp, doc = at[keep], fp[keep], doc[keep]
                 if take_hot:
                     for w, i, s in windows(c, at, doc):
-                        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(i), pa.array(np.full(len(w), row["chunk"])), pa.array(s)], names=["w", "id", "chunk", "at"])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(w, pa.int64()), pa.array([i] * len(w), pa.int64()), pa.array([row["chunk"]] * len(w), pa.int64()), pa.array(s, pa.binary())],
+                            names=["w", "id", "chunk", "at"],
+                        )
                     continue
                 raw = c.data.tobytes()
                 ends, begins = c.starts[doc + 1], c.starts[doc]
@@ -379,7 +389,7 @@ def suffix_runs(chunks: DataFrame, found: DataFrame, hot, ranges: int, take_hot:
                     )
 
     joined = chunks.join(own.hint("merge"), "chunk")  # all columns, as in the last step: one exchange serves both
-    return in_batches(joined).mapInArrow(run, "w bigint, id bigint, chunk bigint, at bigint" if take_hot else RUN)
+    return in_batches(joined).mapInArrow(run, "w bigint, id bigint, chunk bigint, at binary" if take_hot else RUN)
 
 
 def _merged(rows: pa.Table) -> pa.Table:
@@ -414,7 +424,7 @@ def spans_of(chunks: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
     spark = chunks.sparkSession
     total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     ranges, parts = (int(max(8, min(total // size, max(MANY, total // (8 * size))))) for size in (HASH_BYTES, SUFFIX_BYTES))
-    most = max(hot_docs, total // 1_000_000)  # so at most total / 10 / most fingerprints are hot: a bounded broadcast
+    most = max(hot_docs, total // 1_000_000)  # so at most total / most fingerprints are hot: a bounded broadcast
     repeated = repeated_anchors(chunks, ranges, most)
     found = repeated.filter("found IS NOT NULL").select("chunk", "found")
     over = [undeltas(r.hot) for r in repeated.filter("hot IS NOT NULL").select("hot").collect()]
@@ -424,11 +434,11 @@ def spans_of(chunks: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
     if over:
         rows = written(suffix_runs(chunks, found, hot, parts, True), "windows")
         least = rows.groupBy("w").agg(F.min("id").alias("least"))
-        hit = rows.join(least.hint("merge"), "w").filter("id > least").groupBy("chunk").agg(F.sort_array(F.collect_set("at")).alias("at"))
+        hit = rows.join(least.hint("merge"), "w").filter("id > least").groupBy("chunk").agg(F.collect_list("at").alias("at"))
 
         def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                at = [np.array(x, np.int64) for x in b.column("at").to_pylist()]
+                at = [np.unique(np.concatenate([undeltas(blob) for blob in x])) for x in b.column("at").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("chunk"), pa.array([planes(x) for x in at], pa.binary()), pa.array([planes(np.full(len(x), LENGTH)) for x in at], pa.binary())],
                     names=["chunk", "starts", "sizes"],

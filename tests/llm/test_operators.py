@@ -301,6 +301,20 @@ def test_suffix_dedup(spark, sf_dir, hot):
     assert sorted(map(tuple, got.collect())) == brute.without_repeats(pairs_of(docs))
 
 
+def test_anchors_that_a_few_documents_repeat_are_hot(spark):
+    line = "A line of more than fifty bytes that is repeated very often.\n"
+    rows = [(1, "-" * 3_000 + "one"), (2, "x" + "-" * 3_000), (3, line * 60), (4, "a" + line * 60 + "b"), (5, "-" * 45)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    chunks = suffix_dedup.make_chunks(docs)
+    hot = suffix_dedup.repeated_anchors(chunks, 8, 50).filter("hot IS NOT NULL").collect()
+    hot = np.concatenate([suffix_dedup.undeltas(r.hot) for r in hot] or [np.zeros(0, np.uint64)])
+    found = suffix_dedup.repeated_anchors(chunks, 8, 50).filter("found IS NOT NULL")
+    cold = suffix_dedup.suffix_runs(chunks, found, spark.sparkContext.broadcast(hot), 8, False).collect()
+    assert sum(len(suffix_dedup.unsqueezed(r.shared)) for r in cold) < 200
+    got = suffix_dedup.without_repeats(docs, hot_docs=50).select("doc_id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.size("removed"), F.sha2("kept", 256))
+    assert sorted(map(tuple, got.collect())) == brute.without_repeats(rows)
+
+
 def test_shortened_keeps_rows_and_columns(spark):
     long = "A passage that is longer than fifty bytes, so that it is cut: é."
     rows = [(2, "x " + long + " y", "k"), (1, long, None), (3, None, "z"), (None, long, "n")]
