@@ -19,7 +19,9 @@ With 32 bands of 4 a pair at similarity 0.8 shares no band with a chance of 5e-8
 
 Defined cases: a null text counts as empty; an empty set has no link and is its own component; a text with fewer words
 than a shingle is one shingle; repeated rows are one node; rows of one id with different texts are nodes of their own
-that bear the same id; an empty table gives an empty result.
+that bear the same id; a row without an id is grouped like any other, but its id stands for a group only where no row of
+the group has one (then component_id is null, and rows without an id are its kept rows); an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -159,7 +161,11 @@ class Bodies:
         wanted = written(nodes.select("nid", "id0", "tie0").join(ids, "nid", "left_semi"), "wanted")
         rows = docs.select(F.col("doc_id").alias("id0"), F.xxhash64(text).alias("tie0"), F.col(text).alias("text"))
         n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        rows = rows.join(small(wanted), ["id0", "tie0"]).select("nid", "text").repartition(n, "nid")
+        found = rows.join(small(wanted), ["id0", "tie0"]).select("nid", "text")
+        # nodes of rows without an id: any of their rows with this text, once
+        bare = small(wanted.filter("id0 IS NULL").select("nid", "tie0"))
+        found = found.union(rows.filter("id0 IS NULL").join(bare, "tie0").select("nid", "text").dropDuplicates(["nid"]))
+        rows = found.repartition(n, "nid")
         self.path = new_path(self.spark, "bodies")
         rows.write.bucketBy(n, "nid").sortBy("nid").option("path", self.path).saveAsTable(self.name)
         self.rows = self.spark.table(self.name)
@@ -306,10 +312,10 @@ def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text:
     rows = written(set_rows(docs, n, text), "sets")
     found = rows.filter("digest IS NOT NULL")
     nodes = found.groupBy("digest").agg(
-        F.min(F.struct("doc_id", "tie")).alias("r"), *[F.first(c).alias(c) for c in ("n_shingles", "sketch", "s0", "s1", "bands")]
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("r"), *[F.first(c).alias(c) for c in ("n_shingles", "sketch", "s0", "s1", "bands")]
     )
     nodes = nodes.select(F.col("r.doc_id").alias("id0"), F.col("r.tie").alias("tie0"), "digest", "n_shingles", "sketch", "s0", "s1", "bands")
-    nodes = in_order(nodes, [F.col("id0"), F.col("digest")]).withColumn("nid", F.shiftleft("_pid", 33) + F.col("_pos")).drop("_pid", "_pos")
+    nodes = in_order(nodes, [F.col("id0").asc_nulls_last(), F.col("digest")]).withColumn("nid", F.shiftleft("_pid", 33) + F.col("_pos")).drop("_pid", "_pos")
     buckets = nodes.select("nid", F.explode("bands").alias("key"))
     full = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key").hint("merge")
     shared = written(buckets.join(full, "key"), "buckets")
@@ -370,4 +376,4 @@ def _may_link(percent: int) -> Column:
 def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of all of ``documents`` on two-word shingles."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_groups(docs, n=2).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return near_groups(docs, n=2).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -104,6 +104,20 @@ def test_near_dups_of_odd_rows(spark):
     assert near_dups.near_groups(docs.limit(0)).count() == 0
 
 
+def test_near_dups_of_rows_without_an_id(spark, tmp_path):
+    w = [f"w{i}" for i in range(60)]
+    near = lambda *at: " ".join("z" if i in at else x for i, x in enumerate(w))
+    alone = lambda *at: near(*at).replace("w", "v")
+    rows = [(None, near()), (None, near()), (4, near()), (5, near()), (3, near(7)), (None, near(40)), (None, alone()), (None, alone()), (None, alone(9)), (8, "other words")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near_dups.op2_near_dups(spark, str(tmp_path)).collect())
+    want = [(i, 3, i == 3) for i in (3, 4, 5, None, None, None)] + [(None, None, True)] * 3 + [(8, 8, True)]
+    assert got == sorted((str(i), str(c), k) for i, c, k in want)
+    assert sorted((str(r.doc_id), r.text) for r in near_dups.one_each(docs, n=2).collect() if r.doc_id) == [("3", near(7)), ("8", "other words")]
+    assert near_dups.one_each(docs, n=2).count() == 3
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(1)
     for n, share in ((40, 0.8), (400, 0.5), (4000, 0.9)):
