@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from shelfworks.functions.numbering import in_order
 from shelfworks.llm.blobs import deltas, planes, runs_of, undeltas, unplaned
 from shelfworks.llm.components import components
-from shelfworks.llm.shared import in_batches, new_path, small, table, written
+from shelfworks.llm.shared import fresh, in_batches, new_path, small, table, written
 from shelfworks.llm.words import mix64, shingle_hashes, word_hashes
 
 PLACES, ROWS = 128, 4
@@ -354,10 +354,11 @@ def one_each(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text: st
     """The rows of ``docs`` with one of each near-duplicate group."""
     heads = written(near_groups(docs, n, percent, text).filter("head").groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("k")), "heads")
     repeated = heads.agg(F.max("k")).first()[0] or 0
-    keyed = docs.withColumn("_tie", F.xxhash64(text))
-    ids = heads.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_t"))
-    kept = keyed.join(small(ids), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t")), "left_semi")
-    return (kept.dropDuplicates(["doc_id", "_tie"]) if repeated > 1 else kept).drop("_tie")
+    key, tie, of = fresh(docs.columns, "_id", "_tie", "_of")
+    keyed = docs.withColumn(of, F.xxhash64(text))
+    ids = heads.select(F.col("doc_id").alias(key), F.col("tie").alias(tie))
+    kept = keyed.join(small(ids), F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(of) == F.col(tie)), "left_semi")
+    return (kept.dropDuplicates(["doc_id", of]) if repeated > 1 else kept).drop(of)
 
 
 def _may_link(percent: int) -> Column:

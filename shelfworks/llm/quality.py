@@ -14,6 +14,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from operator import eq
 
@@ -45,11 +46,12 @@ _CLASS = bytes(
     ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b >= 128 else ord("0") if 48 <= b <= 57 else b for b in range(256)
 )
 
+_RUN = re.compile(rb"(.)\1+", re.DOTALL)
+
 
 def word_shape(word: bytes) -> int:
     """The bucket of a word's shape: runs of capitals, small letters and digits cut to one, punctuation kept."""
-    classes = word[:64].translate(_CLASS)
-    return word_hash(bytes(c for i, c in enumerate(classes) if i == 0 or c != classes[i - 1])) % SHAPES
+    return word_hash(_RUN.sub(rb"\1", word.translate(_CLASS))) % SHAPES
 
 
 def features(text: str | None, shapes: Remembered) -> np.ndarray:
@@ -143,8 +145,8 @@ def learn(docs: DataFrame, positives: DataFrame, max_p: int = MAX_POSITIVES, max
     return mean, scale, fit_pu(p, u, prior), prior
 
 
-def score(docs: DataFrame, model: tuple | None) -> DataFrame:
-    """All columns of ``docs`` with ``score``, the estimated probability of label 1."""
+def score(docs: DataFrame, model: tuple | None, least: float | None = None) -> DataFrame:
+    """All columns of ``docs`` with ``score``, the estimated probability of label 1; only rows that reach ``least``, where it is given."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Remembered(word_shape)
@@ -154,9 +156,10 @@ def score(docs: DataFrame, model: tuple | None) -> DataFrame:
             else:
                 x = np.array([features(t.as_py(), shapes) for t in b.column("text")], np.float64)
                 s = _sigmoid(np.clip((x - model[0]) / model[1], -CLIP, CLIP) @ model[2][:-1] + model[2][-1])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(s, pa.float64())], names=[*kept, "score"])
+            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(s, pa.float64())], names=[*kept, "score"])
+            yield out if least is None else out.filter(pa.array(s >= least))  # rejected texts do not travel back
 
-    kept = [c for c in docs.columns if c != "score"]
+    kept = [c for c in docs.columns if c.lower() != "score"]
     schema = StructType([*(docs.schema[c] for c in kept), StructField("score", DoubleType())])
     return in_batches(docs.select(*kept)).mapInArrow(scored, schema)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfworks.functions.numbering import shared_dir, written
 
-__all__ = ["LOWER", "UPPER", "ascii_lower", "dropped", "in_batches", "new_path", "shared_dir", "ship", "small", "table", "written"]
+__all__ = ["LOWER", "UPPER", "ascii_lower", "dropped", "fresh", "in_batches", "new_path", "shared_dir", "ship", "small", "table", "written"]
 
 #: The ASCII capitals and their small forms; contracts lower-case only these.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,6 +45,17 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     return F.broadcast(df) if n <= limit else df
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no column in ``taken`` is called so, in any case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, UPPER, LOWER)

@@ -10,13 +10,15 @@ front-coded runs and prefix doubling, as in the published literature):
   documents or more.
 * Each chunk then sorts its remaining suffixes (50 bytes, with the 18 bytes before them), front-codes the run (length
   of the prefix shared with the suffix before, and the rest), and deals it out by the hash of the first 32 bytes, so
-  that equal prefixes meet and ranges stay even. Loser trees merge the runs of a range on stored prefix lengths:
-  characters are compared only beyond what is known to be equal.
+  that equal prefixes meet and ranges stay even. Loser trees merge the runs of a range on stored prefix lengths: two
+  suffixes are compared only where these are equal, and from the 8-byte word on in which the known prefix ends.
 * In the merged order the common-prefix array gives, for every window around an anchor, the rows with the same window
   and their least document id.
-* An anchor that occurs very often, in many documents or within a few, would fill one range; its windows go through a
-  plain aggregation of window hashes instead, one row for each window and document of a chunk with all its places, which
-  is combined before the shuffle. Both ways are exact.
+* An anchor that occurs very often, in many documents or within a few, would fill one range; its windows are aggregated
+  by their 50 bytes instead, one row for each window and document of a chunk with all its places, which is combined
+  before the shuffle.
+
+Hashes only choose candidates and order; every removal rests on equal bytes, on both ways.
 
 Strings are judged on the input and matches never cross documents. Defined cases: a null text counts as the empty one;
 texts under 50 bytes stay whole; rows with one id never cover each other; a row with a null id is left whole and covers
@@ -35,17 +37,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfworks.llm.blobs import deltas, planes, runs_of, squeezed, undeltas, unplaned, unsqueezed
-from shelfworks.llm.shared import in_batches, table, written
+from shelfworks.llm.shared import fresh, in_batches, table, written
 from shelfworks.llm.words import mix64
 
 LENGTH, GRAM = 50, 32
 WINDOW = LENGTH - GRAM + 1
 LEFT = LENGTH - GRAM
+#: Whole 8-byte words that hold a suffix, and the bytes before it.
+WORDS, LEFT_WORDS = -(-LENGTH // 8), -(-LEFT // 8)
 CHUNK_BYTES, GROUP_BYTES = 6 << 20, 1 << 16
 #: Bytes of text for each range of anchor hashes, and of suffixes; over MANY ranges they hold more each.
 HASH_BYTES, SUFFIX_BYTES, MANY = 16 << 20, 4 << 20, 4_000
 #: An anchor that occurs more often than this goes through the aggregation.
 HOT_DOCS = 100_000
+#: Bytes of all texts for each occurrence that this limit grows by: at most 10 million anchors (80 MB) can be above it.
+HOT_SHARE = 100_000_000
 FP_BITS = 48
 _BASE = 0x9E3779B97F4A7C15 | 1
 _tables: dict[str, np.ndarray] = {}
@@ -112,8 +118,13 @@ class Chunk:
         return np.concatenate(at), np.concatenate(hashes) >> np.uint64(64 - FP_BITS), np.concatenate(doc)
 
 
+def _copied(b: pa.RecordBatch, first: int, end: int) -> pa.RecordBatch:
+    """Some rows in memory of their own, so that the batch they came in can go."""
+    return b.take(pa.array(range(first, end), pa.int64()))
+
+
 def _table_bytes(rows: list[pa.RecordBatch]) -> bytes | None:
-    if not rows:
+    if not rows or not rows[0].num_columns:
         return None
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
@@ -145,20 +156,23 @@ def make_chunks(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ())
             )
 
         for b in batches:
-            for at, (i, t) in enumerate(zip(b.column("_doc").to_pylist(), b.column("_body"))):
+            others = b.select(list(keep))
+            first = 0  # the first row of this batch whose other columns are not held yet
+            for at, (i, t) in enumerate(zip(b.column(doc_name).to_pylist(), b.column(body_name))):
                 raw = (t.as_py() or "").encode()
                 if texts and size + len(raw) > CHUNK_BYTES:
+                    rest.append(_copied(others, first, at))
                     yield row()
-                    k, ids, texts, size, rest = k + 1, [], [], 0, []
+                    first, k, ids, texts, size, rest = at, k + 1, [], [], 0, []
                 ids.append(i)
                 texts.append(raw)
                 size += len(raw)
-                if keep:
-                    rest.append(b.select(list(keep)).slice(at, 1))
+            rest.append(_copied(others, first, b.num_rows))
         if texts:
             yield row()
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), F.col(text).alias("_body"), *keep)
+    doc_name, body_name = fresh(docs.columns, "_doc", "_body")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias(doc_name), F.col(text).alias(body_name), *keep)
     schema = "chunk bigint, ids binary, known binary, lengths binary, texts binary, n_bytes bigint, rest binary"
     return written(in_batches(rows).mapInArrow(pack, schema), "chunks")
 
@@ -215,61 +229,88 @@ def repeated_anchors(chunks: DataFrame, ranges: int, hot: int) -> DataFrame:
     return written(dealt.groupBy("range").applyInArrow(meet, "chunk bigint, found binary, hot binary"), "repeated")
 
 
-def _number(s: bytes) -> int:
-    """A suffix as one number, so that the first difference of two is where the highest bit of their xor is."""
-    return int.from_bytes(s.ljust(LENGTH, b"\0"), "big")
-
-
-def common_prefix(s: bytes, x: int, t: bytes, y: int) -> int:
-    """Length of the common prefix of two suffixes and their numbers."""
-    return min(LENGTH - ((x ^ y).bit_length() + 7) // 8, len(s), len(t))
+def suffixes_at(data: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes from each place on as rows of WORDS words, zeros beyond a suffix's length."""
+    padded = np.concatenate([data, np.zeros(8 * WORDS, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, 8 * WORDS)[at]
+    rows[:, LENGTH:] = 0
+    short = np.flatnonzero(lengths < LENGTH)
+    rows[short] *= np.arange(8 * WORDS) < lengths[short, None]
+    return rows
+
+
+def lefts_at(data: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes before each place, the nearest first, zeros beyond their number."""
+    padded = np.concatenate([np.zeros(LEFT, np.uint8), data])
+    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, LEFT)[at, ::-1])
+    short = np.flatnonzero(lengths < LEFT)
+    rows[short] *= np.arange(LEFT) < lengths[short, None]
+    return rows
+
+
+def sorted_order(rows: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The order by ``first`` (32 bits), then by suffix; the shorter of two that are equal but for zeros goes first."""
+    key = np.empty((len(rows), LENGTH + 5), np.uint8)
+    key[:, :4] = first.astype(">u4").view(np.uint8).reshape(-1, 4)
+    key[:, 4:-1] = rows[:, :LENGTH]
+    key[:, -1] = lengths
+    return np.argsort(key.view(f"S{LENGTH + 5}").ravel(), kind="stable")
+
+
+def neighbours_share(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Length of the prefix that each suffix shares with the one before; 0 for the first."""
+    out = np.zeros(len(rows), np.uint8)
+    if len(rows) > 1:
+        apart = rows[1:] != rows[:-1]
+        same = ~apart.any(axis=1)
+        n = np.where(same, LENGTH, apart.argmax(axis=1))
+        out[1:] = np.minimum(n, np.minimum(lengths[1:], lengths[:-1]))
+    return out
 
 
-def front_coded(suffixes: list[bytes]) -> tuple[bytes, bytes]:
-    """Shared prefix lengths and remaining bytes of a sorted run, each suffix with its length before its rest."""
-    shared, rests, last, y = bytearray(), [], b"", 0
-    for s in suffixes:
-        x = _number(s)
-        n = common_prefix(s, x, last, y)
-        shared.append(n)
-        rests.append(bytes((len(s) - n,)) + s[n:])
-        last, y = s, x
-    return bytes(shared), b"".join(rests)
+def front_coded(rows: np.ndarray, lengths: np.ndarray, shared: np.ndarray) -> bytes:
+    """The bytes of sorted suffixes beyond what each shares with the one before, on end."""
+    column = np.arange(rows.shape[1])
+    return rows[(column >= shared[:, None]) & (column < lengths[:, None])].tobytes()
 
 
-def decoded(shared: bytes, rests: bytes) -> list[bytes]:
-    """The run of front_coded() again."""
-    out, last, at = [], b"", 0
-    for n in shared:
-        size = rests[at]
-        last = last[:n] + rests[at + 1 : at + 1 + size]
-        out.append(last)
-        at += 1 + size
-    return out
+def decoded(shared: np.ndarray, lengths: np.ndarray, rests: bytes) -> np.ndarray:
+    """The rows of front_coded() again; several runs on end, each of which begins with nothing shared."""
+    column = np.arange(8 * WORDS)
+    rows = np.zeros((len(shared), 8 * WORDS), np.uint8)
+    own = (column >= shared[:, None]) & (column < lengths[:, None])
+    rows[own] = np.frombuffer(rests, np.uint8)
+    # a byte below the shared length is the one of the last suffix that does not share it
+    source = np.where(column < shared[:, None], 0, np.arange(len(shared), dtype=np.int32)[:, None])
+    return np.take_along_axis(rows, np.maximum.accumulate(source, axis=0), axis=0)
 
 
-def merge_runs(runs: list[tuple[bytes, list[bytes]]]) -> tuple[array, array]:
+def merge_runs(known: list[list[int]], words: list[list[list[int]]], lengths: list[list[int]]) -> tuple[array, array]:
     """Merge sorted runs with a loser tree on common prefixes: the runs' numbers in the merged order, and each suffix's prefix shared with the one before.
 
-    A run's entry carries the length that it shares with the last winner; -1 where the run is at its end. Of two entries
-    the one that shares more is the smaller; only where both share as much are the suffixes compared.
+    Of each run its suffixes' shared prefixes, words and lengths are given. A run's entry carries the length that it
+    shares with the last winner; -1 where the run is at its end. Of two entries the one that shares more is the smaller;
+    only where both share as much are they compared, from the word on in which what is known to be equal ends.
     """
     k = 1
-    while k < len(runs):
+    while k < len(known):
         k *= 2
-    known, texts = [r[0] for r in runs], [r[1] for r in runs]
-    sizes, at = [len(t) for t in texts] + [0] * (k - len(runs)), [0] * k
-    text = [t[0] if t else b"" for t in texts] + [b""] * (k - len(runs))
-    number = [_number(s) for s in text]
+    sizes, at = [len(t) for t in words] + [0] * (k - len(known)), [0] * k
+    text = [t[0] if t else () for t in words] + [()] * (k - len(known))
+    size = [n[0] if n else 0 for n in lengths] + [0] * (k - len(known))
     losers, lost = [0] * k, [-1] * k  # the run that lost at a node, and what it shares with the winner there
 
     def build(node: int) -> tuple[int, int]:
         if node >= k:
             return node - k, 0 if sizes[node - k] else -1
         (w, h), (x, hx) = build(2 * node), build(2 * node + 1)
-        if h < hx or (h == hx >= 0 and (number[x], len(text[x])) < (number[w], len(text[w]))):
+        if h == hx >= 0 and (text[x], size[x]) < (text[w], size[w]) or h < hx:
             w, h, x, hx = x, hx, w, h
-        losers[node], lost[node] = x, common_prefix(text[w], number[w], text[x], number[x]) if hx >= 0 else -1
+        n = -1
+        if hx >= 0:
+            n = next((8 * i + 8 - ((p ^ q).bit_length() + 7) // 8 for i, (p, q) in enumerate(zip(text[w], text[x])) if p != q), LENGTH)
+            n = min(n, size[w], size[x])
+        losers[node], lost[node] = x, n
         return w, h
 
     order, shared = array("i"), array("b")
@@ -279,9 +320,7 @@ def merge_runs(runs: list[tuple[bytes, list[bytes]]]) -> tuple[array, array]:
         shared.append(h)
         i = at[w] = at[w] + 1
         if i < sizes[w]:
-            h = known[w][i]
-            s = text[w] = texts[w][i]
-            number[w] = _number(s)
+            h, text[w], size[w] = known[w][i], words[w][i], lengths[w][i]
         else:
             h = -1
         node = (w + k) >> 1
@@ -292,11 +331,17 @@ def merge_runs(runs: list[tuple[bytes, list[bytes]]]) -> tuple[array, array]:
                 lost[node], h = h, hx
             elif h == hx >= 0:
                 x = losers[node]
-                a, b = number[w], number[x]
-                if a > b or (a == b and len(text[w]) > len(text[x])):
+                a, b, n = text[w], text[x], h >> 3
+                while n < WORDS and a[n] == b[n]:
+                    n += 1
+                if n == WORDS:
+                    n, behind = LENGTH, size[w] > size[x]
+                else:
+                    behind = a[n] > b[n]
+                    n = 8 * n + 8 - ((a[n] ^ b[n]).bit_length() + 7) // 8
+                if behind:
                     losers[node], w, x = w, x, w
-                n = LENGTH - ((a ^ b).bit_length() + 7) // 8
-                lost[node] = n if n <= len(text[w]) and n <= len(text[x]) else min(len(text[w]), len(text[x]))
+                lost[node] = min(n, size[w], size[x])
             node >>= 1
     return order, shared
 
@@ -308,48 +353,64 @@ def covered_windows(shared: np.ndarray, lengths: np.ndarray, left: np.ndarray, l
     """
     n = len(ids)
     low, high = np.full(n, -1), np.full(n, -1)
-    before = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for o in range(LEFT + 1):
-            if o:
+    before, bytes_before = np.zeros(n, np.uint64), np.zeros((n, 8 * LEFT_WORDS), np.uint8)
+    for o in range(LEFT + 1):
+        if o:
+            bytes_before[:, o - 1] = left[:, o - 1]
+            with np.errstate(over="ignore"):
                 before = mix64(before * np.uint64(_BASE) + left[:, o - 1].astype(np.uint64) + np.uint64(1))
-            fits = np.flatnonzero((lengths >= LENGTH - o) & (left_len >= o))
-            group = np.cumsum(shared < LENGTH - o).astype(np.uint64)
+        fits = np.flatnonzero((lengths >= LENGTH - o) & (left_len >= o))
+        if not len(fits):
+            continue
+        group = np.cumsum(shared < LENGTH - o).astype(np.uint64)
+        with np.errstate(over="ignore"):
             key = mix64(group * np.uint64(_BASE) ^ before)[fits]
-            if not len(key):
-                continue
-            order = np.argsort(key)
-            ks, rows = key[order], fits[order]
-            heads = np.flatnonzero(np.concatenate([[True], ks[1:] != ks[:-1]]))
-            least = np.repeat(np.minimum.reduceat(ids[rows], heads), np.diff(np.append(heads, len(ks))))
-            hit = rows[ids[rows] > least]
-            high[hit] = np.where(high[hit] < 0, LENGTH - o, high[hit])  # the least o reaches farthest right
-            low[hit] = o
+        order = np.argsort(key)
+        ks, rows = key[order], fits[order]
+        exact = np.column_stack([group[rows], bytes_before.view(np.uint64)[rows]])
+        apart = (exact[1:] != exact[:-1]).any(axis=1)
+        if (apart & (ks[1:] == ks[:-1])).any():  # two windows of one hash: sort by what they are
+            order = np.lexsort(exact.T)
+            rows, exact = rows[order], exact[order]
+            apart = (exact[1:] != exact[:-1]).any(axis=1)
+        heads = np.flatnonzero(np.append(True, apart))
+        least = np.repeat(np.minimum.reduceat(ids[rows], heads), np.diff(np.append(heads, len(rows))))
+        hit = rows[ids[rows] > least]
+        high[hit] = np.where(high[hit] < 0, LENGTH - o, high[hit])  # the least o reaches farthest right
+        low[hit] = o
     return low, high
 
 
-RUN = "range bigint, chunk bigint, shared binary, rests binary, lefts binary, ids binary, places binary"
+RUN = "range bigint, chunk bigint, shared binary, lengths binary, rests binary, lefts binary, ids binary, places binary"
 
 
 def suffix_runs(chunks: DataFrame, found: DataFrame, hot, ranges: int, take_hot: bool) -> DataFrame:
     """The front-coded runs of every chunk's remaining suffixes by range; or the windows of hot anchors, ``w, id, chunk, at``.
 
-    ``at`` has all places of a window in a document.
+    ``w`` is a window's bytes, ``at`` has all its places in a document.
     """
     own = found.groupBy("chunk").agg(F.collect_list("found").alias("found"))
 
     def windows(c: Chunk, at: np.ndarray, doc: np.ndarray) -> Iterator[tuple[list, int, list]]:
         for i, part in runs_of(doc):
             a, b = c.starts[i], c.starts[i + 1]
-            hashes, reach = _grams(c.data[a:b], LENGTH), np.zeros(b - a + 1, np.int32)
+            if b - a < LENGTH:
+                continue
+            all_, reach = np.lib.stride_tricks.sliding_window_view(c.data[a:b], LENGTH), np.zeros(b - a + 1, np.int32)
             np.add.at(reach, np.maximum(at[part] - a - LEFT, 0), 1)
             np.add.at(reach, at[part] - a + 1, -1)
-            s = np.flatnonzero(np.cumsum(reach[:-1])[: len(hashes)] > 0)
-            order = np.argsort(hashes[s], kind="stable")
-            w, s = hashes[s][order].view(np.int64), s[order] + a
-            of = list(runs_of(w))
-            for k in range(0, len(of), 10_000):
-                yield [x for x, _ in of[k : k + 10_000]], int(c.ids[i]), [deltas(s[p].astype(np.uint64)) for _, p in of[k : k + 10_000]]
+            s = np.flatnonzero(np.cumsum(reach[:-1])[: len(all_)] > 0)
+            for k in range(0, len(s), 1 << 18):
+                some = s[k : k + (1 << 18)]
+                unique, which = np.unique(np.ascontiguousarray(all_[some]).view(f"S{LENGTH}").ravel(), return_inverse=True)
+                order = np.argsort(which, kind="stable")
+                raw, at_ = unique.tobytes(), some[order] + a
+                of = list(runs_of(which[order]))
+                for m in range(0, len(of), 10_000):
+                    yield (
+                        [raw[x * LENGTH : (x + 1) * LENGTH] for x, _ in of[m : m + 10_000]], int(c.ids[i]),
+                        [deltas(at_[p].astype(np.uint64)) for _, p in of[m : m + 10_000]],
+                    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = hot.value
@@ -364,52 +425,51 @@ def suffix_runs(chunks: DataFrame, found: DataFrame, hot, ranges: int, take_hot:
                 if take_hot:
                     for w, i, s in windows(c, at, doc):
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(w, pa.int64()), pa.array([i] * len(w), pa.int64()), pa.array([row["chunk"]] * len(w), pa.int64()), pa.array(s, pa.binary())],
+                            [pa.array(w, pa.binary()), pa.array([i] * len(w), pa.int64()), pa.array([row["chunk"]] * len(w), pa.int64()), pa.array(s, pa.binary())],
                             names=["w", "id", "chunk", "at"],
                         )
                     continue
-                raw = c.data.tobytes()
-                ends, begins = c.starts[doc + 1], c.starts[doc]
-                where = _range_of(fp, ranges)
-                order = np.argsort(where, kind="stable")
-                for r, part in runs_of(where[order]):
-                    rows = order[part]
-                    suffixes = [raw[a:b] for a, b in zip(at[rows].tolist(), np.minimum(at[rows] + LENGTH, ends[rows]).tolist())]
-                    ranked = sorted(range(len(rows)), key=suffixes.__getitem__)
-                    shared, rests = front_coded([suffixes[k] for k in ranked])
-                    rows = rows[ranked]
-                    lefts = [raw[max(a - LEFT, b) : a][::-1] for a, b in zip(at[rows].tolist(), begins[rows].tolist())]
-                    body = b"".join(bytes((len(x),)) + x.ljust(LEFT, b"\0") for x in lefts)
+                lengths = np.minimum(c.starts[doc + 1] - at, LENGTH)
+                rows, where = suffixes_at(c.data, at, lengths), _range_of(fp, ranges)
+                order = sorted_order(rows, lengths, where)
+                rows, lengths, at, doc, where = rows[order], lengths[order], at[order], doc[order], where[order]
+                shared = neighbours_share(rows, lengths)
+                shared[np.flatnonzero(np.append(True, where[1:] != where[:-1])[: len(where)])] = 0
+                left_len = np.minimum(at - c.starts[doc], LEFT)
+                left = lefts_at(c.data, at, left_len)
+                for r, part in runs_of(where):
                     yield pa.RecordBatch.from_pylist(
                         [{
-                            "range": r, "chunk": row["chunk"], "shared": squeezed(shared), "rests": squeezed(rests), "lefts": squeezed(body),
-                            "ids": planes(c.ids[doc[rows]]), "places": planes(at[rows]),
+                            "range": r, "chunk": row["chunk"], "shared": squeezed(shared[part].tobytes()), "lengths": squeezed(lengths[part].astype(np.uint8).tobytes()),
+                            "rests": squeezed(front_coded(rows[part], lengths[part], shared[part])),
+                            "lefts": squeezed(np.column_stack([left_len[part].astype(np.uint8), left[part]]).tobytes()),
+                            "ids": planes(c.ids[doc[part]]), "places": planes(at[part]),
                         }],
-                        schema=pa.schema([("range", pa.int64()), ("chunk", pa.int64()), *((x, pa.binary()) for x in ("shared", "rests", "lefts", "ids", "places"))]),
+                        schema=pa.schema([("range", pa.int64()), ("chunk", pa.int64()), *((x, pa.binary()) for x in ("shared", "lengths", "rests", "lefts", "ids", "places"))]),
                     )
 
     joined = chunks.join(own.hint("merge"), "chunk")  # all columns, as in the last step: one exchange serves both
-    return in_batches(joined).mapInArrow(run, "w bigint, id bigint, chunk bigint, at binary" if take_hot else RUN)
+    return in_batches(joined).mapInArrow(run, "w binary, id bigint, chunk bigint, at binary" if take_hot else RUN)
 
 
 def _merged(rows: pa.Table) -> pa.Table:
     """One range: merge its runs, and give each chunk the spans to remove."""
     rows = rows.sort_by("chunk")
-    runs, lefts, ids, places, of = [], [], [], [], []
-    for k, r in enumerate(rows.to_pylist()):
-        shared = unsqueezed(r["shared"])
-        runs.append((shared, decoded(shared, unsqueezed(r["rests"]))))
-        lefts.append(np.frombuffer(unsqueezed(r["lefts"]), np.uint8).reshape(-1, LEFT + 1))
-        ids.append(unplaned(r["ids"]).view(np.int64))
-        places.append(unplaned(r["places"]).view(np.int64))
-        of.append(np.full(len(shared), k))
-    order, shared = merge_runs(runs)
+    got = {c: [unsqueezed(x) for x in rows.column(c).to_pylist()] for c in ("shared", "lengths", "rests", "lefts")}
+    known, lengths = (np.frombuffer(b"".join(got[c]), np.uint8).astype(np.int64) for c in ("shared", "lengths"))
+    words = decoded(known, lengths, b"".join(got["rests"])).view(">u8").tolist()
+    ends = np.cumsum([len(x) for x in got["shared"]])
+    cuts = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
+    order, shared = merge_runs(*([x[a:b] for a, b in cuts] for x in (known.tolist(), words, lengths.tolist())))
     by_run = np.frombuffer(order, np.int32) if len(order) else np.zeros(0, np.int32)
+    del words
+    back = np.argsort(by_run, kind="stable")  # a run's suffixes come out in its own order
     where = np.empty(len(order), np.int64)
-    where[np.argsort(by_run, kind="stable")] = np.arange(len(order))  # a run's suffixes come out in its own order
-    lengths = np.array([len(s) for _, texts in runs for s in texts], np.int64)[where]
-    left, ids, places, of = (np.concatenate(x)[where] for x in (lefts, ids, places, of))
-    low, high = covered_windows(np.frombuffer(shared, np.int8).astype(np.int64), lengths, left[:, 1:], left[:, 0].astype(np.int64), ids)
+    where[back] = np.arange(len(order))
+    left = np.frombuffer(b"".join(got["lefts"]), np.uint8).reshape(-1, LEFT + 1)[where]
+    ids, places = (np.concatenate([unplaned(x) for x in rows.column(c).to_pylist()]).view(np.int64)[where] for c in ("ids", "places"))
+    of = by_run
+    low, high = covered_windows(np.frombuffer(shared, np.int8).astype(np.int64), lengths[where], left[:, 1:], left[:, 0].astype(np.int64), ids)
     out = []
     for k, chunk in enumerate(rows.column("chunk").to_pylist()):
         mine = np.flatnonzero((of == k) & (low >= 0))
@@ -424,7 +484,7 @@ def spans_of(chunks: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
     spark = chunks.sparkSession
     total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     ranges, parts = (int(max(8, min(total // size, max(MANY, total // (8 * size))))) for size in (HASH_BYTES, SUFFIX_BYTES))
-    most = max(hot_docs, total // 1_000_000)  # so at most total / most fingerprints are hot: a bounded broadcast
+    most = max(hot_docs, total // HOT_SHARE)
     repeated = repeated_anchors(chunks, ranges, most)
     found = repeated.filter("found IS NOT NULL").select("chunk", "found")
     over = [undeltas(r.hot) for r in repeated.filter("hot IS NOT NULL").select("hot").collect()]
@@ -471,6 +531,7 @@ def without_repeats(docs: DataFrame, text: str = "text", hot_docs: int = HOT_DOC
 def shortened(docs: DataFrame, text: str = "text", hot_docs: int = HOT_DOCS) -> DataFrame:
     """All rows and columns of ``docs`` with what stays of each text; a character that is cut in two goes, a null text stays null."""
     names = docs.columns
+    no_text = fresh(names, "_no_text")[0]
     keep_columns = tuple(c for c in names if c != text)
 
     def cut(c: Chunk, keep: np.ndarray, rest: bytes | None) -> Iterator[pa.RecordBatch]:
@@ -478,13 +539,13 @@ def shortened(docs: DataFrame, text: str = "text", hot_docs: int = HOT_DOCS) ->
         columns = pa.ipc.open_stream(rest).read_all()
         for k in range(0, len(kept), 500):
             part = columns.slice(k, 500).combine_chunks()
-            texts = pa.array(kept[k : k + 500], pa.string(), mask=np.array(part.column("_no_text").to_pylist(), bool))
+            texts = pa.array(kept[k : k + 500], pa.string(), mask=np.array(part.column(no_text).to_pylist(), bool))
             yield pa.RecordBatch.from_arrays(
                 [texts if name == text else part.column(name).chunk(0) for name in names], names=names
             )
 
-    marked = docs.withColumn("_no_text", F.col(text).isNull())
-    return _cut_chunks(make_chunks(marked, text, (*keep_columns, "_no_text")), hot_docs, cut, docs.schema)
+    marked = docs.withColumn(no_text, F.col(text).isNull())
+    return _cut_chunks(make_chunks(marked, text, (*keep_columns, no_text)), hot_docs, cut, docs.schema)
 
 
 def _cut_chunks(chunks: DataFrame, hot_docs: int, cut, schema) -> DataFrame:

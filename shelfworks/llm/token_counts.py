@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfworks.llm.shared import in_batches, new_path, table
+from shelfworks.llm.shared import fresh, in_batches, new_path, table
 
 OVER_LIMIT = 1024
 CACHE_SCHEMA = "version string, digest binary, n_tokens bigint"
@@ -128,16 +128,17 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, text: str = "text"
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer)
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2(body, 256)))
+    key = fresh(docs.columns, "_digest")[0]
+    keyed = docs.withColumn(key, F.unhex(F.sha2(body, 256)))
     known = _read_cache(spark, cache, version).select("digest")
-    distinct = keyed.groupBy(F.col("_digest").alias("digest")).agg(F.first(body).alias("text"))
+    distinct = keyed.groupBy(F.col(key).alias("digest")).agg(F.first(body).alias("text"))
     misses = distinct.join(known, "digest", "left_anti").select("digest", "text")
     encode_misses(misses, tokenizer, version).write.mode("append").parquet(cache)
     counts = _read_cache(spark, cache, version)
     made = ("n_bytes", "n_tokens", "over_limit")
     kept = [c for c in docs.columns if c != text and c not in made]
-    rows = keyed.select(*kept, F.octet_length(body).cast("long").alias("n_bytes"), "_digest")
-    return rows.join(counts.withColumnRenamed("digest", "_digest"), "_digest", "left").select(
+    rows = keyed.select(*kept, F.octet_length(body).cast("long").alias("n_bytes"), key)
+    return rows.join(counts.withColumnRenamed("digest", key), key, "left").select(
         *kept, "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit")
     )
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfworks.llm.shared import ascii_lower, table
+from shelfworks.llm.shared import ascii_lower, fresh, table
 
 #: Hex digits of the SHA-256 digest that the join uses.
 HASH_PREFIX = 8
@@ -85,15 +85,16 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     best = met.groupBy("u").agg(
         F.min(F.struct((-F.length(name)).alias("n"), (F.col("r_verdict") != "block").alias("a"), name.alias("rule"), F.col("r_verdict").alias("v"))).alias("b")
     )
-    found = best.select(F.col("u").alias("_url"), F.col("b.rule").alias("_rule"), F.col("b.v").alias("_verdict"))
+    key, rule, verdict = fresh(pages.columns, "_url", "_rule", "_verdict")
+    found = best.select(F.col("u").alias(key), F.col("b.rule").alias(rule), F.col("b.v").alias(verdict))
     out = pages.drop(*[c for c in ("host", "path", "rule", "verdict") if c in pages.columns and c != url])
-    joined = out.join(found, out[url] == F.col("_url"), "left")
+    joined = out.join(found, out[url] == F.col(key), "left")
     return joined.select(
         *[out[c] for c in out.columns],
         url_host(out[url]).alias("host"),
         url_path(out[url]).alias("path"),
-        F.col("_rule").alias("rule"),
-        F.coalesce(F.col("_verdict"), F.lit(default)).alias("verdict"),
+        F.col(rule).alias("rule"),
+        F.coalesce(F.col(verdict), F.lit(default)).alias("verdict"),
     )
 
 

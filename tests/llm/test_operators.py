@@ -293,10 +293,18 @@ def test_mixed_words_are_the_documents_words(spark):
 def test_runs_merge_in_order_with_their_common_prefixes():
     rng = random.Random(3)
     for _ in range(30):
-        texts = [sorted(bytes(rng.choice(b"ab\0") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 6))]
-        coded = [suffix_dedup.front_coded(t) for t in texts]
-        assert [suffix_dedup.decoded(*c) for c in coded] == texts
-        order, shared = suffix_dedup.merge_runs([(c[0], t) for c, t in zip(coded, texts)])
+        texts = [sorted(bytes(rng.choice(b"ab\0") for _ in range(rng.choice([3, 9, 20, 50]))) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 6))]
+        coded = []
+        for t in texts:
+            sizes = np.array([len(x) for x in t], np.int64)
+            data, at = np.frombuffer(b"".join(t), np.uint8), np.cumsum(sizes) - sizes
+            rows = suffix_dedup.suffixes_at(data, at, sizes)
+            assert suffix_dedup.sorted_order(rows, sizes, np.zeros(len(t), np.int64)).tolist() == list(range(len(t)))
+            shared = suffix_dedup.neighbours_share(rows, sizes)
+            again = suffix_dedup.decoded(shared.astype(np.int64), sizes, suffix_dedup.front_coded(rows, sizes, shared))
+            assert [bytes(r[:n]) for r, n in zip(again, sizes)] == t
+            coded.append((shared.tolist(), again.view(">u8").tolist(), sizes.tolist()))
+        order, shared = suffix_dedup.merge_runs(*map(list, zip(*coded)))
         at, out = [0] * len(texts), []
         for r in order:
             out.append(texts[r][at[r]])
@@ -305,6 +313,15 @@ def test_runs_merge_in_order_with_their_common_prefixes():
         assert all(shared[i] == len(os.path.commonprefix([out[i - 1], out[i]])) for i in range(1, len(out)))
 
 
+def test_windows_of_one_hash_stay_apart(monkeypatch):
+    rng = np.random.default_rng(0)
+    left = rng.integers(97, 99, (60, suffix_dedup.LEFT), dtype=np.uint8)
+    args = np.where(np.arange(60) % 20 == 0, 32, 50), np.full(60, 50), left, np.full(60, suffix_dedup.LEFT), np.arange(60)[::-1].copy()
+    want = suffix_dedup.covered_windows(*args)
+    monkeypatch.setattr(suffix_dedup, "mix64", lambda x: x & np.uint64(1))
+    assert all((x == y).all() for x, y in zip(suffix_dedup.covered_windows(*args), want))
+
+
 @pytest.mark.parametrize("hot", [2, suffix_dedup.HOT_DOCS])
 def test_suffix_dedup(spark, sf_dir, hot):
     passage = "This is a passage of some sixty bytes that many documents share."
