@@ -169,16 +169,34 @@ def test_topk_edges(spark):
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)]
     rows += [(60, [0.0] * 8), (61, [0.0] * 8), (62, None), (63, [1.0, None]), (64, [float("nan")] * 8), (65, [float("inf")] * 8), (66, [1.0, 2.0]), (80, [1e6] * 8), (80, [1e6] * 8)]
     table = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id bigint, embedding array<float>, label int")
-    q = topk_search.quantised(table)
-    got = sorted(map(tuple, topk_search.search(q, q.filter("vec_id % 20 = 0"), k=5).collect()))
+    q = topk_search.quantised(table.withColumn("code", F.lit("clash")))
+    got = sorted(map(tuple, topk_search.search(q, F.col("vec_id") % 20 == 0, k=5).collect()))
     fine = [(i, np.floor(64 * np.array(v, np.float32).astype(float))) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for i, v in fine:
+    for a, (i, v) in enumerate(fine):
         if i % 20 == 0:
-            best = sorted((-int(v @ w), j) for j, w in fine if j != i and len(w) == len(v))[:5]
+            best = sorted((-int(v @ w), j) for b, (j, w) in enumerate(fine) if b != a and len(w) == len(v))[:5]
+            want += [(i, k, j, -s) for k, (s, j) in enumerate(best, 1)]
+    assert got == sorted(want) and (80, 1, 80) in {g[:3] for g in got}
+    assert topk_search.search(q.limit(0), F.lit(True)).count() == 0
+
+
+def test_topk_prunes_clusters(spark, monkeypatch):
+    for name, n in (("BLOCK_ROWS", 32), ("GROUP_ROWS", 16), ("LANE_BLOCKS", 4)):
+        monkeypatch.setattr(topk_search, name, n)
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(40, 16)) * 4, 50, axis=0) + rng.normal(size=(2000, 16)) / 4
+    q = topk_search.quantised(spark.createDataFrame([(i, v.tolist()) for i, v in zip(rng.permutation(2000).tolist(), x)], "vec_id bigint, embedding array<float>"))
+    scored = spark.sparkContext.accumulator(0)
+    got = sorted(map(tuple, topk_search.search(q, F.col("vec_id") % 20 == 0, counter=scored).collect()))
+    rows = [(r.vec_id, np.array(r.v)) for r in q.collect()]
+    want = []
+    for i, v in rows:
+        if i % 20 == 0:
+            best = sorted((-int(v @ w), j) for j, w in rows if j != i)[:20]
             want += [(i, k, j, -s) for k, (s, j) in enumerate(best, 1)]
     assert got == sorted(want)
-    assert topk_search.search(q.limit(0), q.limit(0)).count() == 0
+    assert scored.value < 0.3 * 100 * (2000 / 32)
 
 
 def test_licenses_in_other_spellings(spark):
