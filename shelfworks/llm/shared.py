@@ -78,9 +78,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def in_batches(frame: DataFrame, max_mb: int = 8) -> DataFrame:
-    """Ship the code, and bound the Arrow batches that Python workers get, so that long texts do not pile up in one."""
+    """Ship the code, and bound the batches that Parquet readers and Python workers hold, so that long texts do not pile up in one."""
     ship(frame.sparkSession)
     conf = frame.sparkSession.conf
+    conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_mb << 20))
     return frame
