@@ -1,13 +1,24 @@
 """Toxicity by a weighted pattern grammar over clauses.
 
-Five small transducers read a clause's words: insult and threat arcs carry weights, target words raise them, a negation
-lowers what follows within a few words, and a verb of reported speech lowers the rest of the clause. They are composed
-into one transition table, which runs over every clause that holds an insult or threat arc. A document's clause scores
+Five transducers read a clause's words, each a small machine over word classes:
+
+* insult: an insult word by itself, right after its target ("you idiot"), or behind target and verb to be with a few words
+  between ("you are such a complete idiot");
+* threat: intent, a verb of harm and its target within a few words ("I will really hurt you"), the verb and its target
+  alone, or a doom that is announced to a target ("you will die"); a harmless object behind the verb ends the path
+  ("to kill time"), and a verb of harm by itself is nothing;
+* target: a person addressed earlier in the clause raises what follows;
+* negation: lowers what follows within a few words; a second negation takes it back;
+* reported speech: a verb of speech or an opening quotation mark lowers the rest of the clause, or of the quotation.
+
+They are composed into one transition table, which runs over every clause that holds an insult, a verb of harm or a doom:
+what the insult and threat machines put out is weighed by what the others say at that word. A document's clause scores
 (the largest, their sum and their density) give its score through a logistic curve.
 
-Arcs are seed words and, learnt from labelled texts, words and word beginnings whose weight is their log-odds among
-toxic and other texts. Learning reads at most ``max_docs`` labelled texts, one of each group of like texts; the counts
-are aggregated by Spark, and at most ``max_arcs`` arcs come to the driver. Scoring reads every whole text once.
+Insults are seed words and, learnt from labelled texts, words and word beginnings whose weight is their log-odds among
+toxic and other texts. Learning reads at most ``max_docs`` labelled texts; of texts that share their smallest 3-word hash
+and their label each counts the less the more there are, and none is dropped. The counts are aggregated by Spark, and at
+most ``max_arcs`` arcs come to the driver. Scoring reads every whole text once.
 
 Defined cases: a null or empty text has no clause and gets the base score; without labels of both kinds the seed arcs
 and a fixed curve are used; a document labelled more than once is toxic if any label says so; repeated rows are scored
@@ -16,8 +27,10 @@ one by one; an empty table gives an empty result; other columns are kept, but fo
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -27,62 +40,132 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from shelfworks.llm.quality import fold
-from shelfworks.llm.shared import in_batches, table, written
+from shelfworks.llm.shared import in_batches, small, table, written
 from shelfworks.llm.words import Remembered, shingle_hashes, word_hash
 
 MAX_DOCS, MAX_ARCS = 30_000, 2_000
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7, 8)
+#: What one text counts that shares its smallest hash with no other.
+WEIGHT = 720_720
 #: An arc's least log-odds, share of the toxic texts, and log-likelihood that it is no chance meeting.
 LEAST_ODDS, LEAST_SHARE, LEAST_EVIDENCE = 2.5, 0.005, 9.0
 
-#: Seed words of each transducer.
+#: Words of each class.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting imbecile".split()
-THREATS = "kill murder strangle stab shoot hang".split()
-TARGETS = "you your yours you're they them their he she him her these those du dich dein vous toi ton tu ustedes".split()
-NEGATIONS = "not no never isn't aren't don't nicht kein keine pas jamais nunca".split()
-REPORTS = "said says wrote writes quoted reported claims called sagte schrieb dit écrit dijo escribió".split()
-SEED_WEIGHT, MOST_WEIGHT = 3.0, 8.0
-
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
-NEGATED_WORDS = 2
+HARM = (
+    "kill kills murder murders strangle stab shoot hang hurt beat punch smash destroy burn töten umbringen erschießen schlagen tuer frapper "
+    "égorger matar golpear"
+).split()
+DOOM = "die suffer bleed dead regret sterben mourir crever morir".split()
+INTENT = "will i'll we'll he'll they'll gonna going shall want wants should must let werde wird will vais va voy va".split()
+TARGETS = (
+    "you your yours yourself yourselves you're you'll u he she him her his them they their everyone du dich dir dein euch vous toi te ton ta tu ti ustedes"
+).split()
+BEING = "are is am was were be being re bist ist seid es êtes est eres son such sounds look looks".split()
+HARMLESS = (
+    "time photo photos picture pictures film movie video scene light lights engine process server pain boredom record records coat "
+    "clothes curtains laundry egg eggs market deadline calories drums hoops"
+).split()
+NEGATIONS = "not no never isn't aren't don't won't can't wasn't weren't didn't nobody nicht kein keine niemand pas jamais personne nunca nadie".split()
+REPORTS = (
+    "said says say saying wrote writes quoted quotes reported reportedly claims claimed called according tweeted sagte schrieb dit écrit dijo escribió"
+).split()
+SEED_WEIGHT, THREAT_WEIGHT, MOST_WEIGHT = 3.0, 6.0, 8.0
+
+#: The word classes; QUOTE is a quotation mark, END the end of a clause.
+OTHER, INSULT, HARMING, DOOMING, INTENDING, TARGET, TO_BE, OBJECT, NEGATION, REPORT, QUOTE = range(11)
+CLASSES = 11
+#: How many words a path may pass over.
+SPAN = 3
 _EDGES = bytes(b for b in range(33, 127) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
+_QUOTES = re.compile("[\"“”„«»]")
 #: What the base curve is without labels: bias, then weights of the features.
 BASE_CURVE = np.array([-3.0, 0.6, 0.3, 0.3])
 
+#: A transducer: its number of states (0 is the start) and, by (state, class), the next state and what it puts out.
+Machine = tuple[int, dict[tuple[int, int], tuple[int, float]]]
 
-def negation() -> tuple[int, dict]:
-    """States: words left under a negation. Factor of a match: 0.5 while some are left."""
+
+def insult() -> Machine:
+    """States: 0; 1 right after a target; 2 and on: words left after target and verb to be. Puts out the factor of an insult's weight."""
+    t = {}
+    for s, x in product(range(2 + SPAN), range(CLASSES)):
+        left = s - 2 if s >= 2 else 0
+        after = 1 if x == TARGET else 1 + SPAN if x == TO_BE and s else 1 + left if left and x in (OTHER, NEGATION, INSULT) else 0
+        t[s, x] = (after, (1.5 if s else 1.0) if x == INSULT else 0.0)
+    return 2 + SPAN, t
+
+
+def threat() -> Machine:
+    """States: what has been seen (target, intent, target and intent, verb of harm, intent and verb) and the words left. Puts out the share of a threat."""
+    seen = ("target", "intent", "both", "harm", "meant")
+    states = [None, *product(seen, range(1, SPAN + 1))]
+    at = {s: i for i, s in enumerate(states)}
+    t = {}
+    for s, x in product(states, range(CLASSES)):
+        what, left = s or (None, 0)
+        then, out = (what if left > 1 else None), 0.0
+        fresh = x != OTHER
+        if x == TARGET:
+            out = {"harm": 0.6, "meant": 1.0}.get(what, 0.0)
+            then = "target"
+        elif x == INTENDING:
+            then = "both" if what == "target" else "intent" if what != "both" else "both"
+        elif x == HARMING:
+            then = "meant" if what in ("intent", "both") else "harm"
+        elif x == DOOMING:
+            out = 0.8 if what == "both" else 0.0
+            then = None
+        elif x == OBJECT:
+            then = None
+        else:
+            fresh = False
+        t[at[s], x] = (at[None if then is None else (then, SPAN if fresh else left - 1)], out)
+    return len(states), t
+
+
+def negation() -> Machine:
+    """States: words left under a negation. Puts out a factor of 0.3 while some are left."""
     t = {}
-    for left, symbol in product(range(NEGATED_WORDS + 1), range(6)):
-        t[left, symbol] = (NEGATED_WORDS if symbol == NEGATION else max(0, left - 1), 0.5 if left else 1.0)
-    return NEGATED_WORDS + 1, t
+    for left, x in product(range(SPAN + 2), range(CLASSES)):
+        t[left, x] = ((0 if left else SPAN + 1) if x == NEGATION else max(0, left - 1), 0.3 if left else 1.0)
+    return SPAN + 2, t
 
 
-def reported() -> tuple[int, dict]:
-    """States: a verb of speech seen in the clause or not. Factor of a match after it: 0.7."""
-    return 2, {(s, x): (1 if x == REPORT else s, 0.7 if s else 1.0) for s, x in product(range(2), range(6))}
+def reported() -> Machine:
+    """States: 0; 1 behind a verb of speech; 2 inside a quotation. Puts out a factor of 0.4 in both."""
+    t = {}
+    for s, x in product(range(3), range(CLASSES)):
+        t[s, x] = ((0 if s == 2 else 2) if x == QUOTE else 1 if x == REPORT and s == 0 else s, 0.4 if s else 1.0)
+    return 3, t
 
 
-def targeted() -> tuple[int, dict]:
-    """States: a target seen in the clause or not. Factor of a match after it: 1.3."""
-    return 2, {(s, x): (1 if x == TARGET else s, 1.3 if s else 1.0) for s, x in product(range(2), range(6))}
+def targeted() -> Machine:
+    """States: a target seen in the clause or not. Puts out a factor of 1.2 after it."""
+    return 2, {(s, x): (1 if x == TARGET else s, 1.2 if s else 1.0) for s, x in product(range(2), range(CLASSES))}
 
 
-def compose(*machines: tuple[int, dict]) -> tuple[np.ndarray, np.ndarray]:
-    """The product of transducers: next state and factor by (state, symbol); state 0 starts a clause."""
+def compose(*machines: Machine) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The product of transducers: the next state by (state, class), and what each machine puts out there; state 0 starts a clause."""
     sizes = [n for n, _ in machines]
-    states = {s: i for i, s in enumerate(product(*map(range, sizes)))}
-    to, factor = np.zeros((len(states), 7), np.int16), np.ones((len(states), 7))
-    for s, i in states.items():
-        for x in range(6):
-            steps = [t[k, x] for k, (_, t) in zip(s, machines)]
-            to[i, x] = states[tuple(k for k, _ in steps)]
-            factor[i, x] = np.prod([f for _, f in steps]) if x in (INSULT, THREAT) else 1.0
-    return to, factor  # END goes to state 0
+    to, outs = np.zeros((1, CLASSES), np.int64), []
+    for n, t in machines:
+        step = np.array([[t[s, x][0] for x in range(CLASSES)] for s in range(n)])
+        to = (to[:, None, :] * n + step[None]).reshape(-1, CLASSES)
+    states = np.array(list(product(*map(range, sizes))))
+    for k, (n, t) in enumerate(machines):
+        out = np.array([[t[s, x][1] for x in range(CLASSES)] for s in range(n)])
+        outs.append(out[states[:, k]])
+    return to, outs
 
 
-GRAMMAR = compose(negation(), reported(), targeted())
+@lru_cache(maxsize=1)
+def grammar() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By state and class: the next state, the factor of the word's own weight, and the threat's weight."""
+    to, (insults, threats, denied, said, aimed) = compose(insult(), threat(), negation(), reported(), targeted())
+    factor = denied * said * aimed
+    return to, insults * factor, THREAT_WEIGHT * threats * factor
 
 
 def plain(word: bytes) -> bytes:
@@ -91,45 +174,53 @@ def plain(word: bytes) -> bytes:
 
 
 class Lexicon:
-    """word -> a number that packs its arc: symbol, whether it ends a clause, and the arc's weight in hundredths."""
+    """word -> a number that packs its class, whether it ends a clause, and the weight of an insult in hundredths."""
 
     def __init__(self, arcs: dict[bytes, float]):
-        self.whole = {w.encode(): (INSULT, SEED_WEIGHT) for w in INSULTS} | {w.encode(): (THREAT, SEED_WEIGHT / 2) for w in THREATS}
-        self.whole |= {w: (INSULT, x) for w, x in arcs.items() if not w.endswith(b"*")}
-        self.starts = {w[:-1]: x for w, x in arcs.items() if w.endswith(b"*")}
-        for symbol, names in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
+        self.whole: dict[bytes, tuple[int, float]] = {}
+        for symbol, names in (
+            (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (HARMING, HARM), (DOOMING, DOOM), (INTENDING, INTENT), (TO_BE, BEING), (OBJECT, HARMLESS),
+        ):
             for w in names:
                 self.whole.setdefault(w.encode(), (symbol, 0.0))
+        self.whole |= {w.encode(): (INSULT, SEED_WEIGHT) for w in INSULTS}
+        for w, x in arcs.items():
+            if not w.endswith(b"*") and self.whole.get(w, (INSULT, 0))[0] == INSULT:
+                self.whole[w] = (INSULT, x)
+        self.starts = {w[:-1]: x for w, x in arcs.items() if w.endswith(b"*")}
         self.codes = Remembered(self.code)
 
     def code(self, word: bytes) -> int:
-        w = plain(word)
+        if word == b"\x01":
+            return QUOTE
+        w = plain(word).replace(b"\xe2\x80\x99", b"'")
         symbol, weight = self.whole.get(w, (OTHER, 0.0))
         for n in reversed(PREFIXES):
             if symbol == OTHER and len(w) >= n and w[:n] in self.starts:
                 symbol, weight = INSULT, self.starts[w[:n]]
         ends = word[-1] in b".!?;:," or word == b"\x00"
-        return symbol | ends << 3 | int(min(weight, MOST_WEIGHT) * 100) << 4
+        return symbol | ends << 4 | int(min(weight, MOST_WEIGHT) * 100) << 5
 
     def clauses(self, text: str | None) -> tuple[list[float], int]:
         """Scores of the clauses that hold a match, and the number of words."""
-        found = (text or "").encode().replace(b"\n", b" \x00 ").split()
+        found = _QUOTES.sub(" \x01 ", text or "").encode().replace(b"\n", b" \x00 ").split()
         codes = self.codes.of(found, np.int64)
-        symbols = codes & 7
-        hits = np.flatnonzero((symbols == INSULT) | (symbols == THREAT))
+        symbols = codes & 15
+        hits = np.flatnonzero((symbols >= INSULT) & (symbols <= DOOMING))
         if not len(hits):
             return [], len(found)
-        to, factor = GRAMMAR
-        ends = np.flatnonzero(codes & 8)
+        to, insults, threats = grammar()
+        ends = np.flatnonzero(codes & 16)
         out = []
         for clause in np.unique(np.searchsorted(ends, hits)):
             a, b = (0 if clause == 0 else ends[clause - 1] + 1), (ends[clause] + 1 if clause < len(ends) else len(found))
             state, total = 0, 0.0
             for code in codes[a:b].tolist():
-                x = code & 7
-                total += factor[state, x] * (code >> 4) / 100
+                x = code & 15
+                total += insults[state, x] * (code >> 5) / 100 + threats[state, x]
                 state = to[state, x]
-            out.append(total)
+            if total:
+                out.append(total)
         return out, len(found)
 
     def features(self, text: str | None) -> np.ndarray:
@@ -145,7 +236,7 @@ def _candidates(text: str | None) -> set[bytes]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """At most ``max_docs`` labelled texts as ``doc_id, text, toxic``, one of each group with the same smallest 3-word hashes."""
+    """At most ``max_docs`` labelled texts as ``doc_id, text, toxic, weight``: texts with one smallest 3-word hash and label share a weight of WEIGHT."""
     order = F.xxhash64("doc_id", F.lit("toxic"))
     picked = labels.dropna().groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic")).orderBy(order, "doc_id").limit(max_docs)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most max_docs ids
@@ -155,31 +246,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS
         for b in batches:
             out = []
             for t in b.column("text"):
-                h = np.unique(shingle_hashes(memory.of([plain(w) for w in (t.as_py() or "").encode().split()]), 3))
-                out.append(int(h[0] >> np.uint64(1)) if len(h) else -1)
+                h = shingle_hashes(memory.of([plain(w) for w in (t.as_py() or "").encode().split()]), 3)
+                out.append(int(h.min() >> np.uint64(1)) if len(h) else -1)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("text"), b.column("toxic"), pa.array(out, pa.int64())], names=["doc_id", "text", "toxic", "sketch"]
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    sketches = in_batches(rows).mapInArrow(sketched, f"doc_id {kind}, text string, toxic boolean, sketch bigint")
-    kept = written(sketches, "labelled")
-    first = kept.groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic")
-    return kept.join(F.broadcast(first), ["doc_id", "toxic"], "left_semi").select("doc_id", "text", "toxic")
+    kept = written(in_batches(rows).mapInArrow(sketched, f"doc_id {kind}, text string, toxic boolean, sketch bigint"), "labelled")
+    groups = kept.groupBy("sketch", "toxic").agg(F.expr(f"{WEIGHT} div count(1)").alias("weight"))
+    return kept.join(small(groups), ["sketch", "toxic"]).select("doc_id", "text", "toxic", "weight")
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_arcs: int = MAX_ARCS) -> tuple[dict, np.ndarray]:
     """Arcs and curve from ``labels`` (doc_id, toxic) of ``docs`` (doc_id, text)."""
     sample = written(labelled_sample(docs, labels, max_docs), "sample")
-    n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    n = {r.toxic: r.n for r in sample.groupBy("toxic").agg((F.sum("weight") / WEIGHT).alias("n")).collect()}
     if len(n) < 2:
         return {}, BASE_CURVE
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, other = Counter(), Counter()
         for b in batches:
-            for t, y in zip(b.column("text"), b.column("toxic")):
-                (toxic if y.as_py() else other).update(_candidates(t.as_py()))
+            for t, y, x in zip(b.column("text"), b.column("toxic"), b.column("weight").to_pylist()):
+                into = toxic if y.as_py() else other
+                for w in _candidates(t.as_py()):
+                    into[w] += x
         found = [*set(toxic) | set(other)]
         for k in range(0, len(found), 50_000):
             part = found[k : k + 50_000]
@@ -189,7 +281,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_arcs
             )
 
     counts = in_batches(sample).mapInArrow(counted, "arc binary, toxic bigint, other bigint").groupBy("arc").agg(
-        F.sum("toxic").alias("t"), F.sum("other").alias("o")
+        (F.sum("toxic") / WEIGHT).alias("t"), (F.sum("other") / WEIGHT).alias("o")
     )
     odds = F.log((F.col("t") + 0.5) / (n[True] + 1.0)) - F.log((F.col("o") + 0.5) / (n[False] + 1.0))
     least = max(3, int(LEAST_SHARE * n[True]))
@@ -202,26 +294,27 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_arcs
         lexicon = Lexicon(arcs)
         for b in batches:
             x = [lexicon.features(t.as_py()).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(x, pa.binary())], names=["doc_id", "toxic", "x"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "toxic", "weight")), pa.array(x, pa.binary())], names=["doc_id", "toxic", "weight", "x"])
 
-    rows = in_batches(sample).mapInArrow(featured, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic boolean, x binary").collect()
+    rows = in_batches(sample).mapInArrow(featured, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic boolean, weight bigint, x binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.x)))
-    return arcs, fit_curve(np.array([np.frombuffer(r.x) for r in rows]), np.array([r.toxic for r in rows], float))
+    x, y, weight = np.array([np.frombuffer(r.x) for r in rows]), np.array([r.toxic for r in rows], float), np.array([r.weight / WEIGHT for r in rows])
+    return arcs, fit_curve(x, y, weight)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression with a small penalty by Newton steps."""
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weighted logistic regression with a small penalty by Newton steps."""
     w = np.zeros(x.shape[1])
     keep = ridge * np.diag([0.01, *[1.0] * (x.shape[1] - 1)])
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w + np.linalg.solve((x.T * (p * (1 - p) + 1e-6)) @ x + keep, x.T @ (y - p) - keep @ w)
+        w = w + np.linalg.solve((x.T * (weight * p * (1 - p) + 1e-6)) @ x + keep, x.T @ (weight * (y - p)) - keep @ w)
     return w
 
 
 def score(docs: DataFrame, arcs: dict[bytes, float], curve: np.ndarray) -> DataFrame:
     """All columns of ``docs`` with ``score``, the estimated probability of a toxic text."""
-    kept = [c for c in docs.columns if c != "score"]
+    kept = [c for c in docs.columns if c.lower() != "score"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(arcs)
