@@ -2,8 +2,8 @@
 
 Each source's documents, in the order of their ids, are one stream of words that is packed into fixed-length blocks. A
 source gets as many slots as its target asks for. Slots are dealt to output shards by multinomial draws that keep each
-source's total: every draw halves a range of shards, so a shard finds its counts and first slot from the root in
-log2(shards) seeded draws, and no task sees all shards. A slot's number goes through its source's pseudorandom
+source's total: every seeded draw halves a range of shards. A source's ranges of a few shards are found first and dealt
+out; each is then halved further by itself, and ranges without slots are not walked. A slot's number goes through its source's pseudorandom
 permutation of block numbers (a Feistel network per pass over the source), and blocks are joined by that index.
 
 Defined cases: a null text has no words; documents without words are taken 0 times; a null source is a source of its
@@ -17,18 +17,19 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfworks.functions.numbering import in_order, number_rows
-from shelfworks.llm.shared import in_batches, ship, small, table, written
+from shelfworks.llm.shared import in_batches, small, table, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK_WORDS = 64
 SHARD_BLOCKS = 16_384
+#: Shards of a source that one row stands for until they are dealt one by one.
+SHARD_RANGE = 8
 SEED = 20_240
 
 
@@ -72,17 +73,22 @@ def _seed(*parts: object) -> int:
     return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=8).digest(), "big")
 
 
-def shard_range(seed: int, source: str | None, slots: int, shard: int, shards: int) -> tuple[int, int]:
-    """First slot and number of slots that ``shard`` gets of a source: one seeded binomial draw per halving."""
-    lo, hi, first = 0, shards, 0
-    while hi - lo > 1 and slots:
+def dealt(seed: int, source: str | None, lo: int, hi: int, first: int, slots: int, width: int) -> Iterator[tuple[int, int, int, int]]:
+    """``lo, hi, first, slots`` of the ranges of at most ``width`` shards below [lo, hi) that get slots: one seeded binomial draw per halving.
+
+    The draws depend on the ranges alone, so a range may be walked on elsewhere.
+    """
+    open_ = [(lo, hi, first, slots)]
+    while open_:
+        lo, hi, first, slots = open_.pop()
+        if not slots:
+            continue
+        if hi - lo <= width:
+            yield lo, hi, first, slots
+            continue
         mid = (lo + hi) // 2
         left = int(np.random.default_rng(_seed(seed, source, lo, hi)).binomial(slots, (mid - lo) / (hi - lo)))
-        if shard < mid:
-            hi, slots = mid, left
-        else:
-            lo, first, slots = mid, first + left, slots - left
-    return first, slots
+        open_ += [(mid, hi, first + left, slots - left), (lo, mid, first, left)]
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -130,7 +136,6 @@ def packed_blocks(sized: DataFrame, targets: DataFrame, block: int = BLOCK_WORDS
 
 def slots(targets: DataFrame, block: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
     """One row for each slot of the mix: ``shard, sid, slot, block``."""
-    ship(targets.sparkSession)
     sized = targets.filter("source_size > 0").select(
         "sid", "source", F.ceil(F.col("source_size") / block).cast("long").alias("blocks"), "source_size", "target"
     )
@@ -138,23 +143,36 @@ def slots(targets: DataFrame, block: int = BLOCK_WORDS, shard_blocks: int = SHAR
     total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_blocks))
 
-    @F.pandas_udf("struct<first: bigint, n: bigint>")
-    def dealt(source: pd.Series, n: pd.Series, shard: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shard_range(seed, s, int(k), int(h), shards) for s, k, h in zip(source, n, shard)], columns=["first", "n"])
+    key = F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.lit(seed))
+    whole = sized.select("sid", "source", "blocks", key.alias("key"), F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("hi"), F.lit(0).cast("long").alias("first"), "n")
+    names = whole.columns
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each source's ranges of SHARD_RANGE shards."""
+        for b in batches:
+            for r in b.to_pylist():
+                got = list(dealt(seed, r["source"], r["lo"], r["hi"], r["first"], r["n"], SHARD_RANGE))
+                if got:
+                    yield pa.RecordBatch.from_pylist([r | dict(zip(("lo", "hi", "first", "n"), x)) for x in got], schema=b.schema)
 
-    @F.pandas_udf("bigint")
-    def block_of(sid_key: pd.Series, slot: pd.Series, blocks: pd.Series) -> pd.Series:
-        k, n = slot.to_numpy(), blocks.to_numpy()
-        with np.errstate(over="ignore"):
-            key = _mix64(sid_key.to_numpy().astype(np.uint64) + (k // n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        return pd.Series(permuted(k % n, n, key))
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each range's shards with their slots and the blocks that these stand for."""
+        for b in batches:
+            for r in b.to_pylist():
+                for shard, _, first, n in dealt(seed, r["source"], r["lo"], r["hi"], r["first"], r["n"], 1):
+                    for at in range(first, first + n, 1 << 16):
+                        slot = np.arange(at, min(at + (1 << 16), first + n), dtype=np.int64)
+                        with np.errstate(over="ignore"):
+                            turn = _mix64(np.uint64(r["key"] % (1 << 64)) + (slot // r["blocks"]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                        block = permuted(slot % r["blocks"], np.full(len(slot), r["blocks"]), turn)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(slot), x)) for x in (shard, r["sid"])] + [pa.array(slot), pa.array(block)], names=["shard", "sid", "slot", "block"]
+                        )
 
     tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number, which is not merged into one task
-    per_shard = sized.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(tasks, "sid", "shard")
-    per_shard = per_shard.withColumn("d", dealt("source", "n", "shard")).filter("d.n > 0")
-    each = per_shard.withColumn("slot", F.explode(F.sequence(F.col("d.first"), F.col("d.first") + F.col("d.n") - 1)))
-    key = F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.lit(seed))
-    return each.select("shard", "sid", "slot", block_of(key, F.col("slot"), F.col("blocks")).alias("block"))
+    kinds = "sid bigint, source string, blocks bigint, key bigint, lo bigint, hi bigint, first bigint, n bigint"
+    parts = in_batches(whole.repartition(tasks, "sid")).mapInArrow(ranges, kinds).repartition(tasks, "sid", "lo")
+    return in_batches(parts.select(*names)).mapInArrow(numbers, "shard bigint, sid bigint, slot bigint, block bigint")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, block: int = BLOCK_WORDS) -> dict[str, DataFrame]:

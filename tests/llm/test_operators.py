@@ -2,12 +2,14 @@
 
 import os
 import random
+import textwrap
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfworks.llm import components, decontaminate, license_scan, mixing, near_dups, quality, suffix_dedup, token_counts, topk_search, toxicity, url_filter
+from shelfworks.llm import components, decontaminate, license_scan, license_texts, mixing, near_dups, quality, suffix_dedup, token_counts, topk_search, toxicity, url_filter
 from shelfworks.llm.shared import new_path
 from shelfworks.llm.words import word_hashes
 from tests.llm import brute
@@ -199,11 +201,27 @@ def test_topk_prunes_clusters(spark, monkeypatch):
     assert scored.value < 0.3 * 100 * (2000 / 32)
 
 
-def test_licenses_in_other_spellings(spark):
-    texts = ["Copyright 2020 A\nLICENSED under the apache licence version 2.0", "Some words.\n(c) me\nReleased under the MIT Licence", "We like the MIT License.", None, ""]
-    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], ODD)
-    got = {r.doc_id: (r.licenses, r.n_notices, r.whole_text) for r in license_scan.scan(docs, license_scan.known_digests(spark)).collect()}
-    assert got == {0: ("Apache-2.0", 1, True), 1: ("MIT", 1, False), 2: ("", 0, False), 3: ("", 0, False), 4: ("", 0, False)}
+def test_licenses_in_other_spellings(spark, tmp_path):
+    bodies = {name: (title, body) for name, title, body in license_texts.LICENSES}
+    title, mit = bodies["MIT"]
+    wrapped = "\n".join(f" * {line}" for line in textwrap.wrap(mit.replace("sublicense", "sub-license").lower(), 50, break_on_hyphens=False))
+    texts = [
+        "Copyright 2020 A\nLICENSED under the apache licence version 2.0", "Some words.\n(c) me\nReleased under the MIT Licence", "We like the MIT License.", None, "",
+        f"{title}\n\nCopyright (c) 2020 Some One\nAll rights reserved.\n\n{mit}\n", f"int x;\n/*\n * Copyright 2021 B\n{wrapped}\n */\nint y;", mit.replace("sublicense,", ""),
+        "Before.\n" + "\n".join(f"{bodies[n][1]}\nBetween {n}." for n in ("BSD-3-Clause", "ISC", "BSD-2-Clause")), "Licensed\nunder\nCC BY 4.0.\n" * 3,
+        "word " * 100_000 + "\n# Released under the MIT License.\n" + "x" * 300_000, "--- ***\nCopyright\n",
+    ]
+    want = {
+        0: ("Apache-2.0", 1, True), 1: ("MIT", 1, False), 2: ("", 0, False), 3: ("", 0, False), 4: ("", 0, False), 5: ("MIT", 2, True), 6: ("MIT", 1, False), 7: ("", 0, False),
+        8: ("BSD-2-Clause,BSD-3-Clause,ISC", 3, False), 9: ("CC-BY-4.0", 3, False), 10: ("MIT", 1, False), 11: ("", 0, False),
+    }
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)] * 2, ODD)
+    got = [(r.doc_id, (r.licenses, r.n_notices, r.whole_text)) for r in license_scan.scan(docs, license_scan.known_digests(spark)).collect()]
+    assert sorted(got) == sorted([*want.items()] * 2)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted((r[0], r[1:]) for r in con.execute(license_scan.ORACLE_SQL).fetchall()) == sorted(got)
     assert license_scan.scan(docs.limit(0), license_scan.known_digests(spark)).count() == 0
 
 
@@ -277,8 +295,12 @@ def test_permutation_is_one():
 
 
 def test_shards_share_out_all_slots():
-    got = [mixing.shard_range(1, "s", 1000, h, 7) for h in range(7)]
-    assert [f for f, _ in got] == [sum(n for _, n in got[:h]) for h in range(7)] and sum(n for _, n in got) == 1000
+    got = list(mixing.dealt(1, "s", 0, 70, 0, 1000, 1))
+    assert [first for _, _, first, _ in got] == [sum(g[3] for g in got[:h]) for h in range(len(got))] and sum(g[3] for g in got) == 1000
+    assert all(hi == lo + 1 and n for lo, hi, _, n in got)
+    again = [x for r in mixing.dealt(1, "s", 0, 70, 0, 1000, 9) for x in mixing.dealt(1, "s", *r, 1)]
+    assert sorted(again) == got
+    assert list(mixing.dealt(1, "s", 0, 70, 0, 0, 1)) == []
 
 
 def test_mixing(spark, sf_dir):
@@ -372,8 +394,8 @@ def test_shortened_keeps_rows_and_columns(spark):
     assert suffix_dedup.shortened(spark.createDataFrame([], ODD)).count() == 0
 
 
-def _held_out(spark, scored, label):
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+def _held_out(spark, scored, label, sf="0.01"):
+    labels = spark.read.parquet(f"/root/testdata/sf{sf}/labels.parquet")
     rows = scored.filter("held_out").join(labels, "doc_id").collect()
     return np.array([r.score for r in rows]), np.array([r[label] for r in rows]), np.array([r.predicted for r in rows])
 
@@ -384,8 +406,9 @@ def test_quality_on_held_out_labels(spark):
 
 
 def test_toxicity_on_held_out_labels(spark):
-    score, truth, predicted = _held_out(spark, toxicity.op10_toxicity(spark, "/root/testdata/sf0.01"), "toxic")
-    assert np.mean(predicted == truth) > 0.9 and score[truth == 1].mean() > 2 * score[truth == 0].mean()
+    score, truth, predicted = _held_out(spark, toxicity.op10_toxicity(spark, "/root/testdata/sf0.1"), "toxic", "0.1")
+    assert truth[predicted == 1].mean() > 0.85 and predicted[truth == 1].mean() > 0.85
+    assert score[truth == 1].mean() > 2 * score[truth == 0].mean() and score.min() >= 0 and score.max() <= 1
 
 
 def test_scores_without_labels_and_of_odd_rows(spark):
@@ -400,11 +423,41 @@ def test_scores_without_labels_and_of_odd_rows(spark):
 
 def test_grammar_reads_clauses():
     lexicon = toxicity.Lexicon({})
-    plain, negated, aimed, said = (lexicon.clauses(t)[0] for t in ("an idiot here", "not an idiot", "you are an idiot", "he said idiot"))
-    assert negated[0] < plain[0] < aimed[0] and said[0] < aimed[0]
+    score = lambda t: max(lexicon.clauses(t)[0], default=0.0)
+    direct = [
+        "I will kill you tomorrow", "we are going to hurt him badly", "you will die", "I am really gonna beat them", "you are an idiot", "you are such a complete idiot",
+        "you idiot", "we shall murder all of you",
+    ]
+    softer = [
+        "I will not kill you", "she wrote that he will kill you", 'He said "you are an idiot"', "nobody said you are an idiot", "you are not an idiot",
+        "they are never worthless", "an idiot here", "kill yourself", "he reported that they will hurt him",
+    ]
+    clean = ["He wants to kill time", "I will shoot the photos and hang the pictures", "we beat the eggs", "they will destroy the old server", "you will see him", "all of them die"]
+    assert min(map(score, direct)) > max(map(score, softer)) and min(map(score, softer)) > max(map(score, clean)) == 0
+    assert score("you are not an idiot") < score("he is never not an idiot") < score("you are an idiot")
     assert len(lexicon.clauses("idiot. moron, scum")[0]) == 3 and lexicon.clauses("fine words")[0] == []
 
 
+def test_composed_machines_say_what_each_says():
+    machines = [toxicity.insult(), toxicity.threat(), toxicity.negation(), toxicity.reported(), toxicity.targeted()]
+    to, outs = toxicity.compose(*machines)
+    rng = random.Random(9)
+    for _ in range(50):
+        state, own = 0, [0] * len(machines)
+        for x in [rng.randrange(toxicity.CLASSES) for _ in range(12)]:
+            want = [t[s, x] for (_, t), s in zip(machines, own)]
+            assert [o[state, x] for o in outs] == [out for _, out in want]
+            state, own = to[state, x], [s for s, _ in want]
+
+
+def test_alike_texts_share_their_weight(spark):
+    rows = [(i, "the same words again", "s") for i in range(4)] + [(9, "quite other words here", "s"), (10, None, "s")]
+    docs = spark.createDataFrame(rows, ODD)
+    labels = spark.createDataFrame([(i, 0) for i, *_ in rows], "doc_id bigint, toxic int")
+    got = {r.doc_id: r.weight for r in toxicity.labelled_sample(docs, labels).collect()}
+    assert got == {i: toxicity.WEIGHT // 4 for i in range(4)} | {9: toxicity.WEIGHT, 10: toxicity.WEIGHT}
+
+
 def test_prior_and_risk():
     rng = np.random.default_rng(0)
     p = rng.normal(2, 1, (2000, 1))
