@@ -17,17 +17,28 @@ _BITS = 33
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (all of whose tasks run in the driver) gets a temporary folder; a cluster gets an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("shelfworks.shared.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="shelfworks-")
         spark.conf.set("shelfworks.shared.dir", base)
     return base
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nobody has used."""
+    return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: the lineage is cut and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

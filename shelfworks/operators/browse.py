@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from shelfworks.functions.numbering import number_rows
 
 PAGE, ALL = 6, "todos"
+#: Requests for all phones in one call of browse_many().
+MOST_ALL = 1_000
 
 
 def brand_list(brand: DataFrame) -> DataFrame:
@@ -41,10 +43,18 @@ def browse(cat: DataFrame, brand: str) -> DataFrame:
 
 
 def browse_many(requests: DataFrame, cat: DataFrame) -> DataFrame:
-    """browse() for a table of requests (request_id, brand): an equi-join for brands, all rows for the word for all."""
-    named = requests.filter(F.col("brand") != ALL).join(cat, "brand")
-    every = requests.filter(F.col("brand") == ALL).select("request_id").join(cat)
-    return named.select("request_id", "id_phone").union(every.select("request_id", "id_phone"))
+    """browse() for a table of requests (request_id, brand): an equi-join for brands; the requests for all are opened on each phone.
+
+    At most MOST_ALL requests may ask for all phones, as each has a row for every phone.
+    """
+    named = requests.filter(F.col("brand") != ALL).join(cat, "brand").select("request_id", "id_phone")
+    every = [r.request_id for r in requests.filter(F.col("brand") == ALL).select("request_id").limit(MOST_ALL + 1).collect()]
+    if len(every) > MOST_ALL:
+        raise ValueError(f"more than {MOST_ALL} requests for all phones")
+    if not every:
+        return named
+    ids = F.array(*[F.lit(i) for i in every]).cast(f"array<{dict(requests.dtypes)['request_id']}>")
+    return named.union(cat.select(F.explode(ids).alias("request_id"), "id_phone"))
 
 
 def phrase_filter(cat: DataFrame, text: str) -> DataFrame:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfworks.functions.numbering import number_rows
 from shelfworks.sources.schemas import LIST_ATTRIBUTES
 
+#: Phones in one part of a model.
+PART = 10_000
+
 
 def catalogue(phone: DataFrame, model: DataFrame, brand: DataFrame) -> DataFrame:
     """Phones with the names of their model and brand. The planner broadcasts the small sides if their size allows."""
@@ -45,14 +49,32 @@ def with_box_contents(phone: DataFrame, phone_box_contents: DataFrame, box_conte
     return with_labels(phone, phone_box_contents, box_content, "id_content", "name_content", "box_contents")
 
 
+def model_parts(model: DataFrame, phone: DataFrame, size: int = PART) -> DataFrame:
+    """Models with the ids of their phones in parts of at most ``size``: ``part`` counts from 0; a model without phones has one empty part.
+
+    No row and no task holds all phones of a model, however many it has.
+    """
+    numbered = number_rows(phone.select("id_model", "id_phone"), [F.col("id_model"), F.col("id_phone")], "_n", ["id_model"])
+    part = F.floor((F.col("_n") - 1) / size).alias("part")
+    phones = numbered.groupBy("id_model", part).agg(F.array_sort(F.collect_list("id_phone")).alias("phones"))
+    return model.join(phones, "id_model", "left").withColumns(
+        {"part": F.coalesce("part", F.lit(0)), "phones": F.coalesce("phones", F.array().cast("array<bigint>"))}
+    )
+
+
+def brand_parts(brand: DataFrame, model: DataFrame, phone: DataFrame, size: int = PART) -> DataFrame:
+    """Brands with a row for each of their models and part of its phones; a brand without models has one row."""
+    return brand.join(model_parts(model, phone, size), "id_brand", "left")
+
+
 def model_documents(model: DataFrame, phone: DataFrame) -> DataFrame:
-    """Models with the array of their phones' ids; empty where they have none."""
+    """Models with the array of their phones' ids; empty where they have none. For models that fit into a row; model_parts() for any."""
     phones = phone.groupBy("id_model").agg(F.array_sort(F.collect_list("id_phone")).alias("phones"))
     return model.join(phones, "id_model", "left").withColumn("phones", F.coalesce("phones", F.array().cast("array<bigint>")))
 
 
 def brand_documents(brand: DataFrame, model: DataFrame, phone: DataFrame) -> DataFrame:
-    """Brands with their models, each with its phones."""
+    """Brands with their models, each with its phones. For brands that fit into a row; brand_parts() for any."""
     one = F.struct("id_model", "model_name", "phones")
     models = model_documents(model, phone).groupBy("id_brand").agg(F.array_sort(F.collect_list(one)).alias("models"))
     return brand.join(models, "id_brand", "left")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfworks.functions import labels
-from shelfworks.functions.numbering import shared_dir
+from shelfworks.functions.numbering import new_path, written
 from shelfworks.operators import browse, catalogue, ingest, search, specs
 from shelfworks.plans import views as v
 from shelfworks.sources import tables
+from shelfworks.sources.schemas import SCALARS
 from shelfworks.streaming import search_events
 
 QUERIES: dict = {}
@@ -56,7 +59,27 @@ _NEW_MODELS = (
     "jm AS (SELECT seq, model, brand, CASE WHEN coalesce(known, false) OR seq > least THEN 'Model already exists' WHEN NOT there THEN 'Brand not found' END AS reason "
     "FROM km LEFT JOIN fm ON lower(model) = k)"
 )
-_SHEET = (("colors", True), ("box_contents", True), ("os", False), ("dimensions", False))
+#: The sheet's attributes in SQL, in order, with whether they are lists; of parts ``p`` joined with the lists ``c`` and ``b``.
+_ATTRIBUTES = (
+    ("colors", True, "c.l"), ("box_contents", True, "b.l"), ("main_camera", True, "[p_type, p_brand]"), ("secondary_camera", False, "p_name"),
+    ("screen", True, "string_split(p_type, ' ')"), ("processor", False, "p_brand"), ("gpu", False, "CASE WHEN p_partkey % 3 <> 0 THEN p_type END"),
+    ("memory", True, "[p_size || ' GB']"), ("battery", True, "[p_size || ' mAh', NULL]"), ("os", False, "p_type"),
+    ("connectivity", True, "CASE WHEN p_partkey % 4 = 0 THEN CAST([] AS VARCHAR[]) ELSE [p_brand] END"),
+    ("security", True, "CASE WHEN p_partkey % 5 <> 0 THEN [p_name] END"), ("dimensions", False, "CAST(p_size AS VARCHAR)"),
+)
+_LABELS = (
+    f"{_BOXES}, c AS (SELECT id_phone, list(s_name ORDER BY s_suppkey) AS l FROM pc JOIN supplier ON s_suppkey = id_color GROUP BY 1), "
+    "b AS (SELECT id_phone, list(n_name ORDER BY n_nationkey) AS l FROM pb JOIN nation ON n_nationkey = id_content GROUP BY 1)"
+)
+_LISTED = "part LEFT JOIN c ON c.id_phone = p_partkey LEFT JOIN b ON b.id_phone = p_partkey"
+_SHEET = " UNION ALL ".join(
+    f"SELECT p_partkey AS id_phone, {i} AS attr_no, '{name}' AS attr, {sql if many else f'[{sql}]'} AS l FROM {_LISTED}" for i, (name, many, sql) in enumerate(_ATTRIBUTES, 1)
+)
+
+
+def _json(x: str) -> str:
+    """A list as JSON text, null where there is none: null, empty and null elements all differ."""
+    return f"CASE WHEN {x} IS NOT NULL THEN CAST(to_json({x}) AS VARCHAR) END"
 
 
 def _fits(text: str, brand: str = "brand", model: str = "model") -> str:
@@ -80,16 +103,26 @@ def _cat(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _full(spark: SparkSession, d: str) -> DataFrame:
-    """Parts with their lists of colours, box contents and images."""
-    colored = catalogue.with_colors(v.parts(spark, d), v.phone_colors(spark, d), v.color(spark, d))
-    boxed = catalogue.with_box_contents(colored, v.phone_box_contents(spark, d), v.box_content(spark, d))
-    return boxed.join(catalogue.nest(v.images(spark, d), "id_phone", name="images"), "id_phone", "left")
+    """Parts with all attributes, the names of their colours and of what is in their box."""
+    colors = written(v.phone_colors(spark, d), "phone-colors")  # read twice
+    colored = catalogue.with_colors(v.full_parts(spark, d), colors, v.color(spark, d))
+    return catalogue.with_box_contents(colored, v.phone_box_contents(spark, d, colors), v.box_content(spark, d))
 
 
-@query("SELECT p_partkey AS id_phone, p_brand AS brand, p_name AS model FROM part")
+@query(
+    f"WITH {_CAT}, {_COLORS} SELECT id_phone, brand, model, (SELECT count(*) FROM pc) AS n_colors, (SELECT count(*) FROM supplier) AS n_labels FROM cat"
+)
 def s1_read_tables(spark, d):
-    """Read the catalogue's columns; others are not scanned."""
-    return v.parts(spark, d).select("id_phone", "brand", "model")
+    """The tables as a store has them, read with their schemas and joined."""
+    path = new_path(spark, "store")
+    for name, df in (("brand", v.brand), ("model", v.model), ("color", v.color), ("phone_colors", v.phone_colors)):
+        df(spark, d).write.parquet(f"{path}/{name}.parquet")
+    phone = v.phone(spark, d)
+    rest = [F.lit(None).cast("string").alias(c) for c in SCALARS if c not in phone.columns]
+    phone.select("*", *rest).write.parquet(f"{path}/phone.parquet")
+    t = tables.read_tables(spark, path, ("brand", "model", "phone", "color", "phone_colors"))
+    n = t["phone_colors"].agg(F.count(F.lit(1)).alias("n_colors")).join(t["color"].agg(F.count(F.lit(1)).alias("n_labels")))  # one row
+    return catalogue.catalogue(t["phone"], t["model"], t["brand"]).select("id_phone", "brand", "model").join(F.broadcast(n))
 
 
 @query(
@@ -97,9 +130,9 @@ def s1_read_tables(spark, d):
 )
 def s2_read_submissions(spark, d):
     """Submissions written as JSON lines and read again with their schema."""
-    path = f"{shared_dir(spark)}/submissions-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    path = new_path(spark, "submissions")
     subs = v.submissions(spark, d).withColumnsRenamed({"id_phone": "idPhone", "id_model": "idModel", "box_contents": "boxContents"})
-    subs.write.mode("overwrite").json(path)
+    subs.write.json(path)
     back = tables.read_submissions(spark, path)
     rows = tables.submission_rows(back)
     return rows.join(back.select("seq", F.col("_corrupt").isNotNull().alias("corrupt")), "seq").select(
@@ -107,20 +140,43 @@ def s2_read_submissions(spark, d):
     )
 
 
-@query(f"WITH {_SUBS} SELECT id_phone, seq, unnest(colors) AS id_color, CAST(unnest(range(len(colors))) AS INTEGER) AS pos FROM subs")
-def s3_normalise(spark, d):
-    """Colour lists of submissions as rows with their place."""
-    subs = v.submissions(spark, d).withColumn("images", F.array().cast("array<string>"))
-    return subs.select("id_phone", "seq", F.posexplode("colors").alias("pos", "id_color"))
+_CHILDREN = " UNION ALL ".join(
+    f"SELECT p_partkey AS id_phone, '{name}' AS kind, CAST(unnest(range(len({sql}))) AS INTEGER) AS pos, CAST(unnest({sql}) AS VARCHAR) AS value FROM {_LISTED}"
+    for name, sql in [("images", "['https://img.example/' || p_partkey || '.png']"), ("colors", "c.i"), ("box_contents", "b.i")]
+    + [(n, sql) for n, many, sql in _ATTRIBUTES if many and n not in ("colors", "box_contents")]
+)
 
 
 @query(
-    f"WITH {_CAT} SELECT id_phone, CAST(to_json({{'id_phone': id_phone, 'brand': brand, 'model': model}}) AS VARCHAR) AS document FROM cat"
+    f"WITH {_BOXES}, c AS (SELECT id_phone, list(id_color ORDER BY id_color) AS i FROM pc GROUP BY 1), b AS (SELECT id_phone, list(id_content ORDER BY id_content) AS i FROM pb GROUP BY 1) "
+    f"{_CHILDREN} UNION ALL SELECT p_partkey, 'phone', NULL, concat_ws('|', p_name, p_brand, CASE WHEN p_partkey % 3 <> 0 THEN p_type END, CAST(p_partkey % 25 AS VARCHAR)) FROM part"
 )
+def s3_normalise(spark, d):
+    """Phones with their nine lists as a parent table and rows of child tables."""
+    colors = written(v.phone_colors(spark, d), "phone-colors")
+    boxes = v.phone_box_contents(spark, d, colors)
+    ids = [catalogue.nest(df, "id_phone", key, "pos", name) for df, key, name in ((colors, "id_color", "colors"), (boxes, "id_content", "box_contents"))]
+    t = tables.normalise_phone(v.full_parts(spark, d).join(ids[0], "id_phone", "left").join(ids[1], "id_phone", "left"))
+    text = F.concat_ws("|", "secondary_camera", "processor", "gpu", F.col("id_model").cast("string"))
+    out = t["phone_list"].select("id_phone", F.col("attr").alias("kind"), "pos", "value")
+    out = out.union(t["phone"].select("id_phone", F.lit("phone"), F.lit(None).cast("int"), text))
+    for kind, name, key in (("colors", "phone_colors", "id_color"), ("box_contents", "phone_box_contents", "id_content")):
+        out = out.union(t[name].select("id_phone", F.lit(kind), "pos", F.col(key).cast("string")))
+    return out
+
+
+_DOCUMENT = (
+    [("id_phone", "p_partkey"), ("brand", "p_brand"), ("model", "p_name"), ("images", "['https://img.example/' || p_partkey || '.png']")]
+    + [(n, f"CASE WHEN {sql} IS NULL THEN CAST([] AS VARCHAR[]) ELSE {sql} END" if n in ("colors", "box_contents") else sql) for n, _, sql in _ATTRIBUTES]
+)
+
+
+@query(f"WITH {_LABELS} SELECT CAST(to_json({{{', '.join(f'{chr(39)}{n}{chr(39)}: {sql}' for n, sql in _DOCUMENT)}}}) AS VARCHAR) AS document FROM {_LISTED}")
 def s4_catalogue_documents(spark, d):
-    """The catalogue as JSON documents."""
-    cat = _cat(spark, d).select("id_phone", "brand", "model")
-    return cat.select("id_phone", F.to_json(F.struct("id_phone", "brand", "model")).alias("document"))
+    """The catalogue with all lists as JSON documents, written and read again as text."""
+    path = new_path(spark, "documents")
+    tables.write_catalogue(_full(spark, d).select([n for n, _ in _DOCUMENT]), path)
+    return spark.read.text(path).select(F.col("value").alias("document"))
 
 
 @query(f"WITH {_SUBS} SELECT seq, 500 AS status, 'Internal Server Error' AS error, reason AS message FROM judged WHERE reason IS NOT NULL")
@@ -141,11 +197,15 @@ def p2_search_hits(spark, d):
     return search.search_hits(_cat(spark, d))
 
 
-@query(f"WITH {_IMAGES} SELECT id_phone, array_to_string(images[1:len(images) - 1], '|') AS images FROM pics")
+@query(
+    f"WITH {_IMAGES}, e AS (SELECT id_phone, CASE WHEN id_phone % 5 = 0 THEN NULL WHEN id_phone % 7 = 0 THEN CAST([] AS VARCHAR[]) ELSE images END AS images FROM pics) "
+    f"SELECT id_phone, {_json('images[1:len(images) - 1]')} AS images FROM e"
+)
 def p3_card_images(spark, d):
-    """All images but the last."""
+    """All images but the last, as JSON; some lists are null, some empty."""
     pics = catalogue.nest(v.images(spark, d), "id_phone", name="images")
-    return pics.select("id_phone", F.array_join(specs.card_images(F.col("images")), "|").alias("images"))
+    some = F.when(F.col("id_phone") % 5 == 0, None).when(F.col("id_phone") % 7 == 0, F.array().cast("array<string>")).otherwise(F.col("images"))
+    return pics.select("id_phone", F.to_json(specs.card_images(some)).alias("images"))
 
 
 @query(f"WITH {_IMAGES} SELECT id_phone, images[1] AS cover FROM pics")
@@ -202,16 +262,10 @@ def p10_message_payload(spark, d):
     return c.select("conv_id", "turn", labels.message_payload(F.col("conv_id").cast("string"), F.col("text")).alias("payload"))
 
 
-@query(
-    f"WITH {_PARTS}, {_BOXES}, c AS (SELECT id_phone, list(s_name ORDER BY s_suppkey) AS l FROM pc JOIN supplier ON s_suppkey = id_color GROUP BY 1), "
-    "b AS (SELECT id_phone, list(n_name ORDER BY n_nationkey) AS l FROM pb JOIN nation ON n_nationkey = id_content GROUP BY 1), "
-    "s AS (SELECT id_phone, 1 AS attr_no, 'colors' AS attr, l FROM c UNION ALL SELECT id_phone, 2, 'box_contents', l FROM b "
-    "UNION ALL SELECT id_phone, 3, 'os', [os] FROM parts UNION ALL SELECT id_phone, 4, 'dimensions', [dimensions] FROM parts) "
-    "SELECT id_phone, attr_no, attr, CAST(unnest(range(len(l))) AS INTEGER) AS item_no, unnest(l) AS value FROM s"
-)
+@query(f"WITH {_LABELS}, s AS ({_SHEET}) SELECT id_phone, attr_no, attr, CAST(unnest(range(len(l))) AS INTEGER) AS item_no, unnest(l) AS value FROM s")
 def p11_spec_sheet(spark, d):
-    """The sheet of every part, for the attributes that parts have."""
-    return specs.spec_sheet(_full(spark, d), _SHEET)
+    """The sheet of every part, all thirteen attributes."""
+    return specs.spec_sheet(_full(spark, d))
 
 
 @query(f"WITH {_COLORS} SELECT id_phone, string_agg(s_name, ',' ORDER BY s_suppkey) AS battery FROM pc JOIN supplier ON s_suppkey = id_color GROUP BY 1")
@@ -312,23 +366,23 @@ def j1_catalogue(spark, d):
 
 
 @query(
-    f"WITH {_PARTS}, {_COLORS}, n AS (SELECT id_phone, string_agg(s_name, '|' ORDER BY s_suppkey) AS colors FROM pc JOIN supplier ON s_suppkey = id_color GROUP BY 1) "
-    "SELECT id_phone, coalesce(colors, '') AS colors FROM parts LEFT JOIN n USING (id_phone)"
+    f"WITH {_PARTS}, {_COLORS}, n AS (SELECT id_phone, list(s_name ORDER BY s_suppkey) AS colors FROM pc JOIN supplier ON s_suppkey = id_color GROUP BY 1) "
+    "SELECT id_phone, CAST(to_json(coalesce(colors, [])) AS VARCHAR) AS colors FROM parts LEFT JOIN n USING (id_phone)"
 )
 def j2_with_colors(spark, d):
     """Parts with their colours."""
     full = catalogue.with_colors(v.parts(spark, d), v.phone_colors(spark, d), v.color(spark, d))
-    return full.select("id_phone", F.array_join("colors", "|").alias("colors"))
+    return full.select("id_phone", F.to_json("colors").alias("colors"))
 
 
 @query(
-    f"WITH {_PARTS}, {_BOXES}, n AS (SELECT id_phone, string_agg(n_name, '|' ORDER BY n_nationkey) AS box_contents FROM pb JOIN nation ON n_nationkey = id_content GROUP BY 1) "
-    "SELECT id_phone, coalesce(box_contents, '') AS box_contents FROM parts LEFT JOIN n USING (id_phone)"
+    f"WITH {_PARTS}, {_BOXES}, n AS (SELECT id_phone, list(n_name ORDER BY n_nationkey) AS box_contents FROM pb JOIN nation ON n_nationkey = id_content GROUP BY 1) "
+    "SELECT id_phone, CAST(to_json(coalesce(box_contents, [])) AS VARCHAR) AS box_contents FROM parts LEFT JOIN n USING (id_phone)"
 )
 def j3_with_box_contents(spark, d):
     """Parts with their box contents."""
     full = catalogue.with_box_contents(v.parts(spark, d), v.phone_box_contents(spark, d), v.box_content(spark, d))
-    return full.select("id_phone", F.array_join("box_contents", "|").alias("box_contents"))
+    return full.select("id_phone", F.to_json("box_contents").alias("box_contents"))
 
 
 @query(f"WITH {_SUBS} SELECT seq, reason FROM judged")
@@ -351,14 +405,14 @@ def j5_versus_pairs(spark, d):
 
 
 @query(
-    f"WITH {_PARTS}, p AS (SELECT o_orderkey AS pair_id, a.os AS os1, b.os AS os2, a.dimensions AS d1, b.dimensions AS d2 FROM orders "
-    "JOIN parts a ON a.id_phone = o_custkey JOIN parts b ON b.id_phone = o_custkey * 3 + 1) "
-    'SELECT pair_id, 1 AS attr_no, \'os\' AS attr, os1 AS "left", os2 AS "right" FROM p UNION ALL SELECT pair_id, 2, \'dimensions\', d1, d2 FROM p'
+    f"WITH {_LABELS}, s AS ({_SHEET}), f AS (SELECT id_phone, attr_no, attr, CASE WHEN l IS NULL AND attr IN ('colors', 'box_contents') THEN [] ELSE l END AS l FROM s) "
+    f"SELECT o_orderkey AS pair_id, x.attr_no, x.attr, {_json('x.l')} AS \"left\", {_json('y.l')} AS \"right\" FROM orders "
+    "JOIN f x ON x.id_phone = o_custkey JOIN f y ON y.id_phone = o_custkey * 3 + 1 AND y.attr_no = x.attr_no"
 )
 def j6_versus_table(spark, d):
-    """Attributes side by side."""
-    rows = specs.versus_table(_pairs(spark, d), v.parts(spark, d), _SHEET[2:])
-    return rows.select("pair_id", "attr_no", "attr", F.array_join("left", "|").alias("left"), F.array_join("right", "|").alias("right"))
+    """All thirteen attributes side by side, lists as JSON."""
+    rows = specs.versus_table(_pairs(spark, d), _full(spark, d))
+    return rows.select("pair_id", "attr_no", "attr", F.to_json("left").alias("left"), F.to_json("right").alias("right"))
 
 
 @query(
@@ -395,31 +449,51 @@ def a1_page_count(spark, d):
     return browse.page_count(_cat(spark, d))
 
 
-@query(f"WITH {_COLORS} SELECT id_phone, string_agg(CAST(id_color AS VARCHAR), ',' ORDER BY id_color) AS items FROM pc GROUP BY 1")
+@query(
+    "WITH n AS (SELECT o_custkey AS id_phone, list(o_orderpriority ORDER BY o_orderkey) FILTER (o_orderkey % 3 = 0) AS memory, "
+    "list(o_orderpriority ORDER BY o_orderkey) FILTER (o_orderkey % 3 <> 0) AS battery FROM orders GROUP BY 1) "
+    f"SELECT id_phone, {_json('memory')} AS memory, {_json('battery')} AS battery FROM n"
+)
 def a2_nest(spark, d):
-    """Child rows as lists."""
-    return catalogue.nest(v.phone_colors(spark, d), "id_phone", "id_color").select("id_phone", F.array_join("items", ",").alias("items"))
+    """Child rows as lists: two attributes in one grouping, each in its own order."""
+    rows = v.customer_children(spark, d)["phone_list"].withColumn("attr", F.when(F.col("pos") % 3 == 0, "memory").otherwise("battery"))
+    full = lambda c: F.when(F.size(c) > 0, F.to_json(c)).alias(c)
+    return catalogue.nest_all(rows).select("id_phone", full("memory"), full("battery"))
+
+
+_MODELS = (
+    "m AS (SELECT n_regionkey, CAST(n_nationkey AS BIGINT) AS id_model, n_name AS model_name, coalesce(list(c_custkey ORDER BY c_custkey) FILTER (c_custkey IS NOT NULL), []) AS phones "
+    "FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL)"
+)
 
 
 @query(
-    "WITH m AS (SELECT n_regionkey, n_nationkey, n_name, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS phones FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL) "
-    "SELECT CAST(r_regionkey AS BIGINT) AS id_brand, r_name AS brand_name, string_agg(n_name || ':' || coalesce(phones, ''), ';' ORDER BY n_nationkey) AS models FROM region LEFT JOIN m ON n_regionkey = r_regionkey GROUP BY ALL"
+    f"WITH {_MODELS} SELECT CAST(r_regionkey AS BIGINT) AS id_brand, r_name AS brand_name, "
+    "CAST(to_json(list({'id_model': id_model, 'model_name': model_name, 'phones': phones} ORDER BY id_model)) AS VARCHAR) AS models FROM region LEFT JOIN m ON n_regionkey = r_regionkey GROUP BY ALL"
 )
 def a3_brand_documents(spark, d):
-    """Brands with models with phones."""
+    """Brands with models with phones, as JSON."""
     docs = catalogue.brand_documents(v.brand(spark, d), v.model(spark, d), v.phone(spark, d))
-    one = F.transform("models", lambda m: F.concat(m["model_name"], F.lit(":"), F.array_join(m["phones"], ",")))
-    return docs.select("id_brand", "brand_name", F.array_join(one, ";").alias("models"))
+    return docs.select("id_brand", "brand_name", F.to_json("models").alias("models"))
 
 
-@query(
-    "SELECT CAST(n_nationkey AS BIGINT) AS id_model, n_name AS model_name, coalesce(string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey), '') AS phones "
-    "FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL"
-)
+@query(f"WITH {_MODELS} SELECT id_model, model_name, CAST(to_json(phones) AS VARCHAR) AS phones FROM m")
 def a4_model_documents(spark, d):
-    """Models with phones."""
+    """Models with phones, as JSON."""
     docs = catalogue.model_documents(v.model(spark, d), v.phone(spark, d))
-    return docs.select("id_model", "model_name", F.array_join("phones", ",").alias("phones"))
+    return docs.select("id_model", "model_name", F.to_json("phones").alias("phones"))
+
+
+@query(
+    "WITH n AS (SELECT c_nationkey, c_custkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 10 AS part FROM customer), "
+    "p AS (SELECT c_nationkey, part, list(c_custkey ORDER BY c_custkey) AS phones FROM n GROUP BY ALL) "
+    "SELECT CAST(r_regionkey AS BIGINT) AS id_brand, r_name AS brand_name, CAST(n_nationkey AS BIGINT) AS id_model, coalesce(part, 0) AS part, CAST(to_json(coalesce(phones, [])) AS VARCHAR) AS phones "
+    "FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN p ON c_nationkey = n_nationkey"
+)
+def a3_brand_parts(spark, d):
+    """Brands with models with phones, ten to a row."""
+    rows = catalogue.brand_parts(v.brand(spark, d), v.model(spark, d), v.phone(spark, d), 10)
+    return rows.select("id_brand", "brand_name", "id_model", "part", F.to_json("phones").alias("phones"))
 
 
 @query("SELECT p_name AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
@@ -490,14 +564,16 @@ def d2_rejected_models(spark, d):
 
 @query(
     f"WITH {_SUBS}, l AS (SELECT *, row_number() OVER (PARTITION BY id_phone ORDER BY seq DESC) AS k FROM judged WHERE reason IS NULL), "
-    "n AS (SELECT id_phone, CAST(NULL AS VARCHAR) AS oficial_web, os, processor, id_model FROM l WHERE k = 1) "
-    "SELECT * FROM n UNION ALL SELECT c_custkey, 'web', c_mktsegment, c_name, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT id_phone FROM n)"
+    "n AS (SELECT id_phone, CAST(NULL AS VARCHAR) AS oficial_web, os, processor, id_model, CAST(to_json(colors) AS VARCHAR) AS colors, CAST(to_json(boxes) AS VARCHAR) AS box_contents FROM l WHERE k = 1) "
+    "SELECT * FROM n UNION ALL SELECT c_custkey, 'web', c_mktsegment, c_name, c_nationkey, '[7]', '[]' FROM customer WHERE c_custkey NOT IN (SELECT id_phone FROM n)"
 )
 def d3_save_phones(spark, d):
-    """Phones after saving all valid submissions."""
-    phone = v.phone(spark, d).select("id_phone", F.lit("web").alias("oficial_web"), "os", "processor", "id_model")
+    """Phones after saving all valid submissions, with their lists of ids as JSON."""
+    lists = [F.array(F.lit(7).cast("bigint")).alias("colors"), F.array().cast("array<bigint>").alias("box_contents")]
+    phone = v.phone(spark, d).select("id_phone", F.lit("web").alias("oficial_web"), "os", "processor", "id_model", *lists)
     judged = ingest.resolve_refs(v.submissions(spark, d), v.color(spark, d), v.box_content(spark, d), v.model(spark, d))
-    return ingest.save_phones(phone, judged.filter("reason IS NULL").drop("reason", "colors", "box_contents"))
+    saved = ingest.save_phones(phone, judged.filter("reason IS NULL").drop("reason"))
+    return saved.withColumns({c: F.to_json(c) for c in ("colors", "box_contents")})
 
 
 _UPDATES = "u AS (SELECT s_suppkey AS id_model, s_name AS model_name, s_suppkey % 5 AS id_brand FROM supplier)"
@@ -525,15 +601,17 @@ def d4_rejected_updates(spark, d):
 @query(
     f"WITH {_CAT} SELECT 'brand' AS kind, CAST(r_regionkey AS BIGINT) AS id FROM region WHERE r_name NOT IN ('ASIA', 'EUROPE') "
     "UNION ALL SELECT 'model', n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name NOT IN ('ASIA', 'EUROPE') "
-    "UNION ALL SELECT 'phone', id_phone FROM cat WHERE brand NOT IN ('ASIA', 'EUROPE')"
+    "UNION ALL SELECT 'phone', id_phone FROM cat WHERE brand NOT IN ('ASIA', 'EUROPE') "
+    "UNION ALL SELECT 'phone_list', o_orderkey FROM orders LEFT JOIN cat ON id_phone = o_custkey WHERE coalesce(brand, '') NOT IN ('ASIA', 'EUROPE') "
+    "UNION ALL SELECT 'phone_colors', o_orderkey FROM orders LEFT JOIN cat ON id_phone = o_custkey WHERE coalesce(brand, '') NOT IN ('ASIA', 'EUROPE')"
 )
 def d5_delete_brands(spark, d):
-    """What is left when two brands go, and an unknown one."""
-    all_ = {"brand": v.brand(spark, d), "model": v.model(spark, d), "phone": v.phone(spark, d)}
+    """What is left of five tables when two brands go, and an unknown one."""
+    all_ = {"brand": v.brand(spark, d), "model": v.model(spark, d), "phone": v.phone(spark, d)} | v.customer_children(spark, d)
     ids = all_["brand"].filter(F.col("brand_name").isin("ASIA", "EUROPE")).select("id_brand").union(spark.sql("SELECT 77L"))
     left = ingest.delete_brands(all_, ids)
-    parts = [left[n].select(F.lit(n).alias("kind"), F.col(f"id_{n}").alias("id")) for n in all_]
-    return parts[0].union(parts[1]).union(parts[2])
+    parts = [left[n].select(F.lit(n).alias("kind"), F.col(f"id_{n}" if f"id_{n}" in t.columns else "pos").cast("bigint").alias("id")) for n, t in all_.items()]
+    return reduce(DataFrame.union, parts)
 
 
 @query("SELECT c_custkey AS id_phone FROM customer WHERE c_custkey NOT IN (SELECT o_custkey * 2 FROM orders)")
@@ -599,13 +677,14 @@ def t3_switch_latest(spark, d):
 
 
 @query(
-    f"WITH {_PARTS}, e AS (SELECT event_id, p_name AS text FROM events JOIN part ON p_partkey = event_id % 50), t AS (SELECT DISTINCT text FROM e), "
+    f"WITH {_PARTS}, e AS (SELECT event_id, coalesce(p_name, event_type) AS text FROM events LEFT JOIN part ON p_partkey = event_id % (SELECT 2 * count(*) FROM part)), t AS (SELECT DISTINCT text FROM e), "
     f"h AS (SELECT text, id_phone, brand, model, row_number() OVER (PARTITION BY text ORDER BY id_phone) AS rn FROM t JOIN parts ON {_fits('text')}) "
-    "SELECT event_id, CAST(rn AS INTEGER) AS rn, id_phone, upper(brand) AS brand, model FROM e LEFT JOIN h ON e.text = h.text AND rn <= 5"
+    "SELECT event_id, CAST(rn AS INTEGER) AS rn, id_phone, upper(brand) AS brand, model FROM e LEFT JOIN h ON e.text = h.text AND rn <= 5 WHERE trim(e.text) <> ''"
 )
 def t4_search_events(spark, d):
-    """The first hits of every search event."""
+    """The first hits of every search event: names of all parts, and texts that no part has."""
     parts = v.parts(spark, d)
-    texts = parts.select(F.col("id_phone").alias("k"), F.col("model").alias("text"))
-    asked = v.events(spark, d).select("event_id", (F.col("event_id") % 50).alias("k")).join(texts, "k").select("event_id", "text")
+    texts = parts.select(F.col("id_phone").alias("k"), F.col("model").alias("name"))
+    numbered = v.events(spark, d).select("event_id", "text", (F.col("event_id") % (2 * parts.count())).alias("k"))
+    asked = numbered.join(texts, "k", "left").select("event_id", F.coalesce("name", "text").alias("text"))
     return search_events.search_events(asked, parts).select(F.col("query_id").alias("event_id"), "rn", "id_phone", "brand", "model")

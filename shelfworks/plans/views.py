@@ -60,10 +60,10 @@ def box_content(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("id_content"), F.col("n_name").alias("name_content"))
 
 
-def phone_box_contents(spark: SparkSession, d: str) -> DataFrame:
-    """The bridge of parts and their suppliers' nations."""
+def phone_box_contents(spark: SparkSession, d: str, colors: DataFrame | None = None) -> DataFrame:
+    """The bridge of parts and their suppliers' nations; ``colors`` is phone_colors(), where that is at hand."""
     suppliers = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id_color"), F.col("s_nationkey").cast("bigint").alias("id_content"))
-    pairs = phone_colors(spark, d).join(suppliers, "id_color").select("id_phone", "id_content").distinct()
+    pairs = (colors or phone_colors(spark, d)).join(suppliers, "id_color").select("id_phone", "id_content").distinct()
     return pairs.withColumn("pos", F.col("id_content").cast("int"))
 
 
@@ -119,3 +119,29 @@ def queries(spark: SparkSession, d: str) -> DataFrame:
 def events(spark: SparkSession, d: str) -> DataFrame:
     """Events as search events."""
     return read(spark, d, "events").select("event_id", "user_id", "ts", F.col("event_type").alias("text"), F.col("value").alias("latency_s"))
+
+
+def full_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts with all scalar and list attributes of a phone but colours and box contents; some are null, some lists empty or with a null."""
+    p = read(spark, d, "part")
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    none = F.array().cast("array<string>")
+    return p.select(
+        key.alias("id_phone"), F.col("p_brand").alias("brand"), F.col("p_name").alias("model"),
+        F.array(F.concat(F.lit(WEB), key.cast("string"), F.lit(".png"))).alias("images"),
+        F.array("p_type", "p_brand").alias("main_camera"), F.col("p_name").alias("secondary_camera"), F.split("p_type", " ").alias("screen"),
+        F.lit("https://shop.example").alias("oficial_web"), F.lit("5G").alias("red"), F.col("p_brand").alias("processor"),
+        F.when(key % 3 != 0, F.col("p_type")).alias("gpu"), F.array(F.concat(size, F.lit(" GB"))).alias("memory"), F.lit(None).cast("string").alias("expansion"),
+        F.col("p_type").alias("os"), F.array(F.concat(size, F.lit(" mAh")), F.lit(None).cast("string")).alias("battery"),
+        F.when(key % 4 == 0, none).otherwise(F.array("p_brand")).alias("connectivity"), size.alias("dimensions"),
+        F.when(key % 5 != 0, F.array("p_name")).alias("security"), F.lit(None).cast("string").alias("video_youtube"), (key % 25).alias("id_model"),
+    )
+
+
+def customer_children(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """List rows and colours of customers seen as phones, from their orders."""
+    o = read(spark, d, "orders")
+    return {
+        "phone_list": o.select(F.col("o_custkey").alias("id_phone"), F.lit("memory").alias("attr"), F.col("o_orderkey").cast("int").alias("pos"), F.col("o_orderpriority").alias("value")),
+        "phone_colors": o.select(F.col("o_custkey").alias("id_phone"), (F.col("o_orderkey") % 97).alias("id_color"), F.col("o_orderkey").cast("int").alias("pos")),
+    }

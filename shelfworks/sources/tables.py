@@ -48,7 +48,7 @@ def as_json(df: DataFrame) -> DataFrame:
 
 def write_catalogue(df: DataFrame, path: str) -> None:
     """The catalogue as JSON documents."""
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def quarantine(df: DataFrame, reason: str = "reason", status: int = 500, title: str = "Internal Server Error") -> DataFrame:

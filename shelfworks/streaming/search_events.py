@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -60,6 +61,43 @@ def switch_latest(requests: DataFrame) -> DataFrame:
     return rows.filter(F.col("_next").isNull() | (ready < F.col("_next"))).drop("_t", "_next")
 
 
+def switch_latest_stream(requests: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """Stream: the same with each user's open request as state.
+
+    A request comes out when the next one turns out to be later than its answer, or once the watermark has passed its
+    answer, so that no request can come in between any more. Requests come in time order from batch to batch.
+    """
+
+    def latest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names = ["event_id", "user_id", "ts", "text"]
+        if state.hasTimedOut:
+            event_id, text, asked, _ = state.get
+            state.remove()
+            yield pd.DataFrame([(event_id, key[0], pd.Timestamp(asked, unit="us"), text)], columns=names)
+            return
+        held, out = state.get if state.exists else None, []
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        for event_id, at, text, latency in zip(rows["event_id"], rows["ts"], rows["text"], rows["latency_s"]):
+            asked = at.value // 1000
+            if held is not None and held[3] < asked:
+                out.append(held)
+            held = (event_id, None if pd.isna(text) else text, asked, asked + round(latency * 1_000_000))
+        passed, due = state.getCurrentWatermarkMs(), held[3] // 1000 + 1
+        if due <= passed:
+            out.append(held)
+            if state.exists:
+                state.remove()
+        else:
+            state.update(held)
+            state.setTimeoutTimestamp(due)
+        yield pd.DataFrame([(i, key[0], pd.Timestamp(t, unit="us"), x) for i, x, t, _ in out], columns=names)
+
+    timed = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    return timed.groupBy("user_id").applyInPandasWithState(
+        latest, "event_id bigint, user_id bigint, ts timestamp, text string", "event_id bigint, text string, asked bigint, ready bigint", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def search_events(events: DataFrame, cat: DataFrame, k: int = HITS) -> DataFrame:
     """Non-blank events with their first k hits (``rn, id_phone, brand, model``), brands in capitals; a row of nulls without hits."""
     asked = nonblank(events).select(F.col("event_id").alias("query_id"), "text")
@@ -67,9 +105,19 @@ def search_events(events: DataFrame, cat: DataFrame, k: int = HITS) -> DataFrame
     return asked.join(hits, "query_id", "left")
 
 
-def search_stream(events: DataFrame, cat: DataFrame, path: str, checkpoint: str):
-    """The started stream that appends search_events() of every micro-batch to ``path``."""
+def search_stream(events: DataFrame, cat: DataFrame | Callable[[], DataFrame], path: str, checkpoint: str, k: int = HITS):
+    """The started stream that appends search_events() of every micro-batch to ``path``.
+
+    ``cat`` may be a function that gives the catalogue anew for each batch. Where a batch's search fails, its events have
+    no hits, and the stream goes on.
+    """
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        search_events(batch, cat).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        to = f"{path}/batch={batch_id}"
+        try:
+            search_events(batch, cat() if callable(cat) else cat, k).write.mode("overwrite").parquet(to)
+        except PySparkException:
+            none = [F.lit(None).cast(kind).alias(name) for name, kind in (("rn", "int"), ("id_phone", "bigint"), ("brand", "string"), ("model", "string"))]
+            nonblank(batch).select(F.col("event_id").alias("query_id"), "text", *none).write.mode("overwrite").parquet(to)
 
     return events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).start()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from shelfworks.functions import labels
 from shelfworks.functions.numbering import number_rows
 from shelfworks.operators import browse, catalogue, ingest, search, specs
+from shelfworks.plans import views
 from shelfworks.sources import tables
 from shelfworks.sources.schemas import LIST_ATTRIBUTES, SCALARS
 
@@ -168,3 +169,55 @@ def test_empty_tables(spark, cat):
     assert browse.paginate(none.select("id_phone", "brand")).count() == 0
     assert search.search_many(spark.createDataFrame([], "query_id bigint, text string"), none).count() == 0
     assert browse.page_count(none).count() == 0
+
+
+def test_bulk_search_of_odd_texts_equals_single_search(spark):
+    cat = spark.createDataFrame(
+        [(i, b, m) for i, (b, m) in enumerate([("Samsung", "Galaxy S21"), ("Apple", "iPhone 13"), ("Apple", None), (None, "Pixel"), (None, None), ("B%_", "x.y"), ("Sam", "sung")] * 3)],
+        "id_phone bigint, brand string, model string",
+    )
+    texts = ["", "  ", " apple", "a", "le", "sam", "samsung s21", "SUNG galaxy", "%", "_", ".", "x.y b%", "apple a", "zzz", "apple zzz", "pp apple le", "13", "e 13"]
+    queries = spark.createDataFrame([*enumerate(texts), (90, None), (91, "a")], "query_id bigint, text string")
+    got = {}
+    for r in search.search_many(queries, cat).orderBy("rn").collect():
+        got.setdefault(r.query_id, []).append(r.id_phone)
+    want = {i: [r.id_phone for r in search.search(cat, t).collect()] for i, t in [*enumerate(texts), (91, "a")]}
+    assert got == {i: ids for i, ids in want.items() if ids}
+
+
+def test_bulk_search_looks_at_few_pairs(spark):
+    d = "/root/testdata/sf0.1"
+    texts = views.queries(spark, d).select("text").distinct()
+    names = views.parts(spark, d).select("brand", "model").distinct()
+    held = names.select(F.explode(search._pieces_held(F.col("brand"), F.col("model"))).alias("piece"))
+    asked = search.rarest_pieces(texts, held)
+    assert asked.filter("NOT alone").join(held, "piece").count() < 0.05 * texts.count() * names.count()
+
+
+def test_parts_of_models(spark):
+    brand = spark.createDataFrame([(1, "A"), (2, "B")], "id_brand bigint, brand_name string")
+    model = spark.createDataFrame([(1, "m", 1), (2, "n", 1)], "id_model bigint, model_name string, id_brand bigint")
+    phone = spark.createDataFrame([(i, 1) for i in range(7)], "id_phone bigint, id_model bigint")
+    rows = catalogue.brand_parts(brand, model, phone, 3).collect()
+    assert sorted((r.id_brand, str(r.id_model), str(r.part), str(r.phones)) for r in rows) == [
+        (1, "1", "0", "[0, 1, 2]"), (1, "1", "1", "[3, 4, 5]"), (1, "1", "2", "[6]"), (1, "2", "0", "[]"), (2, "None", "None", "None"),
+    ]
+
+
+def test_too_many_requests_for_all(spark, monkeypatch):
+    monkeypatch.setattr(browse, "MOST_ALL", 2)
+    cat = spark.createDataFrame([(1, "A")], "id_phone bigint, brand string")
+    ask = lambda n: browse.browse_many(spark.createDataFrame([(k, browse.ALL) for k in range(n)], "request_id bigint, brand string"), cat)
+    assert ask(2).count() == 2
+    with pytest.raises(ValueError):
+        ask(3)
+
+
+def test_tables_of_a_relational_store(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/store;create=true"
+    rows = [(i, f"m{i}", i % 3) for i in range(20)]
+    model = spark.createDataFrame(rows, "ID_MODEL bigint, MODEL_NAME string, ID_BRAND bigint")
+    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    model.coalesce(1).write.jdbc(url, "MODEL", properties=driver)
+    got = tables.read_jdbc(spark, url, "MODEL", "ID_MODEL", 0, 20, 4, driver)
+    assert got.rdd.getNumPartitions() == 4 and sorted(map(tuple, got.collect())) == rows

@@ -53,3 +53,32 @@ def test_switch_latest_edge(spark):
     rows = [(1, 1, "2024-01-01 00:00:00", "a", 2.0), (2, 1, "2024-01-01 00:00:01", "b", 0.5), (3, 1, "2024-01-01 00:00:02", "c", 9.0)]
     df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts string, text string, latency_s double").withColumn("ts", F.col("ts").cast("timestamp"))
     assert sorted(r.event_id for r in s.switch_latest(df).collect()) == [2, 3]
+
+
+def test_switch_latest_stream(spark, sf_dir, tmp_path):
+    slow = lambda df: df.withColumn("latency_s", F.col("latency_s") * 100)
+    batch = _files(spark, sf_dir, tmp_path / "in", 4)
+    last = batch.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("bigint").alias("event_id"), F.lit(-1).cast("bigint").alias("user_id"), (F.col("ts") + F.expr("INTERVAL 90 DAYS")).alias("ts"), F.lit("end").alias("text"), F.lit(0.0).alias("latency_s"))
+    last.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    _run(s.switch_latest_stream(slow(stream)).select("event_id", "user_id", "text"), "latest", "append")
+    want = s.switch_latest(slow(batch)).select("event_id", "user_id", "text")
+    assert sorted(map(tuple, spark.table("latest").filter("user_id >= 0").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_search_stream_goes_on_where_a_search_fails(spark, tmp_path):
+    cat = spark.createDataFrame([(1, "Samsung", "Galaxy")], "id_phone bigint, brand string, model string")
+    asked = []
+
+    def source():
+        asked.append(1)
+        return spark.read.parquet(str(tmp_path / "gone")) if len(asked) == 1 else cat
+
+    for k in range(2):
+        spark.createDataFrame([(k, "galaxy")], "event_id bigint, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("event_id bigint, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = s.search_stream(stream, source, str(tmp_path / "out"), str(tmp_path / "ck"))
+    q.processAllAvailable()
+    q.stop()
+    got = {r.query_id: r.id_phone for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(got) == 2 and sorted(map(str, got.values())) == ["1", "None"]
