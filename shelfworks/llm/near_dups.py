@@ -7,13 +7,14 @@ every place is taken by a lower rank. Bands of the signature propose links, whic
 1. Rows with equal sets collapse to one node each, so groups of copies cost one row per task that holds some.
 2. For every node that shares a bucket its shingles are counted that no other such node has. With n shingles of which u
    are its own, nodes x and y are no closer than min(nx - ux, ny - uy) / max(nx + uy, ny + ux): most pairs of a large
-   group of altered copies are ruled out by this without being looked at.
+   group of altered copies are ruled out by this without being looked at. Of buckets with the same nodes one is enough.
 3. Every band's bucket names the member with the smallest share of own shingles as its leader, and the others are
    compared with it, so that a bucket is not expanded into pairs while this joins most of it.
 4. Pairs with a leader whose signatures agree far too little (by six standard deviations) are dropped; the rest meet as
    whole texts.
-5. Then the members of a bucket that is not yet one component are compared in blocks, all with all, on their whole sets;
-   only links that join components come out, so no pairs are emitted and no link between components is lost.
+5. Then the members of a bucket that is not yet one component meet in blocks: of their pairs those of different components
+   that sizes and own shingles allow are compared on their whole sets, each pair in one of the buckets that it shares.
+   Only links that join components come out, so no pairs are emitted and no link between components is lost.
 
 With 32 bands of 4 a pair at similarity 0.8 shares no band with a chance of 5e-8.
 
@@ -236,11 +237,12 @@ def own_shingles(bodies: DataFrame, n: int, total: int) -> DataFrame:
     return dealt.groupBy("range").applyInArrow(count, "nid bigint, own bigint").groupBy("nid").agg(F.sum("own").alias("own"))
 
 
-def linked_in_blocks(rows: DataFrame, bodies: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links ``a, b`` between components within each bucket, from whole sets; ``rows`` has ``key, nid, n, comp``.
+def linked_in_blocks(rows: DataFrame, bodies: DataFrame, n: int, percent: int, counter=None) -> DataFrame:
+    """Links ``a, b`` between components within each bucket, from whole sets; ``rows`` has ``key, nid, n, own, comp, bands``.
 
-    A bucket is cut into blocks by the number of its shingles, and every two blocks meet in a task of their own, where
-    the sizes of all intersections are one product of matrices. Only links that join components come out.
+    Sets whose sizes are too far apart do not meet: a bucket is cut into classes of sizes, and a class meets itself and the
+    next. Both are cut into blocks by their number of shingles, and every two blocks meet in a task of their own. Only
+    links that join components come out. ``counter``, an accumulator, gets the number of pairs whose sets are compared.
     """
     ids = rows.select("nid").distinct().hint("merge")
 
@@ -250,42 +252,62 @@ def linked_in_blocks(rows: DataFrame, bodies: DataFrame, n: int, percent: int) -
             yield pa.RecordBatch.from_arrays([b.column("nid"), pa.array(sets, pa.binary())], names=["nid", "elements"])
 
     sets = in_batches(bodies.join(ids, "nid", "left_semi").select("nid", "text")).mapInArrow(as_set, "nid bigint, elements binary")
+    # from one class to the next but one, sizes differ by more than the threshold allows
+    size_class = F.floor(F.log("n") / (np.log(100 / percent) + 1e-6))
+    own_class = rows.withColumn("class", size_class.cast("long"))
+    # a node is in its class, and looks on from the class below
+    both = own_class.withColumn("upper", F.lit(False)).union(own_class.withColumn("class", F.col("class") - 1).withColumn("upper", F.lit(True)))
+    seen = both.groupBy("key", "class").agg(F.min("upper").alias("none_here"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("NOT none_here AND c0 <> c1")
+    both = both.join(seen.select("key", "class").hint("merge"), ["key", "class"])
     weight = F.greatest("n", F.lit(LEAST_WEIGHT))  # so that a block of tiny sets has few rows as well
-    blocks = rows.groupBy("key").agg(F.ceil(F.sum(weight) / BLOCK_SHINGLES).alias("blocks"))
-    cut = rows.join(blocks.hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("nid", "key"), "blocks"))
+    blocks = both.groupBy("key", "class").agg(F.ceil(F.sum(weight) / BLOCK_SHINGLES).alias("blocks"))
+    cut = both.join(blocks.hint("merge"), ["key", "class"]).withColumn("block", F.pmod(F.xxhash64("nid", "key"), "blocks"))
     meet = cut.join(sets.hint("merge"), "nid").withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    meet = meet.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "nid", "comp", "elements")
+    meet = meet.select(
+        "key", "class", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "nid", "own", "comp", "upper", "bands", "elements"
+    )
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        nid, comp = table.column("nid").to_numpy(), table.column("comp").to_numpy()
-        out = _joining_links(nid, comp, table.column("own").to_numpy() == key[1].as_py(), key[1].as_py() == key[2].as_py(), table.column("elements").to_pylist(), percent)
+        k, _, i, j = (x.as_py() for x in key)
+        rows = {c: table.column(c).to_numpy() for c in ("nid", "own", "comp", "upper", "block")}
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(table), BANDS)
+        out, looked = _joining_links(rows, rows["block"] == i, i == j, k, bands, table.column("elements").to_pylist(), percent)
+        if counter is not None:
+            counter.add(looked)
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    return meet.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    return meet.groupBy("key", "class", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
 
+def _joining_links(rows: dict, first: np.ndarray, same: bool, key: int, bands: np.ndarray, elements: list[bytes], percent: int) -> tuple[list[tuple[int, int]], int]:
+    """Links between the rows of the first and the second block (or within one) that join different components, and how many pairs were compared.
 
-def _joining_links(nid, comp, first, same, elements: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Links between the rows of the first and the second block (or within one) that join different components."""
+    A pair is compared where the bound of own shingles lets it reach the threshold, in the least of the keys that it shares.
+    """
+    nid, own, comp, upper = (rows[c] for c in ("nid", "own", "comp", "upper"))
     one = np.flatnonzero(first)
     two = one if same else np.flatnonzero(~first)
     if not len(one) or not len(two) or len(np.unique(comp)) < 2:
-        return []
+        return [], 0
     sets = [np.frombuffer(e, np.uint64) for e in elements]
     size = np.array([len(s) for s in sets])
-    who = np.repeat(np.arange(len(sets)), size)
-    _, feature, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[feature] > 1
-    who, feature = who[shared], (np.cumsum(count > 1) - 1)[feature[shared]]
-    order = np.argsort(feature, kind="stable")
-    who, feature = who[order], feature[order]
-    common = np.zeros((len(one), len(two)), np.float32)
-    for lo in range(0, int(feature[-1]) + 1 if len(feature) else 0, FEATURES):
-        part = slice(*np.searchsorted(feature, [lo, lo + FEATURES]))
-        grid = np.zeros((len(sets), FEATURES), np.float32)
-        grid[who[part], feature[part] - lo] = 1
-        common += grid[one] @ grid[two].T
-    fits = 100 * common >= percent * (size[one][:, None] + size[two][None, :] - common)
-    fits &= comp[one][:, None] != comp[two][None, :]
+    left = size - own
+    most = np.minimum(left[one][:, None], left[two][None, :])
+    least = np.maximum(size[one][:, None] + own[two][None, :], size[two][None, :] + own[one][:, None])
+    # two nodes that look on from below meet in their own class
+    open_ = (100 * most >= percent * least) & (comp[one][:, None] != comp[two][None, :]) & ~(upper[one][:, None] & upper[two][None, :])
+    if same:
+        open_ = np.triu(open_, 1)
+    x, y = np.nonzero(open_)
+    keep = np.zeros(len(x), bool)
+    for at in range(0, len(x), 1 << 15):
+        p, q = bands[one[x[at : at + (1 << 15)]]], bands[two[y[at : at + (1 << 15)]]]
+        keep[at : at + (1 << 15)] = np.where(p == q, p, np.iinfo(np.int64).max).min(axis=1) == key
+    x, y = x[keep], y[keep]
+    if not len(x):
+        return [], 0
+    common = _common(sets, one[x], two[y])
+    fits = 100 * common >= percent * (size[one[x]] + size[two[y]] - common)
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -295,19 +317,52 @@ def _joining_links(nid, comp, first, same, elements: list[bytes], percent: int)
         return x
 
     out = []
-    for x, y in zip(*(k.tolist() for k in np.nonzero(fits))):
-        x, y = one[x], two[y]
-        r, q = find(int(comp[x])), find(int(comp[y]))
+    for a, b in zip(one[x[fits]].tolist(), two[y[fits]].tolist()):
+        r, q = find(int(comp[a])), find(int(comp[b]))
         if r != q:
             root[max(r, q)] = min(r, q)
-            out.append((int(nid[x]), int(nid[y])))
-    return out
+            out.append((int(nid[a]), int(nid[b])))
+    return out, len(x)
+
+
+def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sizes of the intersections of these pairs of sets: one by one where they are few, else by products of matrices."""
+    one, two = np.unique(a), np.unique(b)
+    if 20 * len(a) < len(one) * len(two) or len(a) < 20:
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist())])
+    used = np.union1d(one, two)
+    who = np.repeat(np.arange(len(used)), [len(sets[k]) for k in used])
+    _, feature, count = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True, return_counts=True)
+    shared = count[feature] > 1
+    who, feature = who[shared], (np.cumsum(count > 1) - 1)[feature[shared]]
+    order = np.argsort(feature, kind="stable")
+    who, feature = who[order], feature[order]
+    rows, columns = np.searchsorted(used, one), np.searchsorted(used, two)
+    common = np.zeros((len(one), len(two)), np.float32)
+    for lo in range(0, int(feature[-1]) + 1 if len(feature) else 0, FEATURES):
+        part = slice(*np.searchsorted(feature, [lo, lo + FEATURES]))
+        grid = np.zeros((len(used), FEATURES), np.float32)
+        grid[who[part], feature[part] - lo] = 1
+        common += grid[rows] @ grid[columns].T
+    return common[np.searchsorted(one, a), np.searchsorted(two, b)].astype(np.int64)
+
+
+def one_bucket_each(placed: DataFrame) -> DataFrame:
+    """The rows of ``placed`` (key, nid) in buckets of several nodes; of buckets with the same nodes only the one of the least key.
+
+    A set of nodes is told by its size, its ends, and 128 bits of hashes.
+    """
+    nodes = [F.bit_xor(F.xxhash64("nid", F.lit(k))).alias(f"h{k}") for k in range(2)]
+    buckets = placed.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("nid").alias("least"), F.max("nid").alias("most"), *nodes).filter("k > 1")
+    kept = buckets.groupBy("k", "least", "most", "h0", "h1").agg(F.min("key").alias("key")).select("key")
+    return placed.join(kept.hint("merge"), "key", "left_semi")
 
 
-def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text: str = "text", counter=None) -> DataFrame:
     """``doc_id, tie, n_shingles, component_id, head`` of every row: its component bears the smallest id that it reaches.
 
-    ``tie`` is the text's hash; ``head`` marks the rows of the one text that stands for the component.
+    ``tie`` is the text's hash; ``head`` marks the rows of the one text that stands for the component. ``counter``, an
+    accumulator, gets the number of pairs whose whole sets step 5 compares.
     """
     rows = written(set_rows(docs, n, text), "sets")
     found = rows.filter("digest IS NOT NULL")
@@ -324,7 +379,9 @@ def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text:
     total = nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     facts = nodes.join(shared.select("nid").distinct().hint("merge"), "nid", "left_semi").select("nid", "n_shingles", "s0", "s1")
     facts = written(facts.join(own_shingles(bodies.rows, n, total).hint("merge"), "nid", "left").withColumn("own", F.coalesce("own", F.lit(0))), "facts")
-    placed = shared.join(facts.hint("merge"), "nid").withColumnRenamed("n_shingles", "n")
+    # a node whose own shingles alone keep it below the threshold links with none
+    may = facts.withColumnRenamed("n_shingles", "n").filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
+    placed = written(one_bucket_each(shared.join(may.hint("merge"), "nid")), "placed")
 
     lead = placed.groupBy("key").agg(F.min_by(F.struct("nid", "n", "own", "s0", "s1"), F.struct(F.col("own") / F.col("n"), "nid")).alias("a"))
     pairs = placed.join(lead, "key").filter((F.col("nid") != F.col("a.nid")) & _may_link(percent)).select(F.col("a.nid").alias("a"), F.col("nid").alias("b"))
@@ -333,10 +390,10 @@ def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text:
     comps = components(first)
 
     known = placed.join(comps.withColumnRenamed("node", "nid").hint("merge"), "nid", "left").withColumn("comp", F.coalesce("root", "nid")).drop("root")
-    known = written(known, "placed")
     mixed = known.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key")
-    left = written(known.join(mixed.hint("merge"), "key").select("key", "nid", "n", "comp"), "mixed")
-    second = written(linked_in_blocks(left, bodies.rows, n, percent), "confirmed")
+    left = known.join(mixed.hint("merge"), "key").join(nodes.select("nid", "bands").hint("merge"), "nid")
+    left = written(left.select("key", "nid", "n", "own", "comp", "bands"), "mixed")
+    second = written(linked_in_blocks(left, bodies.rows, n, percent, counter), "confirmed")
     bodies.drop()
     comps = components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
 
