@@ -1,13 +1,15 @@
 """Benchmark decontamination by template windows.
 
 Texts and benchmark items become template tokens: ASCII small letters without punctuation, with numbers, names (capitals
-inside a sentence) and units replaced by typed placeholders. Windows of eight template tokens meet in a hash join, and a
+inside a sentence) and units replaced by typed placeholders, one for each value of however many words ("1,300", "Mary
+Lou"). Windows of eight template tokens meet in a hash join, and a
 meeting counts only while its slots agree along the passage: one value of the item always stands for one value of the
 text, and different names or units stay different. So a question with other numbers and names is found, and a text that
 merely has the same shape is not.
 
 Case and punctuation do not decide whether windows meet: both sides are read in three ways, with every capitalised word
-as a name, with those inside a sentence only, and with none, and windows meet where any two readings are equal. So a copy
+as a name, with those inside a sentence only, and with none. A reading of an item is judged against all readings of the
+text, and the one with most windows counts. So a copy
 is found in capitals, in small letters, without stops or in the middle of a sentence, with other numbers and units too;
 other names are seen where the text has capitals that tell names from words (not in a text all in capitals, all in small
 letters, or with a capital on every word).
@@ -35,12 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfworks.llm.blobs import squeezed, unsqueezed
 from shelfworks.llm.shared import in_batches, table, written
 from shelfworks.llm.words import hashes_at, mix64, shingle_hashes, word_hashes
 
 WINDOW, LITERALS, NEEDED = 8, 4, 6
 PIECE, GROUP_BYTES = 1 << 18, 1 << 16
-MOST_BITS = 1 << 27
+MOST_BITS, MAPS = 1 << 27, 8
 #: Rows of meetings looked at before a search for the longest chain of a block takes the first way only.
 SEARCH_ROWS = 100_000
 LITERAL, NUMBER, NAME, UNIT = range(4)
@@ -56,7 +59,7 @@ UNITS = (
 _LETTER = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 _DIGIT = np.array([48 <= b <= 57 for b in range(256)])
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if _LETTER[b] else 32 for b in range(256))
-_SENTENCE = np.isin(np.arange(256), list(b".!?:\n"))
+_SENTENCE = np.isin(np.arange(256), list(b".!?:\n\0"))
 _hashed = {}
 
 
@@ -67,10 +70,13 @@ def _lists() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _hashed["x"]
 
 
-def tokens(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every token: the hash of its letters, its kinds in the readings READINGS (a row each), and its place."""
+def tokens(raw: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """In each of READINGS the hash of every token's letters, its kind, its number among all words, and its place.
+
+    Words of one kind, but for literal ones, that follow each other are one token. A zero byte parts words of any kind.
+    """
     number_words, units, _ = _lists()
-    hashes, kinds, places, at, ended = [], [], [], 0, True
+    hashes, kinds, places, parts, at, ended, zeros = [], [], [], [], 0, True, 0
     while at < len(raw):
         end = min(len(raw), at + PIECE)
         if end < len(raw):
@@ -83,6 +89,7 @@ def tokens(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = hashes_at(np.frombuffer(raw[at:end].translate(_PLAIN), np.uint8), starts, ends)
         digits = np.append(0, np.cumsum(_DIGIT[piece]))
         stops = np.append(0, np.cumsum(_SENTENCE[piece]))
+        nils = zeros + np.append(0, np.cumsum(piece == 0))
         before = np.append(0, ends[:-1]) if len(ends) else ends
         first = stops[starts] > stops[before]
         if len(first):
@@ -97,74 +104,87 @@ def tokens(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         hashes.append(h)
         kinds.append(kind)
         places.append(starts + at)
-        at = end
+        parts.append(nils[starts])
+        at, zeros = end, int(nils[-1])
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros((READINGS, 0), np.uint8), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(kinds, axis=1), np.concatenate(places)
+        return [(np.zeros(0, np.uint64), np.zeros(0, np.uint8), *[np.zeros(0, np.int64)] * 2)] * READINGS
+    h, kinds, places, parts = np.concatenate(hashes), np.concatenate(kinds, axis=1), np.concatenate(places), np.concatenate(parts)
+    out = []
+    for kind in kinds:
+        goes_on = (kind[1:] == kind[:-1]) & (kind[1:] != LITERAL) & (parts[1:] == parts[:-1])
+        heads = np.flatnonzero(np.append(True, ~goes_on)) if len(h) else np.zeros(0, np.int64)
+        within = np.arange(len(h)) - np.repeat(heads, np.diff(np.append(heads, len(h))))
+        with np.errstate(over="ignore"):
+            value = np.where(within > 0, mix64(h + within.astype(np.uint64)), h)
+            value = np.add.reduceat(value, heads) if len(h) else value
+        out.append((value, kind[heads], heads, places[heads]))
+    return out
 
 
 def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
 
 
-def windows(h: np.ndarray, kinds: np.ndarray, size: int) -> list[np.ndarray]:
-    """Hashes of the template windows of ``size`` tokens in each reading; none where there are fewer tokens."""
+def windows(h: np.ndarray, kind: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the template windows of ``size`` tokens; none where there are fewer tokens."""
     if len(h) < size:
-        return [np.zeros(0, np.uint64)] * READINGS
-    marks, bare, out = _lists()[2], None, []
-    for kind in kinds:
-        w = shingle_hashes(np.where(kind == LITERAL, h, marks[kind]), size)
-        literal = np.append(0, np.cumsum(kind == LITERAL))
-        plain = literal[size:] - literal[:-size] < min(LITERALS, size)
-        if plain.any():
-            bare = shingle_hashes(h, size) ^ np.uint64(1) if bare is None else bare
-            w[plain] = bare[plain]
-        out.append(w)
-    return out
+        return np.zeros(0, np.uint64)
+    w = shingle_hashes(np.where(kind == LITERAL, h, _lists()[2][kind]), size)
+    literal = np.append(0, np.cumsum(kind == LITERAL))
+    plain = literal[size:] - literal[:-size] < min(LITERALS, size)
+    if plain.any():
+        w[plain] = (shingle_hashes(h, size) ^ np.uint64(1))[plain]
+    return w
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """``w, size, item_id, at, n, h, kinds``: every window of every item in each reading, with its tokens' hashes and kinds.
+    """``w, size, item_id, reading, at, n, reach, h, kinds``: every window of every item in each reading, with its tokens' hashes and kinds.
 
-    The kinds are those of the first reading, which has the most slots: a token that another reading takes literally
-    stands for itself there.
+    ``at`` counts words, ``n`` is the number of the reading's windows, ``reach`` that of the item's words.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for item, text in zip(b.column("item_id").to_pylist(), b.column("text")):
-                raw = (text.as_py() or "").encode()
-                h, kinds, _ = tokens(raw)
-                size = min(WINDOW, len(h))
-                if size:
-                    of = sorted({(k, x) for w in windows(h, kinds, size) for k, x in enumerate(w.view(np.int64).tolist())})
-                    n = len(h) - size + 1
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x for _, x in of], pa.int64()), pa.array(np.full(len(of), size)), pa.array([item] * len(of), pa.int64())]
-                        + [pa.array([k for k, _ in of], pa.int64()), pa.array(np.full(len(of), n))]
-                        + [pa.array([x[k : k + size].tobytes() for k, _ in of], pa.binary()) for x in (h, kinds[0])],
-                        names=["w", "size", "item_id", "at", "n", "h", "kinds"],
-                    )
-
-    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").dropDuplicates()
-    return written(in_batches(rows).mapInArrow(cut, "w bigint, size bigint, item_id bigint, at bigint, n bigint, h binary, kinds binary"), "items")
+                read = tokens((text.as_py() or "").encode())
+                for reading, (h, kind, heads, _) in enumerate(read):
+                    size = min(WINDOW, len(h))
+                    if size:
+                        n = len(h) - size + 1
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(windows(h, kind, size).view(np.int64)), pa.array(np.full(n, size)), pa.array([item] * n, b.schema.field("item_id").type), pa.array(np.full(n, reading))]
+                            + [pa.array(heads[:n]), pa.array(np.full(n, n)), pa.array(np.full(n, int(heads[-1]) + 1))]
+                            + [pa.array([x[k : k + size].tobytes() for k in range(n)], pa.binary()) for x in (h, kind)],
+                            names=["w", "size", "item_id", "reading", "at", "n", "reach", "h", "kinds"],
+                        )
+
+    rows = benchmark.select("item_id", "text").dropDuplicates()
+    schema = f"w bigint, size bigint, item_id {dict(rows.dtypes)['item_id']}, reading bigint, at bigint, n bigint, reach bigint, h binary, kinds binary"
+    return written(in_batches(rows).mapInArrow(cut, schema), "items")
 
 
 def _bitmap(items: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """One bit for each window hash, in a map of at most MOST_BITS; and the window sizes."""
+    """One bit for each window hash, in a map of at most MOST_BITS; and the window sizes. Tasks fill maps, the driver unites a few of them."""
     n, sizes = items.agg(F.count(F.lit(1)), F.sort_array(F.collect_set("size"))).first()
     bits = 1 << 10
     while bits < min(1024 * n, MOST_BITS):
         bits *= 2
-    word = F.pmod("w", F.lit(bits))
-    rows = items.groupBy(F.shiftright(word, 3).alias("k")).agg(F.bit_or(F.expr("shiftleft(1, cast(pmod(w, 8) AS INT))")).alias("b")).collect()
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            place = b.column("w").to_numpy().view(np.uint64) & np.uint64(bits - 1)
+            np.bitwise_or.at(own, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([squeezed(own.tobytes())], pa.binary())], names=["map"])
+
     out = np.zeros(bits // 8, np.uint8)
-    out[[r.k for r in rows]] = [r.b for r in rows]  # at most MOST_BITS / 8 rows
+    for r in in_batches(items.select("w").coalesce(MAPS)).mapInArrow(fill, "map binary").collect():  # at most MAPS maps
+        out |= np.frombuffer(unsqueezed(r.map), np.uint8)
     return out, list(sizes)
 
 
 def meetings(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Windows of the documents that equal windows of items, with the token hashes and kinds of both."""
+    """Windows of the documents that equal windows of items, with the token hashes of both and the item's kinds."""
     bitmap, sizes = _bitmap(items)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -172,43 +192,35 @@ def meetings(docs: DataFrame, items: DataFrame) -> DataFrame:
         bits = shared.value
         mask = np.uint64(len(bits) * 8 - 1)
         for b in batches:
-            ids, ties, ws, ats, hs = [], [], [], [], []
+            found: dict[tuple, None] = {}  # readings that say the same give a window once
             raws = [(text.as_py() or "").encode() for text in b.column("text")]
             i = 0
-            while i < len(raws):  # short texts together, a line's end between them
+            while i < len(raws):  # short texts together, a zero byte between them
                 j, begins, total = i, [], 0
                 while j == i or (j < len(raws) and total + len(raws[j]) < GROUP_BYTES):
                     begins.append(total)
                     total += len(raws[j]) + 1
                     j += 1
-                h, kinds, places = tokens(b"\n".join(raws[i:j]))
-                doc = np.searchsorted(begins, places, "right") - 1
-                first = np.searchsorted(doc, np.arange(j - i))
-                for size in sizes:
-                    before = []
-                    for w in windows(h, kinds, size):
+                for h, kind, heads, places in tokens(b"\0".join(raws[i:j])):
+                    doc = np.searchsorted(begins, places, "right") - 1
+                    head = np.searchsorted(doc, np.arange(j - i))
+                    for size in sizes:
+                        w = windows(h, kind, size)
                         place = w & mask
                         hit = np.flatnonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
                         hit = hit[doc[hit] == doc[hit + size - 1]]
-                        for x in before:  # readings that say the same
-                            hit = hit[w[hit] != x[hit]]
-                        before.append(w)
-                        if not len(hit):
-                            continue
-                        ids += [b.column("doc_id")[i + k].as_py() for k in doc[hit].tolist()]
-                        ties += [b.column("tie")[i + k].as_py() for k in doc[hit].tolist()]
-                        ws.append(w[hit].view(np.int64))
-                        ats.append(hit - first[doc[hit]])
-                        hs += [h[k : k + size].tobytes() for k in hit]
+                        for k, x, d in zip(hit.tolist(), w[hit].view(np.int64).tolist(), doc[hit].tolist()):
+                            found[i + d, x, int(heads[k] - heads[head[d]]), h[k : k + size].tobytes()] = None
                 i = j
-            if ids:
+            if found:
+                row, w, at, own = zip(*found)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(np.concatenate(ws)), pa.array(np.concatenate(ats)), pa.array(hs, pa.binary())],
+                    [b.column(c).take(pa.array(row, pa.int64())) for c in ("doc_id", "tie")] + [pa.array(w, pa.int64()), pa.array(at, pa.int64()), pa.array(own, pa.binary())],
                     names=["doc_id", "tie", "w", "place", "own"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    found = in_batches(rows).mapInArrow(maybe, "doc_id bigint, tie bigint, w bigint, place bigint, own binary").distinct()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    found = in_batches(rows).mapInArrow(maybe, f"doc_id {dict(rows.dtypes)['doc_id']}, tie bigint, w bigint, place bigint, own binary").distinct()
     return found.join(items, "w").filter(F.length("own") == F.length("h"))
 
 
@@ -281,15 +293,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def judge(key: tuple, rows: pa.Table) -> pa.Table:
         n = rows.column("n")[0].as_py()
-        meets = list(set(zip(*(rows.column(c).to_pylist() for c in ("place", "at", "own", "h", "kinds")))))  # once for all readings
-        best = longest_chain(meets, n, n + len(meets[0][4]) - 1)
-        out = [[key[0].as_py()], [key[1].as_py()], [key[2].as_py()], [len(best)], [n]]
+        meets = list(set(zip(*(rows.column(c).to_pylist() for c in ("place", "at", "own", "h", "kinds")))))
+        best = longest_chain(meets, n, rows.column("reach")[0].as_py())
+        out = [(k.as_py(), k.type) for k in key[:3]] + [(len(best), pa.int64()), (n, pa.int64())]
         ok = len(best) >= min(NEEDED, n)
-        return pa.table([pa.array(x if ok else [], pa.int64()) for x in out], names=["doc_id", "tie", "item_id", "n_matched", "n_windows"])
+        return pa.table([pa.array([x] if ok else [], kind) for x, kind in out], names=["doc_id", "tie", "item_id", "n_matched", "n_windows"])
 
-    return met.groupBy("doc_id", "tie", "item_id").applyInArrow(
-        judge, "doc_id bigint, tie bigint, item_id bigint, n_matched bigint, n_windows bigint"
-    )
+    kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, tie bigint, item_id {dict(benchmark.dtypes)['item_id']}, n_matched bigint, n_windows bigint"
+    each = met.groupBy("doc_id", "tie", "item_id", "reading").applyInArrow(judge, kinds)
+    best = F.max(F.struct("n_matched", "n_windows")).alias("b")
+    return each.groupBy("doc_id", "tie", "item_id").agg(best).select("doc_id", "tie", "item_id", "b.n_matched", "b.n_windows")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

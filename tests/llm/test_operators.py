@@ -90,10 +90,13 @@ def test_near_dups_of_a_large_family(spark, monkeypatch):
         for _ in range(rng.randint(0, 12)):
             w[rng.randrange(80)] = rng.choice(["the", "of", f"x{rng.randrange(40)}"])
         docs.append((i, " ".join(w)))
-    got = near_dups.near_groups(spark.createDataFrame(docs, "doc_id bigint, text string"), n=2).collect()
+    docs += [(1_000 + i, " ".join(base[: 20 + i])) for i in range(0, 60, 2)]  # sizes that link from step to step
+    looked = spark.sparkContext.accumulator(0)
+    got = near_dups.near_groups(spark.createDataFrame(docs, "doc_id bigint, text string"), n=2, counter=looked).collect()
     want = brute.groups(docs, 2, 80)
     assert len({c for _, c in want.values()}) > 5
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert looked.value < 180 * 179 / 2
 
 
 def test_near_dups_of_odd_rows(spark):
@@ -271,6 +274,19 @@ def test_slots_must_agree_across_windows(spark):
     assert got.get(1, 0) == n - min(len(over(first) - over(second)), len(over(second) - over(first)))
 
 
+def test_values_of_several_words_are_one_slot(spark):
+    item = "Every summer Tom sells 300 apples at the old market near the river and pays twenty euros to Anna for each of the 300 apples that he has sold there."
+    other = item.replace("300", "1,300").replace("Tom", "Mary Lou").replace("twenty", "twenty five").replace("Anna", "Old Joe Smith")
+    wrong = other.replace("the 1,300", "the 1,400")
+    docs = spark.createDataFrame(list(enumerate([item, other, wrong, "5", "6 " + item])), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_matched, r.n_windows) for r in decontaminate.leaks(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()}
+    n = len(item.split()) - 7
+    assert got[0] == got[1] == got[4] == (n, n) and got[2][0] < n and 3 not in got
+    named = docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text", F.lit(0).alias("tie"), F.lit("x").alias("n_matched"))
+    leaks = decontaminate.leaks(named, spark.createDataFrame([("one", item, 1)], "item_id string, text string, reading int")).collect()
+    assert {(r.doc_id, r.item_id) for r in leaks} == {(f"d{i}", "one") for i in got}
+
+
 def test_leaks_in_other_case_and_punctuation(spark):
     item = "In the morning Tom buys 3 apples and 4 pears at the market. Then he gives Anna 3 of the apples. The rest goes home with Tom."
     short = "Where did Tom and his old friend Anna go then?"
