@@ -70,3 +70,21 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "n", by: list[st
     return placed.join(renamed, same).select(
         *df.columns, (F.col("_base") + F.col("_pos") - F.col("_first") + 1).alias(name)
     )
+
+
+def beside(df: DataFrame, by: list[str], order: list[str], value: Column, name: str, after: bool = False) -> DataFrame:
+    """Add ``value`` of the row before (or after) in ``order`` within ``by``, in a struct that is null where there is no such row.
+
+    A group lies in as many range partitions as it needs; of each partition one row for each of its groups meets the others.
+    """
+    placed = in_order(df.withColumn(name, F.struct(value.alias("v"))), [F.col(c) for c in (*by, *order)])
+    step, end = (F.lead, F.min_by) if after else (F.lag, F.max_by)
+    within = step(name).over(Window.partitionBy("_pid", *by).orderBy("_pos"))
+    ends = placed.groupBy("_pid", *by).agg(end(name, "_pos").alias("_end"))
+    across = ends.select(*[F.col(c).alias(f"_b_{c}") for c in ("_pid", *by)], step("_end").over(Window.partitionBy(*by).orderBy("_pid")).alias("_end"))
+    across = across.filter("_end IS NOT NULL")  # only groups of several partitions: few rows
+    same = F.lit(True)
+    for c in ("_pid", *by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    # within a partition only the row at its end has no neighbour there
+    return placed.withColumn(name, within).join(across, same, "left").select(*df.columns, F.coalesce(name, "_end").alias(name))

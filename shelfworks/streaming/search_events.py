@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from shelfworks.functions.numbering import beside
 from shelfworks.operators.browse import nonblank
 from shelfworks.operators.search import HITS, search_many, upper_brand
 
@@ -26,14 +27,16 @@ def debounce(events: DataFrame, gap: str = "300 milliseconds", watermark: str |
 
 
 def distinct_until_changed(events: DataFrame) -> DataFrame:
-    """Batch: events whose text differs from the same user's text before."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    before, first = F.lag("text").over(order), F.row_number().over(order)
-    return events.withColumn("_b", before).withColumn("_n", first).filter((F.col("_n") == 1) | ~F.col("text").eqNullSafe(F.col("_b"))).drop("_b", "_n")
+    """Batch: events whose text differs from the same user's text before. A user's events may be in many tasks."""
+    rows = beside(events, ["user_id"], ["ts", "event_id"], F.col("text"), "_b")
+    return rows.filter(F.col("_b").isNull() | ~F.col("text").eqNullSafe(F.col("_b.v"))).drop("_b")
 
 
 def distinct_until_changed_stream(events: DataFrame) -> DataFrame:
-    """Stream: the same with the last text of each user as state; events come in time order from batch to batch."""
+    """Stream: the same with the last text of each user as state; events come in time order from batch to batch.
+
+    A user's events of one batch are put in order in one task; the source's rows for each trigger bound their number.
+    """
 
     def changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, last = (True, state.get[0]) if state.exists else (False, None)
@@ -53,12 +56,11 @@ def distinct_until_changed_stream(events: DataFrame) -> DataFrame:
 
 
 def switch_latest(requests: DataFrame) -> DataFrame:
-    """Batch: requests (with latency_s) answered before the same user's next request."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = requests.withColumn("_t", micros).withColumn("_next", F.lead("_t").over(order))
+    """Batch: requests (with latency_s) answered before the same user's next request. A user's requests may be in many tasks."""
+    rows = requests.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp")))
+    rows = beside(rows, ["user_id"], ["ts", "event_id"], F.col("_t"), "_next", after=True)
     ready = F.col("_t") + F.round(F.col("latency_s") * 1_000_000).cast("bigint")
-    return rows.filter(F.col("_next").isNull() | (ready < F.col("_next"))).drop("_t", "_next")
+    return rows.filter(F.col("_next").isNull() | (ready < F.col("_next.v"))).drop("_t", "_next")
 
 
 def switch_latest_stream(requests: DataFrame, watermark: str = WATERMARK) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfworks.functions import labels
-from shelfworks.functions.numbering import number_rows
+from shelfworks.functions.numbering import beside, number_rows
 from shelfworks.operators import browse, catalogue, ingest, search, specs
 from shelfworks.plans import views
 from shelfworks.sources import tables
@@ -221,3 +221,16 @@ def test_tables_of_a_relational_store(spark, tmp_path):
     model.coalesce(1).write.jdbc(url, "MODEL", properties=driver)
     got = tables.read_jdbc(spark, url, "MODEL", "ID_MODEL", 0, 20, 4, driver)
     assert got.rdd.getNumPartitions() == 4 and sorted(map(tuple, got.collect())) == rows
+
+
+def test_neighbours_across_partitions(spark):
+    rows = [(i, "hot" if i % 3 else f"u{i}", None if i % 7 == 0 else i) for i in range(200)] + [(300, None, 1), (301, None, 2)]
+    df = spark.createDataFrame(rows, "id bigint, user string, x int")
+    for after in (False, True):
+        got = {r.id: r.n for r in beside(df, ["user"], ["id"], F.col("x"), "n", after).collect()}
+        assert len(got) == len(rows)
+        for u in {r[1] for r in rows}:
+            of = sorted(r for r in rows if r[1] == u)
+            for k, r in enumerate(of):
+                near = of[k + 1 : k + 2] if after else of[max(0, k - 1) : k]
+                assert (got[r[0]] and got[r[0]].v) == (near[0][2] if near else None) and (got[r[0]] is None) == (not near)
