@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from shelfworks.llm.shared import fresh, in_batches, new_path, table
 
 OVER_LIMIT = 1024
+#: Rows of one text from which on it gets its count by a broadcast, and the most texts that do.
+COPIES, MANY_TEXTS = 1_000, 100_000
 CACHE_SCHEMA = "version string, digest binary, n_tokens bigint"
 #: Fixed value: the published split pattern of byte-level BPE.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -134,11 +136,18 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, text: str = "text"
     distinct = keyed.groupBy(F.col(key).alias("digest")).agg(F.first(body).alias("text"))
     misses = distinct.join(known, "digest", "left_anti").select("digest", "text")
     encode_misses(misses, tokenizer, version).write.mode("append").parquet(cache)
-    counts = _read_cache(spark, cache, version)
+    counts = _read_cache(spark, cache, version).withColumnRenamed("digest", key)
     made = ("n_bytes", "n_tokens", "over_limit")
     kept = [c for c in docs.columns if c != text and c not in made]
+    n, spread = fresh(docs.columns, "_n", "_spread")
     rows = keyed.select(*kept, F.octet_length(body).cast("long").alias("n_bytes"), key)
-    return rows.join(counts.withColumnRenamed("digest", key), key, "left").select(
+    # texts of very many rows get their counts by a broadcast, so that no task gets all rows of one; there are at most MANY_TEXTS
+    often = max(COPIES, docs.count() // MANY_TEXTS)
+    hot = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > often).select(key)
+    hot = counts.join(hot.hint("merge"), key, "left_semi").select(key, F.col("n_tokens").alias(n))
+    rows = rows.join(F.broadcast(hot), key, "left").withColumn(spread, F.monotonically_increasing_id().cast("string").cast("binary"))
+    rows = rows.withColumn(key, F.when(F.col(n).isNull(), F.col(key)).otherwise(F.col(spread)))
+    return rows.join(counts.hint("merge"), key, "left").withColumn("n_tokens", F.coalesce(n, "n_tokens")).select(
         *kept, "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit")
     )
 
