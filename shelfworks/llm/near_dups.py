@@ -358,24 +358,8 @@ def one_bucket_each(placed: DataFrame) -> DataFrame:
     return placed.join(kept.hint("merge"), "key", "left_semi")
 
 
-def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text: str = "text", counter=None) -> DataFrame:
-    """``doc_id, tie, n_shingles, component_id, head`` of every row: its component bears the smallest id that it reaches.
-
-    ``tie`` is the text's hash; ``head`` marks the rows of the one text that stands for the component. ``counter``, an
-    accumulator, gets the number of pairs whose whole sets step 5 compares.
-    """
-    rows = written(set_rows(docs, n, text), "sets")
-    found = rows.filter("digest IS NOT NULL")
-    nodes = found.groupBy("digest").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("r"), *[F.first(c).alias(c) for c in ("n_shingles", "sketch", "s0", "s1", "bands")]
-    )
-    nodes = nodes.select(F.col("r.doc_id").alias("id0"), F.col("r.tie").alias("tie0"), "digest", "n_shingles", "sketch", "s0", "s1", "bands")
-    nodes = in_order(nodes, [F.col("id0").asc_nulls_last(), F.col("digest")]).withColumn("nid", F.shiftleft("_pid", 33) + F.col("_pos")).drop("_pid", "_pos")
-    buckets = nodes.select("nid", F.explode("bands").alias("key"))
-    full = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key").hint("merge")
-    shared = written(buckets.join(full, "key"), "buckets")
-    sketches = nodes.select("nid", "sketch")
-    bodies = Bodies(docs, nodes, shared, text)
+def _linked(nodes: DataFrame, shared: DataFrame, bodies: Bodies, n: int, percent: int, counter) -> tuple[DataFrame, DataFrame]:
+    """Steps 2 to 5 for the nodes and their buckets: the components of the leader round, and the links that join these further."""
     total = nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     facts = nodes.join(shared.select("nid").distinct().hint("merge"), "nid", "left_semi").select("nid", "n_shingles", "s0", "s1")
     facts = written(facts.join(own_shingles(bodies.rows, n, total).hint("merge"), "nid", "left").withColumn("own", F.coalesce("own", F.lit(0))), "facts")
@@ -385,7 +369,7 @@ def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text:
 
     lead = placed.groupBy("key").agg(F.min_by(F.struct("nid", "n", "own", "s0", "s1"), F.struct(F.col("own") / F.col("n"), "nid")).alias("a"))
     pairs = placed.join(lead, "key").filter((F.col("nid") != F.col("a.nid")) & _may_link(percent)).select(F.col("a.nid").alias("a"), F.col("nid").alias("b"))
-    pairs = written(_alike(pairs.distinct(), sketches, percent), "pairs")
+    pairs = written(_alike(pairs.distinct(), nodes.select("nid", "sketch"), percent), "pairs")
     first = written(confirmed(pairs, bodies.rows, n, percent), "confirmed")
     comps = components(first)
 
@@ -394,7 +378,30 @@ def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text:
     left = known.join(mixed.hint("merge"), "key").join(nodes.select("nid", "bands").hint("merge"), "nid")
     left = written(left.select("key", "nid", "n", "own", "comp", "bands"), "mixed")
     second = written(linked_in_blocks(left, bodies.rows, n, percent, counter), "confirmed")
-    bodies.drop()
+    return comps, second
+
+
+def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text: str = "text", counter=None) -> DataFrame:
+    """``doc_id, tie, n_shingles, component_id, head`` of every row: its component bears the smallest id that it reaches.
+
+    ``tie`` is the text's hash; ``head`` marks the rows of the one text that stands for the component. ``counter``, an
+    accumulator, gets the number of pairs whose whole sets step 5 compares.
+    """
+    rows = written(set_rows(docs, n, text), "sets")
+    found = rows.filter("digest IS NOT NULL")
+    nodes = found.groupBy("digest").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("r"), *[F.first(c).alias(c) for c in ("n_shingles", "sketch", "s0", "s1", "bands")]
+    )
+    nodes = nodes.select(F.col("r.doc_id").alias("id0"), F.col("r.tie").alias("tie0"), "digest", "n_shingles", "sketch", "s0", "s1", "bands")
+    nodes = in_order(nodes, [F.col("id0").asc_nulls_last(), F.col("digest")]).withColumn("nid", F.shiftleft("_pid", 33) + F.col("_pos")).drop("_pid", "_pos")
+    buckets = nodes.select("nid", F.explode("bands").alias("key"))
+    full = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key").hint("merge")
+    shared = written(buckets.join(full, "key"), "buckets")
+    bodies = Bodies(docs, nodes, shared, text)
+    try:
+        comps, second = _linked(nodes, shared, bodies, n, percent, counter)
+    finally:
+        bodies.drop()
     comps = components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
 
     ids = nodes.select("nid", "id0", "tie0", "digest").join(comps.withColumnRenamed("node", "nid"), "nid", "left")

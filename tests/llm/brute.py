@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import math
 from collections import defaultdict
 from itertools import combinations
 
@@ -65,3 +66,12 @@ def longest_chain(pairs, number):
         return all(a[:2] != b[:2] and (a[0] == number or a[::2] != b[::2]) for a, b in combinations(said, 2))
 
     return max(len({p[0] for p in some}) for n in range(len(pairs) + 1) for some in combinations(pairs, n) if agree(some))
+
+
+def pu_risk(p, u, w, prior, decay):
+    """The non-negative risk of positives p and unlabelled u under weights w (the last is the bias), with its penalty."""
+    score = lambda x: sum(a * b for a, b in zip(x, w)) + w[-1]
+    loss = lambda z: math.log1p(math.exp(-z)) if z > -30 else -z
+    up = sum(loss(score(x)) for x in p) / len(p)
+    down = sum(loss(-score(x)) for x in u) / len(u) - prior * sum(loss(-score(x)) for x in p) / len(p)
+    return prior * up + max(0.0, down) + decay / 2 * sum(x * x for x in w[:-1])

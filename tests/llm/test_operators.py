@@ -33,6 +33,16 @@ def test_query_equals_sql(spark, sf_dir, query, module):
     assert rows_of(getattr(module, query)(spark, sf_dir)) == rows_in_sql(connection(sf_dir), module.ORACLE_SQL)
 
 
+def test_token_counts_of_many_copies(spark, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(token_counts, "COPIES", 3)
+    rows = [(i, t) for i, t in enumerate(["one two three"] * 10 + ["a b"] * 2 + [None] * 5 + ["c"])]
+    path, cache = public_tokenizers.path("byte_bpe_50k.json"), new_path(spark, "cache")
+    got = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id bigint, text string"), path, cache).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(i, len((t or "").split())) for i, t in rows]
+
+
 def test_token_counts_and_cache(spark, sf_dir):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -163,6 +173,20 @@ def test_url_edges(spark):
     assert url_filter.judge_urls(pages.limit(0), url_filter.rule_table(spark)).count() == 0
 
 
+def test_columns_called_like_helpers(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x", 1, 2, 3)], "page_id int, url string, _url int, _rule int, _verdict int")
+    got = url_filter.judge_urls(pages, url_filter.rule_table(spark)).first()
+    assert (got.verdict, got["_url"], got["_rule"], got["_verdict"]) == ("block", 1, 2, 3)
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(1, "one two", "mine")], "doc_id bigint, text string, _digest string")
+    assert token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), new_path(spark, "cache")).first()["_digest"] == "mine"
+
+
+def test_quality_reads_whole_words():
+    assert quality.word_shape(b"a" * 100 + b"7") == quality.word_shape(b"a7") != quality.word_shape(b"a" * 100)
+
+
 def test_url_rules_that_end_inside_a_name(spark):
     pages = spark.createDataFrame([(1, "http://a.b/english/x"), (2, "http://a.b/e")], "page_id int, url string")
     rules = url_filter.rule_table(spark, (("block", "b", "/en"),))
@@ -337,6 +361,27 @@ def test_mixing(spark, sf_dir):
     assert mixing.takes(docs.limit(0)).count() == 0
 
 
+def test_takes_equal_a_plain_count(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
+    m = mixing.mix(docs)
+    slots, targets = m["slots"].collect(), {r.sid: r for r in m["targets"].collect()}
+    taken = {}
+    for sid, t in targets.items():
+        own = sorted((r.doc_id, len((r.text or "").encode().split())) for r in docs.collect() if r.source == t.source)
+        words = [i for i, n in own for _ in range(n)]
+        assert len(words) == t.source_size
+        blocks = [words[k : k + mixing.BLOCK_WORDS] for k in range(0, len(words), mixing.BLOCK_WORDS)]
+        mine = sorted((r.slot, r.block) for r in slots if r.sid == sid)
+        assert [k for k, _ in mine] == list(range(round(t.target * len(blocks) / t.source_size)))
+        for k in range(0, len(mine), len(blocks)):  # a pass takes no block twice
+            some = [b for _, b in mine[k : k + len(blocks)]]
+            assert len(set(some)) == len(some) and set(some) <= set(range(len(blocks)))
+        for _, b in mine:
+            for i in blocks[b]:
+                taken[i] = taken.get(i, 0) + 1
+    assert {r.doc_id: r.taken for r in mixing.takes(docs).collect()} == {r.doc_id: taken.get(r.doc_id, 0) for r in docs.collect()}
+
+
 def test_mixed_words_are_the_documents_words(spark):
     docs = spark.createDataFrame([(i, " ".join(f"{i}w{k}" for k in range(100)), "ab"[i % 2]) for i in range(10)], "doc_id bigint, text string, source string")
     m = mixing.mix(docs)
@@ -402,6 +447,19 @@ def test_anchors_that_a_few_documents_repeat_are_hot(spark):
     assert sorted(map(tuple, got.collect())) == brute.without_repeats(rows)
 
 
+def test_texts_over_a_chunk_and_an_anchor_in_every_document(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 3_000)
+    rng = random.Random(7)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, long = some(80), some(9_000)
+    rows = [(i, some(40) + line + some(30)) for i in range(120)] + [(200, long), (201, some(200) + long[2_000:7_000] + line), (202, long)]
+    rows += [(203, "\0" * 60 + line), (204, "x" + "\0" * 55)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for hot in (20, suffix_dedup.HOT_DOCS):
+        got = suffix_dedup.without_repeats(docs, hot_docs=hot).select("doc_id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.size("removed"), F.sha2("kept", 256))
+        assert sorted(map(tuple, got.collect())) == brute.without_repeats(rows)
+
+
 def test_shortened_keeps_rows_and_columns(spark):
     long = "A passage that is longer than fifty bytes, so that it is cut: é."
     rows = [(2, "x " + long + " y", "k"), (1, long, None), (3, None, "z"), (None, long, "n")]
@@ -482,4 +540,6 @@ def test_prior_and_risk():
     prior = quality.class_prior((p @ first[:-1]), (u @ first[:-1]))
     assert 0.6 < prior < 0.85
     w = quality.fit_pu(p, u, 0.7)
+    best = brute.pu_risk(p, u, w, 0.7, quality.DECAY)
+    assert all(best <= brute.pu_risk(p, u, w + d, 0.7, quality.DECAY) + 1e-4 for d in rng.normal(size=(50, 2)) / 4)
     assert np.mean((u @ w[:-1] + w[-1] > 0) == (np.arange(2000) < 1400)) > 0.9
