@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,18 +78,23 @@ def add_models(model: DataFrame, brand: DataFrame, new: DataFrame) -> tuple[Data
     return model.unionByName(rows), judged.filter("reason IS NOT NULL")
 
 
-def _unknown(subs: DataFrame, ids: str, label: DataFrame, key: str) -> DataFrame:
-    """Submissions with an id in their list that no label has."""
-    opened = subs.select("seq", F.explode(ids).alias(key)).distinct()
-    return opened.join(label.select(key), key, "left_anti").select("seq").distinct().withColumn(f"_{ids}", F.lit(True))
+def _unknown(subs: DataFrame, labels: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """``seq`` and for each list of ids ``_<list>``: whether it has an id that its labels lack; all lists in one pass."""
+
+    def marked(ids: str) -> Column:
+        return F.transform(F.coalesce(ids, F.array().cast("array<bigint>")), lambda i: F.struct(F.lit(ids).alias("kind"), i.alias("id")))
+
+    opened = subs.select("seq", F.inline(F.concat(*map(marked, labels))))
+    known = reduce(DataFrame.union, [df.select(F.lit(ids).alias("kind"), F.col(key).alias("id")) for ids, (df, key) in labels.items()])
+    missing = opened.join(known, ["kind", "id"], "left_anti")
+    return missing.groupBy("seq").agg(*[F.max(F.col("kind") == ids).alias(f"_{ids}") for ids in labels])
 
 
 def resolve_refs(subs: DataFrame, color: DataFrame, box_content: DataFrame, model: DataFrame) -> DataFrame:
     """Submissions with ``reason``: a missing list, then unknown colours, box contents, and model; null where all are known."""
-    colors = _unknown(subs, "colors", color, "id_color")
-    boxes = _unknown(subs, "box_contents", box_content, "id_content")
+    unknown = _unknown(subs, {"colors": (color, "id_color"), "box_contents": (box_content, "id_content")})
     known = model.select("id_model").withColumn("_model", F.lit(True))
-    joined = subs.join(colors, "seq", "left").join(boxes, "seq", "left").join(known, "id_model", "left")
+    joined = subs.join(unknown, "seq", "left").join(known, "id_model", "left")
     reason = (
         F.when(F.col("colors").isNull(), INVALID)
         .when(F.col("_colors"), COLOR_UNKNOWN)
