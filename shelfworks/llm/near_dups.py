@@ -49,6 +49,8 @@ SHINGLE, PERCENT = 5, 80
 MEMBERS = 100
 #: Shingles in one range of the count of own shingles.
 RANGE_SHINGLES = 1_000_000
+#: Nodes whose counts are added up together.
+BLOCK_NODES = 50_000
 #: Shingles in one block of a bucket, what a row counts as at least, and columns of one matrix of a product of blocks.
 BLOCK_SHINGLES, LEAST_WEIGHT, FEATURES = 60_000, 100, 2_048
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -204,9 +206,12 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, n: int, percent: int) -> Data
     return in_batches(met).mapInArrow(checked, "a bigint, b bigint")
 
 
-def own_shingles(bodies: DataFrame, n: int, total: int) -> DataFrame:
-    """``nid, own``: how many shingles of a node no other node of ``bodies`` has (48-bit hashes: never too many)."""
-    ranges = max(8, total // RANGE_SHINGLES)
+def own_shingles(bodies: DataFrame, n: int, total: int, nodes: int) -> DataFrame:
+    """``nid, own``: how many shingles of a node no other node of ``bodies`` has (48-bit hashes: never too many).
+
+    Each range of hashes counts what it finds for blocks of nodes, a row for each block, and the blocks add that up.
+    """
+    ranges, blocks = max(8, total // RANGE_SHINGLES), max(1, nodes // BLOCK_NODES)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,11 +235,21 @@ def own_shingles(bodies: DataFrame, n: int, total: int) -> DataFrame:
         holder = np.concatenate([unplaned(x) for x in rows.column("holder").to_pylist()])
         _, first, times = np.unique(fp, return_index=True, return_counts=True)
         alone = holder[first[times == 1]]
-        nid, own = np.unique(alone[alone > 0], return_counts=True)
-        return pa.table({"nid": pa.array(nid.astype(np.int64) - 1), "own": pa.array(own.astype(np.int64))})
+        nid, own = np.unique(alone[alone > 0] - np.uint64(1), return_counts=True)
+        block = (mix64(nid) % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        out = [{"block": k, "nids": deltas(nid[order[part]]), "own": planes(own[order[part]])} for k, part in runs_of(block[order])]
+        return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.int64()), ("nids", pa.binary()), ("own", pa.binary())]))
+
+    def added(rows: pa.Table) -> pa.Table:
+        nid = np.concatenate([undeltas(x) for x in rows.column("nids").to_pylist()])
+        own = np.concatenate([unplaned(x) for x in rows.column("own").to_pylist()])
+        unique, place = np.unique(nid, return_inverse=True)
+        return pa.table({"nid": pa.array(unique.astype(np.int64)), "own": pa.array(np.bincount(place, weights=own).astype(np.int64))})
 
     dealt = in_batches(bodies).mapInArrow(deal, "range bigint, fp binary, holder binary")
-    return dealt.groupBy("range").applyInArrow(count, "nid bigint, own bigint").groupBy("nid").agg(F.sum("own").alias("own"))
+    counted = dealt.groupBy("range").applyInArrow(count, "block bigint, nids binary, own binary")
+    return counted.groupBy("block").applyInArrow(added, "nid bigint, own bigint")
 
 
 def linked_in_blocks(rows: DataFrame, bodies: DataFrame, n: int, percent: int, counter=None) -> DataFrame:
@@ -360,9 +375,9 @@ def one_bucket_each(placed: DataFrame) -> DataFrame:
 
 def _linked(nodes: DataFrame, shared: DataFrame, bodies: Bodies, n: int, percent: int, counter) -> tuple[DataFrame, DataFrame]:
     """Steps 2 to 5 for the nodes and their buckets: the components of the leader round, and the links that join these further."""
-    total = nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    total, many = nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count(F.lit(1))).first()
     facts = nodes.join(shared.select("nid").distinct().hint("merge"), "nid", "left_semi").select("nid", "n_shingles", "s0", "s1")
-    facts = written(facts.join(own_shingles(bodies.rows, n, total).hint("merge"), "nid", "left").withColumn("own", F.coalesce("own", F.lit(0))), "facts")
+    facts = written(facts.join(own_shingles(bodies.rows, n, total, many).hint("merge"), "nid", "left").withColumn("own", F.coalesce("own", F.lit(0))), "facts")
     # a node whose own shingles alone keep it below the threshold links with none
     may = facts.withColumnRenamed("n_shingles", "n").filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
     placed = written(one_bucket_each(shared.join(may.hint("merge"), "nid")), "placed")
