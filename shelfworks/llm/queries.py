@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfworks.llm import decontaminate, license_scan, mixing, near_dups, quality, suffix_dedup, token_counts, topk_search, toxicity, url_filter, vector_codes
+from shelfworks.llm import collocations, decontaminate, license_scan, mixing, near_dups, quality, suffix_dedup, token_counts, topk_search, toxicity, url_filter, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": quality.op9_quality,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_collocations": collocations.op12_collocations,
     }
 
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_topk_search": topk_search.ORACLE_SQL,
         "op5_license_scan": license_scan.ORACLE_SQL,
         "op11_vector_codes": vector_codes.ORACLE_SQL,
+        "op12_collocations": collocations.ORACLE_SQL,
     }
