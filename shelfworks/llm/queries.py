@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfworks.llm import collocations, decontaminate, license_scan, mixing, near_dups, quality, suffix_dedup, token_counts, topk_search, toxicity, url_filter, vector_codes
+from shelfworks.llm import collocations, decontaminate, license_scan, mixing, near_dups, phrase_automata, quality, suffix_dedup, token_counts, topk_search, toxicity, url_filter, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_vector_codes": vector_codes.op11_vector_codes,
         "op12_collocations": collocations.op12_collocations,
+        "op13_phrase_dedup": phrase_automata.op13_phrase_dedup,
     }
 
 
