@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 from collections import defaultdict
 from itertools import combinations
 
@@ -75,3 +76,72 @@ def pu_risk(p, u, w, prior, decay):
     up = sum(loss(score(x)) for x in p) / len(p)
     down = sum(loss(-score(x)) for x in u) / len(u) - prior * sum(loss(-score(x)) for x in p) / len(p)
     return prior * up + max(0.0, down) + decay / 2 * sum(x * x for x in w[:-1])
+
+
+def codes(rows, parts, entries, rounds, scale):
+    """The codebooks, and (id, code, error) of each (id, vector, label)."""
+    ints = sorted((r[0], [math.floor(scale * x) for x in r[1]], tuple(r[1])) for r in rows)
+    ints = sorted(ints, key=lambda r: (r[0], r[2]))
+    d = len(ints[0][1]) // parts
+    cut = [[v[p * d : p * d + d] for _, v, _ in ints] for p in range(parts)]
+    books = [c[:entries] for c in cut]
+
+    def nearest(x, book):
+        return min((sum((a - b) ** 2 for a, b in zip(x, e)), i) for i, e in enumerate(book))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            of = defaultdict(list)
+            for x in cut[p]:
+                of[nearest(x, books[p])[1]].append(x)
+            books[p] = [[sum(c) // len(of[i]) for c in zip(*of[i])] if of[i] else e for i, e in enumerate(books[p])]
+    out = []
+    for k, (i, _, _) in enumerate(ints):
+        near = [nearest(cut[p][k], books[p]) for p in range(parts)]
+        out.append((i, "".join(f"{n:02x}" for _, n in near), sum(x for x, _ in near)))
+    return books, out
+
+
+def collocations(docs, least, percent, best):
+    """(lang, rank, phrase, a, l, r, n, score) of (lang, text)."""
+    f, total = defaultdict(int), defaultdict(int)
+    for lang, text in docs:
+        lang = lang or "und"
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            for n in range(1, 6):
+                for i in range(len(w) - n + 1):
+                    f[lang, tuple(w[i : i + n])] += 1
+    often = {k: a for k, a in f.items() if a >= least}
+    inner = defaultdict(int)
+    for (lang, w), a in often.items():
+        for n in range(2, len(w)):
+            for i in range(len(w) - n + 1):
+                inner[lang, w[i : i + n]] = max(inner[lang, w[i : i + n]], a)
+    out = defaultdict(list)
+    for (lang, w), a in often.items():
+        if len(w) > 1 and not (inner[lang, w] and 100 * inner[lang, w] >= percent * a):
+            cuts = [(1000 * a * total[lang] // (f[lang, w[:k]] * f[lang, w[k:]]), k) for k in range(1, len(w))]
+            score, k = min(cuts)
+            out[lang].append((-score, -a, " ".join(w).encode(), f[lang, w[:k]], f[lang, w[k:]]))
+    return sorted((lang, i, p.decode(), -a, l, r, total[lang], -s) for lang, rows in out.items() for i, (s, a, p, l, r) in enumerate(sorted(rows)[:best], 1))
+
+
+def without_passages(docs, window):
+    """(id, words, removed, digest) of each document."""
+    first = {}
+    texts = [(i, re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())) for i, t in docs]
+    for i, w in texts:
+        for s in range(len(w) - window + 1) if i is not None else ():
+            k = tuple(w[s : s + window])
+            first[k] = min(first.get(k, (i, s)), (i, s))
+    out = []
+    for i, w in texts:
+        keep = [True] * len(w)
+        for s in range(len(w) - window + 1) if i is not None else ():
+            if first[tuple(w[s : s + window])] < (i, s):
+                keep[s : s + window] = [False] * window
+        left = [x for x, k in zip(w, keep) if k]
+        out.append((str(i), len(w), len(w) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()))
+    return sorted(out)
