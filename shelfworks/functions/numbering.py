@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept_for(folder: str, batch: str | None, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives for a batch, written beside a table: a batch of the same name that is run again gets the same rows."""
+    spark = SparkSession.getActiveSession()
+    if batch is None:
+        return written(make(), "batch")
+    path = f"{folder}/_batches/{batch}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def in_order(df: DataFrame, order: list[Column], pid: str = "_pid", pos: str = "_pos") -> DataFrame:
     """Rows in range partitions of ``order``, with their partition and their place in it, written so that both stay."""
     spark = df.sparkSession

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfworks.functions.numbering import number_rows
+from shelfworks.functions.numbering import kept_for, number_rows
+from shelfworks.sources.bucketed import BucketedTable, save
+from shelfworks.sources.tables import normalise_phone
 
 BRAND_EXISTS, BRAND_EMPTY = "Brand already exists", "Brand name cannot be null or empty"
 MODEL_EXISTS, BRAND_UNKNOWN = "Model already exists", "Brand not found"
@@ -122,6 +124,48 @@ def save_phones(phone: DataFrame, subs: DataFrame, keep_web: bool = False) -> Da
     return replace_rows(phone, last.unionByName(fresh.select(*phone.columns)), "id_phone")
 
 
+def submitted_phones(phone_ids: DataFrame, subs: DataFrame, keep_web: bool = False) -> DataFrame:
+    """What submissions with all lists save: the last row of each id, and rows without one under new ids after all others."""
+    rows = subs if keep_web else subs.withColumn("oficial_web", F.lit(None).cast("string"))
+    columns = [c for c in rows.columns if c != "seq"]
+    given = rows.filter("id_phone IS NOT NULL")
+    last = given.groupBy("id_phone").agg(F.max_by(F.struct(*columns), "seq").alias("r")).select("r.*")
+    ids = phone_ids.select("id_phone").union(given.select("id_phone"))
+    return last.unionByName(_with_new_ids(rows.filter("id_phone IS NULL").drop("id_phone"), ids, "id_phone").select(*columns))
+
+
+def merge_phones(store: dict[str, BucketedTable], subs: DataFrame, batch: str | None = None, keep_web: bool = False) -> None:
+    """save_phones() on stored tables by buckets of id_phone: ``phone`` and the three child tables, with all nine lists.
+
+    Only buckets of the submitted ids are rewritten. The rows with their new ids are kept until all tables have them, so
+    a batch that is broken off and run again under its name gives the same ids.
+    """
+    phone = store["phone"]
+    rows = kept_for(phone.path, batch, lambda: submitted_phones(phone.rows(), subs, keep_web))
+    for name, part in normalise_phone(rows).items():
+        store[name].replace(part, rows.select("id_phone"), batch)
+
+
+def merge_models(model: BucketedTable, upd: DataFrame, batch: str | None = None) -> DataFrame:
+    """update_models() on a stored table by buckets of id_model; gives the rejected updates with their reason."""
+    ids = model.near(upd).select("id_model")
+    rejected = upd.join(ids, "id_model", "left_anti").withColumn("reason", F.lit(NOT_FOUND))
+    rejected = kept_for(model.path, batch and f"{batch}-rejected", lambda: rejected)
+    save(model, upd.join(ids, "id_model", "left_semi"), "id_model", batch)
+    return rejected
+
+
+def merge_brands(brand: BucketedTable, upd: DataFrame, batch: str | None = None) -> None:
+    """save_brands() on a stored table by buckets of id_brand."""
+    save(brand, upd, "id_brand", batch)
+
+
+def remove_phones(store: dict[str, BucketedTable], ids: DataFrame, batch: str | None = None) -> None:
+    """delete_phones() on stored tables by buckets of id_phone; child rows go first, so that a broken batch leaves none without a phone."""
+    for name in sorted(store, key=lambda n: n == "phone"):
+        store[name].remove(ids, batch)
+
+
 def save_brands(brand: DataFrame, upd: DataFrame) -> DataFrame:
     """Whole-row save by id, without checks."""
     return replace_rows(brand, upd, "id_brand")

@@ -53,13 +53,13 @@ def _pieces(text: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size))
 
 
-def _pieces_asked(text: Column) -> Column:
+def asked_pieces(text: Column) -> Column:
     """What a name must hold for each word of a text: the word's 3-letter pieces, or the word itself where it is shorter."""
     of = F.transform(terms_of(text), lambda t: F.when(F.length(t) >= GRAM, _pieces(t, GRAM)).when(F.length(t) > 0, F.array(t)).otherwise(F.array().cast("array<string>")))
     return F.array_distinct(F.flatten(of))
 
 
-def _pieces_held(brand: Column, model: Column) -> Column:
+def held_pieces(brand: Column, model: Column) -> Column:
     """All pieces of one to three letters of a brand and a model."""
     of = [F.when(F.length(F.lower(c)) >= n, _pieces(F.lower(c), n)).otherwise(F.array().cast("array<string>")) for c in (brand, model) for n in range(1, GRAM + 1)]
     return F.array_distinct(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in of]))
@@ -71,7 +71,7 @@ def rarest_pieces(texts: DataFrame, held: DataFrame) -> DataFrame:
     ``held`` has ``piece`` once for each name. Texts that ask for a piece that no name holds are gone.
     """
     counts = held.groupBy("piece").agg(F.count(F.lit(1)).alias("names"))
-    asked = texts.select("text", F.explode(_pieces_asked(F.col("text"))).alias("piece"))
+    asked = texts.select("text", F.explode(asked_pieces(F.col("text"))).alias("piece"))
     best = asked.join(counts, "piece", "left").groupBy("text").agg(
         F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "piece")).alias("best"), F.count(F.lit(1)).alias("asked")
     )
@@ -91,7 +91,7 @@ def search_many(queries: DataFrame, cat: DataFrame, k: int = HITS) -> DataFrame:
     order = Window.partitionBy("brand", "model").orderBy("id_phone")
     lowest = cat.select("id_phone", "brand", "model").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
     names = lowest.select("brand", "model").distinct()
-    held = names.select(F.col("brand").alias("_b"), F.col("model").alias("_m"), F.explode(_pieces_held(F.col("brand"), F.col("model"))).alias("piece"))
+    held = names.select(F.col("brand").alias("_b"), F.col("model").alias("_m"), F.explode(held_pieces(F.col("brand"), F.col("model"))).alias("piece"))
     asked = rarest_pieces(texts, held)
     same = F.col("_b").eqNullSafe(F.col("brand")) & F.col("_m").eqNullSafe(F.col("model"))
 
@@ -101,7 +101,7 @@ def search_many(queries: DataFrame, cat: DataFrame, k: int = HITS) -> DataFrame:
     wanted = held.join(single.select("piece").distinct(), "piece", "left_semi")
     by_piece = top_k(wanted.join(lowest, same).select("piece", "id_phone", "brand", "model"), k, "piece").drop("rn")
     hits = hits.union(single.join(by_piece, "piece").select("text", "id_phone", "brand", "model"))
-    wordless = texts.filter(F.size(_pieces_asked(F.col("text"))) == 0)
+    wordless = texts.filter(F.size(asked_pieces(F.col("text"))) == 0)
     every = cat.filter(F.coalesce("brand", "model").isNotNull()).select("id_phone", "brand", "model").orderBy("id_phone").limit(k)
     hits = hits.union(wordless.join(F.broadcast(every)).select("text", "id_phone", "brand", "model"))  # k rows
     return queries.join(top_k(hits, k, "text"), "text").select("query_id", "rn", "id_phone", "brand", "model")

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from shelfworks.functions import labels
 from shelfworks.functions.numbering import new_path, written
 from shelfworks.operators import browse, catalogue, ingest, search, specs
+from shelfworks.operators.search_index import SearchIndex
 from shelfworks.plans import views as v
 from shelfworks.sources import tables
+from shelfworks.sources.bucketed import BucketedTable
+from shelfworks.sources.paged import PagedTable
 from shelfworks.sources.schemas import SCALARS
-from shelfworks.streaming import search_events
+from shelfworks.streaming import ordered_state, search_events
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -425,6 +428,23 @@ def j7_search_many(spark, d):
     return search.search_many(v.queries(spark, d), v.parts(spark, d))
 
 
+@query(ORACLE["j7_search_many"])
+def j7_search_index(spark, d):
+    """The first five parts for each of many texts, from a stored index whose levels are visited only as far as needed."""
+    return SearchIndex.build(v.parts(spark, d), new_path(spark, "search-index"), block=32).search(v.queries(spark, d))
+
+
+@query(ORACLE["j7_search_many"])
+def j7_search_updated(spark, d):
+    """The same from an index of an older catalogue that has taken in the names that changed since."""
+    now = v.parts(spark, d)
+    old = now.filter(F.col("id_phone") % 3 != 0).withColumn("model", F.when(F.col("id_phone") % 5 == 0, F.reverse("model")).otherwise(F.col("model")))
+    index = SearchIndex.build(old, new_path(spark, "search-index"), block=32)
+    was = old.filter("id_phone % 5 = 0").select("brand", "model")
+    index.update(now, now.filter("id_phone % 3 = 0 OR id_phone % 5 = 0").select("brand", "model").union(was), 32)
+    return index.search(v.queries(spark, d))
+
+
 @query(f"WITH {_NEW_BRANDS} SELECT seq, brand_name FROM nb WHERE brand_name IN (SELECT r_name FROM region)")
 def j8_existing_brands(spark, d):
     """New brands that exist."""
@@ -532,6 +552,27 @@ def l1_page(spark, d):
     return browse.page(_cat(spark, d).select("id_phone", "brand", "model"), 3)
 
 
+@query(
+    f"WITH {_CAT}, n AS (SELECT id_phone, brand, model, row_number() OVER (PARTITION BY brand ORDER BY id_phone) AS rn, count(*) OVER (PARTITION BY brand) AS n FROM cat) "
+    "SELECT id_phone, brand, model FROM n WHERE brand = 'ASIA' AND (rn - 1) // 6 = (n - 1) // 6"
+)
+def l1_deep_page(spark, d):
+    """The last page of a brand, read by place."""
+    cat = _cat(spark, d).select("id_phone", "brand", "model")
+    pages = PagedTable.create(cat, new_path(spark, "pages"), ["id_phone"], "brand")
+    return pages.page(pages.pages("ASIA"), "ASIA")
+
+
+@query(
+    f"WITH {_CAT}, n AS (SELECT id_phone, row_number() OVER (ORDER BY id_phone) AS rn FROM cat), r AS (SELECT event_id AS request_id, user_id % 400 + 1 AS page FROM events) "
+    "SELECT request_id, page, (rn - 1) % 6 + 1 AS rn, id_phone FROM r JOIN n ON (rn - 1) // 6 + 1 = page"
+)
+def l1_pages(spark, d):
+    """A page of the whole list for every event."""
+    pages = PagedTable.create(_cat(spark, d).select("id_phone"), new_path(spark, "pages"), ["id_phone"])
+    return pages.many(v.read(spark, d, "events").select(F.col("event_id").alias("request_id"), (F.col("user_id") % 400 + 1).alias("page")))
+
+
 @query(
     f"WITH {_NEW_BRANDS} SELECT CAST(r_regionkey AS BIGINT) AS id_brand, r_name AS brand_name FROM region UNION ALL "
     "SELECT (SELECT max(r_regionkey) FROM region) + row_number() OVER (ORDER BY seq), brand_name FROM jb WHERE reason IS NULL"
@@ -576,6 +617,65 @@ def d3_save_phones(spark, d):
     return saved.withColumns({c: F.to_json(c) for c in ("colors", "box_contents")})
 
 
+_TAKEN = (
+    f"{_SUBS}, f AS (SELECT seq, CASE WHEN seq % 50 <> 0 THEN id_phone END AS id_phone, os, processor, id_model, colors, boxes FROM judged WHERE reason IS NULL), "
+    "g AS (SELECT * FROM f WHERE id_phone IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id_phone ORDER BY seq DESC) = 1), "
+    "top AS (SELECT max(id) AS m FROM (SELECT p_partkey AS id FROM part UNION ALL SELECT id_phone FROM g)), "
+    "taken AS (SELECT * FROM g UNION ALL SELECT seq, m + row_number() OVER (ORDER BY seq), os, processor, id_model, colors, boxes FROM f, top WHERE id_phone IS NULL), "
+)
+#: The lists of a submission in SQL.
+_TAKEN_LISTS = (
+    ("images", "['https://img.example/' || seq || '.png']"), ("colors", "colors"), ("box_contents", "boxes"), ("main_camera", "[os, processor]"), ("screen", "string_split(os, '-')"),
+    ("memory", "[(seq % 8) || ' GB']"), ("battery", "CASE WHEN seq % 4 <> 0 THEN [os, NULL] END"),
+    ("connectivity", "CASE WHEN seq % 5 = 0 THEN CAST([] AS VARCHAR[]) ELSE [processor] END"), ("security", "[os]"),
+)
+
+
+def _phone_rows(t: dict[str, DataFrame]) -> DataFrame:
+    """Stored phones and all rows of their child tables: id_phone, kind, pos, value."""
+    text = F.concat_ws("|", "secondary_camera", "oficial_web", "processor", "gpu", F.col("id_model").cast("string"))
+    out = t["phone_list"].select("id_phone", F.col("attr").alias("kind"), "pos", "value").union(t["phone"].select("id_phone", F.lit("phone"), F.lit(None).cast("int"), text))
+    for kind, name, key in (("colors", "phone_colors", "id_color"), ("box_contents", "phone_box_contents", "id_content")):
+        out = out.union(t[name].select("id_phone", F.lit(kind), "pos", F.col(key).cast("string")))
+    return out
+
+
+def _stored_parts(spark: SparkSession, d: str, buckets: int = 16) -> dict[str, BucketedTable]:
+    """Parts as phones in stored tables by buckets."""
+    path = new_path(spark, "phones")
+    parts = written(v.listed_parts(spark, d), "listed-parts")
+    return {name: BucketedTable.create(df, f"{path}/{name}", "id_phone", buckets) for name, df in tables.normalise_phone(parts).items()}
+
+
+_PART_ROWS = (
+    "SELECT p_partkey AS id_phone, 'phone' AS kind, CAST(NULL AS INTEGER) AS pos, concat_ws('|', p_name, 'https://shop.example', p_brand, CASE WHEN p_partkey % 3 <> 0 THEN p_type END, CAST(p_partkey % 25 AS VARCHAR)) AS value FROM part"
+)
+_PART_LISTS = (
+    "c AS (SELECT id_phone, list(id_color ORDER BY id_color) AS i FROM pc GROUP BY 1), b AS (SELECT id_phone, list(id_content ORDER BY id_content) AS i FROM pb GROUP BY 1)"
+)
+
+
+@query(
+    f"WITH {_TAKEN} {_BOXES}, {_PART_LISTS}, old AS ({_CHILDREN} UNION ALL {_PART_ROWS}) SELECT * FROM old WHERE id_phone NOT IN (SELECT id_phone FROM taken) UNION ALL "
+    + " UNION ALL ".join(f"SELECT id_phone, '{name}', CAST(unnest(range(len({sql}))) AS INTEGER), CAST(unnest({sql}) AS VARCHAR) FROM taken" for name, sql in _TAKEN_LISTS)
+    + " UNION ALL SELECT id_phone, 'phone', NULL, concat_ws('|', 'seen ' || seq, processor, CASE WHEN seq % 3 <> 0 THEN os END, CAST(id_model AS VARCHAR)) FROM taken"
+)
+def d3_merge_phones(spark, d):
+    """Stored phones with all nine lists after a merge of all valid submissions, some of them new phones."""
+    store = _stored_parts(spark, d)
+    judged = ingest.resolve_refs(v.full_submissions(spark, d), v.color(spark, d), v.box_content(spark, d), v.model(spark, d))
+    ingest.merge_phones(store, judged.filter("reason IS NULL").drop("reason"), "orders")
+    return _phone_rows({name: t.rows() for name, t in store.items()})
+
+
+@query(f"WITH {_BOXES}, {_PART_LISTS}, old AS ({_CHILDREN} UNION ALL {_PART_ROWS}) SELECT * FROM old WHERE id_phone NOT IN (SELECT o_custkey * 2 FROM orders)")
+def d5_remove_phones(spark, d):
+    """Stored phones with all nine lists after those of many ids are removed."""
+    store = _stored_parts(spark, d)
+    ingest.remove_phones(store, v.read(spark, d, "orders").select((F.col("o_custkey") * 2).alias("id_phone")))
+    return _phone_rows({name: t.rows() for name, t in store.items()})
+
+
 _UPDATES = "u AS (SELECT s_suppkey AS id_model, s_name AS model_name, s_suppkey % 5 AS id_brand FROM supplier)"
 
 
@@ -598,6 +698,14 @@ def d4_rejected_updates(spark, d):
     return ingest.update_models(v.model(spark, d), _model_updates(spark, d))[1].select("id_model", "reason")
 
 
+@query(ORACLE["d4_update_models"])
+def d4_merge_models(spark, d):
+    """Stored models after a merge of updates."""
+    model = BucketedTable.create(v.model(spark, d), new_path(spark, "models"), "id_model", 8)
+    ingest.merge_models(model, _model_updates(spark, d))
+    return model.rows()
+
+
 @query(
     f"WITH {_CAT} SELECT 'brand' AS kind, CAST(r_regionkey AS BIGINT) AS id FROM region WHERE r_name NOT IN ('ASIA', 'EUROPE') "
     "UNION ALL SELECT 'model', n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name NOT IN ('ASIA', 'EUROPE') "
@@ -647,6 +755,15 @@ def d7_save_brands(spark, d):
     return ingest.save_brands(v.brand(spark, d), s)
 
 
+@query(ORACLE["d7_save_brands"])
+def d7_merge_brands(spark, d):
+    """Stored brands after a merge by id."""
+    brand = BucketedTable.create(v.brand(spark, d), new_path(spark, "brands"), "id_brand", 8)
+    s = v.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id_brand"), F.col("s_name").alias("brand_name"))
+    ingest.merge_brands(brand, s)
+    return brand.rows()
+
+
 @query(
     "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), "
     "s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g), "
@@ -654,7 +771,7 @@ def d7_save_brands(spark, d):
 )
 def t1_debounce(spark, d):
     """The last event of each user before a pause of six hours."""
-    return search_events.debounce(v.events(spark, d), "6 hours").select("user_id", "event_id", "text")
+    return search_events.debounce_batch(v.events(spark, d), "6 hours").select("user_id", "event_id", "text")
 
 
 @query(
@@ -676,6 +793,13 @@ def t3_switch_latest(spark, d):
     return search_events.switch_latest(slow).select("event_id", "user_id")
 
 
+def _search_texts(spark: SparkSession, d: str, parts: DataFrame) -> DataFrame:
+    """Events (event_id, text) that ask for the names of all parts, and texts that no part has."""
+    texts = parts.select(F.col("id_phone").alias("k"), F.col("model").alias("name"))
+    numbered = v.events(spark, d).select("event_id", "text", (F.col("event_id") % (2 * parts.count())).alias("k"))
+    return numbered.join(texts, "k", "left").select("event_id", F.coalesce("name", "text").alias("text"))
+
+
 @query(
     f"WITH {_PARTS}, e AS (SELECT event_id, coalesce(p_name, event_type) AS text FROM events LEFT JOIN part ON p_partkey = event_id % (SELECT 2 * count(*) FROM part)), t AS (SELECT DISTINCT text FROM e), "
     f"h AS (SELECT text, id_phone, brand, model, row_number() OVER (PARTITION BY text ORDER BY id_phone) AS rn FROM t JOIN parts ON {_fits('text')}) "
@@ -684,7 +808,60 @@ def t3_switch_latest(spark, d):
 def t4_search_events(spark, d):
     """The first hits of every search event: names of all parts, and texts that no part has."""
     parts = v.parts(spark, d)
-    texts = parts.select(F.col("id_phone").alias("k"), F.col("model").alias("name"))
-    numbered = v.events(spark, d).select("event_id", "text", (F.col("event_id") % (2 * parts.count())).alias("k"))
-    asked = numbered.join(texts, "k", "left").select("event_id", F.coalesce("name", "text").alias("text"))
+    asked = _search_texts(spark, d, parts)
     return search_events.search_events(asked, parts).select(F.col("query_id").alias("event_id"), "rn", "id_phone", "brand", "model")
+
+
+#: How long streams of events wait for late ones.
+_WAIT = "10 minutes"
+
+
+def _event_stream(spark: SparkSession, events: DataFrame, parts: int = 3) -> DataFrame:
+    """A stream of files of events in order of time, one file set after the other; the last holds an event long after all."""
+    path = new_path(spark, "event-files")
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    cuts = events.select(F.percentile_approx("ts", [k / parts for k in range(1, parts)])).first()[0] or []
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:]):
+        some = events.filter((F.lit(low is None) | (F.col("ts") >= F.lit(low))) & (F.lit(high is None) | (F.col("ts") < F.lit(high))))
+        some.coalesce(1 if parts > 1 else parts).write.mode("append").parquet(path)
+    end = {"event_id": F.lit(-1), "user_id": F.lit(-1), "ts": F.coalesce(F.max("ts"), F.lit("2000-01-01").cast("timestamp")) + F.expr("INTERVAL 400 DAYS"), "text": F.lit("end"), "latency_s": F.lit(0.0)}
+    events.agg(*[c.cast(events.schema[n].dataType).alias(n) for n, c in end.items() if n in events.columns]).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _ran(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream appends to its sink, but for the event at its end."""
+    spark = stream.sparkSession
+    path = new_path(spark, name)
+    ordered_state.run_available(stream, f"{path}/out", f"{path}/checkpoint")
+    return spark.read.schema(stream.schema).parquet(f"{path}/out").filter(F.coalesce("user_id", F.lit(0)) >= 0)
+
+
+@query(ORACLE["t1_debounce"])
+def t1_debounce_stream(spark, d):
+    """t1_debounce from a running stream: sessions that the watermark has closed."""
+    return _ran(search_events.debounce(_event_stream(spark, v.events(spark, d)), "6 hours", _WAIT), "debounced").select("user_id", "event_id", "text")
+
+
+@query(ORACLE["t2_distinct_until_changed"])
+def t2_changes_stream(spark, d):
+    """t2_distinct_until_changed from a running stream with ordered state."""
+    return _ran(ordered_state.changes(_event_stream(spark, v.events(spark, d)), _WAIT), "changes").select("event_id", "user_id", "text")
+
+
+@query(ORACLE["t3_switch_latest"])
+def t3_latest_stream(spark, d):
+    """t3_switch_latest from a running stream with ordered state and timers."""
+    slow = v.events(spark, d).withColumn("latency_s", F.col("latency_s") * 100)
+    return _ran(ordered_state.latest_answers(_event_stream(spark, slow), _WAIT), "latest").select("event_id", "user_id")
+
+
+@query(ORACLE["t4_search_events"])
+def t4_search_stream(spark, d):
+    """t4_search_events from a running stream that searches in every micro-batch."""
+    path, parts = new_path(spark, "searched"), v.parts(spark, d)
+    asked = written(_search_texts(spark, d, parts).withColumn("ts", F.lit(None).cast("timestamp")), "search-texts")
+    stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 4).parquet(asked.inputFiles()[0].rsplit("/", 1)[0])
+    search_events.search_stream(stream, parts, f"{path}/out", f"{path}/checkpoint", available_now=True).awaitTermination()
+    return spark.read.parquet(f"{path}/out").select(F.col("query_id").alias("event_id"), "rn", "id_phone", "brand", "model")

@@ -145,3 +145,28 @@ def customer_children(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         "phone_list": o.select(F.col("o_custkey").alias("id_phone"), F.lit("memory").alias("attr"), F.col("o_orderkey").cast("int").alias("pos"), F.col("o_orderpriority").alias("value")),
         "phone_colors": o.select(F.col("o_custkey").alias("id_phone"), (F.col("o_orderkey") % 97).alias("id_color"), F.col("o_orderkey").cast("int").alias("pos")),
     }
+
+
+def full_submissions(spark: SparkSession, d: str) -> DataFrame:
+    """submissions() with all scalar and list attributes; every fiftieth has no id."""
+    s = submissions(spark, d)
+    key = F.col("seq")
+    text = lambda *c: F.concat(*[F.col(x).cast("string") if x in ("seq", "os") else F.lit(x) for x in c])
+    none = F.array().cast("array<string>")
+    return s.select(
+        "seq", F.when(key % 50 != 0, F.col("id_phone")).alias("id_phone"), F.array(text(WEB, "seq", ".png")).alias("images"), F.array("os", "processor").alias("main_camera"),
+        text("seen ", "seq").alias("secondary_camera"), F.split("os", "-").alias("screen"), F.lit("https://shop.example").alias("oficial_web"), F.lit("4G").alias("red"), "processor",
+        F.when(key % 3 != 0, F.col("os")).alias("gpu"), F.array(F.concat((key % 8).cast("string"), F.lit(" GB"))).alias("memory"), F.lit(None).cast("string").alias("expansion"), "os",
+        F.when(key % 4 != 0, F.array("os", F.lit(None).cast("string"))).alias("battery"), F.when(key % 5 == 0, none).otherwise(F.array("processor")).alias("connectivity"),
+        F.lit("-").alias("dimensions"), F.array("os").alias("security"), F.lit(None).cast("string").alias("video_youtube"), "id_model", "colors", "box_contents",
+    )
+
+
+def listed_parts(spark: SparkSession, d: str) -> DataFrame:
+    """full_parts() as phones with the ids of their colours and of what is in their box."""
+    colors = phone_colors(spark, d)
+    lists = [(colors, "id_color", "colors"), (phone_box_contents(spark, d, colors), "id_content", "box_contents")]
+    parts = full_parts(spark, d).drop("brand", "model")
+    for bridge, key, name in lists:
+        parts = parts.join(bridge.groupBy("id_phone").agg(F.sort_array(F.collect_list(key)).alias(name)), "id_phone", "left")
+    return parts

@@ -17,6 +17,16 @@ from shelfworks.operators.search import HITS, search_many, upper_brand
 WATERMARK = "10 minutes"
 
 
+def debounce_batch(events: DataFrame, gap: str = "300 milliseconds") -> DataFrame:
+    """Batch: the last text of each user before a pause longer than ``gap``. A user's events may be in many tasks.
+
+    An event is the last one before a pause if the user's next event is farther away than the gap; no session is formed.
+    """
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).filter("ts IS NOT NULL").select("user_id", "event_id", "text", "ts")
+    rows = beside(timed, ["user_id"], ["ts", "event_id"], F.col("ts"), "_next", after=True)
+    return rows.filter(F.col("_next").isNull() | (F.col("_next.v") > F.col("ts") + F.expr(f"INTERVAL {gap}"))).drop("_next")
+
+
 def debounce(events: DataFrame, gap: str = "300 milliseconds", watermark: str | None = None) -> DataFrame:
     """The last text of each user before a pause longer than ``gap``; works on batches and, with a watermark, on streams."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -107,10 +117,10 @@ def search_events(events: DataFrame, cat: DataFrame, k: int = HITS) -> DataFrame
     return asked.join(hits, "query_id", "left")
 
 
-def search_stream(events: DataFrame, cat: DataFrame | Callable[[], DataFrame], path: str, checkpoint: str, k: int = HITS):
+def search_stream(events: DataFrame, cat: DataFrame | Callable[[], DataFrame], path: str, checkpoint: str, k: int = HITS, available_now: bool = False):
     """The started stream that appends search_events() of every micro-batch to ``path``.
 
-    ``cat`` may be a function that gives the catalogue anew for each batch. Where a batch's search fails, its events have
+    With ``available_now`` it ends when it has taken what its source has. ``cat`` may be a function that gives the catalogue anew for each batch. Where a batch's search fails, its events have
     no hits, and the stream goes on.
     """
 
@@ -122,4 +132,5 @@ def search_stream(events: DataFrame, cat: DataFrame | Callable[[], DataFrame], p
             none = [F.lit(None).cast(kind).alias(name) for name, kind in (("rn", "int"), ("id_phone", "bigint"), ("brand", "string"), ("model", "string"))]
             nonblank(batch).select(F.col("event_id").alias("query_id"), "text", *none).write.mode("overwrite").parquet(to)
 
-    return events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).start()
+    writer = events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -189,7 +189,7 @@ def test_bulk_search_looks_at_few_pairs(spark):
     d = "/root/testdata/sf0.1"
     texts = views.queries(spark, d).select("text").distinct()
     names = views.parts(spark, d).select("brand", "model").distinct()
-    held = names.select(F.explode(search._pieces_held(F.col("brand"), F.col("model"))).alias("piece"))
+    held = names.select(F.explode(search.held_pieces(F.col("brand"), F.col("model"))).alias("piece"))
     asked = search.rarest_pieces(texts, held)
     assert asked.filter("NOT alone").join(held, "piece").count() < 0.05 * texts.count() * names.count()
 
