@@ -22,6 +22,7 @@ whole and removes nothing; repeated rows stay; an empty table gives an empty res
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +83,7 @@ class Words:
         n = len(self.starts) - WINDOW + 1
         if n < 1:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        grams = rolled(word_hashes(self.data.tobytes()), GRAM) >> np.uint64(64 - FP_BITS)
+        grams = rolled(word_hashes(self.raw), GRAM) >> np.uint64(64 - FP_BITS)
         least = np.lib.stride_tricks.sliding_window_view(grams, CHOICE).min(axis=1)
         ok = (self.of[:n] == self.of[WINDOW - 1 :]) & self.known[self.of[:n]]
         edge = np.full(CHOICE - 1, np.uint64(1 << 63))
@@ -96,15 +97,22 @@ class Words:
 
     def texts(self, at: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """The words from each place on, with one space between."""
-        data, out = self.data.tobytes(), []
-        for a, b in zip(self.starts[at].tolist(), self.ends[at + sizes - 1].tolist()):
-            out.append(data[a:b])
-        spaces = np.cumsum(np.append(0, self.starts[1:] - self.ends[:-1] - 1)) + np.cumsum(np.append(0, self.data[self.ends[:-1]] != 0x20))
-        odd = np.flatnonzero(spaces[at + sizes - 1] != spaces[at])  # other white space between words
-        for i in odd.tolist():
+        data, spaces, last = self.raw, self.spaces, at + sizes - 1
+        out = [data[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[last].tolist())]
+        for i in np.flatnonzero(spaces[last] != spaces[at]).tolist():
             out[i] = b" ".join(out[i].split())
         return out
 
+    @cached_property
+    def raw(self) -> bytes:
+        """The texts, with a space after each."""
+        return self.data.tobytes()
+
+    @cached_property
+    def spaces(self) -> np.ndarray:
+        """A number for each word that differs from that of a word before where other white space than one space lies between."""
+        return np.cumsum(np.append(0, (self.starts[1:] - self.ends[:-1] != 1) | (self.data[self.ends[:-1]] != 0x20)))
+
 
 def recurring_anchors(chunks: DataFrame, ranges: int, hot: int) -> DataFrame:
     """``chunk, found, hot``: for each chunk and range the anchors that occur twice or more, and those that occur over ``hot`` times."""
@@ -297,10 +305,8 @@ def _remove_among(some: np.ndarray, texts: list[bytes], chunk_of: np.ndarray, id
 WINDOWS = "w binary, chunk bigint, id bigint, number bigint, lowest binary, rest binary"
 
 
-def hot_windows(chunks: DataFrame, found: DataFrame, hot) -> DataFrame:
+def hot_windows(chunks: DataFrame, hot) -> DataFrame:
     """The windows around hot anchors, one row for each and chunk: its words, its least place there, and where in the chunk that and the others are."""
-    own = found.groupBy("chunk").agg(F.collect_list("found").alias("found"))
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
@@ -324,7 +330,7 @@ def hot_windows(chunks: DataFrame, found: DataFrame, hot) -> DataFrame:
                             names=["w", "chunk", "id", "number", "lowest", "rest"],
                         )
 
-    return in_batches(chunks.join(own.hint("merge"), "chunk")).mapInArrow(cut, WINDOWS)
+    return in_batches(chunks.drop("rest")).mapInArrow(cut, WINDOWS)
 
 
 def removed_windows(chunks: DataFrame, hot_limit: int = HOT) -> DataFrame:
@@ -338,7 +344,7 @@ def removed_windows(chunks: DataFrame, hot_limit: int = HOT) -> DataFrame:
     hot = spark.sparkContext.broadcast(np.concatenate(over) if over else np.zeros(0, np.uint64))
     gone = stretches(chunks, found, hot, shards).groupBy("shard").applyInArrow(_removed, "chunk bigint, starts binary")
     if over:
-        rows = written(hot_windows(chunks, found, hot), "hot-windows")
+        rows = written(hot_windows(chunks, hot), "hot-windows")
         # written, so that both sides of the join are plain exchanges and Spark can split the partitions of hot windows
         least = written(rows.groupBy("w").agg(F.min(F.struct("id", "number")).alias("least")), "hot-first")
         hit = rows.join(least.hint("merge"), "w")
@@ -363,7 +369,7 @@ def without_recurring(docs: DataFrame, text: str = "text", hot_limit: int = HOT)
                     np.add.at(cover, s, 1)
                     np.add.at(cover, s + WINDOW, -1)
                 keep = np.cumsum(cover[:-1]) == 0
-                data, bounds, sizes, removed, kept = w.data.tobytes(), [*w.first.tolist(), len(w.starts)], [], [], []
+                data, bounds, sizes, removed, kept = w.raw, [*w.first.tolist(), len(w.starts)], [], [], []
                 for a, e in zip(bounds, bounds[1:]):
                     edges = np.flatnonzero(np.diff(np.concatenate([[True], keep[a:e], [True]]).astype(np.int8)))
                     removed.append([{"start": int(x), "end": int(y)} for x, y in zip(edges[::2], edges[1::2])])
