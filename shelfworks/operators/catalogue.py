@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfworks.functions.numbering import number_rows
+from shelfworks.operators.ingest import met_keys
 from shelfworks.sources.schemas import LIST_ATTRIBUTES
 
 #: Phones in one part of a model.
@@ -86,5 +87,5 @@ def duplicate_names(df: DataFrame, name: str) -> DataFrame:
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """Child rows without a parent."""
-    return child.join(parent.select(key).distinct(), key, "left_anti")
+    """Child rows without a parent. Of the parents only those whose keys the children have meet them."""
+    return child.join(met_keys(parent.select(key), F.col(key).cast(child.schema[key].dataType), child, F.col(key)).distinct(), key, "left_anti")

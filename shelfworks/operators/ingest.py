@@ -7,25 +7,38 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfworks.functions.numbering import kept_for, number_rows
+from shelfworks.functions.numbering import kept_for, new_path, number_rows
 from shelfworks.sources.bucketed import BucketedTable, save
-from shelfworks.sources.tables import normalise_phone
+from shelfworks.sources.tables import normalise_phone, split_judged
 
+#: Numbers that a batch's keys are mapped to, as a power of two.
+KEY_BITS = 20
 BRAND_EXISTS, BRAND_EMPTY = "Brand already exists", "Brand name cannot be null or empty"
 MODEL_EXISTS, BRAND_UNKNOWN = "Model already exists", "Brand not found"
 COLOR_UNKNOWN, BOX_UNKNOWN, MODEL_UNKNOWN, INVALID = "Color not found", "Box content not found", "Model not found", "Invalid payload"
 NOT_FOUND = "Model not found"
 
 
+def met_keys(base: DataFrame, key: Column, batch: DataFrame, batch_key: Column) -> DataFrame:
+    """The base's rows whose key may be in the batch: what is left of the base follows the batch, not the base.
+
+    The batch's keys become at most 2**KEY_BITS numbers (8 MB), whatever its size, which the base is filtered with where it is
+    scanned; other rows of the same numbers are left too, so an exact join follows. A null key is a key.
+    """
+    number = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << KEY_BITS))
+    wanted = batch.select(number(batch_key).alias("_h")).distinct()
+    return base.join(F.broadcast(wanted), number(key) == F.col("_h"), "left_semi")
+
+
 def existing_brands(new: DataFrame, brand: DataFrame) -> DataFrame:
     """New brands whose exact name (or null) is there already."""
-    known = brand.select(F.col("brand_name").alias("_b")).distinct()
+    known = met_keys(brand.select(F.col("brand_name").alias("_b")), F.col("_b"), new, F.col("brand_name")).distinct()
     return new.join(known, new["brand_name"].eqNullSafe(F.col("_b")), "left_semi")
 
 
 def existing_models(new: DataFrame, model: DataFrame) -> DataFrame:
     """New models whose name is there already under any brand, in any case; null equals nothing."""
-    known = model.select(F.lower("model_name").alias("_m")).dropna().distinct()
+    known = met_keys(model.select(F.lower("model_name").alias("_m")).dropna(), F.col("_m"), new, F.lower("model")).distinct()
     return new.join(known, F.lower(new["model"]) == F.col("_m"), "left_semi")
 
 
@@ -45,7 +58,8 @@ def _with_new_ids(accepted: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 def judge_brands(brand: DataFrame, new: DataFrame) -> DataFrame:
     """``seq, brand_name, reason``: exists (there, or earlier in the batch), then null or empty; null reason where accepted."""
-    known = brand.select(F.col("brand_name").alias("_b")).distinct().withColumn("_known", F.lit(True))
+    names = brand.select(F.col("brand_name").alias("_b"))
+    known = met_keys(names, F.col("_b"), new, F.col("brand_name")).distinct().withColumn("_known", F.lit(True))
     judged = new.join(known, new["brand_name"].eqNullSafe(F.col("_b")), "left")
     blank = F.col("brand_name").isNull() | (F.col("brand_name") == "")
     turned = first_wins(judged, F.when(~blank, F.col("brand_name")))
@@ -55,15 +69,16 @@ def judge_brands(brand: DataFrame, new: DataFrame) -> DataFrame:
 
 def add_brands(brand: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The brand table with the accepted ones, and the rejected ones with their reason."""
-    judged = judge_brands(brand, new)
-    accepted = _with_new_ids(judged.filter("reason IS NULL"), brand, "id_brand").select("id_brand", "brand_name")
-    return brand.unionByName(accepted), judged.filter("reason IS NOT NULL")
+    accepted, rejected, _ = split_judged(judge_brands(brand, new), new_path(new.sparkSession, "judged-brands"))
+    rows = _with_new_ids(accepted, brand, "id_brand").select("id_brand", "brand_name")
+    return brand.unionByName(rows), rejected
 
 
 def judge_models(model: DataFrame, brand: DataFrame, new: DataFrame) -> DataFrame:
     """``seq, model, brand, reason``: exists in any case under any brand, then unknown brand. Only valid rows count as earlier."""
-    known = model.select(F.lower("model_name").alias("_m")).dropna().distinct().withColumn("_known", F.lit(True))
-    ids = brand.select(F.col("id_brand").alias("_id")).withColumn("_there", F.lit(True))
+    names = model.select(F.lower("model_name").alias("_m")).dropna()
+    known = met_keys(names, F.col("_m"), new, F.lower("model")).distinct().withColumn("_known", F.lit(True))
+    ids = met_keys(brand.select(F.col("id_brand").alias("_id")), F.col("_id").cast("bigint"), new, F.col("brand").cast("bigint")).withColumn("_there", F.lit(True))
     judged = new.join(known, F.lower(new["model"]) == F.col("_m"), "left").join(ids, new["brand"] == F.col("_id"), "left")
     valid = F.col("_there").isNotNull() & F.col("_known").isNull()
     firsts = judged.filter(valid & F.col("model").isNotNull()).groupBy(F.lower("model").alias("_k")).agg(F.min("seq").alias("_least"))
@@ -74,10 +89,9 @@ def judge_models(model: DataFrame, brand: DataFrame, new: DataFrame) -> DataFram
 
 def add_models(model: DataFrame, brand: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The model table with the accepted ones, and the rejected ones with their reason."""
-    judged = judge_models(model, brand, new)
-    accepted = _with_new_ids(judged.filter("reason IS NULL"), model, "id_model")
-    rows = accepted.select("id_model", F.col("model").alias("model_name"), F.col("brand").alias("id_brand"))
-    return model.unionByName(rows), judged.filter("reason IS NOT NULL")
+    accepted, rejected, _ = split_judged(judge_models(model, brand, new), new_path(new.sparkSession, "judged-models"))
+    rows = _with_new_ids(accepted, model, "id_model").select("id_model", F.col("model").alias("model_name"), F.col("brand").alias("id_brand"))
+    return model.unionByName(rows), rejected
 
 
 def _unknown(subs: DataFrame, labels: dict[str, tuple[DataFrame, str]]) -> DataFrame:

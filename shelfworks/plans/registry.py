@@ -17,6 +17,7 @@ from shelfworks.sources.bucketed import BucketedTable
 from shelfworks.sources.paged import PagedTable
 from shelfworks.sources.schemas import SCALARS
 from shelfworks.streaming import ordered_state, search_events
+from shelfworks.streaming.intake import Intake, brands, models
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -113,19 +114,26 @@ def _full(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_CAT}, {_COLORS} SELECT id_phone, brand, model, (SELECT count(*) FROM pc) AS n_colors, (SELECT count(*) FROM supplier) AS n_labels FROM cat"
+    f"WITH {_BOXES}, l AS (SELECT p_partkey AS id_phone, len(string_split(p_type, ' ')) + 2 + 1 + 1 + 2 + (CASE WHEN p_partkey % 4 <> 0 THEN 1 ELSE 0 END) + (CASE WHEN p_partkey % 5 <> 0 THEN 1 ELSE 0 END) AS n FROM part), "
+    "c AS (SELECT id_phone, string_agg(s_name, ',' ORDER BY s_suppkey) AS colors FROM pc JOIN supplier ON s_suppkey = id_color GROUP BY 1), "
+    "b AS (SELECT id_phone, string_agg(n_name, ',' ORDER BY n_nationkey) AS box FROM pb JOIN nation ON n_nationkey = id_content GROUP BY 1) "
+    "SELECT p_partkey AS id_phone, r_name AS brand, n_name AS model, CAST(l.n AS BIGINT) AS n_items, c.colors, b.box FROM part JOIN nation ON n_nationkey = p_partkey % 25 "
+    "JOIN region ON r_regionkey = n_regionkey JOIN l ON l.id_phone = p_partkey LEFT JOIN c ON c.id_phone = p_partkey LEFT JOIN b ON b.id_phone = p_partkey"
 )
 def s1_read_tables(spark, d):
-    """The tables as a store has them, read with their schemas and joined."""
+    """All eight tables as a store has them, read with their schemas and joined."""
     path = new_path(spark, "store")
-    for name, df in (("brand", v.brand), ("model", v.model), ("color", v.color), ("phone_colors", v.phone_colors)):
-        df(spark, d).write.parquet(f"{path}/{name}.parquet")
-    phone = v.phone(spark, d)
-    rest = [F.lit(None).cast("string").alias(c) for c in SCALARS if c not in phone.columns]
-    phone.select("*", *rest).write.parquet(f"{path}/phone.parquet")
-    t = tables.read_tables(spark, path, ("brand", "model", "phone", "color", "phone_colors"))
-    n = t["phone_colors"].agg(F.count(F.lit(1)).alias("n_colors")).join(t["color"].agg(F.count(F.lit(1)).alias("n_labels")))  # one row
-    return catalogue.catalogue(t["phone"], t["model"], t["brand"]).select("id_phone", "brand", "model").join(F.broadcast(n))
+    phones = tables.normalise_phone(written(v.listed_parts(spark, d), "listed-parts"))
+    for name, df in (phones | {"brand": v.brand(spark, d), "model": v.model(spark, d), "color": v.color(spark, d), "box_content": v.box_content(spark, d)}).items():
+        df.write.parquet(f"{path}/{name}.parquet")
+    t = tables.read_tables(spark, path)
+    items = t["phone_list"].groupBy("id_phone").agg(F.count(F.lit(1)).alias("n_items"))
+    named = [
+        catalogue.nest(t[bridge].join(t[label], key), "id_phone", name, key, out).withColumn(out, F.array_join(out, ","))
+        for bridge, label, key, name, out in (("phone_colors", "color", "id_color", "name", "colors"), ("phone_box_contents", "box_content", "id_content", "name_content", "box"))
+    ]
+    cat = catalogue.catalogue(t["phone"], t["model"], t["brand"]).select("id_phone", "brand", "model").join(items, "id_phone")
+    return cat.join(named[0], "id_phone", "left").join(named[1], "id_phone", "left")
 
 
 @query(
@@ -188,6 +196,18 @@ def s5_quarantine(spark, d):
     return tables.quarantine(j4_resolve_refs(spark, d)).select("seq", "status", "error", "message")
 
 
+@query(
+    f"WITH {_SUBS} SELECT seq, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS verdict, reason AS message, count(*) FILTER (reason IS NULL) OVER () AS n_accepted, "
+    "count(*) FILTER (reason = 'Model not found') OVER () AS n_unknown_models FROM judged"
+)
+def s5_one_pass(spark, d):
+    """Accepted and rejected submissions from two sinks that one pass has written, with the counts that it took."""
+    judged = ingest.resolve_refs(v.submissions(spark, d), v.color(spark, d), v.box_content(spark, d), v.model(spark, d))
+    accepted, rejected, n = tables.split_judged(judged, new_path(spark, "judged"), reasons=(ingest.MODEL_UNKNOWN,))
+    both = accepted.select("seq", F.lit("accepted").alias("verdict"), F.lit(None).cast("string").alias("message")).union(rejected.select("seq", F.lit("rejected"), "reason"))
+    return both.withColumns({"n_accepted": F.lit(n["accepted"]).cast("bigint"), "n_unknown_models": F.lit(n[ingest.MODEL_UNKNOWN]).cast("bigint")})
+
+
 @query("SELECT CAST(r_regionkey AS BIGINT) AS id_brand, r_name AS brand_name FROM region")
 def p1_brand_list(spark, d):
     """Ids and names of brands."""
@@ -717,23 +737,36 @@ def d5_delete_brands(spark, d):
     """What is left of five tables when two brands go, and an unknown one."""
     all_ = {"brand": v.brand(spark, d), "model": v.model(spark, d), "phone": v.phone(spark, d)} | v.customer_children(spark, d)
     ids = all_["brand"].filter(F.col("brand_name").isin("ASIA", "EUROPE")).select("id_brand").union(spark.sql("SELECT 77L"))
-    left = ingest.delete_brands(all_, ids)
-    parts = [left[n].select(F.lit(n).alias("kind"), F.col(f"id_{n}" if f"id_{n}" in t.columns else "pos").cast("bigint").alias("id")) for n, t in all_.items()]
+    return _kinds(ingest.delete_brands(all_, ids))
+
+
+def _kinds(left: dict[str, DataFrame]) -> DataFrame:
+    """What is left of some tables: the table's name, and the id or place of each row."""
+    parts = [t.select(F.lit(n).alias("kind"), F.col(f"id_{n}" if f"id_{n}" in t.columns else "pos").cast("bigint").alias("id")) for n, t in left.items()]
     return reduce(DataFrame.union, parts)
 
 
-@query("SELECT c_custkey AS id_phone FROM customer WHERE c_custkey NOT IN (SELECT o_custkey * 2 FROM orders)")
+def _left_sql(phone: str, model: str = "true") -> str:
+    """The same in SQL, of phones (customers) and models (nations) that a condition keeps."""
+    child = f"FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE c_custkey IS NULL OR ({phone})"
+    return (
+        f"SELECT 'model' AS kind, CAST(n_nationkey AS BIGINT) AS id FROM nation WHERE {model} UNION ALL SELECT 'phone', c_custkey FROM customer WHERE {phone} "
+        f"UNION ALL SELECT 'phone_list', o_orderkey {child} UNION ALL SELECT 'phone_colors', o_orderkey {child}"
+    )
+
+
+@query(_left_sql("c_custkey NOT IN (SELECT o_custkey * 2 FROM orders)").replace("c_custkey IS NULL OR (c_custkey NOT IN (SELECT o_custkey * 2 FROM orders))", "orders.o_custkey NOT IN (SELECT o_custkey * 2 FROM orders)"))
 def d5_delete_phones(spark, d):
-    """Phones that are left when those of many ids go."""
+    """What is left of the phones and their child tables when the phones of many ids go."""
     ids = v.read(spark, d, "orders").select((F.col("o_custkey") * 2).alias("id_phone")).distinct()
-    return ingest.delete_phones({"phone": v.phone(spark, d)}, ids)["phone"].select("id_phone")
+    return _kinds(ingest.delete_phones({"model": v.model(spark, d), "phone": v.phone(spark, d)} | v.customer_children(spark, d), ids))
 
 
-@query("SELECT c_custkey AS id_phone FROM customer WHERE c_nationkey % 2 = 1")
+@query(_left_sql("c_nationkey % 2 = 1", "n_nationkey % 2 = 1"))
 def d5_delete_models(spark, d):
-    """Phones that are left when every other model goes."""
-    all_ = {"model": v.model(spark, d), "phone": v.phone(spark, d)}
-    return ingest.delete_models(all_, all_["model"].filter("id_model % 2 = 0"))["phone"].select("id_phone")
+    """What is left of the models, phones and their child tables when every other model goes."""
+    all_ = {"model": v.model(spark, d), "phone": v.phone(spark, d)} | v.customer_children(spark, d)
+    return _kinds(ingest.delete_models(all_, all_["model"].filter("id_model % 2 = 0")))
 
 
 @query(
@@ -816,18 +849,26 @@ def t4_search_events(spark, d):
 _WAIT = "10 minutes"
 
 
-def _event_stream(spark: SparkSession, events: DataFrame, parts: int = 3) -> DataFrame:
-    """A stream of files of events in order of time, one file set after the other; the last holds an event long after all."""
-    path = new_path(spark, "event-files")
-    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    cuts = events.select(F.percentile_approx("ts", [k / parts for k in range(1, parts)])).first()[0] or []
-    bounds = [None, *cuts, None]
+def _file_stream(spark: SparkSession, rows: DataFrame, by: str, parts: int = 3, last: DataFrame | None = None) -> DataFrame:
+    """A stream of files in order of a column, one after the other, and of ``last`` at the end."""
+    path = new_path(spark, "stream-files")
+    cuts = rows.select(F.percentile_approx(by, [k / parts for k in range(1, parts)])).first()[0] or []
+    bounds = [None, *sorted(set(cuts)), None]
     for low, high in zip(bounds, bounds[1:]):
-        some = events.filter((F.lit(low is None) | (F.col("ts") >= F.lit(low))) & (F.lit(high is None) | (F.col("ts") < F.lit(high))))
-        some.coalesce(1 if parts > 1 else parts).write.mode("append").parquet(path)
-    end = {"event_id": F.lit(-1), "user_id": F.lit(-1), "ts": F.coalesce(F.max("ts"), F.lit("2000-01-01").cast("timestamp")) + F.expr("INTERVAL 400 DAYS"), "text": F.lit("end"), "latency_s": F.lit(0.0)}
-    events.agg(*[c.cast(events.schema[n].dataType).alias(n) for n, c in end.items() if n in events.columns]).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        some = rows if low is None else rows.filter(F.col(by) >= F.lit(low))
+        (some if high is None else some.filter(F.col(by) < F.lit(high))).coalesce(1).write.mode("append").parquet(path)
+    if last is not None:
+        last.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _event_stream(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """A stream of files of events in order of time; the last holds an event long after all."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    after = F.coalesce(F.max("ts"), F.lit("2000-01-01").cast("timestamp")) + F.expr("INTERVAL 400 DAYS")
+    end = {"event_id": F.lit(-1), "user_id": F.lit(-1), "ts": after, "text": F.lit("end"), "latency_s": F.lit(0.0)}
+    last = events.agg(*[end[f.name].cast(f.dataType).alias(f.name) for f in events.schema])
+    return _file_stream(spark, events, "ts", last=last)
 
 
 def _ran(stream: DataFrame, name: str) -> DataFrame:
@@ -865,3 +906,19 @@ def t4_search_stream(spark, d):
     stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 4).parquet(asked.inputFiles()[0].rsplit("/", 1)[0])
     search_events.search_stream(stream, parts, f"{path}/out", f"{path}/checkpoint", available_now=True).awaitTermination()
     return spark.read.parquet(f"{path}/out").select(F.col("query_id").alias("event_id"), "rn", "id_phone", "brand", "model")
+
+
+@query(ORACLE["d1_add_brands"])
+def d1_brand_stream(spark, d):
+    """d1_add_brands from a running stream of submissions."""
+    intake = Intake(brands(), v.brand(spark, d), new_path(spark, "brand-intake"), 16)
+    intake.start(_file_stream(spark, v.new_brands(spark, d), "seq"), new_path(spark, "checkpoint"), True).awaitTermination()
+    return intake.table()
+
+
+@query(ORACLE["d2_rejected_models"])
+def d2_model_stream(spark, d):
+    """d2_rejected_models from a running stream of submissions."""
+    intake = Intake(models(v.brand(spark, d)), v.model(spark, d), new_path(spark, "model-intake"), 16)
+    intake.start(_file_stream(spark, v.new_models(spark, d), "seq"), new_path(spark, "checkpoint"), True).awaitTermination()
+    return intake.rejected().select("seq", "model", "brand", "reason")

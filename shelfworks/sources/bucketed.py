@@ -45,6 +45,12 @@ class BucketedTable:
         about = json.loads(spark.read.text(f"{path}/_table").first().value)
         return cls(spark, path, about["key"], about["buckets"], T.StructType.fromJson(about["schema"]))
 
+    @staticmethod
+    def exists(spark: SparkSession, path: str) -> bool:
+        """Whether create() has finished a table there."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_table/_SUCCESS")
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
     def bucket_of(self, key: str | Column) -> Column:
         """The bucket of a key."""
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
