@@ -6,9 +6,9 @@
    are the dictionary; all that follows works on the dictionary, weighted by these numbers.
 2. An n-gram of up to five words belongs to the phrase that it starts in, but one that starts within the four last words of a
    phrase that another one follows belongs to that one: each occurrence is counted once, and lies whole in its phrase.
-3. The dictionary is packed into blocks. Each block deals the hashes of its two-word phrases with their counts out to
-   hash ranges and gets back those that reach the least count over all blocks. A longer phrase can only reach it if all
-   its two-word parts do, so only such ones (and all words) are summed up as texts. Hashes rule out and never decide.
+3. The dictionary is packed into blocks. Each block deals the hashes of its words and two-word phrases with their counts
+   out to hash ranges and gets back those that reach the least count over all blocks. A longer phrase can only reach it
+   if all its two-word parts do, so only such ones are summed up as texts. Hashes rule out and never decide.
 4. The candidates' parts are looked up by equi-joins, scores are exact decimals, and every language keeps its best.
 
 Defined cases: a null text counts as the empty one; a null language is called ``und``; repeated rows count each; texts
@@ -20,17 +20,18 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfworks.llm.blobs import deltas, planes, runs_of, squeezed, undeltas, unplaned, unsqueezed
 from shelfworks.llm.shared import in_batches, small, table, written
-from shelfworks.llm.words import Remembered, mix64, word_hash
+from shelfworks.llm.words import mix64, word_hash, word_hashes
 
 LONGEST, OVERLAP = 5, 4
 #: One in so many places ends a phrase.
@@ -45,45 +46,56 @@ _STOPS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def phrases_of(text: str | None, hashes: Remembered, every: int = CUT_EVERY) -> Iterator[tuple[bytes, bool]]:
-    """The phrases of a text, words with one space between, and whether another one follows in the piece."""
-    if not text:
-        return
-    for piece in text.encode().lower().translate(_STOPS).split(b"\n"):
-        words = piece.split(b" ") if b"  " not in piece and not piece.startswith(b" ") and not piece.endswith(b" ") else [w for w in piece.split(b" ") if w]
-        if not words or words == [b""]:
-            continue
-        if len(words) <= OVERLAP + 1:
-            yield b" ".join(words), False
-            continue
-        h = hashes.of(words)
+def phrases_of(texts: list[str | None], every: int = CUT_EVERY) -> tuple[list[bytes], np.ndarray]:
+    """The phrases of some texts, words with one space between, and for each whether another one follows in its piece."""
+    raw = "\n".join([t for t in texts if t]).encode().lower().translate(_STOPS)
+    data = np.frombuffer(raw, np.uint8)
+    stop = data == 0x0A
+    inside = np.concatenate(([False], ~stop & (data != 0x20), [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    n = len(starts)
+    if not n:
+        return [], np.zeros(0, bool)
+    piece = np.cumsum(stop)[starts]
+    heads = np.append(True, piece[1:] != piece[:-1])
+    if n > OVERLAP:
+        h = word_hashes(raw)
         with np.errstate(over="ignore"):
-            x = h[: len(h) - OVERLAP + 1]
+            x = h[1 : n - OVERLAP + 1]
             for k in range(1, OVERLAP):
-                x = x * _FACTOR + h[k : len(h) - OVERLAP + 1 + k]
-        at = 0
-        for cut in (np.flatnonzero(mix64(x[1:]) % np.uint64(every) == 0) + 1).tolist():
-            yield b" ".join(words[at : cut + OVERLAP]), True
-            at = cut
-        yield b" ".join(words[at:]), False
+                x = x * _FACTOR + h[1 + k : n - OVERLAP + 1 + k]
+        # the four words that end a phrase are in one piece with each other and with the word before them
+        heads[1 : n - OVERLAP + 1] |= (mix64(x) % np.uint64(every) == 0) & (piece[: n - OVERLAP] == piece[OVERLAP:])
+    first = np.flatnonzero(heads)
+    after = np.append(first[1:], n)
+    more = np.append(piece[first[1:]] == piece[first[:-1]], False)
+    last = after - 1 + OVERLAP * more
+    out = [raw[i:j] for i, j in zip(starts[first].tolist(), ends[last].tolist())]
+    wide = np.cumsum(np.append(0, starts[1:] - ends[:-1] != 1))
+    for i in np.flatnonzero(wide[last] != wide[first]).tolist():
+        out[i] = b" ".join(out[i].split())
+    return out, more
 
 
 def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """``lang, phrase, more, n``: the distinct phrases, whether others follow them, and how often the parse has each."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Remembered(word_hash)
         for b in batches:
-            found: Counter = Counter()
-            for of, body in zip(b.column(0).to_pylist(), b.column(1)):
-                found.update((of, *p) for p in phrases_of(body.as_py(), hashes))
-            keys = list(found)
-            for i in range(0, len(keys), 50_000):
-                some = keys[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in some], pa.string()), pa.array([k[1] for k in some], pa.binary()), pa.array([k[2] for k in some], pa.bool_()), pa.array([found[k] for k in some], pa.int64())],
-                    names=["lang", "phrase", "more", "n"],
-                )
+            of: dict[str, list[str | None]] = {}
+            for x, body in zip(b.column(0).to_pylist(), b.column(1)):
+                of.setdefault(x, []).append(body.as_py())
+            for x, bodies in of.items():
+                phrases, more = phrases_of(bodies)
+                for follows in (False, True):
+                    found = Counter(compress(phrases, (more == follows).tolist()))
+                    keys, n = list(found), list(found.values())
+                    for i in range(0, len(keys), 50_000):
+                        k = len(some := keys[i : i + 50_000])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([x] * k, pa.string()), pa.array(some, pa.binary()), pa.array([follows] * k), pa.array(n[i : i + 50_000], pa.int64())], names=["lang", "phrase", "more", "n"]
+                        )
 
     rows = in_batches(docs.select(F.coalesce(lang, F.lit(NO_LANGUAGE)).alias("lang"), F.col(text).alias("body")))
     parsed = rows.mapInArrow(parse, "lang string, phrase binary, more boolean, n bigint")
@@ -94,56 +106,63 @@ class Block:
     """Phrases of the dictionary on end: numbers of words, and where each phrase begins."""
 
     def __init__(self, row: dict):
-        self.langs, self.lang = row["langs"], np.frombuffer(unsqueezed(row["lang"]), np.int32)
+        self.langs, self.lang = row["langs"], np.frombuffer(unsqueezed(row["lang"]), np.int32).astype(np.int64)
         self.times, self.more = unplaned(row["times"]).astype(np.int64), np.frombuffer(row["more"], np.bool_)
-        ids: dict[bytes, int] = {}
-        numbers, sizes = [], []
-        for phrase in unsqueezed(row["phrases"]).split(b"\n"):
-            words = phrase.split(b" ")
-            sizes.append(len(words))
-            numbers += [ids.setdefault(w, len(ids)) for w in words]
-        self.words, self.ids = list(ids), np.array(numbers, np.int64)
-        self.starts = np.array([0, *accumulate(sizes)], np.int64)
-        sizes = np.diff(self.starts)
+        self.words, self.ids = unsqueezed(row["vocabulary"]).split(b" "), unplaned(row["ids"]).view(np.int64)
+        sizes = unplaned(row["sizes"]).astype(np.int64)
+        ends = np.cumsum(sizes)
         self.of = np.repeat(np.arange(len(sizes)), sizes)
         #: How many words there are from each place to the phrase's end, and how often its n-grams count.
-        self.left = np.repeat(self.starts[1:], sizes) - np.arange(len(self.ids))
+        self.left = np.repeat(ends, sizes) - np.arange(len(self.ids))
         self.weight = np.where((self.left > OVERLAP) | ~self.more[self.of], self.times[self.of], 0)
+        own = np.fromiter(map(word_hash, self.words), np.uint64, len(self.words))
+        with np.errstate(over="ignore"):
+            self.hashes = own * _FACTOR
+            self.lang_hashes = np.fromiter((word_hash(x.encode()) for x in self.langs), np.uint64, len(self.langs))
+
+    def words_of(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of all words that count, the number of the distinct one (in its language) that each is, and the hashes of these."""
+        at = np.flatnonzero(self.weight > 0)
+        key, which = np.unique(self.lang[self.of[at]] * len(self.words) + self.ids[at], return_inverse=True)
+        with np.errstate(over="ignore"):
+            hashes = mix64(self.hashes[key % len(self.words)] ^ self.lang_hashes[key // len(self.words)])
+        return at, which, hashes >> np.uint64(64 - FP_BITS)
 
     def pair_keys(self, at: np.ndarray) -> np.ndarray:
         """A number for the language and the two words at each place that has a word after it."""
         k = len(self.words)
-        return (self.lang[self.of[at]].astype(np.int64) * k + self.ids[at]) * k + self.ids[at + 1]
+        return (self.lang[self.of[at]] * k + self.ids[at]) * k + self.ids[at + 1]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of all two-word phrases that count, the number of the distinct one that each is, and the hashes of these."""
         at = np.flatnonzero((self.left >= 2) & (self.weight > 0))
-        _, first, which = np.unique(self.pair_keys(at), return_index=True, return_inverse=True)
-        first = at[first]
-        own = np.fromiter(map(word_hash, self.words), np.uint64, len(self.words))
-        langs = np.fromiter((word_hash(x.encode()) for x in self.langs), np.uint64, len(self.langs))
+        key, which = np.unique(self.pair_keys(at), return_inverse=True)
+        k = len(self.words)
         with np.errstate(over="ignore"):
-            hashes = mix64((own[self.ids[first]] * _FACTOR + own[self.ids[first + 1]]) * _FACTOR + langs[self.lang[self.of[first]]])
+            hashes = mix64((self.hashes[key // k % k] + self.hashes[key % k]) * _FACTOR + self.hashes[key % k] + self.lang_hashes[key // k // k])
         return at, which, hashes >> np.uint64(64 - FP_BITS)
 
 
 def blocks_of(phrases: DataFrame) -> DataFrame:
     """The dictionary in rows of many phrases each, written."""
-    schema = "block bigint, langs array<string>, words array<bigint>, lang binary, phrases binary, more binary, times binary, n_bytes bigint"
-    kind = pa.schema([("block", pa.int64()), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("lang", "phrases", "more", "times")), ("n_bytes", pa.int64())])
+    schema = "block bigint, langs array<string>, words array<bigint>, lang binary, vocabulary binary, ids binary, sizes binary, more binary, times binary, n_bytes bigint"
+    kind = pa.schema([("block", pa.int64()), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("lang", "vocabulary", "ids", "sizes", "more", "times")), ("n_bytes", pa.int64())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, rows, size = TaskContext.get().partitionId(), 0, [], 0
 
         def row() -> pa.RecordBatch:
             langs = {x: i for i, x in enumerate(dict.fromkeys(r[0] for r in rows))}
+            phrases = [r[1].split(b" ") for r in rows]
+            ids: dict[bytes, int] = {}
+            numbers = [ids.setdefault(w, len(ids)) for p in phrases for w in p]
             words = [0] * len(langs)
-            for of, phrase, more, n in rows:
-                words[langs[of]] += n * (phrase.count(b" ") + 1 - OVERLAP * more)
+            for (of, _, more, n), p in zip(rows, phrases):
+                words[langs[of]] += n * (len(p) - OVERLAP * more)
             return pa.RecordBatch.from_pylist(
                 [{
                     "block": part << 32 | k, "langs": list(langs), "words": words, "lang": squeezed(np.array([langs[r[0]] for r in rows], np.int32).tobytes()),
-                    "phrases": squeezed(b"\n".join(r[1] for r in rows)), "more": np.array([r[2] for r in rows], np.bool_).tobytes(),
+                    "vocabulary": squeezed(b" ".join(ids)), "ids": planes(np.array(numbers, np.int64)), "sizes": planes(np.array([len(p) for p in phrases], np.int64)), "more": np.array([r[2] for r in rows], np.bool_).tobytes(),
                     "times": planes(np.array([r[3] for r in rows], np.int64)), "n_bytes": size,
                 }],
                 schema=kind,
@@ -162,15 +181,15 @@ def blocks_of(phrases: DataFrame) -> DataFrame:
     return written(in_batches(phrases).mapInArrow(pack, schema), "phrase-blocks")
 
 
-def frequent_pairs(blocks: DataFrame, least: int, ranges: int) -> DataFrame:
-    """``block, found``: for each block and range the hashes of the two-word phrases that occur ``least`` times over all blocks."""
+def frequent(blocks: DataFrame, least: int, ranges: int) -> DataFrame:
+    """``block, found``: for each block and range the hashes of the words and two-word phrases that occur ``least`` times over all blocks."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 block = Block(row)
-                at, which, hashes = block.pairs()
-                n = np.bincount(which, weights=block.weight[at], minlength=len(hashes)).astype(np.uint64)
+                parts = [(h, np.bincount(which, weights=block.weight[at], minlength=len(h))) for at, which, h in (block.words_of(), block.pairs())]
+                hashes, n = np.concatenate([h for h, _ in parts]), np.concatenate([n for _, n in parts]).astype(np.uint64)
                 where = (hashes % np.uint64(ranges)).astype(np.int64)
                 order = np.lexsort((hashes, where))
                 hashes, n, where = hashes[order], n[order], where[order]
@@ -192,38 +211,58 @@ def frequent_pairs(blocks: DataFrame, least: int, ranges: int) -> DataFrame:
     return dealt.groupBy("range").applyInArrow(meet, "block bigint, found binary")
 
 
-def phrase_counts(blocks: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """``lang, phrase, size, n``: all words, and all phrases whose two-word parts are frequent, that occur ``least`` times."""
+_COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
+
+
+def phrase_counts(blocks: DataFrame, found: DataFrame, least: int, ranges: int) -> DataFrame:
+    """``lang, phrase, size, n``: the words, and the phrases all of whose two-word parts are frequent, that occur ``least`` times.
+
+    A block deals its phrases with their counts out to ranges of their hashes, a compressed table for each.
+    """
     own = found.groupBy("block").agg(F.collect_list("found").alias("found"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                block = Block(row)
-                ids, langs = block.ids, block.lang[block.of].astype(np.int64)
-                counted = np.flatnonzero(block.weight > 0)
-                yield from _summed(block, langs[counted] << 32 | ids[counted], counted, 1)
-                at, which, hashes = block.pairs()
                 if not row["found"]:
                     continue
-                good = np.isin(hashes, np.concatenate([undeltas(x) for x in row["found"]]))
+                block, often = Block(row), np.concatenate([undeltas(x) for x in row["found"]])
+                ids = block.ids
+                at, which, hashes = block.words_of()
+                keep = np.isin(hashes, often)[which]
+                tables = [_summed(block, which[keep], at[keep], 1, ranges)]
+                at, which, hashes = block.pairs()
+                good = np.isin(hashes, often)
                 # whether a frequent pair begins at a place; places within the last words of a phrase ask the pair itself
                 pair = np.full(len(ids) + LONGEST, -1, np.int64)
                 pair[at] = np.where(good[which], which, -1)
                 rest = np.flatnonzero((block.left >= 2) & (block.weight == 0))
                 pair[rest] = _known_pairs(block, at, which, good, rest)
-                here, key = np.flatnonzero(pair[: len(ids)] >= 0), None
-                here = here[block.weight[here] > 0]
+                here = np.flatnonzero((pair[: len(ids)] >= 0) & (block.weight > 0))
                 key = pair[here]
                 for size in range(2, LONGEST + 1):
                     if size > 2:
                         more = (block.left[here] >= size) & (pair[here + size - 2] >= 0)
                         here, key = here[more], key[more]
                         key = np.unique(key << 32 | ids[here + size - 1], return_inverse=True)[1].astype(np.int64)
-                    yield from _summed(block, key, here, size)
+                    tables.append(_summed(block, key, here, size, ranges))
+                whole, where = pa.Table.from_batches([t for t, _ in tables]), np.concatenate([w for _, w in tables])
+                order = np.argsort(where, kind="stable")
+                whole = whole.take(pa.array(order)).combine_chunks()
+                for r, part in runs_of(where[order]):
+                    out = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(out, _COUNTED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                        w.write_table(whole.slice(part.start, part.stop - part.start))
+                    yield pa.RecordBatch.from_pylist([{"range": r, "counts": out.getvalue().to_pybytes()}], schema=pa.schema([("range", pa.int64()), ("counts", pa.binary())]))
+
+    def meet(rows: pa.Table) -> pa.Table:
+        all_ = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in rows.column("counts").to_pylist()])
+        total = all_.group_by(["lang", "phrase", "size"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "size", "n"])
+        return total.filter(pc.greater_equal(total["n"], least))
 
-    rows = in_batches(blocks.join(own.hint("merge"), "block", "left")).mapInArrow(count, "lang string, phrase string, size int, n bigint")
-    return rows.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    joined = blocks.join(own.hint("merge"), "block", "left")
+    dealt = in_batches(joined).mapInArrow(count, "range bigint, counts binary")
+    return dealt.groupBy("range").applyInArrow(meet, "lang string, phrase string, size int, n bigint")
 
 
 def _known_pairs(block: Block, at: np.ndarray, which: np.ndarray, good: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -235,20 +274,21 @@ def _known_pairs(block: Block, at: np.ndarray, which: np.ndarray, good: np.ndarr
     return np.where(np.isin(block.pair_keys(rest), bad), -1, 0)
 
 
-def _summed(block: Block, key: np.ndarray, at: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
-    """The distinct phrases of ``size`` words among those at the given places, which have equal keys where they are equal, with their counts."""
+def _summed(block: Block, key: np.ndarray, at: np.ndarray, size: int, ranges: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The distinct phrases of ``size`` words among those at the given places, which have equal keys where they are equal, with their counts and ranges."""
     _, first, which = np.unique(key, return_index=True, return_inverse=True)
     n = np.bincount(which, weights=block.weight[at], minlength=len(first)).astype(np.int64)
     at = at[first]
-    words, langs = block.words, block.langs
-    for i in range(0, len(at), 50_000):
-        some = at[i : i + 50_000]
-        texts = [b" ".join([words[x] for x in block.ids[a : a + size]]).decode() for a in some.tolist()]
-        of = [langs[x] for x in block.lang[block.of[some]].tolist()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(of, pa.string()), pa.array(texts, pa.string()), pa.array([size] * len(some), pa.int32()), pa.array(n[i : i + 50_000])],
-            names=["lang", "phrase", "size", "n"],
-        )
+    lang = block.lang[block.of[at]]
+    words, langs = pa.array(block.words, pa.binary()), pa.array(block.langs, pa.string())
+    each, hashes = [], block.lang_hashes[lang]
+    for k in range(size):
+        each.append(words.take(pa.array(block.ids[at + k])))
+        with np.errstate(over="ignore"):
+            hashes = mix64(hashes * _FACTOR + block.hashes[block.ids[at + k]])
+    texts = (pc.binary_join_element_wise(*each, pa.scalar(b" ", pa.binary())) if size > 1 else each[0]).cast(pa.string())
+    table = pa.RecordBatch.from_arrays([langs.take(pa.array(lang)), texts, pa.array(np.full(len(at), size, np.int32)), pa.array(n)], schema=_COUNTED)
+    return table, (hashes % np.uint64(ranges)).astype(np.int64)
 
 
 def _part(words: Column, start: int, size: Column) -> Column:
@@ -286,7 +326,7 @@ def collocations(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, be
     blocks = blocks_of(dictionary(docs, text, lang))
     size = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     ranges = int(max(8, min(size // RANGE_BYTES, max(MANY, size // (8 * RANGE_BYTES)))))
-    counts = written(phrase_counts(blocks, written(frequent_pairs(blocks, least, ranges), "pairs"), least), "phrase-counts")
+    counts = written(phrase_counts(blocks, written(frequent(blocks, least, ranges), "frequent"), least, ranges), "phrase-counts")
     longer = within_longer(counts)
     kept = scored(counts, words_of(blocks)).join(longer, ["lang", "phrase"], "left").filter(F.col("most").isNull() | (F.lit(100) * F.col("most") < percent * F.col("a")))
     return best_of(kept, best)

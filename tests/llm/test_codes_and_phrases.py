@@ -81,16 +81,15 @@ def test_collocations_equal_a_plain_version(spark, monkeypatch, least, percent,
 
 def test_phrases_hold_every_ngram_once():
     rng = random.Random(6)
-    from shelfworks.llm.words import Remembered, word_hash
-
     for _ in range(200):
-        words = [rng.choice("abc").encode() for _ in range(rng.randrange(1, 60))]
+        texts = [[rng.choice("abc").encode() for _ in range(rng.randrange(60))] for _ in range(3)]
         got = []
-        for phrase, more in collocations.phrases_of(b" ".join(words).decode(), Remembered(word_hash), every=3):
+        phrases, more = collocations.phrases_of([None, "", *[rng.choice([b" ", b"  "]).join(w).decode() for w in texts]], every=3)
+        for phrase, follows in zip(phrases, more.tolist()):
             w = phrase.split(b" ")
-            for i in range(len(w) - collocations.OVERLAP * more):
+            for i in range(len(w) - collocations.OVERLAP * follows):
                 got += [tuple(w[i : i + n]) for n in range(1, 6) if i + n <= len(w)]
-        assert sorted(got) == sorted(tuple(words[i : i + n]) for n in range(1, 6) for i in range(len(words) - n + 1))
+        assert sorted(got) == sorted(tuple(w[i : i + n]) for w in texts for n in range(1, 6) for i in range(len(w) - n + 1))
 
 
 def test_collocations_of_nothing(spark):
