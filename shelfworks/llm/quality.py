@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from shelfworks.llm.shared import in_batches, table
+from shelfworks.llm.shared import drawn, in_batches, table
 from shelfworks.llm.words import Remembered, word_hash
 
 MAX_POSITIVES = 20_000
@@ -117,25 +117,24 @@ def fit_pu(p: np.ndarray, u: np.ndarray, prior: float | None, rounds: int = ROUN
 
 def learn(docs: DataFrame, positives: DataFrame, max_p: int = MAX_POSITIVES, max_u: int = MAX_UNLABELLED) -> tuple | None:
     """The model from ``docs`` (doc_id, text) and the ids of trusted ``positives``; None where there is nothing to learn."""
-    order = F.xxhash64("doc_id", F.lit("quality"))
-    ids = positives.select("doc_id").distinct().orderBy(order, "doc_id").limit(max_p).withColumn("_p", F.lit(1))
-    share = min(1.0, max_u / max(1, docs.count()))
-    drawn = F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) if share < 1 else F.lit(True)
-    marked = docs.join(F.broadcast(ids), "doc_id", "left")  # at most max_p ids
-    sample = marked.select("doc_id", "text", F.col("_p").isNotNull().alias("p"), drawn.alias("u")).filter("p OR u")
+    kind, order = dict(docs.dtypes)["doc_id"], F.xxhash64("doc_id", F.lit("quality"))
+    ids = positives.select("doc_id").distinct().orderBy(order, "doc_id").limit(max_p)
+    # of the texts that share an id one stands for it, and equal rows count once: no more rows than asked for come to the driver
+    sure = docs.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    some = docs.select("doc_id", "text").filter(drawn(F.xxhash64("doc_id", "text", F.lit("quality")), max_u, docs.count())).dropDuplicates(["doc_id", "text"])
+    sample = sure.select("doc_id", "text", F.lit(True).alias("p")).union(some.withColumn("p", F.lit(False)))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Remembered(word_shape)
         for b in batches:
             x = [features(t.as_py(), shapes).tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("p"), b.column("u"), pa.array(x, pa.binary())], names=["doc_id", "p", "u", "x"]
+                [b.column("doc_id"), b.column("p"), pa.array(x, pa.binary())], names=["doc_id", "p", "x"]
             )
 
-    rows = in_batches(sample).mapInArrow(featured, f"doc_id {dict(docs.dtypes)['doc_id']}, p boolean, u boolean, x binary").collect()
+    rows = in_batches(sample).mapInArrow(featured, f"doc_id {kind}, p boolean, x binary").collect()
     rows.sort(key=lambda r: (r.doc_id is None, r.doc_id, bytes(r.x)))
-    take = lambda k: np.array([np.frombuffer(r.x, np.float32) for r in rows if r[k]], np.float64)
-    p, u = take("p"), take("u")
+    p, u = (np.array([np.frombuffer(r.x, np.float32) for r in rows if r.p == k], np.float64) for k in (True, False))
     if not len(p) or not len(u):
         return None
     mean, scale = u.mean(axis=0), u.std(axis=0) + 1e-3

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfworks.functions.numbering import shared_dir, written
 
-__all__ = ["LOWER", "UPPER", "ascii_lower", "dropped", "fresh", "in_batches", "new_path", "shared_dir", "ship", "small", "table", "written"]
+__all__ = ["LOWER", "UPPER", "ascii_lower", "below", "drawn", "dropped", "fresh", "in_batches", "new_path", "shared_dir", "ship", "small", "table", "written"]
 
 #: The ASCII capitals and their small forms; contracts lower-case only these.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,6 +45,16 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     return F.broadcast(df) if n <= limit else df
 
 
+def drawn(number: Column, wanted: int, rows: int) -> Column:
+    """Whether a row is in a sample of about ``wanted`` of ``rows``: the upper 63 bits of its 64-bit hash are below that share of them."""
+    return F.lit(True) if wanted >= rows else F.shiftrightunsigned(number, 1) < F.lit(below(wanted, rows))
+
+
+def below(wanted: int, rows: int) -> int:
+    """The 63-bit number below which ``wanted`` of ``rows`` random ones lie."""
+    return (wanted << 63) // max(1, rows)
+
+
 def fresh(taken: Iterable[str], *names: str) -> list[str]:
     """The names, each with underscores added until no column in ``taken`` is called so, in any case."""
     used, out = {t.lower() for t in taken}, []

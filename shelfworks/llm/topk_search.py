@@ -32,12 +32,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfworks.functions.numbering import in_order
-from shelfworks.llm.shared import in_batches, table, written
+from shelfworks.llm.shared import drawn, in_batches, table, written
 
 K, SCALE, EVERY = 20, 64, 20
 BLOCK_ROWS, GROUP_ROWS = 512, 512
 #: Blocks of one lane of a group.
 LANE_BLOCKS = 256
+#: Blocks and groups of queries that meet in one cell of the grid in which bounds are worked out.
+CELL_BLOCKS, CELL_GROUPS = 20_000, 500
 #: Rows that the tree is fitted on, about; rows of it at a leaf; and levels.
 SAMPLE_ROWS, LEAF_ROWS, LEVELS = 8_192, 8, 10
 PACKED = "pack bigint, dim int, rids binary, ids binary, vectors binary, high binary, low binary"
@@ -88,10 +90,9 @@ def codes(x: np.ndarray, tree: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 def placed(rows: DataFrame) -> DataFrame:
     """Rows in the order of length, code and id, written, with their partition and place in it."""
-    share = min(1.0, SAMPLE_ROWS / max(1, rows.count()))
-    drawn = rows.filter(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else rows
+    some = rows.filter(drawn(F.xxhash64("vec_id", "v"), SAMPLE_ROWS, rows.count()))
     by_dim: dict[int, list] = {}
-    for r in drawn.select("v").collect():  # about SAMPLE_ROWS rows
+    for r in some.select("v").distinct().collect():  # about SAMPLE_ROWS rows, copies once
         by_dim.setdefault(len(r.v), []).append(r.v)
     trees = {d: cut_tree(np.array(sorted(v), np.float64)) for d, v in by_dim.items()}
     shared = rows.sparkSession.sparkContext.broadcast(trees)
@@ -245,7 +246,12 @@ def search(rows: DataFrame, is_query: Column, k: int = K, counter=None) -> DataF
     blocks = packed(ordered, BLOCK_ROWS)
     groups = packed(ordered.filter(is_query), GROUP_ROWS).withColumnRenamed("pack", "grp").drop("high", "low")
     # each group meets every block's summary (two numbers a dimension for some hundred rows), not its rows
-    met = groups.select("grp", "dim", F.col("vectors").alias("qs")).join(blocks.select("pack", "dim", "high", "low"), "dim")
+    # cell by cell of a grid, so that no task gets all pairs of one length
+    across, down = (max(1, -(-t.count() // n)) for t, n in ((blocks, CELL_BLOCKS), (groups, CELL_GROUPS)))
+    row, column = F.pmod(F.xxhash64("grp"), F.lit(down)), F.pmod(F.xxhash64("pack"), F.lit(across))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    asked = groups.select("grp", "dim", F.col("vectors").alias("qs"), row.alias("down"), each(across).alias("across"))
+    met = asked.join(blocks.select("pack", "dim", "high", "low", column.alias("across"), each(down).alias("down")), ["dim", "across", "down"])
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, q = None, None
@@ -258,7 +264,8 @@ def search(rows: DataFrame, is_query: Column, k: int = K, counter=None) -> DataF
                     [pa.array([r["grp"]]), pa.array([r["pack"]]), pa.array([x.astype(np.float64).tobytes()], pa.binary())], names=["grp", "pack", "bounds"]
                 )
 
-    bounds = written(in_batches(met).mapInArrow(bound, "grp bigint, pack bigint, bounds binary"), "bounds")
+    # worked out twice, for the first block of each query and against the floors that it gives: only open pairs are stored
+    bounds = in_batches(met).mapInArrow(bound, "grp bigint, pack bigint, bounds binary")
 
     def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per task: of each query of a group the block of the highest bound so far."""

@@ -17,8 +17,8 @@ what the insult and threat machines put out is weighed by what the others say at
 
 Insults are seed words and, learnt from labelled texts, words and word beginnings whose weight is their log-odds among
 toxic and other texts. Learning reads at most ``max_docs`` labelled texts; of texts that share their smallest 3-word hash
-and their label each counts the less the more there are, and none is dropped. The counts are aggregated by Spark, and at
-most ``max_arcs`` arcs come to the driver. Scoring reads every whole text once.
+and their label each counts the less the more there are, and none is dropped. The counts are aggregated by Spark, and
+only arcs that a share of the toxic texts holds come to the driver. Scoring reads every whole text once.
 
 Defined cases: a null or empty text has no clause and gets the base score; without labels of both kinds the seed arcs
 and a fixed curve are used; a document labelled more than once is toxic if any label says so; repeated rows are scored
@@ -43,7 +43,7 @@ from shelfworks.llm.quality import fold
 from shelfworks.llm.shared import in_batches, small, table, written
 from shelfworks.llm.words import Remembered, shingle_hashes, word_hash
 
-MAX_DOCS, MAX_ARCS = 30_000, 2_000
+MAX_DOCS = 30_000
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7, 8)
 #: What one text counts that shares its smallest hash with no other.
@@ -239,7 +239,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS
     """At most ``max_docs`` labelled texts as ``doc_id, text, toxic, weight``: texts with one smallest 3-word hash and label share a weight of WEIGHT."""
     order = F.xxhash64("doc_id", F.lit("toxic"))
     picked = labels.dropna().groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic")).orderBy(order, "doc_id").limit(max_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most max_docs ids
+    # at most max_docs ids; of the texts that share one the text of the least hash stands for it
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Remembered(word_hash)
@@ -258,7 +259,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS
     return kept.join(small(groups), ["sketch", "toxic"]).select("doc_id", "text", "toxic", "weight")
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_arcs: int = MAX_ARCS) -> tuple[dict, np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[dict, np.ndarray]:
     """Arcs and curve from ``labels`` (doc_id, toxic) of ``docs`` (doc_id, text)."""
     sample = written(labelled_sample(docs, labels, max_docs), "sample")
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg((F.sum("weight") / WEIGHT).alias("n")).collect()}
@@ -288,7 +289,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_arcs
     rate, t, both = n[True] / (n[True] + n[False]), F.col("t"), F.col("t") + F.col("o")
     evidence = t * F.log(t / both / rate) + F.when(F.col("o") > 0, F.col("o") * F.log(F.col("o") / both / (1 - rate))).otherwise(0.0)
     kept = counts.filter((t >= least) & (odds >= LEAST_ODDS) & (evidence >= LEAST_EVIDENCE)).select("arc", odds.alias("odds"), "t")
-    arcs = {bytes(r.arc): r.odds for r in kept.orderBy(F.desc("odds"), F.desc("t"), "arc").limit(max_arcs).collect()}
+    # each is in a share of the toxic texts of the sample, so there are few, and all count
+    arcs = {bytes(r.arc): r.odds for r in kept.orderBy("arc").collect()}
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(arcs)
