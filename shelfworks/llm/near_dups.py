@@ -256,8 +256,8 @@ def linked_in_blocks(rows: DataFrame, bodies: DataFrame, n: int, percent: int, c
     """Links ``a, b`` between components within each bucket, from whole sets; ``rows`` has ``key, nid, n, own, comp, bands``.
 
     Sets whose sizes are too far apart do not meet: a bucket is cut into classes of sizes, and a class meets itself and the
-    next. Both are cut into blocks by their number of shingles, and every two blocks meet in a task of their own. Only
-    links that join components come out. ``counter``, an accumulator, gets the number of pairs whose sets are compared.
+    next. Both are cut into blocks by their number of shingles, those of the largest component apart from all others, and
+    every two blocks that may join components meet in a task of their own. Only links that join components come out. ``counter``, an accumulator, gets the number of pairs whose sets are compared.
     """
     ids = rows.select("nid").distinct().hint("merge")
 
@@ -272,12 +272,19 @@ def linked_in_blocks(rows: DataFrame, bodies: DataFrame, n: int, percent: int, c
     own_class = rows.withColumn("class", size_class.cast("long"))
     # a node is in its class, and looks on from the class below
     both = own_class.withColumn("upper", F.lit(False)).union(own_class.withColumn("class", F.col("class") - 1).withColumn("upper", F.lit(True)))
-    seen = both.groupBy("key", "class").agg(F.min("upper").alias("none_here"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("NOT none_here AND c0 <> c1")
-    both = both.join(seen.select("key", "class").hint("merge"), ["key", "class"])
     weight = F.greatest("n", F.lit(LEAST_WEIGHT))  # so that a block of tiny sets has few rows as well
-    blocks = both.groupBy("key", "class").agg(F.ceil(F.sum(weight) / BLOCK_SHINGLES).alias("blocks"))
-    cut = both.join(blocks.hint("merge"), ["key", "class"]).withColumn("block", F.pmod(F.xxhash64("nid", "key"), "blocks"))
-    meet = cut.join(sets.hint("merge"), "nid").withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    comps = both.groupBy("key", "class", "comp").agg(F.sum(weight).alias("w"), F.min("upper").alias("none_here"))
+    facts = comps.groupBy("key", "class").agg(
+        F.max_by("comp", F.struct("w", "comp")).alias("giant"), F.max("w").alias("gw"), F.sum("w").alias("tw"), F.count(F.lit(1)).alias("k"), F.min("none_here").alias("none_here")
+    )
+    in_blocks = lambda w: F.greatest(F.ceil(w / BLOCK_SHINGLES), F.lit(1).cast("bigint"))
+    facts = facts.filter("NOT none_here AND k > 1").select("key", "class", "giant", in_blocks(F.col("gw")).alias("own_blocks"), in_blocks(F.col("tw") - F.col("gw")).alias("others"))
+    # the largest component has blocks of its own, which only blocks of strangers meet: its members are copied for these, not for each other
+    cut = both.join(written(facts, "bucket-facts").hint("merge"), ["key", "class"])
+    inside, spread = F.col("comp") == F.col("giant"), F.xxhash64("nid", "key")
+    cut = cut.withColumn("block", F.when(inside, F.pmod(spread, "own_blocks")).otherwise(F.col("own_blocks") + F.pmod(spread, "others")))
+    first = F.when(inside, F.col("own_blocks")).otherwise(F.lit(0).cast("bigint"))
+    meet = cut.join(sets.hint("merge"), "nid").withColumn("with", F.explode(F.sequence(first, F.col("own_blocks") + F.col("others") - 1)))
     meet = meet.select(
         "key", "class", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "nid", "own", "comp", "upper", "bands", "elements"
     )
