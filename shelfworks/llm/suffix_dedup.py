@@ -493,7 +493,8 @@ def spans_of(chunks: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
     spans = runs.groupBy("range").applyInArrow(_merged, "chunk bigint, starts binary, sizes binary")
     if over:
         rows = written(suffix_runs(chunks, found, hot, parts, True), "windows")
-        least = rows.groupBy("w").agg(F.min("id").alias("least"))
+        # written, so that both sides of the join are plain exchanges and Spark can split the partitions of hot windows
+        least = written(rows.groupBy("w").agg(F.min("id").alias("least")), "least")
         hit = rows.join(least.hint("merge"), "w").filter("id > least").groupBy("chunk").agg(F.collect_list("at").alias("at"))
 
         def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
