@@ -44,8 +44,6 @@ from shelfworks.llm.words import hashes_at, mix64, shingle_hashes, word_hashes
 WINDOW, LITERALS, NEEDED = 8, 4, 6
 PIECE, GROUP_BYTES = 1 << 18, 1 << 16
 MOST_BITS, MAPS = 1 << 27, 8
-#: Rows of meetings looked at before a search for the longest chain of a block takes the first way only.
-SEARCH_ROWS = 100_000
 LITERAL, NUMBER, NAME, UNIT = range(4)
 #: Of a capitalised word: a name wherever it is; a name but for a sentence's first; never a name.
 READINGS = 3
@@ -239,32 +237,90 @@ def _slots(own: bytes, theirs: bytes, kinds: bytes) -> set[tuple]:
 def consistent(pairs: list[tuple[int, bytes, bytes, bytes]], over: int = 0) -> set[int]:
     """Places of an item's windows in the longest chain whose slots all agree, where it has more than ``over``.
 
-    ``pairs`` has (place, own, item's, kinds). A value that stands for several is settled one way after the other, the
-    way that keeps most windows first; ways that cannot beat the best chain are left. After SEARCH_ROWS rows only the
-    first way is taken, so what comes out is always one consistent chain.
+    ``pairs`` has (place, own, item's, kinds). Rows and places are bits of whole numbers. Rows that contradict none are in the
+    chain; what is left falls into parts that share neither a contradicted slot nor a place, and each part is searched
+    by itself: a slot that stands for several values is settled one way after the other, ways that cannot beat the
+    best are left, and a set of rows that was met before is not searched again. The result is exact, without a limit.
     """
-    rows = [(at, s) for at, s in ((p[0], _slots(*p[1:])) for p in set(pairs)) if len({k for k, _ in s}) == len(s)]
-    best, ways, seen = set(), [sorted(rows, key=lambda r: (r[0], sorted(r[1])))], 0
-    while ways:
-        rows = ways.pop()
-        met = {at for at, _ in rows}
-        if len(met) <= max(over, len(best)):
-            continue
-        seen += len(rows)
-        values: dict[tuple, dict[bytes, set[int]]] = {}
-        for at, slots in rows:
-            for key, value in slots:
-                values.setdefault(key, {}).setdefault(value, set()).add(at)
-        open_ = [(sum(map(len, v.values())), key) for key, v in values.items() if len(v) > 1]
-        if not open_:
-            best = met
-            continue
-        key = max(open_)[1]
-        of = [(dict(slots).get(key), at, slots) for at, slots in rows]
-        split = [[(at, slots) for v, at, slots in of if v is None or v == value] for value in sorted(values[key])]
-        split.sort(key=lambda w: len({at for at, _ in w}))
-        ways += split if seen <= SEARCH_ROWS else split[-1:]
-    return best
+    rows = [(at, s) for at, s in ((p[0], _slots(*p[1:])) for p in sorted(set(pairs))) if len({k for k, _ in s}) == len(s)]
+    values: dict[tuple, dict[bytes, int]] = {}
+    at_place: dict[int, int] = {}
+    for i, (at, slots) in enumerate(rows):
+        at_place[at] = at_place.get(at, 0) | 1 << i
+        for key, value in slots:
+            of = values.setdefault(key, {})
+            of[value] = of.get(value, 0) | 1 << i
+    if len(at_place) <= over:
+        return set()
+    several = [list(v.values()) for v in values.values() if len(v) > 1]
+    spots = list(at_place.values())
+    known: dict[int, int] = {}
+
+    def places(mask: int) -> int:
+        return sum(1 << k for k, m in enumerate(spots) if m & mask)
+
+    def best(mask: int) -> int:
+        """The places, as bits, of the longest chain among some rows."""
+        if mask in known:
+            return known[mask]
+        whole, done = mask, 0
+        while True:
+            open_ = [live for v in several if len(live := [m & mask for m in v if m & mask]) > 1]
+            touched = 0
+            for live in open_:
+                for m in live:
+                    touched |= m
+            free = places(mask & ~touched)
+            done |= free
+            taken = 0
+            for k, m in enumerate(spots):
+                if free >> k & 1:
+                    taken |= m
+            mask = touched & ~taken
+            if not taken & touched:
+                break
+        if mask:
+            parts = _apart([*(m for m in (sum_of(live) for live in open_) if m), *(m & mask for m in spots if m & mask)])
+            if len(parts) > 1:
+                for m in parts:
+                    done |= best(m)
+            else:
+                key = max(open_, key=lambda live: (sum_of(live).bit_count(), len(live)))
+                whole_key, found = sum_of(key), 0
+                ways = sorted(((places(sub := mask & ~(whole_key & ~m)).bit_count(), sub) for m in key), reverse=True)
+                for most, sub in ways:
+                    if most <= found.bit_count():
+                        break
+                    got = best(sub)
+                    found = got if got.bit_count() > found.bit_count() else found
+                done |= found
+        known[whole] = done
+        return done
+
+    chain = best((1 << len(rows)) - 1)
+    return {at for k, at in enumerate(at_place) if chain >> k & 1} if chain.bit_count() > over else set()
+
+
+def sum_of(masks: list[int]) -> int:
+    """All bits of some numbers."""
+    out = 0
+    for m in masks:
+        out |= m
+    return out
+
+
+def _apart(masks: list[int]) -> list[int]:
+    """The numbers, those with a bit in common as one."""
+    out: list[int] = []
+    for m in masks:
+        rest = []
+        for x in out:
+            if x & m:
+                m |= x
+            else:
+                rest.append(x)
+        out = [*rest, m]
+    return out
 
 
 def longest_chain(meets: list[tuple[int, int, bytes, bytes, bytes]], n: int, reach: int) -> set[int]:
