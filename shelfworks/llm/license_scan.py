@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfworks.llm.license_texts import KNOWN
+from shelfworks.llm.license_texts import KNOWN, LONG
 from shelfworks.llm.shared import table
 
 #: Equivalent spellings, applied in this order to words in lower case.
@@ -56,28 +56,32 @@ def _opening(forms: Column, at: Column) -> Column:
     return F.when(short, F.substring_index(F.array_join(F.slice(forms, at + 1, F.lit(OPENING)), " "), " ", OPENING)).otherwise(F.substring_index(form, " ", OPENING))
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """``license, opening, n_words, digest`` of the known texts, as a local relation whose size the planner knows."""
+def known_digests(spark: SparkSession, known=KNOWN, long=LONG) -> DataFrame:
+    """``license, opening, n_words, digest`` of the known texts, and of longer ones whose digests are known, as a local relation whose size the planner knows."""
     rows = ", ".join("('{}', '{}')".format(*(x.replace("\\", "\\\\").replace("'", "\\'") for x in r)) for r in known)
     texts = spark.sql(f"SELECT * FROM VALUES {rows} AS t(license, body)")
     form = texts.select("license", F.array_join(_forms(F.col("body")), " ").alias("form"))
-    return form.filter("form <> ''").select(
+    own = form.filter("form <> ''").select(
         "license", F.substring_index("form", " ", OPENING).alias("opening"), F.size(F.split("form", " ")).alias("n_words"), F.sha2("form", 256).alias("digest")
-    ).distinct()
+    )
+    given = ", ".join(map(str, long))
+    return (own.union(spark.sql(f"SELECT * FROM VALUES {given} AS t(license, opening, n_words, digest)")) if long else own).distinct()
 
 
 def scan(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, licenses, n_notices, whole_text`` of every row: the names found, in order, in how many places, and whether a unit is the whole text."""
-    openings = [r.opening for r in known.select("opening").distinct().collect()]  # a few words for each known text
-    most = known.agg(F.coalesce(F.max("n_words"), F.lit(0))).first()[0]
+    # a few words for each known text, and the words of the longest one that begins so
+    openings = {r.opening: r.most for r in known.groupBy("opening").agg(F.max("n_words").alias("most")).collect()}
+    longest = F.create_map(*[F.lit(x) for pair in openings.items() for x in pair]) if openings else F.create_map(F.lit(""), F.lit(0))
     keys = docs.select("doc_id", F.xxhash64(text).alias("tie"), _forms(F.coalesce(F.col(text), F.lit(""))).alias("forms"))
     # outer, so that no filter is derived from it that would work the forms out twice
     begun = keys.select("doc_id", "tie", "forms", F.explode_outer(F.filter(
-        F.transform("forms", lambda f, i: F.when(_opening(F.col("forms"), i).isin(openings), i)), lambda i: i.isNotNull()
+        F.transform("forms", lambda f, i: F.when(_opening(F.col("forms"), i).isin([*openings]), i)), lambda i: i.isNotNull()
     )).alias("at")).filter("at IS NOT NULL")
-    # a line's last word has a line's end; no line needs more words, and no unit more lines, than the longest known text has
-    lines = F.transform(F.slice("forms", F.col("at") + 1, F.lit(most + 1)), lambda f: F.concat(F.substring_index(f, " ", most + 1), F.lit("\n")))
-    units = begun.select("doc_id", "tie", "at", F.split(F.array_join(lines, " "), " ").alias("words"), _opening(F.col("forms"), F.col("at")).alias("opening"))
+    begun = begun.withColumn("opening", _opening(F.col("forms"), F.col("at"))).withColumn("most", F.element_at(longest, F.col("opening")) + 1)
+    # a line's last word has a line's end; no line needs more words, and no unit more lines, than the longest known text with its opening
+    lines = F.transform(F.slice("forms", F.col("at") + 1, F.col("most")), lambda f: F.concat(F.call_function("substring_index", f, F.lit(" "), F.col("most")), F.lit("\n")))
+    units = begun.select("doc_id", "tie", "at", F.split(F.array_join(lines, " "), " ").alias("words"), "opening")
     cut = units.join(known.select("opening", "n_words").distinct(), "opening").filter(F.endswith(F.get("words", F.col("n_words") - 1), F.lit("\n")))
     form = F.replace(F.array_join(F.slice("words", F.lit(1), F.col("n_words")), " "), F.lit("\n"), F.lit(""))
     cut = cut.select("doc_id", "tie", "at", "n_words", (F.size("words") == F.col("n_words")).alias("to_end"), F.coalesce(F.sha2(form, 256), F.lit("")).alias("digest"))
@@ -111,6 +115,7 @@ def _sql_form(x: str) -> str:
 
 
 _VALUES = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(KNOWN))
+_LONG = ", ".join(map(str, LONG))
 _LINES = """
   SELECT rid, k, form, len(string_split(form, ' ')) AS n, sum(len(string_split(form, ' '))) OVER (PARTITION BY rid ORDER BY k) AS upto,
          array_to_string(string_split(concat_ws(' ', form, lead(form, 1) OVER (PARTITION BY rid ORDER BY k), lead(form, 2) OVER (PARTITION BY rid ORDER BY k)), ' ')[1:3], ' ') AS opening
@@ -121,7 +126,8 @@ WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, text FROM do
 kb(rid, license, body) AS (VALUES {_VALUES}),
 kl AS (SELECT rid, unnest(range(len(l))) AS k, unnest(l) AS line FROM (SELECT rid, string_split(body, chr(10)) AS l FROM kb)),
 kf AS ({_LINES} (SELECT rid, k, {_sql_form('line')} AS form FROM kl) WHERE form <> ''),
-kn AS (SELECT DISTINCT license, first(opening ORDER BY k) AS opening, sum(n) AS n_words, sha256(string_agg(form, ' ' ORDER BY k)) AS digest FROM kf JOIN kb USING (rid) GROUP BY rid, license),
+kn AS (SELECT DISTINCT license, first(opening ORDER BY k) AS opening, sum(n) AS n_words, sha256(string_agg(form, ' ' ORDER BY k)) AS digest FROM kf JOIN kb USING (rid) GROUP BY rid, license
+  UNION SELECT * FROM (VALUES {_LONG}) t(license, opening, n_words, digest)),
 dl AS (SELECT rid, unnest(range(len(l))) AS k, unnest(l) AS line FROM (SELECT rid, string_split(coalesce(text, ''), chr(10)) AS l FROM d)),
 df AS MATERIALIZED ({_LINES} (SELECT rid, k, {_sql_form('line')} AS form FROM dl) WHERE form <> ''),
 c AS (

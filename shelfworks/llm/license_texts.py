@@ -87,3 +87,19 @@ This program is distributed in the hope that it will be useful, but WITHOUT ANY
 
 #: Every text that a copy may equal: licences with and without their title, and notices.
 KNOWN = tuple((name, text) for name, title, body in LICENSES for text in (body, f"{title}\n\n{body}")) + NOTICES
+
+#: Fixed values of longer licences, from their published texts: name, first three words, number of words and SHA-256 of the
+#: canonical form; of those with an appendix on how to apply them also without it.
+LONG = (
+    ("Apache-2.0", "apache license version", 1590, "045649cdaf85384ba827242062f2f3b36409835c98d297e25177cb1faf7c2847"),
+    ("Apache-2.0", "apache license version", 1419, "108490d21e2d3edc9128233e48fabc169818d0c7c5f0bbdd58231a367d2d6c87"),
+    ("CC0-1.0", "creative commons legal", 1088, "0fab61e77a1329b72c004c935feefa0a6b96c3de7d1d7e4a025cfb23e8b45b42"),
+    ("GPL-2.0", "gnu general public", 2975, "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0", "gnu general public", 2504, "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "gnu general public", 5684, "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("GPL-3.0", "gnu general public", 5241, "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.1", "gnu lesser general", 4401, "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1", "gnu lesser general", 4065, "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "gnu lesser general", 1231, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-2.0", "mozilla public license", 2414, "de0e0bad5657ae87b52462bd6dcfbfa29b0e1c9cdb1af2703a8760bce580dd61"),
+)
