@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from shelfworks.functions.numbering import number_rows
 
 PAGE, ALL = 6, "todos"
-#: Requests for all phones in one call of browse_many().
-MOST_ALL = 1_000
+#: Requests for all phones that one row holds.
+ALL_SLICE = 1_000
 
 
 def brand_list(brand: DataFrame) -> DataFrame:
@@ -45,16 +45,17 @@ def browse(cat: DataFrame, brand: str) -> DataFrame:
 def browse_many(requests: DataFrame, cat: DataFrame) -> DataFrame:
     """browse() for a table of requests (request_id, brand): an equi-join for brands; the requests for all are opened on each phone.
 
-    At most MOST_ALL requests may ask for all phones, as each has a row for every phone.
+    Requests for all come in slices of ALL_SLICE ids; each phone meets every slice by its number, so that no row and no
+    task holds more of them, however many there are.
     """
     named = requests.filter(F.col("brand") != ALL).join(cat, "brand").select("request_id", "id_phone")
-    every = [r.request_id for r in requests.filter(F.col("brand") == ALL).select("request_id").limit(MOST_ALL + 1).collect()]
-    if len(every) > MOST_ALL:
-        raise ValueError(f"more than {MOST_ALL} requests for all phones")
-    if not every:
+    every = requests.filter(F.col("brand") == ALL).select("request_id")
+    slices = -(-every.count() // ALL_SLICE)
+    if not slices:
         return named
-    ids = F.array(*[F.lit(i) for i in every]).cast(f"array<{dict(requests.dtypes)['request_id']}>")
-    return named.union(cat.select(F.explode(ids).alias("request_id"), "id_phone"))
+    cut = number_rows(every, [F.col("request_id")], "_n").groupBy(F.floor((F.col("_n") - 1) / ALL_SLICE).alias("slice")).agg(F.collect_list("request_id").alias("ids"))
+    met = cat.select("id_phone", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))).alias("slice")).join(cut, "slice")
+    return named.union(met.select(F.explode("ids").alias("request_id"), "id_phone"))
 
 
 def phrase_filter(cat: DataFrame, text: str) -> DataFrame:

@@ -204,13 +204,12 @@ def test_parts_of_models(spark):
     ]
 
 
-def test_too_many_requests_for_all(spark, monkeypatch):
-    monkeypatch.setattr(browse, "MOST_ALL", 2)
-    cat = spark.createDataFrame([(1, "A")], "id_phone bigint, brand string")
-    ask = lambda n: browse.browse_many(spark.createDataFrame([(k, browse.ALL) for k in range(n)], "request_id bigint, brand string"), cat)
-    assert ask(2).count() == 2
-    with pytest.raises(ValueError):
-        ask(3)
+def test_any_number_of_requests_for_all(spark, monkeypatch):
+    monkeypatch.setattr(browse, "ALL_SLICE", 2)
+    cat = spark.createDataFrame([(1, "A"), (2, "B")], "id_phone bigint, brand string")
+    for n in (0, 1, 2, 5, 5):
+        asked = spark.createDataFrame([(k, browse.ALL) for k in range(n)] + [(77, "B"), (78, "x")], "request_id bigint, brand string")
+        assert sorted(map(tuple, browse.browse_many(asked, cat).collect())) == sorted([(k, p) for k in range(n) for p in (1, 2)] + [(77, 2)])
 
 
 def test_tables_of_a_relational_store(spark, tmp_path):
