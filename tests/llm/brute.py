@@ -145,3 +145,61 @@ def without_passages(docs, window):
         left = [x for x, k in zip(w, keep) if k]
         out.append((str(i), len(w), len(w) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()))
     return sorted(out)
+
+
+def toxic_clauses(text, classes, arcs, span=3):
+    """Scores of the clauses that hold a match, read word by word; ``classes`` has the words of each class, ``arcs`` weights of words and beginnings (``w*``)."""
+    words = re.sub("[\"“”„«»]", " \x01 ", text).replace("\n", " \x00 ").split()
+    clauses, own = [], []
+    for w in words:
+        core = w.strip("".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())) if w != "\x01" else w
+        core = "".join(c.lower() if "A" <= c <= "Z" else c for c in core).replace("’", "'")
+        kind, weight = next(((k, 0.0) for k, names in classes.items() if core in names and k != "insult"), ("other", 0.0))
+        if core in classes["insult"]:
+            kind, weight = "insult", 3.0
+        if core in arcs and kind in ("other", "insult"):
+            kind, weight = "insult", arcs[core]
+        if kind == "other":
+            for n in (4, 5, 6, 7, 8):
+                if len(core.encode()) >= n and core[:n] + "*" in arcs:
+                    kind, weight = "insult", arcs[core[:n] + "*"]
+        own.append(("quote", 0.0) if w == "\x01" else (kind, min(weight, 8.0)))
+        if w == "\x00" or w[-1] in ".!?;:,":
+            clauses.append(own)
+            own = []
+    clauses.append(own)
+    scores = []
+    for own in clauses:
+        if not any(k in ("insult", "harm", "doom") for k, _ in own):
+            continue
+        total, target, denied, speech, quoted, near, seen, left = 0.0, False, 0, False, False, 0, None, 0
+        for kind, weight in own:  # near: -1 right behind a target, else words left behind target and verb to be
+            factor = (1.2 if target else 1.0) * (0.3 if denied else 1.0) * (0.4 if speech or quoted else 1.0)
+            if kind == "insult":
+                total += factor * weight * (1.5 if near else 1.0)
+            if kind == "target":
+                total += 6.0 * factor * {"harm": 0.6, "meant": 1.0}.get(seen, 0.0)
+            if kind == "doom" and seen == "both":
+                total += 6.0 * factor * 0.8
+            was = near
+            near = -1 if kind == "target" else span if kind == "be" and was else was - 1 if was > 0 and kind in ("other", "negation", "insult") else 0
+            if kind == "target":
+                seen, left = "target", span
+            elif kind == "intent":
+                seen, left = ("both" if seen in ("target", "both") else "intent"), span
+            elif kind == "harm":
+                seen, left = ("meant" if seen in ("intent", "both") else "harm"), span
+            elif kind in ("doom", "object"):
+                seen = None
+            else:
+                left -= 1
+                seen = seen if left > 0 else None
+            target = target or kind == "target"
+            denied = (0 if denied else span + 1) if kind == "negation" else max(0, denied - 1)
+            if kind == "quote":
+                quoted, speech = not quoted, False
+            elif kind == "report" and not quoted:
+                speech = True
+        if total:
+            scores.append(total)
+    return scores, len(words)

@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,23 @@ def test_learning_from_many_rows_of_one_id(spark):
     labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(200)], "doc_id bigint, toxic int")
     sample = toxicity.labelled_sample(docs, labels).collect()
     assert len(sample) == 200 and len({r.doc_id for r in sample}) == 200
+
+
+def test_clauses_equal_a_plain_reader():
+    rng = random.Random(9)
+    classes = {
+        "target": toxicity.TARGETS, "negation": toxicity.NEGATIONS, "report": toxicity.REPORTS, "harm": toxicity.HARM, "doom": toxicity.DOOM, "intent": toxicity.INTENT,
+        "be": toxicity.BEING, "object": toxicity.HARMLESS, "insult": toxicity.INSULTS,
+    }
+    arcs = {"gruk": 2.75, "snorf*": 4.5, "idiot": 9.0, "blarghe*": 3.25}
+    lexicon = toxicity.Lexicon({w.encode(): x for w, x in arcs.items()})
+    words = [*(rng.choice(names) for names in classes.values() for _ in range(4)), "gruk", "Snorfing", "blarghest", "house", "fine", "red", "idiot"]
+    for _ in range(400):
+        text = ""
+        for _ in range(rng.randrange(25)):
+            w = rng.choice(words)
+            text += (w.upper() if rng.random() < 0.1 and w.isascii() else w) + rng.choice(["", "", "", "", ",", ".", "!", "\""]) + rng.choice([" ", " ", " ", "\n", " \""])
+        want, n = brute.toxic_clauses(text, classes, arcs)
+        got, m = lexicon.clauses(text)
+        assert n == m and got == pytest.approx(want)
+        assert lexicon.features(text).tolist() == pytest.approx([1.0, max(want, default=0.0), float(np.log1p(sum(want))), min(1.0, 20 * len(want) / max(n, 1))])
