@@ -44,9 +44,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def kept_for(folder: str, batch: str | None, make: Callable[[], DataFrame]) -> DataFrame:
+def kept_for(spark: SparkSession, folder: str, batch: str | None, make: Callable[[], DataFrame]) -> DataFrame:
     """What ``make`` gives for a batch, written beside a table: a batch of the same name that is run again gets the same rows."""
-    spark = SparkSession.getActiveSession()
     if batch is None:
         return written(make(), "batch")
     path = f"{folder}/_batches/{batch}"

@@ -155,7 +155,7 @@ def merge_phones(store: dict[str, BucketedTable], subs: DataFrame, batch: str |
     a batch that is broken off and run again under its name gives the same ids.
     """
     phone = store["phone"]
-    rows = kept_for(phone.path, batch, lambda: submitted_phones(phone.rows(), subs, keep_web))
+    rows = kept_for(phone.spark, phone.path, batch, lambda: submitted_phones(phone.rows(), subs, keep_web))
     for name, part in normalise_phone(rows).items():
         store[name].replace(part, rows.select("id_phone"), batch)
 
@@ -164,7 +164,7 @@ def merge_models(model: BucketedTable, upd: DataFrame, batch: str | None = None)
     """update_models() on a stored table by buckets of id_model; gives the rejected updates with their reason."""
     ids = model.near(upd).select("id_model")
     rejected = upd.join(ids, "id_model", "left_anti").withColumn("reason", F.lit(NOT_FOUND))
-    rejected = kept_for(model.path, batch and f"{batch}-rejected", lambda: rejected)
+    rejected = kept_for(model.spark, model.path, batch and f"{batch}-rejected", lambda: rejected)
     save(model, upd.join(ids, "id_model", "left_semi"), "id_model", batch)
     return rejected
 

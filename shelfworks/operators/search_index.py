@@ -100,8 +100,9 @@ class SearchIndex:
             tested = blocks.join(names, "block")
             hits = tested.filter(all_terms_in(terms_of(F.col("text")), F.col("brand"), F.col("model"))).select("text", F.explode("ids").alias("id_phone"), *_NAME)
             if wordless and (wordless := not (every := open_.filter(F.size("pieces") == 0)).isEmpty()):
-                lowest = names.select(F.explode("ids").alias("id_phone"), *_NAME).orderBy("id_phone").limit(k)
-                hits = hits.union(every.join(F.broadcast(lowest)).select("text", "id_phone", *_NAME))  # k rows
+                lowest = names.select(F.explode("ids").alias("id_phone"), *_NAME).orderBy("id_phone").limit(k).collect()
+                rows = [F.struct(F.lit(r.id_phone).cast("bigint").alias("id_phone"), *[F.lit(r[c]).cast("string").alias(c) for c in _NAME]) for r in lowest]
+                hits = hits.union(every.select("text", F.inline(F.array(*rows)))) if rows else hits
             best = written(top_k(best.union(hits), k, "text").drop("rn"), "best-hits")
             if looked is not None:
                 looked.append(tested.count())

@@ -849,53 +849,52 @@ def t4_search_events(spark, d):
 _WAIT = "10 minutes"
 
 
-def _file_stream(spark: SparkSession, rows: DataFrame, by: str, parts: int = 3, last: DataFrame | None = None) -> DataFrame:
-    """A stream of files in order of a column, one after the other, and of ``last`` at the end."""
+def _fed(spark: SparkSession, rows: DataFrame, by: str, run, last: DataFrame | None = None, parts: int = 3) -> None:
+    """Have a stream run over rows that come in parts in order of a column: after each part it is started anew, takes what is there and ends."""
     path = new_path(spark, "stream-files")
     cuts = rows.select(F.percentile_approx(by, [k / parts for k in range(1, parts)])).first()[0] or []
     bounds = [None, *sorted(set(cuts)), None]
-    for low, high in zip(bounds, bounds[1:]):
-        some = rows if low is None else rows.filter(F.col(by) >= F.lit(low))
-        (some if high is None else some.filter(F.col(by) < F.lit(high))).coalesce(1).write.mode("append").parquet(path)
-    if last is not None:
-        last.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    some = [rows if low is None else rows.filter(F.col(by) >= F.lit(low)) for low in bounds[:-1]]
+    some = [df if high is None else df.filter(F.col(by) < F.lit(high)) for df, high in zip(some, bounds[1:])]
+    for part in [*some, *([] if last is None else [last])]:
+        part.write.mode("append").parquet(path)
+        run(spark.readStream.schema(rows.schema).parquet(path))
 
 
-def _event_stream(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """A stream of files of events in order of time; the last holds an event long after all."""
+def _streamed(spark: SparkSession, events: DataFrame, operator, name: str) -> DataFrame:
+    """What a stream operator appends to its sink, of events that come in parts; the last part is an event long after all, which is left out."""
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     after = F.coalesce(F.max("ts"), F.lit("2000-01-01").cast("timestamp")) + F.expr("INTERVAL 400 DAYS")
     end = {"event_id": F.lit(-1), "user_id": F.lit(-1), "ts": after, "text": F.lit("end"), "latency_s": F.lit(0.0)}
     last = events.agg(*[end[f.name].cast(f.dataType).alias(f.name) for f in events.schema])
-    return _file_stream(spark, events, "ts", last=last)
+    path, schemas = new_path(spark, name), []
 
+    def run(stream: DataFrame) -> None:
+        out = operator(stream)
+        schemas.append(out.schema)
+        ordered_state.run_available(out, f"{path}/out", f"{path}/checkpoint")
 
-def _ran(stream: DataFrame, name: str) -> DataFrame:
-    """What a stream appends to its sink, but for the event at its end."""
-    spark = stream.sparkSession
-    path = new_path(spark, name)
-    ordered_state.run_available(stream, f"{path}/out", f"{path}/checkpoint")
-    return spark.read.schema(stream.schema).parquet(f"{path}/out").filter(F.coalesce("user_id", F.lit(0)) >= 0)
+    _fed(spark, events, "ts", run, last)
+    return spark.read.schema(schemas[0]).parquet(f"{path}/out").filter(F.coalesce("user_id", F.lit(0)) >= 0)
 
 
 @query(ORACLE["t1_debounce"])
 def t1_debounce_stream(spark, d):
     """t1_debounce from a running stream: sessions that the watermark has closed."""
-    return _ran(search_events.debounce(_event_stream(spark, v.events(spark, d)), "6 hours", _WAIT), "debounced").select("user_id", "event_id", "text")
+    return _streamed(spark, v.events(spark, d), lambda e: search_events.debounce(e, "6 hours", _WAIT), "debounced").select("user_id", "event_id", "text")
 
 
 @query(ORACLE["t2_distinct_until_changed"])
 def t2_changes_stream(spark, d):
     """t2_distinct_until_changed from a running stream with ordered state."""
-    return _ran(ordered_state.changes(_event_stream(spark, v.events(spark, d)), _WAIT), "changes").select("event_id", "user_id", "text")
+    return _streamed(spark, v.events(spark, d), lambda e: ordered_state.changes(e, _WAIT), "changes").select("event_id", "user_id", "text")
 
 
 @query(ORACLE["t3_switch_latest"])
 def t3_latest_stream(spark, d):
     """t3_switch_latest from a running stream with ordered state and timers."""
     slow = v.events(spark, d).withColumn("latency_s", F.col("latency_s") * 100)
-    return _ran(ordered_state.latest_answers(_event_stream(spark, slow), _WAIT), "latest").select("event_id", "user_id")
+    return _streamed(spark, slow, lambda e: ordered_state.latest_answers(e, _WAIT), "latest").select("event_id", "user_id")
 
 
 @query(ORACLE["t4_search_events"])
@@ -912,7 +911,8 @@ def t4_search_stream(spark, d):
 def d1_brand_stream(spark, d):
     """d1_add_brands from a running stream of submissions."""
     intake = Intake(brands(), v.brand(spark, d), new_path(spark, "brand-intake"), 16)
-    intake.start(_file_stream(spark, v.new_brands(spark, d), "seq"), new_path(spark, "checkpoint"), True).awaitTermination()
+    checkpoint = new_path(spark, "checkpoint")
+    _fed(spark, v.new_brands(spark, d), "seq", lambda stream: intake.start(stream, checkpoint, True).awaitTermination())
     return intake.table()
 
 
@@ -920,5 +920,6 @@ def d1_brand_stream(spark, d):
 def d2_model_stream(spark, d):
     """d2_rejected_models from a running stream of submissions."""
     intake = Intake(models(v.brand(spark, d)), v.model(spark, d), new_path(spark, "model-intake"), 16)
-    intake.start(_file_stream(spark, v.new_models(spark, d), "seq"), new_path(spark, "checkpoint"), True).awaitTermination()
+    checkpoint = new_path(spark, "checkpoint")
+    _fed(spark, v.new_models(spark, d), "seq", lambda stream: intake.start(stream, checkpoint, True).awaitTermination())
     return intake.rejected().select("seq", "model", "brand", "reason")

@@ -66,12 +66,17 @@ class PagedTable:
     def many(self, requests: DataFrame, size: int = PAGE) -> DataFrame:
         """page() for a table of requests (request_id, page, and a value of ``by``): their rows with ``request_id``, ``page`` and ``rn`` in the page.
 
-        Requests meet the index by ``by``, and the rows by part and place: an equi-join that prunes the parts not asked for.
+        Requests meet the index by ``by`` and by stretches of as many rows as the largest part has, and the rows by part and
+        place: equi-joins, of which the second prunes the parts not asked for.
         """
-        start = (F.col("page") - 1) * size
-        given = requests.select("request_id", "page", *([F.col(self.by).alias("_by")] if self.by else []))
-        same = F.col("_by").eqNullSafe(F.col(self.by)) if self.by else F.lit(True)
-        spans = given.join(self.index, same & (F.col("before") < start + size) & (F.col("before") + F.col("rows") > start))
+        start, long = (F.col("page") - 1) * size, self.index.agg(F.coalesce(F.max("rows"), F.lit(1))).first()[0]
+        stretches = lambda low, n: F.sequence(F.floor(low / long), F.floor((low + n - 1) / long))
+        given = requests.filter("page > 0").select("request_id", "page", *([F.col(self.by).alias("_by")] if self.by else []), F.explode(stretches(start, size)).alias("_stretch"))
+        parts = self.index.select("*", F.explode(stretches(F.col("before"), F.col("rows"))).alias("_there"))
+        same = (F.col("_stretch") == F.col("_there")) & (F.col("_by").eqNullSafe(F.col(self.by)) if self.by else F.lit(True))
+        spans = given.join(parts, same & (F.col("before") < start + size) & (F.col("before") + F.col("rows") > start))
+        # a request and a part that share two stretches meet in the first of them
+        spans = spans.filter(F.col("_stretch") == F.greatest(F.floor(start / long), F.floor(F.col("before") / long)))
         low, high = F.greatest(start - F.col("before"), F.lit(0)), F.least(F.col("rows"), start + size - F.col("before")) - 1
         asked = spans.select("request_id", "page", "_part", (F.col("before") - start + 1).alias("_shift"), "first", F.explode(F.sequence(low, high)).alias("_at"))
         asked = asked.select("request_id", "page", "_part", (F.col("first") + F.col("_at")).alias("_pos"), (F.col("_at") + F.col("_shift")).alias("rn"))
