@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfworks.llm import decontaminate, license_scan, quality, topk_search, toxicity, url_filter
+from shelfworks.llm import decontaminate, license_scan, near_dups, quality, topk_search, toxicity, url_filter
 from shelfworks.llm.shared import below
 from tests.llm import brute
 
@@ -102,3 +102,33 @@ def test_clauses_equal_a_plain_reader():
         got, m = lexicon.clauses(text)
         assert n == m and got == pytest.approx(want)
         assert lexicon.features(text).tolist() == pytest.approx([1.0, max(want, default=0.0), float(np.log1p(sum(want))), min(1.0, 20 * len(want) / max(n, 1))])
+
+
+def generated_rows(df):
+    """How many rows a query's explodes make."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        open_, n = [df._jdf.queryExecution().executedPlan()], 0
+        df.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    while open_:
+        node = open_.pop()
+        if node.nodeName() == "Generate":
+            n += node.metrics().apply("numOutputRows").value()
+        open_ += [node.children().apply(i) for i in range(node.children().size())]
+    return n
+
+
+def test_a_bucket_of_one_component_and_a_stranger_moves_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "BLOCK_SHINGLES", 1_000)
+    base = [f"w{i}" for i in range(100)]
+    texts = {i: " ".join(w if k != i % 100 else f"x{i}" for k, w in enumerate(base)) for i in range(300)}
+    rows = [(7, i, 99, 2, 0 if i < 299 else 299, [7] + [10 + i * 100 + b for b in range(near_dups.BANDS - 1)]) for i in texts]
+    df = spark.createDataFrame(rows, "key bigint, nid bigint, n bigint, own bigint, comp bigint, bands array<bigint>")
+    bodies = spark.createDataFrame([*texts.items()], "nid bigint, text string")
+    links = near_dups.linked_in_blocks(df, bodies, 2, 80)
+    assert {r.a for r in links.collect()} | {r.b for r in links.collect()} >= {299}
+    # each row is in its class and looks on to the next: twice; thirty blocks would make some 18,000 rows of 600
+    assert generated_rows(links) < 2_000
