@@ -1,6 +1,7 @@
 """Suffix-array dedup: bytes covered by a 50-byte string that also starts in a document with a smaller id are removed.
 
-The suffixes are sorted by a distributed merge sort that never looks at known prefixes again (string sorting with
+Suffixes at anchors are sorted within ranges dealt by hash, which are not in order among each other: there is no one sorted
+run of all suffixes, and anchors that occur very often are aggregated instead. The suffixes are sorted by a distributed merge sort that never looks at known prefixes again (string sorting with
 front-coded runs and prefix doubling, as in the published literature):
 
 * Only anchored suffixes are sorted. Of every 19 neighbouring 32-byte strings the one with the least hash is an anchor,
