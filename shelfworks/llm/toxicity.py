@@ -15,8 +15,10 @@ They are composed into one transition table, which runs over every clause that h
 what the insult and threat machines put out is weighed by what the others say at that word. A document's clause scores
 (the largest, their sum and their density) give its score through a logistic curve.
 
-Insults are seed words and, learnt from labelled texts, words and word beginnings whose weight is their log-odds among
-toxic and other texts. Learning reads at most ``max_docs`` labelled texts; of texts that share their smallest 3-word hash
+Insults, verbs of harm and targets are seed words and, learnt from labelled texts, words and word beginnings that toxic
+texts hold far more often than others. Where one stands tells what it is: between intent and a target in most toxic texts
+that hold it, a verb of harm; close behind a verb of harm in most, a target; else an insult, whose weight is its log-odds.
+Learning reads at most ``max_docs`` labelled texts; of texts that share their smallest 3-word hash
 and their label each counts the less the more there are, and none is dropped. The counts are aggregated by Spark, and
 only arcs that a share of the toxic texts holds come to the driver. Scoring reads every whole text once.
 
@@ -50,6 +52,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 WEIGHT = 720_720
 #: An arc's least log-odds, share of the toxic texts, and log-likelihood that it is no chance meeting.
 LEAST_ODDS, LEAST_SHARE, LEAST_EVIDENCE = 2.5, 0.005, 9.0
+#: The share of an arc's toxic texts in which it stands as a verb of harm or as a target, from which on it is one.
+LEAST_PLACES = 0.5
 
 #: Words of each class.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting imbecile".split()
@@ -176,7 +180,7 @@ def plain(word: bytes) -> bytes:
 class Lexicon:
     """word -> a number that packs its class, whether it ends a clause, and the weight of an insult in hundredths."""
 
-    def __init__(self, arcs: dict[bytes, float]):
+    def __init__(self, arcs: dict[bytes, float], roles: dict[bytes, int] | None = None):
         self.whole: dict[bytes, tuple[int, float]] = {}
         for symbol, names in (
             (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (HARMING, HARM), (DOOMING, DOOM), (INTENDING, INTENT), (TO_BE, BEING), (OBJECT, HARMLESS),
@@ -187,7 +191,12 @@ class Lexicon:
         for w, x in arcs.items():
             if not w.endswith(b"*") and self.whole.get(w, (INSULT, 0))[0] == INSULT:
                 self.whole[w] = (INSULT, x)
-        self.starts = {w[:-1]: x for w, x in arcs.items() if w.endswith(b"*")}
+        self.starts = {w[:-1]: (INSULT, x) for w, x in arcs.items() if w.endswith(b"*")}
+        for w, symbol in (roles or {}).items():
+            if w.endswith(b"*"):
+                self.starts[w[:-1]] = (symbol, 0.0)
+            else:
+                self.whole.setdefault(w, (symbol, 0.0))
         self.codes = Remembered(self.code)
 
     def code(self, word: bytes) -> int:
@@ -197,7 +206,7 @@ class Lexicon:
         symbol, weight = self.whole.get(w, (OTHER, 0.0))
         for n in reversed(PREFIXES):
             if symbol == OTHER and len(w) >= n and w[:n] in self.starts:
-                symbol, weight = INSULT, self.starts[w[:n]]
+                symbol, weight = self.starts[w[:n]]
         ends = word[-1] in b".!?;:," or word == b"\x00"
         return symbol | ends << 4 | int(min(weight, MOST_WEIGHT) * 100) << 5
 
@@ -229,12 +238,34 @@ class Lexicon:
         return np.array([1.0, max(scores, default=0.0), np.log1p(sum(scores)), min(1.0, 20 * len(scores) / max(n, 1))])
 
 
-def _candidates(text: str | None) -> set[bytes]:
-    found = {plain(w) for w in set((text or "").encode().split())}
+def _arcs_of(found: set[bytes]) -> set[bytes]:
     found.discard(b"")
     return found | {w[:n] + b"*" for w in found for n in PREFIXES if len(w) >= n}
 
 
+def _candidates(text: str | None) -> set[bytes]:
+    return _arcs_of({plain(w) for w in set((text or "").encode().split())})
+
+
+def places(text: str | None, seeds: Lexicon) -> tuple[set[bytes], set[bytes]]:
+    """Words without a class that stand as a verb of harm (intent before, a target behind) and as a target (a verb of harm before), all within SPAN words of a clause."""
+    found = _QUOTES.sub(" \x01 ", text or "").encode().replace(b"\n", b" \x00 ").split()
+    codes = seeds.codes.of(found, np.int64)
+    symbols, ends = codes & 15, np.flatnonzero(codes & 16)
+    verbs, targets = set(), set()
+    near = {i for k in np.flatnonzero((symbols == INTENDING) | (symbols == HARMING)).tolist() for i in range(k + 1, k + 1 + SPAN)}
+    for i in near:
+        if i < len(found) and symbols[i] == OTHER:
+            clause = int(np.searchsorted(ends, i))
+            a, b = (int(ends[clause - 1]) + 1 if clause else 0), (int(ends[clause]) + 1 if clause < len(ends) else len(found))
+            before, behind = symbols[max(a, i - SPAN) : i], symbols[i + 1 : min(b, i + 1 + SPAN)]
+            if INTENDING in before and TARGET in behind:
+                verbs.add(plain(found[i]))
+            if HARMING in before:
+                targets.add(plain(found[i]))
+    return verbs, targets
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """At most ``max_docs`` labelled texts as ``doc_id, text, toxic, weight``: texts with one smallest 3-word hash and label share a weight of WEIGHT."""
     order = F.xxhash64("doc_id", F.lit("toxic"))
@@ -259,41 +290,46 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS
     return kept.join(small(groups), ["sketch", "toxic"]).select("doc_id", "text", "toxic", "weight")
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[dict, np.ndarray]:
-    """Arcs and curve from ``labels`` (doc_id, toxic) of ``docs`` (doc_id, text)."""
+def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[dict[bytes, float], np.ndarray, dict[bytes, int]]:
+    """Weights of insults, the curve, and the classes of learnt verbs of harm and targets, from ``labels`` (doc_id, toxic) of ``docs`` (doc_id, text)."""
     sample = written(labelled_sample(docs, labels, max_docs), "sample")
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg((F.sum("weight") / WEIGHT).alias("n")).collect()}
     if len(n) < 2:
-        return {}, BASE_CURVE
+        return {}, BASE_CURVE, {}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, other = Counter(), Counter()
+        seeds, toxic, other, verb, target = Lexicon({}), Counter(), Counter(), Counter(), Counter()
         for b in batches:
             for t, y, x in zip(b.column("text"), b.column("toxic"), b.column("weight").to_pylist()):
-                into = toxic if y.as_py() else other
-                for w in _candidates(t.as_py()):
-                    into[w] += x
+                text = t.as_py()
+                met = [(toxic if y.as_py() else other, _candidates(text))]
+                if y.as_py():
+                    met += zip((verb, target), map(_arcs_of, places(text, seeds)))
+                for into, words in met:
+                    for w in words:
+                        into[w] += x
         found = [*set(toxic) | set(other)]
         for k in range(0, len(found), 50_000):
             part = found[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.binary()), pa.array([toxic[w] for w in part], pa.int64()), pa.array([other[w] for w in part], pa.int64())],
-                names=["arc", "toxic", "other"],
-            )
+            columns = [pa.array([n[w] for w in part], pa.int64()) for n in (toxic, other, verb, target)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), *columns], names=["arc", "toxic", "other", "verb", "target"])
 
-    counts = in_batches(sample).mapInArrow(counted, "arc binary, toxic bigint, other bigint").groupBy("arc").agg(
-        (F.sum("toxic") / WEIGHT).alias("t"), (F.sum("other") / WEIGHT).alias("o")
+    counts = in_batches(sample).mapInArrow(counted, "arc binary, toxic bigint, other bigint, verb bigint, target bigint").groupBy("arc").agg(
+        *[(F.sum(c) / WEIGHT).alias(short) for c, short in (("toxic", "t"), ("other", "o"), ("verb", "v"), ("target", "g"))]
     )
     odds = F.log((F.col("t") + 0.5) / (n[True] + 1.0)) - F.log((F.col("o") + 0.5) / (n[False] + 1.0))
     least = max(3, int(LEAST_SHARE * n[True]))
     rate, t, both = n[True] / (n[True] + n[False]), F.col("t"), F.col("t") + F.col("o")
     evidence = t * F.log(t / both / rate) + F.when(F.col("o") > 0, F.col("o") * F.log(F.col("o") / both / (1 - rate))).otherwise(0.0)
-    kept = counts.filter((t >= least) & (odds >= LEAST_ODDS) & (evidence >= LEAST_EVIDENCE)).select("arc", odds.alias("odds"), "t")
+    role = F.when(F.col("v") >= LEAST_PLACES * t, HARMING).when(F.col("g") >= LEAST_PLACES * t, TARGET).otherwise(INSULT)
+    kept = counts.filter((t >= least) & (odds >= LEAST_ODDS) & (evidence >= LEAST_EVIDENCE)).select("arc", odds.alias("odds"), role.alias("role"))
     # each is in a share of the toxic texts of the sample, so there are few, and all count
-    arcs = {bytes(r.arc): r.odds for r in kept.orderBy("arc").collect()}
+    found = kept.orderBy("arc").collect()
+    arcs = {bytes(r.arc): r.odds for r in found if r.role == INSULT}
+    roles = {bytes(r.arc): r.role for r in found if r.role != INSULT}
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(arcs)
+        lexicon = Lexicon(arcs, roles)
         for b in batches:
             x = [lexicon.features(t.as_py()).tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "toxic", "weight")), pa.array(x, pa.binary())], names=["doc_id", "toxic", "weight", "x"])
@@ -301,7 +337,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple
     rows = in_batches(sample).mapInArrow(featured, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic boolean, weight bigint, x binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.x)))
     x, y, weight = np.array([np.frombuffer(r.x) for r in rows]), np.array([r.toxic for r in rows], float), np.array([r.weight / WEIGHT for r in rows])
-    return arcs, fit_curve(x, y, weight)
+    return arcs, fit_curve(x, y, weight), roles
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -314,12 +350,12 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def score(docs: DataFrame, arcs: dict[bytes, float], curve: np.ndarray) -> DataFrame:
+def score(docs: DataFrame, arcs: dict[bytes, float], curve: np.ndarray, roles: dict[bytes, int] | None = None) -> DataFrame:
     """All columns of ``docs`` with ``score``, the estimated probability of a toxic text."""
     kept = [c for c in docs.columns if c.lower() != "score"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(arcs)
+        lexicon = Lexicon(arcs, roles)
         for b in batches:
             x = np.array([lexicon.features(t.as_py()) for t in b.column("text")]).reshape(-1, len(curve))
             s = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))

@@ -104,6 +104,30 @@ def test_clauses_equal_a_plain_reader():
         assert lexicon.features(text).tolist() == pytest.approx([1.0, max(want, default=0.0), float(np.log1p(sum(want))), min(1.0, 20 * len(want) / max(n, 1))])
 
 
+def test_places_of_words():
+    seeds = toxicity.Lexicon({})
+    assert toxicity.places("I will surely gronk you, but time", seeds) == ({b"surely", b"gronk"}, set())
+    assert toxicity.places("they hurt the zibbles. Gronk you", seeds) == (set(), {b"the", b"zibbles"})
+    assert toxicity.places("I will go, gronk you", seeds) == toxicity.places(None, seeds) == toxicity.places("", seeds) == (set(), set())
+
+
+def test_verbs_of_harm_and_targets_are_learnt_by_where_they_stand(spark):
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(300)]
+    plain = lambda: " ".join(rng.sample(words, 20))
+    said = ["I will gronk you tonight.", "we kill zibbles.", "such a blarg."]
+    rows = [(i, f"{plain()}. {said[i % 3] if i % 2 else ''} {plain()}") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, toxic int")
+    arcs, curve, roles = toxicity.learn(docs, labels)
+    assert roles[b"gronk"] == toxicity.HARMING and roles[b"zibbles"] == toxicity.TARGET and b"blarg" in arcs
+    assert not {b"gronk", b"zibbles"} & set(arcs) and b"blarg" not in roles
+    asked = ["he will gronk them", "they want to hurt zibbles", "a blarg", "to gronk in the shed", "zibbles in the shed", "fine words"]
+    got = toxicity.score(spark.createDataFrame([*enumerate(asked)], "doc_id bigint, text string"), arcs, curve, roles).collect()
+    s = {r.text: r.score for r in got}
+    assert min(s[t] for t in asked[:3]) > s["fine words"] == s["to gronk in the shed"] == s["zibbles in the shed"]
+
+
 def generated_rows(df):
     """How many rows a query's explodes make."""
     spark = df.sparkSession
