@@ -183,7 +183,7 @@ def _range_of(fingerprints: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def repeated_anchors(chunks: DataFrame, ranges: int, hot: int) -> DataFrame:
-    """``chunk, found, hot``: for each chunk and range the fingerprints that two documents share, and those that occur over ``hot`` times."""
+    """``chunk, found, hot``: for each chunk and range the fingerprints that two documents share, and those of them that occur over ``hot`` times."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,7 +221,7 @@ def repeated_anchors(chunks: DataFrame, ranges: int, hot: int) -> DataFrame:
             mine = own[np.isin(own, shared, assume_unique=True)]
             if len(mine):
                 out.append({"chunk": chunk, "found": deltas(mine), "hot": None})
-        over = unique[total > hot]
+        over = unique[(total > hot) & (many | (low != high))]
         if len(over):
             out.append({"chunk": None, "found": None, "hot": deltas(over)})
         return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.int64()), ("found", pa.binary()), ("hot", pa.binary())]))
@@ -390,7 +390,6 @@ def suffix_runs(chunks: DataFrame, found: DataFrame, hot, ranges: int, take_hot:
 
     ``w`` is a window's bytes, ``at`` has all its places in a document.
     """
-    own = found.groupBy("chunk").agg(F.collect_list("found").alias("found"))
 
     def windows(c: Chunk, at: np.ndarray, doc: np.ndarray) -> Iterator[tuple[list, int, list]]:
         for i, part in runs_of(doc):
@@ -419,9 +418,8 @@ def suffix_runs(chunks: DataFrame, found: DataFrame, hot, ranges: int, take_hot:
             for row in b.to_pylist():
                 c = Chunk(row)
                 at, fp, doc = c.anchors()
-                keep = np.isin(fp, np.concatenate([undeltas(x) for x in row["found"]]))
                 is_hot = np.isin(fp, heavy)
-                keep &= is_hot if take_hot else ~is_hot
+                keep = is_hot if take_hot else ~is_hot & np.isin(fp, np.concatenate([undeltas(x) for x in row["found"]]))
                 at, fp, doc = at[keep], fp[keep], doc[keep]
                 if take_hot:
                     for w, i, s in windows(c, at, doc):
@@ -449,8 +447,11 @@ def suffix_runs(chunks: DataFrame, found: DataFrame, hot, ranges: int, take_hot:
                         schema=pa.schema([("range", pa.int64()), ("chunk", pa.int64()), *((x, pa.binary()) for x in ("shared", "lengths", "rests", "lefts", "ids", "places"))]),
                     )
 
+    if take_hot:  # two documents share each of them: chunks need not meet what is found, nor move
+        return in_batches(chunks.drop("rest")).mapInArrow(run, "w binary, id bigint, chunk bigint, at binary")
+    own = found.groupBy("chunk").agg(F.collect_list("found").alias("found"))
     joined = chunks.join(own.hint("merge"), "chunk")  # all columns, as in the last step: one exchange serves both
-    return in_batches(joined).mapInArrow(run, "w binary, id bigint, chunk bigint, at binary" if take_hot else RUN)
+    return in_batches(joined).mapInArrow(run, RUN)
 
 
 def _merged(rows: pa.Table) -> pa.Table:

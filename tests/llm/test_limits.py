@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfworks.llm import decontaminate, license_scan, near_dups, quality, topk_search, toxicity, url_filter
+from shelfworks.llm import decontaminate, license_scan, near_dups, quality, suffix_dedup, topk_search, toxicity, url_filter
 from shelfworks.llm.shared import below
 from tests.llm import brute
 
@@ -156,3 +156,19 @@ def test_a_bucket_of_one_component_and_a_stranger_moves_few_rows(spark, monkeypa
     assert {r.a for r in links.collect()} | {r.b for r in links.collect()} >= {299}
     # each row is in its class and looks on to the next: twice; thirty blocks would make some 18,000 rows of 600
     assert generated_rows(links) < 2_000
+
+
+def test_windows_of_hot_anchors_are_taken_from_chunks_that_stay_where_they_are(spark):
+    rng = random.Random(8)
+    line = "".join(rng.choices("abcdefgh", k=90))
+    alone = "".join(rng.choices("ijklmnop", k=90))
+    rows = [(i, line + chr(33 + i) + "".join(rng.choices("qrstuv", k=80))) for i in range(40)] + [(100, alone * 60), (101, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    chunks = suffix_dedup.make_chunks(docs)
+    repeated = suffix_dedup.repeated_anchors(chunks, 8, 30)
+    hot = np.concatenate([suffix_dedup.undeltas(r.hot) for r in repeated.filter("hot IS NOT NULL").collect()])
+    windows = suffix_dedup.suffix_runs(chunks, repeated.filter("found IS NOT NULL"), spark.sparkContext.broadcast(hot), 8, True)
+    assert "Exchange" not in windows._jdf.queryExecution().executedPlan().toString()
+    assert {r.id for r in windows.select("id").distinct().collect()} == set(range(40))  # not the one that only repeats itself
+    got = suffix_dedup.without_repeats(docs, hot_docs=30).select("doc_id", F.octet_length("kept")).collect()
+    assert dict(map(tuple, got)) == {0: 171, **{i: 81 for i in range(1, 40)}, 100: 5400, 101: 0}
