@@ -43,8 +43,21 @@ def message_payload(number: Column, message: Column) -> Column:
     return F.to_json(body, {"ignoreNullFields": "false"})
 
 
-def image_color(image: Column, colors: Column) -> Column:
-    """The first colour whose normal form is the last part of the image's file name, cut at its first dot; else empty."""
+def image_part(image: Column) -> Column:
+    """The last part of an image's file name, cut at its first dot, in normal form."""
     file = F.element_at(F.split(image, "/"), -1)
-    part = norm_label(F.element_at(F.split(F.element_at(F.split(file, "[.]"), 1), "_"), -1))
-    return F.coalesce(F.get(F.filter(colors, lambda c: norm_label(c) == part), 0), F.lit(""))
+    return norm_label(F.element_at(F.split(F.element_at(F.split(file, "[.]"), 1), "_"), -1))
+
+
+def norm_labels(colors: Column) -> Column:
+    """A list of labels in normal form."""
+    return F.transform(colors, norm_label)
+
+
+def image_color(image: Column, colors: Column, norms: Column | None = None) -> Column:
+    """The first colour whose normal form is the last part of the image's file name; else empty.
+
+    ``norms`` is norm_labels() of the colours, for lists that many images share. The image's part is worked out once, not once for each colour.
+    """
+    at = F.array_position(norm_labels(colors) if norms is None else norms, image_part(image)).cast("int")
+    return F.coalesce(F.get(colors, at - 1), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfworks.functions.labels import image_color
+from shelfworks.functions.labels import image_color, norm_labels
 
 #: The sheet's attributes in order; the last element says whether it is a list.
 SHEET = (
@@ -31,8 +31,9 @@ def battery_text(battery: Column) -> Column:
 
 def color_for_image(cat: DataFrame) -> DataFrame:
     """One row for each image with the colour that its file name tells."""
-    opened = cat.select("id_phone", "colors", F.posexplode("images").alias("pos", "image"))
-    return opened.select("id_phone", "pos", "image", image_color(F.col("image"), F.col("colors")).alias("color"))
+    normal = cat.select("id_phone", "colors", "images", norm_labels(F.col("colors")).alias("norms"))
+    opened = normal.select("id_phone", "colors", "norms", F.posexplode("images").alias("pos", "image"))
+    return opened.select("id_phone", "pos", "image", image_color(F.col("image"), F.col("colors"), F.col("norms")).alias("color"))
 
 
 def _attributes(sheet=SHEET) -> Column:

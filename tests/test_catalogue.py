@@ -81,6 +81,16 @@ def test_image_color(spark):
     assert [r[0] for r in df.select(labels.image_color(F.col("image"), F.col("colors"))).collect()] == [w for _, w in cases]
 
 
+def test_colours_are_brought_into_normal_form_once_a_phone(spark):
+    rows = [
+        (1, ["Ice_Blue", "ice blue", None, "Red"], ["a_iceBlue.png", None, "b_.png", "a_RED.x_y.png"]), (2, None, ["a_red.png"]), (3, [], ["a_red.png"]), (4, ["Red"], []), (5, ["", "Red"], ["b_.png"]),
+    ]
+    found = specs.color_for_image(spark.createDataFrame(rows, "id_phone bigint, colors array<string>, images array<string>"))
+    assert sorted((r.id_phone, r.pos, r.color) for r in found.collect()) == [(1, 0, "Ice_Blue"), (1, 1, ""), (1, 2, ""), (1, 3, "Red"), (2, 0, ""), (3, 0, ""), (5, 0, "")]
+    above, below = found._jdf.queryExecution().optimizedPlan().toString().split("Generate", 1)
+    assert "lambda" not in above and "lambda" in below
+
+
 def test_enum_labels(spark):
     df = spark.createDataFrame([("Ice_Blue",), ("_4G",), (None,)], "c string")
     assert [r[0] for r in df.select(labels.enum_label(F.col("c"))).collect()] == ["Ice Blue", "4G", None]
