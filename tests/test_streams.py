@@ -124,6 +124,25 @@ def test_ordered_state_goes_on_after_a_restart(spark, tmp_path, kind):
     assert sorted(map(str, got.select("event_id", "user_id", "ts", "text").collect())) == sorted(map(str, want.select("event_id", "user_id", "ts", "text").collect()))
 
 
+@pytest.mark.parametrize("kind", ["changes", "latest"])
+def test_state_lies_by_cells_of_users(spark, tmp_path, kind):
+    big = 1 << 60  # user ids that are no doubles, beside null ones
+    events = [(i, None if u is None else big + u, t, x, y) for i, u, t, x, y in _events(1500, 400, 6)]
+    make = (lambda s_: o.changes(s_, "2 seconds", cells=3)) if kind == "changes" else (lambda s_: o.latest_answers(s_, "2 seconds", cells=3))
+    rows = []
+    for part in (events[:700], events[700:], [(-1, -1, datetime(2025, 1, 1), "end", 0.0)]):
+        stream = make(_part_files(spark, part, tmp_path))
+        with o.stream_settings(spark):
+            q = stream.writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out"), "parquet", "append")
+        q.awaitTermination()
+        rows += [op.numRowsTotal for p in q.recentProgress for op in p.stateOperators]
+    got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).filter("user_id IS NULL OR user_id >= 0")
+    batch = spark.createDataFrame(events, SCHEMA)
+    want = s.distinct_until_changed(batch) if kind == "changes" else s.switch_latest(batch)
+    assert sorted(map(str, got.select("event_id", "user_id", "ts", "text").collect())) == sorted(map(str, want.select("event_id", "user_id", "ts", "text").collect()))
+    assert 0 < max(rows) < 100  # not one or more for each of 400 users
+
+
 def test_settings_of_a_stream_do_not_stay(spark):
     before = {k: spark.conf.get(k, None) for k in o.SETTINGS}
     with o.stream_settings(spark):
