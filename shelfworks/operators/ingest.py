@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfworks.functions.numbering import kept_for, new_path, number_rows
+from shelfworks.functions.numbering import kept_for, new_path, number_rows, written
 from shelfworks.sources.bucketed import BucketedTable, save
 from shelfworks.sources.tables import normalise_phone, split_judged
 
@@ -155,7 +155,7 @@ def merge_phones(store: dict[str, BucketedTable], subs: DataFrame, batch: str |
     a batch that is broken off and run again under its name gives the same ids.
     """
     phone = store["phone"]
-    rows = kept_for(phone.spark, phone.path, batch, lambda: submitted_phones(phone.rows(), subs, keep_web))
+    rows = kept_for(phone.spark, phone.path, batch, lambda: submitted_phones(phone.rows(), written(subs, "submissions"), keep_web))  # read several times
     for name, part in normalise_phone(rows).items():
         store[name].replace(part, rows.select("id_phone"), batch)
 

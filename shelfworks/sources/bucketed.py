@@ -56,7 +56,8 @@ class BucketedTable:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
     def _write(self, df: DataFrame, path: str) -> None:
-        placed = df.withColumn(self.bucket, self.bucket_of(self.key)).repartition(self.bucket)
+        # rebalanced: a bucket that is large for a task is written by several
+        placed = df.withColumn(self.bucket, self.bucket_of(self.key)).hint("rebalance", self.bucket)
         placed.write.partitionBy(self.bucket).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
     def _read(self, path: str) -> DataFrame:
@@ -91,7 +92,8 @@ class BucketedTable:
         touched = json.loads(self.spark.read.text(f"{stage}/touched").first().value)
         staged = self._read(f"{stage}/rows")
         left = {r[0] for r in staged.select(self.bucket).distinct().collect()}
-        staged.repartition(self.bucket).write.partitionBy(self.bucket).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path)
+        # staged files hold one bucket each: they are copied as they lie, without a shuffle
+        staged.write.partitionBy(self.bucket).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path)
         for b in touched:
             if b not in left:  # nothing is left in it, which an overwrite cannot say
                 self._delete(f"{self.path}/{self.bucket}={b}")

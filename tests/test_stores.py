@@ -61,6 +61,35 @@ def test_only_touched_buckets_are_rewritten(spark, store):
     assert not os.listdir(f"{store.path}/_staged")
 
 
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    df = spark.range(40_000).select(F.lit(7).cast("bigint").alias("id_phone"), F.sha2(F.col("id").cast("string"), 256).alias("os"), F.lit("x").alias("_bucket"))
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "256k")
+    try:
+        large = BucketedTable.create(df.repartition(4), str(tmp_path / "large"), "id_phone", 4)
+    finally:
+        spark.conf.set(setting, before)
+    (held,) = [d for d in os.listdir(large.path) if d.startswith(f"{large.bucket}=")]
+    assert len([f for f in os.listdir(f"{large.path}/{held}") if f.endswith(".parquet")]) > 1
+    assert large.rows().count() == large.rows().distinct().count() == 40_000
+
+
+def test_submissions_are_judged_once(spark, tmp_path, sf_dir):
+    judged = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for b in rows:
+            judged.add(b.num_rows)
+            yield b
+
+    parts = tables.normalise_phone(views.listed_parts(spark, sf_dir).limit(5))
+    store = {n: BucketedTable.create(df, str(tmp_path / n), "id_phone", 2) for n, df in parts.items()}
+    subs = views.full_submissions(spark, sf_dir).filter("seq <= 150 AND colors IS NOT NULL AND box_contents IS NOT NULL")
+    ingest.merge_phones(store, subs.mapInArrow(seen, subs.schema), "a")
+    assert judged.value == subs.count() > 0
+
+
 def test_a_bucket_that_is_emptied_stays_empty(spark, store):
     ids = store.rows().filter(store.bucket_of("id_phone") == 3).select("id_phone")
     assert ids.count() > 0
